@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.llm import bpe, chat, token_store
+from cloudstrata.llm import bpe, chat, jaccard, token_store
 from cloudstrata.session import new_folder
 
 
@@ -30,6 +30,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write_store(_table(spark, sf_dir, "documents"), new_folder(spark, "token-store"), vocabulary())
     return token_store.verify_store(spark, folder)
@@ -46,6 +50,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_bpe": op4_bpe,
+    "op7_jaccard": op7_jaccard,
     "op8_token_store": op8_token_store,
     "op10_chat": op10_chat,
 }
