@@ -23,16 +23,21 @@ import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloudstrata.llm.bpe import byte_alphabet
+from cloudstrata.session import drop_folder
+
 END_ID = 0
 #: Ids that the rolling hash sees, the bits that must be zero at a cut, and the least and greatest chunk.
-WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
+WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 DIGEST_BYTES = 16
 #: Digests a task remembers, so that a chunk that many documents share leaves a task a few times only.
 SEEN = 200_000
@@ -106,59 +111,130 @@ def crc32_join(left: int, right: int, right_bytes: int) -> int:
     return t[0][left & 255] ^ t[1][left >> 8 & 255] ^ t[2][left >> 16 & 255] ^ t[3][left >> 24] ^ right
 
 
+#: Bytes of text that are encoded together.
+BLOCK_BYTES = 6 << 20
+
+
+def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about BLOCK_BYTES of text, of one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(sizes, dtype=np.int64) // BLOCK_BYTES
+    at = 0
+    for n in np.unique(block, return_counts=True)[1].tolist():
+        yield batch.slice(at, n)
+        at += n
+
+
 _tokenizers: dict = {}
 
 
 class LibraryEncoder:
-    """The ids of texts by the tokenizers library.
+    """The ids of texts by the tokenizers library, as little-endian bytes.
 
     A space between two characters that aren't white space always begins a
-    pre-token of the byte-level pattern, and pre-tokens are encoded one by one;
-    so the pieces between such spaces go through the library once and are kept.
+    pre-token of the byte-level pattern, and pre-tokens are encoded one by one.
+    So pieces between such spaces are kept once the library has encoded them: words
+    of letters alone go straight to its model, all else through the whole library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = 250_000):
         from tokenizers import Tokenizer
 
-        from cloudstrata.llm.bpe import SpaceAtEdge, TwoGenerations
-
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces = TwoGenerations(None, 400_000)
-        self.error = SpaceAtEdge
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Unknown pieces of all texts go through the library in one call."""
-        known, old = self.pieces, self.pieces.old
-        split: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            first, *rest = text.split(" ")
-            fresh = {p for p in rest if p not in known}
-            if not first or first[-1].isspace() or any(not p or len(p) > 64 or p[0].isspace() or p[-1].isspace() for p in fresh):
-                split.append(None)
-            else:
-                split.append(rest)
-                new.update(dict.fromkeys(p for p in fresh if p not in old))
-                for p in fresh:
-                    if p in old:
-                        known[p] = old[p]
-        if new:
-            for p, ids in zip(new, self.whole([" " + p for p in new]), strict=True):
-                known[p] = np.array(ids, np.uint32).tobytes()
-        heads = iter(self.whole([t.split(" ", 1)[0] if s is not None else t for t, s in zip(texts, split, strict=True)]))
-        out = []
-        for rest in split:
-            head = np.array(next(heads), np.uint32).tobytes()
-            out.append(np.frombuffer(head + b"".join(map(known.__getitem__, rest or ())), np.uint32))
-        if len(known) >= known.entries:
-            known.old = dict(known)
-            known.clear()
-        return out
+        self.model = self.library.model
+        self.kind = "<u4" if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
+        self.entries = entries
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        # byte-level vocabularies write each byte as a character
+        self.letters = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
+        self.space = byte_alphabet()[32]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def word(self, word: str) -> bytes:
+        """A space and a word of letters: one pre-token."""
+        data = self.words.get(word)
+        if data is None:
+            data = self.old_words.get(word)
+            if data is None:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                data = np.array([t.id for t in self.model.tokenize(self.space + shown)], self.kind).tobytes()
+            if len(self.words) >= self.entries:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = data
+        return data
+
+    def ids_of(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """The ids of a space and each piece, and the places of pieces that can't be taken alone."""
+        if len(self.pieces) >= self.entries:
+            self.old_pieces, self.pieces = self.pieces, {}
+        known, old, word = self.pieces, self.old_pieces, self.word
+        out, odd, plain = [], [], []
+        for k, p in enumerate(pieces):
+            data = known.get(p)
+            if data is None:
+                data = old.get(p)
+                if data is None:
+                    if p.isalpha():
+                        data = word(p)
+                    elif not p or p[0].isspace() or p[-1].isspace():
+                        odd.append(k)
+                        data = b""
+                    elif p[-1] in self.ENDS and p[:-1].isalpha():
+                        data = word(p[:-1]) + self.mark(p[-1])
+                    else:
+                        plain.append(k)
+                        data = b""
+                if data and len(p) <= 64:
+                    known[p] = data
+            out.append(data)
+        for k, data in zip(plain, self.whole([" " + pieces[k] for k in plain]), strict=True):
+            out[k] = data
+            if len(pieces[k]) <= 64:
+                known[pieces[k]] = data
+        return out, odd
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin and the last ends."""
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        coded = split.values.dictionary_encode()
+        codes, ends = coded.indices.to_numpy().copy(), split.offsets.to_numpy()
+        data, odd = self.ids_of(coded.dictionary.to_pylist())
+        whole = np.zeros(len(texts), bool)
+        if odd:
+            bad = np.zeros(len(data) + 1, bool)
+            bad[odd] = True
+            bad = bad[codes]
+            bad[ends[:-1]] = False
+            whole = np.add.reduceat(bad, ends[:-1]) > 0
+        # the first piece of a text has no space before it, and its end may be white space
+        heads = [(t, True) if w or h[-1:].isspace() or not h else (h, False) for t, h, w in zip(texts.to_pylist(), split.values.take(pa.array(ends[:-1])).to_pylist(), whole.tolist(), strict=True)]
+        whole = np.array([w for _, w in heads])
+        codes[ends[:-1]] = len(data) + np.arange(len(texts))
+        data += self.whole([h for h, _ in heads])
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(self.kind).itemsize
+        flat, begin = np.frombuffer(b"".join(data), self.kind), np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        if whole.any():
+            rest = np.repeat(whole, np.diff(ends))
+            rest[ends[:-1]] = False
+            size[rest] = 0
+        total = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(begin[codes] - total[:-1], size) + np.arange(total[-1])
+        return flat[where], total[ends]
+
+    ENDS = frozenset(".,;:!?")
+
+    @cache  # noqa: B019  six marks
+    def mark(self, sign: str) -> bytes:
+        return self.whole([sign])[0]
 
 
 def library_encoder(path: str) -> LibraryEncoder:
@@ -168,9 +244,9 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _tokenizers[path]
 
 
-_STAGED = "kind string, digest binary, doc_id long, n_ids int, payload binary, chunks array<binary>, lengths array<int>"
+_STAGED = "kind string, key binary, digest binary, doc_id long, n_ids int, payload binary, chunks array<binary>, lengths array<int>"
 _STAGED_ARROW = pa.schema(
-    [("kind", pa.string()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("chunks", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32()))]
+    [("kind", pa.string()), ("key", pa.binary()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("chunks", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32()))]
 )
 
 
@@ -181,51 +257,44 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     task having sent a chunk once; recipes travel along and are then put in order.
     """
     spark = docs.sparkSession
-    stage = f"{folder}/staged"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder = library_encoder(path)
-        wide = encoder.library.get_vocab_size(with_added_tokens=True) > 1 << 16
         gc.disable()
-        seen: dict[bytes, None] = {}
+        task = TaskContext.get()
+        serial = (task.partitionId() if task else 0) << 40
+        end_id = np.array([END_ID], encoder.kind).tobytes()
+        width = len(end_id)
+        seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in blocks(batch, 1):
+                ids, ends = encoder.encode(part.column(1))
                 rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    small = ids.astype("<u4" if wide else "<u2")
+                for doc_id, b, e in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                    data = ids[b:e].tobytes() + end_id
                     names, lengths, begin = [], [], 0
-                    for end in cuts(ids):
-                        data = small[begin:end].tobytes()
-                        names.append(name := digest(data))
+                    for end in cuts(np.frombuffer(data, encoder.kind)):
+                        chunk = data[width * begin : width * end]
+                        names.append(name := digest(chunk))
                         lengths.append(end - begin)
                         if name not in seen:
-                            seen[name] = None
-                            rows.append(("chunk", name, None, end - begin, data, None, None))
+                            seen.add(name)
+                            rows.append(("chunk", name, name, None, end - begin, chunk, None, None))
                         begin = end
-                    rows.append(("recipe", merkle(names), doc_id, len(ids), None, names, lengths))
+                    serial += 1
+                    rows.append(("recipe", serial.to_bytes(9, "big"), merkle(names), doc_id, len(data) // width, None, names, lengths))
                 if len(seen) > SEEN:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), _STAGED_ARROW.types, strict=True)], schema=_STAGED_ARROW)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            names, kinds = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            keep = []
-            for kind, name in zip(kinds, names, strict=True):
-                keep.append(kind == "recipe" or name != last)
-                if kind == "chunk":
-                    last = name
-            yield batch.filter(pa.array(keep))
-
     staged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, _STAGED)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("digest", "doc_id"))
-    staged.repartition(n, spread).sortWithinPartitions("kind", "digest").mapInArrow(once, _STAGED).write.option("compression", "zstd").partitionBy("kind").parquet(stage)
-
-    kept = spark.read.schema(_STAGED).parquet(stage)
+    # a recipe's key is its own; of a chunk's, at most one row for each task comes here
+    once = staged.repartition(n, "key").withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("kind"))).filter("nth = 1")
+    once.drop("nth", "key").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").partitionBy("kind").parquet(f"{folder}/staged")
+    kept = spark.read.schema(_STAGED).parquet(f"{folder}/staged")
     _order_recipes(spark, kept.filter("kind = 'recipe'"), folder)
     return folder
 
@@ -251,8 +320,6 @@ def _order_recipes(spark: SparkSession, recipes: DataFrame, folder: str) -> None
         .select("part", "doc_id", "start", F.col("n_ids").cast("long").alias("n_tokens"), "chunks", "lengths", F.col("digest").alias("root"))
         .write.parquet(f"{folder}/recipes")
     )
-    from cloudstrata.session import drop_folder
-
     drop_folder(spark, f"{folder}/parted")
     _write_manifest(spark, folder)
 
@@ -311,15 +378,17 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, start, n_tokens, root, parts = (batch.column(c).to_pylist() for c in range(5))
+            lists = batch.column(4)
+            ends = lists.offsets.to_pylist()
+            columns = [lists.values.field(k).to_pylist() for k in range(6)]
             crcs, intact = [], []
-            for tokens, r, chunks in zip(n_tokens, root, parts, strict=True):
-                chunks.sort(key=lambda p: p["pos"])
+            for tokens, root, b, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), ends, ends[1:], strict=False):
+                chunks = sorted(zip(*(c[b:e] for c in columns), strict=True))
                 crc = 0
-                for p in chunks:
-                    crc = crc32_join(crc, p["crc"] or 0, 4 * (p["n_ids"] or 0))
+                for _, _, _, n, c, _ in chunks:
+                    crc = crc32_join(crc, c or 0, 4 * (n or 0))
                 crcs.append(crc)
-                intact.append(all(p["good"] and p["n_ids"] == p["length"] for p in chunks) and sum(p["length"] for p in chunks) == tokens and merkle([p["digest"] for p in chunks]) == r)
+                intact.append(all(good and n == length for _, _, length, n, _, good in chunks) and sum(c[2] for c in chunks) == tokens and merkle([c[1] for c in chunks]) == root)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64()), pa.array(intact)], names=["doc_id", "start", "n_tokens", "ids_crc32", "intact"])
 
     checked = read_chunks(spark, folder).select("digest", "n_ids", "payload").mapInArrow(check, "digest binary, n_ids int, crc long, good boolean")
