@@ -23,7 +23,6 @@ import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +111,7 @@ def crc32_join(left: int, right: int, right_bytes: int) -> int:
 
 
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 14 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +136,7 @@ class LibraryEncoder:
     of letters alone go straight to its model, all else through the whole library.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -145,9 +144,11 @@ class LibraryEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.kind = "<u4" if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
+        self.id_bytes = [np.array([k], self.kind).tobytes() for k in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.entries = entries
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         # byte-level vocabularies write each byte as a character
@@ -159,14 +160,11 @@ class LibraryEncoder:
 
     def word(self, word: str) -> bytes:
         """A space and a word of letters: one pre-token."""
-        data = self.words.get(word)
+        data = self.old_words.get(word)
         if data is None:
-            data = self.old_words.get(word)
-            if data is None:
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                data = np.array([t.id for t in self.model.tokenize(self.space + shown)], self.kind).tobytes()
-            if len(self.words) >= self.entries:
-                self.old_words, self.words = self.words, {}
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            data = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(self.space + shown)])
+        if len(word) <= 64:
             self.words[word] = data
         return data
 
@@ -174,30 +172,26 @@ class LibraryEncoder:
         """The ids of a space and each piece, and the places of pieces that can't be taken alone."""
         if len(self.pieces) >= self.entries:
             self.old_pieces, self.pieces = self.pieces, {}
-        known, old, word = self.pieces, self.old_pieces, self.word
+        if len(self.words) >= self.entries:
+            self.old_words, self.words = self.words, {}
+        known, words, word, ends = self.pieces.get, self.words.get, self.word, self.ENDS
         out, odd, plain = [], [], []
-        for k, p in enumerate(pieces):
-            data = known.get(p)
-            if data is None:
-                data = old.get(p)
+        for p in pieces:
+            if p.isalpha():
+                data = words(p) or word(p)
+            elif p and p[-1] in ends and p[:-1].isalpha():
+                stem = p[:-1]
+                data = (words(stem) or word(stem)) + self.mark(p[-1])
+            else:
+                data = known(p) or self.old_pieces.get(p)
                 if data is None:
-                    if p.isalpha():
-                        data = word(p)
-                    elif not p or p[0].isspace() or p[-1].isspace():
-                        odd.append(k)
-                        data = b""
-                    elif p[-1] in self.ENDS and p[:-1].isalpha():
-                        data = word(p[:-1]) + self.mark(p[-1])
-                    else:
-                        plain.append(k)
-                        data = b""
-                if data and len(p) <= 64:
-                    known[p] = data
+                    (odd if not p or p[0].isspace() or p[-1].isspace() else plain).append(len(out))
+                    data = b""
             out.append(data)
         for k, data in zip(plain, self.whole([" " + pieces[k] for k in plain]), strict=True):
             out[k] = data
             if len(pieces[k]) <= 64:
-                known[pieces[k]] = data
+                self.pieces[pieces[k]] = data
         return out, odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -219,22 +213,24 @@ class LibraryEncoder:
         whole = np.array([w for _, w in heads])
         codes[ends[:-1]] = len(data) + np.arange(len(texts))
         data += self.whole([h for h, _ in heads])
-        sizes = np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(self.kind).itemsize
-        flat, begin = np.frombuffer(b"".join(data), self.kind), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, data), np.int32, len(data)) // np.dtype(self.kind).itemsize
+        flat, begin = np.frombuffer(b"".join(data), self.kind), np.cumsum(sizes, dtype=np.int32) - sizes
         size = sizes[codes]
         if whole.any():
             rest = np.repeat(whole, np.diff(ends))
             rest[ends[:-1]] = False
             size[rest] = 0
-        total = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(begin[codes] - total[:-1], size) + np.arange(total[-1])
+        total = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)  # a block has fewer than 2^31 ids
+        where = np.repeat(begin[codes] - total[:-1], size)
+        where += np.arange(total[-1], dtype=np.int32)
         return flat[where], total[ends]
 
     ENDS = frozenset(".,;:!?")
 
-    @cache  # noqa: B019  six marks
     def mark(self, sign: str) -> bytes:
-        return self.whole([sign])[0]
+        if sign not in self.marks:
+            self.marks[sign] = self.whole([sign])[0]
+        return self.marks[sign]
 
 
 def library_encoder(path: str) -> LibraryEncoder:
