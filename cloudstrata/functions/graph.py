@@ -16,22 +16,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     of the nodes. A node with very many edges is aggregated before the shuffle.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    loops = e.filter("u = v").select(F.col("u").alias("node")).distinct()
-    e = cut(e.filter("u <> v").distinct(), "components")
-    state = None
+    loops = cut(e.filter("u is not null and v is not null").distinct(), "components")
+    e, state = loops.filter("u <> v"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        near = e.join(least, "u")
+        e = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        near = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = near.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = cut(e, "components")
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
+    # at rest every node but a root has one edge, to its root
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    alone = loops.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    alone = loops.select("node", F.col("node").alias("component"))
     return found.unionByName(roots).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
