@@ -16,10 +16,13 @@ Steps, each written to the shared folder:
    count to its range, and its texts elsewhere, so no task gets them all.
 3. order: each text gets its shared shingles, rarest first, and its prefix.
 4. join: prefixes are joined on the shingle. First every text is compared with
-   one text only, the least of the group it shares most prefix shingles with.
-   What is linked then needs no more comparison with each other; all other
-   pairs of a group that pass the length and positional filters are verified,
-   once per pair, behind a suffix filter.
+   one text only, that with the least share of shingles of its own among those it
+   shares most prefix shingles with. Shingles whose texts are all linked then
+   need nothing more. Texts that share any other prefix shingle form clusters;
+   clusters are cut into blocks of at most BLOCK_TEXTS by size and hash, and for
+   each pair of blocks whose sizes can match, a task joins the prefixes, applies
+   the length, positional and suffix filters and verifies each pair that isn't
+   linked yet, once.
 5. components over the links.
 
 A word is what lies between ASCII white space, with A-Z lower-cased. A text of
@@ -46,8 +49,8 @@ from cloudstrata.session import cut
 WORDS, SIMILAR = 5, 80
 #: Shingles of a block; bytes of input for a hash range; texts of a block from which a shingle counts as frequent there.
 BLOCK, RANGE_BYTES, FREQUENT = 2_000_000, 8 << 20, 256
-#: Rounds of comparing with one text each, while the pairs that are left outnumber the texts so many times.
-ROUNDS, MANY = 6, 8
+#: Texts of a block of a cluster, and of its candidate pairs how many are verified one by one rather than by a matrix product.
+BLOCK_TEXTS, FEW = 256, 400
 
 _U = np.uint64
 _FOLD = _U(0x9E3779B97F4A7C15)
@@ -279,8 +282,8 @@ def _join_frequent(bits: int):
     return run
 
 
-_ORDERED = "kind string, shingle long, key long, n int, pos int, hashes binary"
-_ORDERED_ARROW = pa.schema([("kind", pa.string()), ("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hashes", pa.binary())])
+_ORDERED = "kind string, shingle long, key long, n int, alone int, prefix binary, hashes binary"
+_ORDERED_ARROW = pa.schema([("kind", pa.string()), ("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("alone", pa.int32()), ("prefix", pa.binary()), ("hashes", pa.binary())])
 
 
 def _order(similar: int):
@@ -305,22 +308,27 @@ def _order(similar: int):
             take = np.clip(prefix - alone, 0, times)
             rank = np.arange(len(key)) - np.repeat(begin, times)
             inside = rank < np.repeat(take, times)
-            pos = np.repeat(alone, times)[inside] + rank[inside]
             m = int(inside.sum())
             none = pa.nulls
             if m:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["prefix"] * m), pa.array(hashes[inside].view(np.int64)), pa.array(key[inside].view(np.int64)), pa.array(size[inside].astype(np.int32)), pa.array(pos.astype(np.int32)), none(m, pa.binary())],
-                    schema=_ORDERED_ARROW,
-                )
+                    [
+                        pa.array(["prefix"] * m), pa.array(hashes[inside].view(np.int64)), pa.array(key[inside].view(np.int64)), pa.array(size[inside].astype(np.int32)),
+                        pa.array(np.repeat(alone, times)[inside].astype(np.int32)), none(m, pa.binary()), none(m, pa.binary()),
+                    ], schema=_ORDERED_ARROW,
+                )
                 kept = np.flatnonzero(take > 0)
                 for at in range(0, len(kept), 1000):
                     own = kept[at : at + 1000]
+                    first = [hashes[b : b + t].tobytes() for b, t in zip(begin[own].tolist(), take[own].tolist(), strict=True)]
                     data = [np.sort(hashes[b : b + t]).tobytes() for b, t in zip(begin[own].tolist(), times[own].tolist(), strict=True)]
                     k = len(own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(["set"] * k), none(k, pa.int64()), pa.array(key[begin[own]].view(np.int64)), pa.array(n[own].astype(np.int32)), none(k, pa.int32()), pa.array(data, pa.binary())], schema=_ORDERED_ARROW
-                    )
+                        [
+                            pa.array(["set"] * k), none(k, pa.int64()), pa.array(key[begin[own]].view(np.int64)), pa.array(n[own].astype(np.int32)), pa.array(alone[own].astype(np.int32)),
+                            pa.array(first, pa.binary()), pa.array(data, pa.binary()),
+                        ], schema=_ORDERED_ARROW,
+                    )
 
     return run
 
@@ -365,44 +373,141 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+class _Block:
+    """Texts of a block: names, sizes, labels, and prefixes and sets with the number of the text beside each shingle."""
+
+    def __init__(self, rows: list[dict]):
+        self.key = np.array([r["key"] for r in rows], np.int64)
+        self.n = np.array([r["n"] for r in rows], np.int64)
+        self.label = np.array([r["label"] for r in rows], np.int64)
+        self.hub = np.array([r["hub"] if r["hub"] is not None else r["key"] for r in rows], np.int64)
+        self.sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        prefixes = [np.frombuffer(r["prefix"], np.uint64) for r in rows]
+        counts = [len(p) for p in prefixes]
+        self.prefix = np.concatenate(prefixes)
+        self.owner = np.repeat(np.arange(len(rows)), counts)
+        self.pos = np.concatenate([np.arange(c) + r["alone"] for c, r in zip(counts, rows, strict=True)])
+        order = np.argsort(self.prefix, kind="stable")
+        self.prefix, self.owner, self.pos = self.prefix[order], self.owner[order], self.pos[order]
+
+
+def _candidates(x: _Block, y: _Block, same: bool, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of numbers that share a prefix shingle and pass the length and positional filters, without those that are linked or were compared."""
+    begin, end = np.searchsorted(y.prefix, x.prefix, "left"), np.searchsorted(y.prefix, x.prefix, "right")
+    found: list[np.ndarray] = []
+    times = end - begin
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(times):  # a bounded number of matches at a time
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
+        t = times[at:upto]
+        i = np.repeat(np.arange(at, upto), t)
+        j = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(begin[at:upto], t)
+        a, b = x.owner[i], y.owner[j]
+        na, nb = x.n[a], y.n[b]
+        bound = 1 + np.minimum(na - x.pos[i], nb - y.pos[j]) - 1
+        keep = (100 * np.minimum(na, nb) >= similar * np.maximum(na, nb)) & (bound >= -(-similar * (na + nb) // (100 + similar))) & (x.label[a] != y.label[b])
+        if same:
+            keep &= a < b
+        found.append(np.unique(a[keep] * len(y.key) + b[keep]))
+        at = upto
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    a, b = pairs // max(len(y.key), 1), pairs % max(len(y.key), 1)
+    new = (x.hub[a] != y.key[b]) & (y.hub[b] != x.key[a])
+    return a[new], b[new]
+
+
+def _overlaps(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The overlaps of all texts of two blocks, as a product of their incidence matrices, some shingles at a time."""
+    ua, ub = np.unique(a), np.unique(b)
+    hx, hy = np.concatenate([x.sets[k] for k in ua]), np.concatenate([y.sets[k] for k in ub])
+    ox, oy = np.repeat(np.arange(len(ua)), [len(x.sets[k]) for k in ua]), np.repeat(np.arange(len(ub)), [len(y.sets[k]) for k in ub])
+    both = np.intersect1d(hx, hy)
+    px, py = np.searchsorted(both, hx), np.searchsorted(both, hy)
+    px[px == len(both)] = py[py == len(both)] = 0
+    kx, ky = (both[px] == hx, both[py] == hy) if len(both) else (np.zeros(len(hx), bool), np.zeros(len(hy), bool))
+    px, ox, py, oy = px[kx], ox[kx], py[ky], oy[ky]
+    total = np.zeros((len(ua), len(ub)), np.float32)
+    for at in range(0, len(both), 8192):
+        mx, my = np.zeros((len(ua), 8192), np.float32), np.zeros((len(ub), 8192), np.float32)
+        inx, iny = (px >= at) & (px < at + 8192), (py >= at) & (py < at + 8192)
+        mx[ox[inx], px[inx] - at] = 1
+        my[oy[iny], py[iny] - at] = 1
+        total += mx @ my.T
+    return total[np.searchsorted(ua, a), np.searchsorted(ub, b)].astype(np.int64)
+
+
+def block_links(x: _Block, y: _Block, same: bool, similar: int = SIMILAR) -> list[tuple[int, int]]:
+    """Links between texts of two blocks that connect all that its similar pairs connect."""
+    a, b = _candidates(x, y, same, similar)
+    if not len(a):
+        return []
+    least = -(-similar * (x.n[a] + y.n[b]) // (100 + similar))
+    if len(a) <= FEW:
+        good = np.array([suffix_bound(x.sets[i], y.sets[j]) >= m and overlap(x.sets[i], y.sets[j]) >= m for i, j, m in zip(a.tolist(), b.tolist(), least.tolist(), strict=True)], bool)
+    else:
+        good = _overlaps(x, y, a, b) >= least
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    out = []
+    for ka, kb, la, lb in zip(x.key[a[good]].tolist(), y.key[b[good]].tolist(), x.label[a[good]].tolist(), y.label[b[good]].tolist(), strict=True):
+        ra, rb = find(la), find(lb)
+        if ra != rb:
+            root[max(ra, rb)] = min(ra, rb)
+            out.append((ka, kb))
+    return out
+
+
+def _verify_blocks(similar: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                x = _Block(one.as_py())
+                rows = two.as_py()
+                out += block_links(x, x if rows is None else _Block(rows), rows is None, similar)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _links(prefixes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Links a, b between texts that connect all that similar pairs connect."""
-    spark = prefixes.sparkSession
-    hub = F.min(F.struct("n", "key"))
-    groups = prefixes.groupBy("shingle").agg(F.count("*").alias("members"), hub.alias("hub")).filter("members > 1")
-    members = cut(prefixes.join(groups.select("shingle", "hub"), "shingle").select("shingle", "key", "n", "pos", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-members")
-    texts = max(1, members.select("key").distinct().count())
-    links = tried = None
-    labels = None
-    for turn in range(ROUNDS):
-        near = members.filter(f"key <> hub and 100 * least(n, hub_n) >= {similar} * greatest(n, hub_n)")
-        votes = near.groupBy("key", "hub").count()
-        if tried is not None:
-            votes = votes.join(tried.select(F.col("a").alias("key"), F.col("b").alias("hub")), ["key", "hub"], "left_anti")
-        chosen = cut(votes.groupBy("key").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("key").alias("a"), F.col("best.hub").alias("b")), "jaccard-tried")
-        found = cut(_verify(chosen, sets, similar), "jaccard-links")
-        tried = chosen if tried is None else tried.unionByName(chosen)
-        links = found if links is None else links.unionByName(found)
-        labels = cut(connected_components(links, "a", "b"), "jaccard-labels")
-        label = F.coalesce("component", "key").alias("label")
-        now = members.select("shingle", "key", "n", "pos").join(labels.withColumnRenamed("node", "key"), "key", "left").select("shingle", "key", "n", "pos", label)
-        # groups of one label need nothing more; of the others, the hub of the next round is the least text of another label than the last's
-        sizes = now.groupBy("shingle", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "n", "key")).alias("m"))
-        open_groups = sizes.groupBy("shingle").agg(F.count("*").alias("labels"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("m").alias("m")).filter("labels > 1")
-        members = cut(
-            now.join(open_groups.select("shingle", F.col("m.key").alias("hub"), F.col("m.n").alias("hub_n"), ((F.col("all") * F.col("all") - F.col("same")) / F.col("all") / 2).alias("left_over")), "shingle"), "jaccard-members"
-        )
-        left = members.agg(F.coalesce(F.sum("left_over"), F.lit(0.0))).first()[0]
-        if left <= MANY * texts:
-            break
-    one = members.select("shingle", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    two = members.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-    least = f"(({similar} * (na + nb) + {99 + similar}) div {100 + similar})"
-    pairs = one.join(two, "shingle").filter(f"la <> lb and (na > nb or (na = nb and a > b)) and 100 * nb >= {similar} * na and 1 + least(na - pa - 1, nb - pb - 1) >= {least}")
-    pairs = pairs.select("a", "b").distinct()
-    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(_verify(pairs.join(done, ["a", "b"], "left_anti"), sets, similar), "jaccard-links")
-    return links.unionByName(rest)
+    hub = F.min(F.struct((F.col("alone") * 100 / F.col("n")).cast("int").alias("own"), "key", "n")).alias("hub")
+    groups = prefixes.groupBy("shingle").agg(F.count("*").alias("members"), hub).filter("members > 1")
+    members = cut(prefixes.join(groups, "shingle").select("shingle", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-members")
+    near = members.filter(f"key <> hub and 100 * least(n, hub_n) >= {similar} * greatest(n, hub_n)")
+    best = near.groupBy("key", "hub").count().groupBy("key").agg(F.max(F.struct("count", "hub")).alias("best"))
+    tried = cut(best.select(F.col("key").alias("a"), F.col("best.hub").alias("b")), "jaccard-tried")
+    links = cut(_verify(tried, sets, similar), "jaccard-links")
+    labels = cut(connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "label"}), "jaccard-labels")
+    labelled = members.select("shingle", "key").join(labels, "key", "left").select("shingle", "key", F.coalesce("label", "key").alias("label"))
+    # shingles whose texts have several labels; their texts form the clusters
+    ends = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("key").alias("first")).filter("least <> most")
+    edges = cut(labelled.join(ends.select("shingle", "first"), "shingle").select("key", "first").distinct(), "jaccard-edges")
+    clusters = cut(connected_components(edges, "key", "first").withColumnsRenamed({"node": "key", "component": "cluster"}), "jaccard-clusters")
+    counts = clusters.groupBy("cluster").agg(F.count("*").alias("texts"))
+    # sizes whose quotient is at least `similar` percent are in the same or the next bin; small clusters are one block
+    bins = F.floor(F.log("n") / F.lit(float(-1.001 * np.log(similar / 100))))
+    rows = sets.join(clusters, "key").join(counts, "cluster").join(labels, "key", "left").join(tried.select(F.col("a").alias("key"), F.col("b").alias("hub")), "key", "left")
+    rows = rows.withColumn("bin", F.when(F.col("texts") > BLOCK_TEXTS, bins).otherwise(0)).withColumn("part", F.when(F.col("texts") > BLOCK_TEXTS, F.pmod(F.xxhash64("key", "cluster"), F.ceil(2 * F.col("texts") / BLOCK_TEXTS))).otherwise(0))
+    text = F.struct("key", "n", "alone", F.coalesce("label", "key").alias("label"), "hub", "prefix", "hashes")
+    blocks = cut(rows.groupBy("cluster", "bin", "part").agg(F.collect_list(text).alias("rows")), "jaccard-blocks")
+    names = blocks.select("cluster", "bin", "part")
+    one, two = names.withColumnsRenamed({"bin": "bin1", "part": "part1"}), names.withColumnsRenamed({"bin": "bin2", "part": "part2"})
+    pairs = one.join(two, "cluster").filter("(bin2 = bin1 and part2 > part1) or bin2 = bin1 + 1")
+    left = blocks.withColumnsRenamed({"bin": "bin1", "part": "part1", "rows": "rows1"})
+    right = blocks.withColumnsRenamed({"bin": "bin2", "part": "part2", "rows": "rows2"})
+    across = pairs.join(left, ["cluster", "bin1", "part1"]).join(right, ["cluster", "bin2", "part2"]).select(F.hash("cluster", "bin1", "part1", "bin2", "part2").alias("deal"), "rows1", "rows2")
+    within = blocks.select(F.hash("cluster", "bin", "part").alias("deal"), F.col("rows").alias("rows1"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("rows2"))
+    more = within.unionByName(across).repartition("deal").select("rows1", "rows2").mapInArrow(_verify_blocks(similar), "a long, b long")
+    return links.unionByName(cut(more, "jaccard-links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -418,7 +523,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = counted.filter("kind = 'texts'").join(frequent, "key").select("payload", "total").mapInArrow(_join_frequent(bits), _ROWS)
     shared = counted.filter("kind = 'shared'").unionByName(texts)
     ordered = cut(shared.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(similar), _ORDERED), "jaccard-ordered")
-    links = _links(ordered.filter("kind = 'prefix'").select("shingle", "key", "n", "pos"), ordered.filter("kind = 'set'").select("key", "n", "hashes"), similar)
+    links = _links(ordered.filter("kind = 'prefix'").select("shingle", "key", "n", "alone"), ordered.filter("kind = 'set'").select("key", "n", "alone", "prefix", "hashes"), similar)
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     rows = counted.filter("kind = 'doc'").select("doc_id", "key", "n")
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("label"))

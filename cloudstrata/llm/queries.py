@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.llm import bpe, chat, jaccard, token_store, toxicity
+from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, licenses, quality, token_store, toxicity
 from cloudstrata.session import new_folder
 
 
@@ -30,11 +30,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,11 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verify_store(spark, folder)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -55,9 +72,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_main_text": op3_main_text,
     "op4_bpe": op4_bpe,
+    "op5_decontamination": op5_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_jaccard": op7_jaccard,
     "op8_token_store": op8_token_store,
+    "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }
 
