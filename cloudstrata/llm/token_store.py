@@ -111,7 +111,7 @@ def crc32_join(left: int, right: int, right_bytes: int) -> int:
 
 
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 7 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ class LibraryEncoder:
     of letters alone go straight to its model, all else through the whole library.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 220_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
