@@ -531,3 +531,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = classes.join(whole, "label").select("key", "component_id")
     filled = rows.filter("n > 0").join(found, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return filled.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """The rows of docs, unchanged, of the least doc_id of each component.
+
+    Rows with one doc_id stay or go together: they go if any of them is in a
+    component that a smaller doc_id names. Rows with a null doc_id stay.
+    """
+    found = jaccard_components(docs, words=words, similar=similar)
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

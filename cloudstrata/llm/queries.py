@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, licenses, quality, token_store, toxicity
+from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, licenses, neighbours, quality, token_store, toxicity
 from cloudstrata.session import new_folder
 
 
@@ -30,6 +30,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, 20)
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -72,6 +76,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_neighbours": op2_neighbours,
     "op3_main_text": op3_main_text,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
