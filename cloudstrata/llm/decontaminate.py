@@ -61,12 +61,10 @@ class Canonical:
     """Templates of texts. What a word may be is kept by word; what it is depends on the words before it."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int, bool, str]] = []
-        self.codes, self.kinds, self.ends = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
         self.number = TwoGenerations(self.look, 100_000)
 
-    def look(self, word: str) -> tuple[int, int, bool]:
-        """Hash, kind as it stands alone, and whether a sentence ends after it."""
+    def look(self, word: str) -> int:
+        """60 bits of a word's hash, three of its kind as it stands alone, and whether a sentence ends after it."""
         core = EDGES.sub("", word)
         low = core.lower()
         ends = word[-1] in ".!?:;…" or word == LINE
@@ -82,7 +80,7 @@ class Canonical:
             kind = NAME
         else:
             kind = WORD
-        return xxhash.xxh3_64_intdigest(low), kind, ends
+        return xxhash.xxh3_64_intdigest(low) >> 4 << 4 | kind << 1 | ends
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Codes, kinds and word numbers of the tokens, and the words."""
@@ -90,10 +88,8 @@ class Canonical:
         n = len(words)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), words
-        known = [*map(self.number.__getitem__, words)]
-        code = np.fromiter((k[0] for k in known), np.uint64, n)
-        kind = np.fromiter((k[1] for k in known), np.int8, n)
-        ends = np.fromiter((k[2] for k in known), bool, n)
+        known = np.fromiter(map(self.number.__getitem__, words), np.uint64, n)
+        code, kind, ends = known >> np.uint64(4) << np.uint64(4), (known >> np.uint64(1) & np.uint64(7)).astype(np.int8), known & np.uint64(1) == 1
         starts = np.concatenate([[True], ends[:-1]])
         kind[(kind == NAME) & starts] = WORD
         kept = np.flatnonzero(kind != NONE)
