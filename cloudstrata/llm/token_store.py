@@ -23,6 +23,7 @@ import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,7 @@ def crc32_join(left: int, right: int, right_bytes: int) -> int:
 
 
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 7 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -128,15 +129,18 @@ _tokenizers: dict = {}
 
 
 class LibraryEncoder:
-    """The ids of texts by the tokenizers library, as little-endian bytes.
+    """The ids of texts by the tokenizers library.
 
     A space between two characters that aren't white space always begins a
     pre-token of the byte-level pattern, and pre-tokens are encoded one by one.
-    So pieces between such spaces are kept once the library has encoded them: words
-    of letters alone go straight to its model, all else through the whole library.
+    So pieces between such spaces are looked up whole. Words of letters, alone or
+    before one mark, go to the library's model once and are kept as flat arrays;
+    all other pieces go through the whole library.
     """
 
-    def __init__(self, path: str, entries: int = 220_000):
+    ENDS = tuple(".,;:!?")
+
+    def __init__(self, path: str, entries: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -144,55 +148,77 @@ class LibraryEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.kind = "<u4" if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
-        self.id_bytes = [np.array([k], self.kind).tobytes() for k in range(self.library.get_vocab_size(with_added_tokens=True))]
-        self.entries = entries
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         # byte-level vocabularies write each byte as a character
         self.letters = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
         self.space = byte_alphabet()[32]
+        self.marks = pa.array(self.ENDS)
+        self.mark_ids = np.array([self.library.encode(m, add_special_tokens=False).ids[0] for m in self.ENDS], self.kind)
+        self.entries = entries
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, self.kind)
+        self.begin = np.zeros(1, np.int64)
+        self.others: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, word: str) -> bytes:
-        """A space and a word of letters: one pre-token."""
-        data = self.old_words.get(word)
-        if data is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            data = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(self.space + shown)])
-        if len(word) <= 64:
-            self.words[word] = data
-        return data
-
-    def ids_of(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
-        """The ids of a space and each piece, and the places of pieces that can't be taken alone."""
-        if len(self.pieces) >= self.entries:
-            self.old_pieces, self.pieces = self.pieces, {}
-        if len(self.words) >= self.entries:
-            self.old_words, self.words = self.words, {}
-        known, words, word, ends = self.pieces.get, self.words.get, self.word, self.ENDS
-        out, odd, plain = [], [], []
+    def _learn(self, words: pa.Array) -> None:
+        """Keeps the ids of new words; beyond `entries` the older half of the words goes."""
+        tokenize, space, letters = self.model.tokenize, self.space, self.letters
+        found = [[t.id for t in tokenize(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))] for w in words.to_pylist()]
+        if len(self.words) + len(words) > self.entries:
+            half = len(self.words) // 2
+            self.words, self.ids, self.begin = self.words.slice(half), self.ids[self.begin[half] :], self.begin[half:] - self.begin[half]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.words = pa.concat_arrays([self.words, words])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))])
+
+    def _other(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of a space and each piece; None for pieces that can't be taken alone."""
+        if len(self.others) > 200_000:
+            self.others = {}
+        known, new = self.others, []
         for p in pieces:
-            if p.isalpha():
-                data = words(p) or word(p)
-            elif p and p[-1] in ends and p[:-1].isalpha():
-                stem = p[:-1]
-                data = (words(stem) or word(stem)) + self.mark(p[-1])
-            else:
-                data = known(p) or self.old_pieces.get(p)
-                if data is None:
-                    (odd if not p or p[0].isspace() or p[-1].isspace() else plain).append(len(out))
-                    data = b""
-            out.append(data)
-        for k, data in zip(plain, self.whole([" " + pieces[k] for k in plain]), strict=True):
-            out[k] = data
-            if len(pieces[k]) <= 64:
-                self.pieces[pieces[k]] = data
-        return out, odd
+            if p not in known and p and not p[0].isspace() and not p[-1].isspace():
+                new.append(p)
+        fresh = dict(zip(new, self.whole([" " + p for p in new]), strict=True))
+        known.update((p, d) for p, d in fresh.items() if len(p) <= 64)
+        return [known[p] if p in known else fresh.get(p) for p in pieces]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of a space and each piece, where each piece's begin and the last ends, and which can't be taken alone."""
+        alone = pc.utf8_is_alpha(pieces)
+        stem = pc.utf8_slice_codeunits(pieces, 0, -1)
+        mark = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), self.marks)
+        mark = pc.if_else(pc.and_(pc.invert(alone), pc.utf8_is_alpha(stem)), mark, pa.scalar(None, pa.int32()))
+        word = pc.if_else(alone, pieces, pc.if_else(pc.is_valid(mark), stem, pa.scalar(None, pa.string()))).dictionary_encode()
+        self.entries = max(self.entries, 3 * len(word.dictionary))  # what a block needs at once is kept
+        while (at := pc.index_in(word.dictionary, self.words)).null_count:
+            self._learn(word.dictionary.filter(pc.is_null(at)))
+        of_piece = word.indices.fill_null(-1).to_numpy()
+        marks = mark.fill_null(-1).to_numpy()
+        where = np.append(at.to_numpy().astype(np.int64), 0)[of_piece] if len(at) else np.zeros(len(pieces), np.int64)
+        simple = of_piece >= 0
+        size = np.where(simple, self.begin[where + 1] - self.begin[where], 0) if len(self.words) else np.zeros(len(pieces), np.int64)
+        size = size + (marks >= 0)
+        rest = np.flatnonzero(~simple)
+        data = self._other(pieces.take(pa.array(rest)).to_pylist())
+        odd = np.zeros(len(pieces), bool)
+        odd[rest[[d is None for d in data]]] = True
+        width = np.dtype(self.kind).itemsize
+        other_size = np.array([len(d or b"") // width for d in data], np.int64)
+        size[rest] = other_size
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(ends[-1], self.kind)
+        words_only = np.where(simple, size - (marks >= 0), 0)
+        into = np.repeat(ends[:-1] - (np.cumsum(words_only) - words_only), words_only) + np.arange(words_only.sum())
+        source = np.repeat(self.begin[where] - (np.cumsum(words_only) - words_only), words_only) + np.arange(words_only.sum())
+        out[into] = self.ids[source]
+        out[ends[1:][marks >= 0] - 1] = self.mark_ids[marks[marks >= 0]]
+        into = np.repeat(ends[rest] - (np.cumsum(other_size) - other_size), other_size) + np.arange(other_size.sum())
+        out[into] = np.frombuffer(b"".join(d for d in data if d), self.kind)
+        return out, ends, odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin and the last ends."""
@@ -200,38 +226,30 @@ class LibraryEncoder:
         split = pc.split_pattern(texts, " ")
         coded = split.values.dictionary_encode()
         codes, ends = coded.indices.to_numpy().copy(), split.offsets.to_numpy()
-        data, odd = self.ids_of(coded.dictionary.to_pylist())
+        flat, begin, odd = self._pieces(coded.dictionary)
         whole = np.zeros(len(texts), bool)
-        if odd:
-            bad = np.zeros(len(data) + 1, bool)
-            bad[odd] = True
-            bad = bad[codes]
+        if odd.any():
+            bad = odd[codes]
             bad[ends[:-1]] = False
             whole = np.add.reduceat(bad, ends[:-1]) > 0
         # the first piece of a text has no space before it, and its end may be white space
-        heads = [(t, True) if w or h[-1:].isspace() or not h else (h, False) for t, h, w in zip(texts.to_pylist(), split.values.take(pa.array(ends[:-1])).to_pylist(), whole.tolist(), strict=True)]
-        whole = np.array([w for _, w in heads])
-        codes[ends[:-1]] = len(data) + np.arange(len(texts))
-        data += self.whole([h for h, _ in heads])
-        sizes = np.fromiter(map(len, data), np.int32, len(data)) // np.dtype(self.kind).itemsize
-        flat, begin = np.frombuffer(b"".join(data), self.kind), np.cumsum(sizes, dtype=np.int32) - sizes
-        size = sizes[codes]
+        first = split.values.take(pa.array(ends[:-1])).to_pylist()
+        whole |= np.array([not h or h[-1].isspace() for h in first], bool)
+        heads = self.whole([t if w else h for t, h, w in zip(texts.to_pylist() if whole.any() else first, first, whole.tolist(), strict=True)])
+        codes[ends[:-1]] = len(begin) - 1 + np.arange(len(texts))
+        head_size = np.array([len(h) for h in heads], np.int64) // np.dtype(self.kind).itemsize
+        begin = np.concatenate([begin, begin[-1] + np.cumsum(head_size)])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(heads), self.kind)])
+        size = (begin[1:] - begin[:-1]).astype(np.int32)[codes]
         if whole.any():
             rest = np.repeat(whole, np.diff(ends))
             rest[ends[:-1]] = False
             size[rest] = 0
         total = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)  # a block has fewer than 2^31 ids
-        where = np.repeat(begin[codes] - total[:-1], size)
+        where = np.repeat(begin[:-1].astype(np.int32)[codes] - total[:-1], size)
         where += np.arange(total[-1], dtype=np.int32)
         return flat[where], total[ends]
 
-    ENDS = frozenset(".,;:!?")
-
-    def mark(self, sign: str) -> bytes:
-        if sign not in self.marks:
-            self.marks[sign] = self.whole([sign])[0]
-        return self.marks[sign]
-
 
 def library_encoder(path: str) -> LibraryEncoder:
     if path not in _tokenizers:
