@@ -47,8 +47,8 @@ from cloudstrata.functions.graph import connected_components
 from cloudstrata.session import cut
 
 WORDS, SIMILAR = 5, 80
-#: Shingles of a block; bytes of input for a hash range; texts of a block from which a shingle counts as frequent there.
-BLOCK, RANGE_BYTES, FREQUENT = 2_000_000, 8 << 20, 256
+#: Shingles of a block; bytes of text for a hash range; texts of a block from which a shingle counts as frequent there.
+BLOCK, RANGE_BYTES, FREQUENT = 2_000_000, 16 << 20, 256
 #: Texts of a block of a cluster, and of its candidate pairs how many are verified one by one rather than by a matrix product.
 BLOCK_TEXTS, FEW = 256, 400
 
@@ -513,7 +513,7 @@ def _links(prefixes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links of 100 * overlap >= similar * union reach, of every document."""
     spark = docs.sparkSession
-    size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (max(1, size // RANGE_BYTES) - 1).bit_length())
     parts = max(n, 1 << bits)

@@ -76,14 +76,17 @@ class Isotonic:
         order = np.argsort(score, kind="stable")
         blocks: list[list[float]] = []  # weight, sum of labels, sum of scores
         values, begin = np.unique(score[order], return_index=True)
+        if not len(values):
+            self.at, self.to = [0.0], [0.5]
+            return self
         for part_y, v in zip(np.split(y[order].astype(float), begin[1:]), values, strict=True):
             blocks.append([len(part_y), part_y.sum(), v * len(part_y)])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
                 w, s, z = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + z]
-        mean = float(y.mean()) if len(y) else 0.5
-        self.at = [z / w for w, _, z in blocks] or [0.0]
-        self.to = [(s + mean) / (w + 1) for w, s, _ in blocks] or [mean]
+        mean = float(y.mean())
+        self.at = [z / w for w, _, z in blocks]
+        self.to = [(s + mean) / (w + 1) for w, s, _ in blocks]
         self.to = np.maximum.accumulate(self.to).tolist()
         return self
 
