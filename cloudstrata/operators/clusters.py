@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.graph import connected_components
+from cloudstrata.functions.numbering import placed
 from cloudstrata.operators.neighbours import k_nearest, nodes, radius_join
 from cloudstrata.operators.profile import AXES
 from cloudstrata.operators.regions import first_of_voxels
@@ -26,9 +27,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     from_core = pairs.join(core.withColumnRenamed("node", "a"), "a")
     edges = from_core.join(core.withColumnRenamed("node", "b"), "b").select("a", "b")
     found = cut(connected_components(edges, "a", "b"), "clusters")  # a core point pairs with itself, so none is left out
-    # numbers of clusters: over one row for each cluster
     first = found.groupBy("component").agg(F.min("node").alias("first"))
-    numbers = first.select("component", (F.row_number().over(W.orderBy("first")) - 1).alias("label"))
+    numbers = placed(first, ["first"], "label").select("component", "label")
     labels = found.join(numbers, "component").select("node", "label")
     border = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near_label"))
     all_labels = places.join(labels, "node", "left").join(border.withColumnRenamed("a", "node"), "node", "left")
@@ -40,9 +40,10 @@ def cluster_table(labelled: DataFrame, min_points: int, most: int, roi: tuple[fl
     """A row for each cluster, largest first: identity, bounds, extent, whether it touches the region, status, and the index in the review batch of the first `most` that aren't too small."""
     box = labelled.filter("label >= 0").groupBy("label").agg(F.count("*").alias("point_count"), *[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
     box = box.withColumn("tiny", F.col("point_count") < min_points)
-    place = F.row_number().over(W.partitionBy("tiny").orderBy(F.desc("point_count"), "label")) - 1
-    box = box.withColumn("__k", F.when(~F.col("tiny"), place))
-    index = F.when(F.col("__k") < most, F.col("__k"))
+    box = cut(box, "cluster-boxes")
+    batch = box.filter("not tiny").orderBy(F.desc("point_count"), "label").limit(most)  # a review's few rows are numbered
+    batch = batch.select("label", (F.row_number().over(W.orderBy(F.desc("point_count"), "label")) - 1).alias("__k"))
+    box, index = box.join(batch, "label", "left"), F.col("__k")
     touch = F.lit(False)
     if roi is not None:
         touch = (F.col("min_x") - roi[0] <= eps) | (F.lit(roi[1]) - F.col("max_x") <= eps) | (F.col("min_y") - roi[2] <= eps) | (F.lit(roi[3]) - F.col("max_y") <= eps)
@@ -69,7 +70,7 @@ def seed_support(dense: DataFrame, seeds: DataFrame, within: float) -> DataFrame
     near = k_nearest(seeds, dense, 1)
     of = near.join(dense.select(F.col("row_id").alias("neighbour"), "label"), "neighbour").filter(F.col("distance") <= within).groupBy("label").agg(F.count("*").alias("support"))
     out = dense.filter("label >= 0").groupBy("label").agg(F.count("*").alias("points")).join(of, "label", "left").select("label", "points", F.coalesce("support", F.lit(0)).alias("support"))
-    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("support"), F.desc("points"), "label")))
+    return placed(out, [F.desc("support"), F.desc("points"), "label"]).withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def regroup_dense(points: DataFrame, seeds: DataFrame, voxel: float, min_samples: int = 3, within: float = 0.8) -> tuple[DataFrame, DataFrame]:

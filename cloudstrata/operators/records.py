@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.numbering import placed
+
 
 def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """Records with their multiplicity, aggregated before the shuffle: a frequent record is one row."""
@@ -119,23 +121,7 @@ def union_of_sources(sources: list[DataFrame], key: str = "row_id") -> DataFrame
         all_rows = s if all_rows is None else all_rows.unionByName(s)
     columns = [c for c in all_rows.columns if c != "__s"]
     first = all_rows.groupBy(key).agg(F.min_by(F.struct(*columns), "__s").alias("r")).select("r.*")
-    return with_place(first, key)
-
-
-def with_place(rows: DataFrame, key: str) -> DataFrame:
-    """Adds place, from 0 in the order of key: ranges are numbered apart and moved by the counts before them, so no task orders all rows."""
-    spark = rows.sparkSession
-    from cloudstrata.session import cut
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = cut(rows.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()), "placed")
-    counts = sorted((r["__part"], r["n"]) for r in parted.groupBy("__part").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
-    for p, c in counts:
-        before[p] = total
-        total += c
-    first = F.element_at(F.create_map(*[F.lit(v).cast("long") for kv in before.items() for v in kv]), F.col("__part").cast("long")) if before else F.lit(0)
-    return parted.withColumn("place", first + F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1).drop("__part")
+    return placed(first, [key])
 
 
 def interleaved(rows: DataFrame, group: str, hint: str, order: list) -> DataFrame:

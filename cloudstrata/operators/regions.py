@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.hashing import signed, spatial_hash, unsigned_order
+from cloudstrata.functions.numbering import placed_in_groups
 from cloudstrata.operators.profile import AXES
+from cloudstrata.session import cut
 
 #: Seeds of the sides' samples; fixed values.
 SIDE_SEEDS = {"left": 101, "right": 202}
@@ -50,7 +51,7 @@ def first_of_voxels(points: DataFrame, size: float, anchor: str = "absolute", by
     by = by or []
     if anchor == "least":
         low = points.groupBy(*by).agg(*[F.min(a).alias(f"__o{a}") for a in AXES])
-        points = points.join(F.broadcast(low), by) if by else points.crossJoin(low)  # a row for each group
+        points = points.join(low, by) if by else points.crossJoin(low)  # one row
     origin = {a: F.col(f"__o{a}") if anchor == "least" else F.lit(0.0) for a in AXES}
     cells = {f"__c{a}": F.floor((F.col(a) - origin[a]) / F.lit(float(size))) for a in AXES}
     chosen = points.withColumns(cells).groupBy(*by, *cells).agg(F.min_by(F.struct(*points.columns), "row_id").alias("p"))
@@ -59,8 +60,7 @@ def first_of_voxels(points: DataFrame, size: float, anchor: str = "absolute", by
 
 def even_sample(rows: DataFrame, most: int, order: list[str], by: list[str] | None = None) -> DataFrame:
     """At most `most` rows of each group, evenly spaced in order: all if there are no more, else rows trunc(k (n - 1) / (most - 1)), the last being n - 1, or the first alone for most = 1."""
-    by = by or []
-    numbered = rows.withColumn("__rn", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).withColumn("__n", F.count("*").over(W.partitionBy(*by)))
+    numbered = placed_in_groups(rows, by or [], order, "__rn", "__n")
     if most == 1:
         wanted = F.col("__rn") == 0
     else:
@@ -72,14 +72,15 @@ def even_sample(rows: DataFrame, most: int, order: list[str], by: list[str] | No
     return numbered.filter((F.col("__n") <= most) | wanted).drop("__rn", "__n")
 
 
-def representatives(rows: DataFrame, label: str, most: int, order: list[str]) -> DataFrame:
-    """The first row of each label, and an even sample of the rest up to `most` rows; an error if there are more labels."""
-    first = rows.withColumn("__k", F.row_number().over(W.partitionBy(label).orderBy(*order)))
-    labels = rows.select(label).distinct().count()
+def representatives(rows: DataFrame, label: str, most: int, key: str) -> DataFrame:
+    """The row of least key of each label, and an even sample of the rest up to `most` rows; an error if there are more labels."""
+    first = cut(rows.groupBy(label).agg(F.min(key).alias(key)), "representatives")
+    labels = first.count()
     if labels > most:
         raise ValueError(f"{labels} labels don't fit into {most} rows")
-    out = first.filter("__k = 1").drop("__k")
-    return out if labels == most else out.unionByName(even_sample(first.filter("__k > 1").drop("__k"), most - labels, order))
+    out = rows.join(first.select(key), key, "left_semi").select(*rows.columns)
+    rest = rows.join(first.select(key), key, "left_anti").select(*rows.columns)
+    return out if labels == most else out.unionByName(even_sample(rest, most - labels, [key]))
 
 
 def box_points(points: DataFrame, boxes: Iterable[tuple[str, dict[str, tuple[float, float]]]], margin_xy: float = 0.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.linalg import COVARIANCE, eigenvalues, vertical_part
+from cloudstrata.functions.numbering import placed_in_groups
 from cloudstrata.operators.neighbours import radius_join
 from cloudstrata.operators.profile import AXES
 
@@ -61,5 +62,5 @@ def summarise_local(features: DataFrame, by: list[str]) -> DataFrame:
 
 def ecdf(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Each value with its place in order over the number of values."""
-    w = W.partitionBy(*by)
-    return rows.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) / F.count("*").over(w)).alias("fraction"))
+    numbered = placed_in_groups(rows.filter(F.col(value).isNotNull()).select(*by, value), by, [value])
+    return numbered.select(*by, value, ((F.col("place") + 1) / F.col("group_size")).alias("fraction"))

@@ -171,7 +171,7 @@ def display_sample(spark, sf_dir):
 {_EVEN.format(by="one", of="rest", m="(100 - (SELECT count(DISTINCT classification) FROM pts))")}
 SELECT row_id, classification FROM f WHERE first = 1 UNION ALL SELECT row_id, classification FROM n WHERE rn IN (SELECT place FROM w)""")
 def cluster_representatives(spark, sf_dir):
-    return regions.representatives(points(spark, sf_dir), "classification", 100, ["row_id"]).select("row_id", "classification")
+    return regions.representatives(points(spark, sf_dir), "classification", 100, "row_id").select("row_id", "classification")
 
 
 _D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"

@@ -137,7 +137,7 @@ def test_even_sample(spark, n, most):
 
 def test_representatives_need_room(spark):
     with pytest.raises(ValueError, match="labels"):
-        regions.representatives(spark.range(5).withColumn("l", F.col("id")), "l", 3, ["id"])
+        regions.representatives(spark.range(5).withColumn("l", F.col("id")), "l", 3, "id")
 
 
 def test_region_cap(spark):
