@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
@@ -31,6 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Entries of a generation of the caches, and the longest piece that is cached.
 CACHE_ENTRIES = 300_000
+OTHER_ENTRIES = 40_000
 CACHE_CHARS = 48
 
 
@@ -60,6 +62,17 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+@contextmanager
+def calm_gc():
+    """No cyclic collection within: traversing large caches is costly, and nothing here makes cycles while it runs. What earlier tasks of the process left is collected first."""
+    gc.collect()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class SpaceAtEdge(ValueError):
     """A piece whose neighbours must be encoded together with it."""
 
@@ -89,7 +102,7 @@ class BpeCodec:
             self.merged.append(vocab[left + right])
         self.find = regex.compile(PATTERN).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.words = TwoGenerations(self.merge)
+        self.words = TwoGenerations(self.merge, OTHER_ENTRIES)
         self.pieces = TwoGenerations(self.piece)
 
     def merge(self, word: str) -> tuple[int, ...]:
@@ -134,9 +147,9 @@ class BpeCodec:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise SpaceAtEdge
         if piece.isalpha():
-            return self.words[" " + piece]
+            return self.merge(" " + piece)
         if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return self.words[" " + piece[:-1]] + self.words[piece[-1]]
+            return self.pieces[piece[:-1]] + self.words[piece[-1]]
         return tuple(self.encode_part(" " + piece))
 
     def encode_part(self, text: str) -> list[int]:
@@ -218,19 +231,19 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        gc.disable()  # nothing here makes cycles, and the caches are costly to traverse
-        decodes = {"decoded", "decoded_sha256"} & {*outputs}
-        for batch in batches:
-            made: dict[str, list] = {o: [] for o in outputs}
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
-                decoded = bpe.decode(ids) if decodes else None
-                for o, values in made.items():
-                    values.append(
-                        ids if o == "ids" else len(ids) if o == "n_tokens" else decoded if o == "decoded"
-                        else hashlib.sha256((bpe.id_text(ids) if o == "ids_sha256" else decoded).encode()).hexdigest()
-                    )
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[o], kind) for o, (kind, _) in zip(outputs, kinds, strict=True))], names=[id_col, *outputs])
+        with calm_gc():
+            decodes = {"decoded", "decoded_sha256"} & {*outputs}
+            for batch in batches:
+                made: dict[str, list] = {o: [] for o in outputs}
+                for text in batch.column(1).to_pylist():
+                    ids = bpe.encode(text)
+                    decoded = bpe.decode(ids) if decodes else None
+                    for o, values in made.items():
+                        values.append(
+                            ids if o == "ids" else len(ids) if o == "n_tokens" else decoded if o == "decoded"
+                            else hashlib.sha256((bpe.id_text(ids) if o == "ids_sha256" else decoded).encode()).hexdigest()
+                        )
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[o], kind) for o, (kind, _) in zip(outputs, kinds, strict=True))], names=[id_col, *outputs])
 
     schema = ", ".join([f"`{id_col}` {id_type}", *(f"{o} {sql}" for o, (_, sql) in zip(outputs, kinds, strict=True))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)

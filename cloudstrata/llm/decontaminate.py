@@ -21,7 +21,6 @@ as one document; null doc_ids count as one document, too.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloudstrata.llm.bpe import TwoGenerations
+from cloudstrata.llm.bpe import calm_gc, TwoGenerations
 from cloudstrata.session import cut
 
 WINDOW, COVERAGE, CONSISTENT = 8, 0.6, 0.8
@@ -138,32 +137,32 @@ def _window_rows(short: bool, bitmap: np.ndarray | None = None):
     """Rows of the windows. short: texts of fewer tokens than a window are one window (items); otherwise also all runs as short as `bitmap`'s shortest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        canonical = Canonical()
-        for batch in batches:
-            ids, windows, places, slots, tokens = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, at, found = canonical.windows(text)
-                if bitmap is not None and len(h):
-                    low = h & np.uint64((1 << BITMAP_BITS) - 1)
-                    hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    h, at = h[hit], at[hit]
-                for w, a in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
-                    ids.append(i)
-                    windows.append(w)
-                    places.append(a)
-                    slots.append(canonical.slots(a, found))
-                    tokens.append(found[3])
-                if short and len(h) and at[0] == 0 and found[0][0] == WORD:
-                    # the first word of an item may be a name to what stands before it elsewhere
-                    first = text.split()[0]
-                    if first[:1].isupper():
-                        h2, at2, found2 = canonical.windows("a " + text)
-                        if len(at2) > 1 and at2[1] == 1 and found2[0][1] == NAME:
-                            ids.append(i), windows.append(int(h2[1:2].view(np.int64)[0])), places.append(0), slots.append(canonical.slots(1, found2)), tokens.append(found[3])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32())], names=["id", "window", "at", "slots", "tokens"]
-            )
+        with calm_gc():
+            canonical = Canonical()
+            for batch in batches:
+                ids, windows, places, slots, tokens = [], [], [], [], []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    h, at, found = canonical.windows(text)
+                    if bitmap is not None and len(h):
+                        low = h & np.uint64((1 << BITMAP_BITS) - 1)
+                        hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        h, at = h[hit], at[hit]
+                    for w, a in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
+                        ids.append(i)
+                        windows.append(w)
+                        places.append(a)
+                        slots.append(canonical.slots(a, found))
+                        tokens.append(found[3])
+                    if short and len(h) and at[0] == 0 and found[0][0] == WORD:
+                        # the first word of an item may be a name to what stands before it elsewhere
+                        first = text.split()[0]
+                        if first[:1].isupper():
+                            h2, at2, found2 = canonical.windows("a " + text)
+                            if len(at2) > 1 and at2[1] == 1 and found2[0][1] == NAME:
+                                ids.append(i), windows.append(int(h2[1:2].view(np.int64)[0])), places.append(0), slots.append(canonical.slots(1, found2)), tokens.append(found[3])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32())], names=["id", "window", "at", "slots", "tokens"]
+                )
 
     return run
 

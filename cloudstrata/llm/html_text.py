@@ -18,7 +18,6 @@ outside any element counts as a block, too. Rows are treated one by one.
 
 from __future__ import annotations
 
-import gc
 import html
 import random
 import re
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudstrata.llm.bpe import calm_gc
 from cloudstrata.llm.crf import LinearChainCrf
 
 PAGES, SEED = 900, 11
@@ -416,13 +416,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     model = model or field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        known: dict = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                text = [" ".join(b) for b in label_pages(part.column(2).to_pylist(), model, known)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        with calm_gc():
+            known: dict = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    text = [" ".join(b) for b in label_pages(part.column(2).to_pylist(), model, known)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)[id_col]}, url string, text string, n_chars long")

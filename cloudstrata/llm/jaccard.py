@@ -34,7 +34,6 @@ equal sets are one class, by a 64-bit hash of the set.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.graph import connected_components
+from cloudstrata.llm.bpe import calm_gc
 from cloudstrata.session import cut
 
 WORDS, SIMILAR = 5, 80
@@ -157,31 +157,31 @@ def _shred(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        gc.disable()
-        task = TaskContext.get()
-        salt = (task.partitionId() if task else 0) << 20
-        sets: list[np.ndarray] = []
-        keys: dict[int, None] = {}
-        held = 0
-        for batch in batches:
-            docs: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(text, words)
-                key = set_key(found)
-                docs.append((key & ((1 << bits) - 1), "doc", None, doc_id, key, len(found)))
-                if len(found) and key not in keys:
-                    keys[key] = None
-                    sets.append(found)
-                    held += len(found)
-                    if held >= BLOCK:
-                        salt += 1
-                        yield _batch(_shred_block(sets, [*keys], bits, salt))
-                        sets, held = [], 0
-                        keys.clear()
-            if docs:
-                yield _batch(docs)
-        if sets:
-            yield _batch(_shred_block(sets, [*keys], bits, salt + 1))
+        with calm_gc():
+            task = TaskContext.get()
+            salt = (task.partitionId() if task else 0) << 20
+            sets: list[np.ndarray] = []
+            keys: dict[int, None] = {}
+            held = 0
+            for batch in batches:
+                docs: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = shingle_set(text, words)
+                    key = set_key(found)
+                    docs.append((key & ((1 << bits) - 1), "doc", None, doc_id, key, len(found)))
+                    if len(found) and key not in keys:
+                        keys[key] = None
+                        sets.append(found)
+                        held += len(found)
+                        if held >= BLOCK:
+                            salt += 1
+                            yield _batch(_shred_block(sets, [*keys], bits, salt))
+                            sets, held = [], 0
+                            keys.clear()
+                if docs:
+                    yield _batch(docs)
+            if sets:
+                yield _batch(_shred_block(sets, [*keys], bits, salt + 1))
 
     return run
 

@@ -15,7 +15,6 @@ with one class only, every score is the mean label (1 without rows).
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudstrata.llm.bpe import TwoGenerations
+from cloudstrata.llm.bpe import calm_gc, TwoGenerations
 from cloudstrata.llm.crf import LinearChainCrf
 from cloudstrata.llm.labelled import held_out, training_rows
 from cloudstrata.llm.trees import Isotonic
@@ -179,13 +178,13 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     """doc_id, held_out, score and predicted (1 if score >= 0.3) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        table = Lines()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                score = model.score(table, part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= KEEP).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        with calm_gc():
+            table = Lines()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    score = model.score(table, part.column(2).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= KEEP).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int")
@@ -208,11 +207,11 @@ def drop_poor(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        table = Lines()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
-                yield part.filter(pa.array(model.score(table, part.column(at).to_pylist()) >= KEEP))
+        with calm_gc():
+            table = Lines()
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 200):
+                    part = batch.slice(begin, 200)
+                    yield part.filter(pa.array(model.score(table, part.column(at).to_pylist()) >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,6 @@ rows with one doc_id are two documents.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloudstrata.llm.bpe import byte_alphabet
+from cloudstrata.llm.bpe import byte_alphabet, calm_gc
 from cloudstrata.session import drop_folder
 
 END_ID = 0
@@ -276,32 +275,32 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         encoder = library_encoder(path)
-        gc.disable()
-        task = TaskContext.get()
-        serial = (task.partitionId() if task else 0) << 40
-        end_id = np.array([END_ID], encoder.kind).tobytes()
-        width = len(end_id)
-        seen: set[bytes] = set()
-        for batch in batches:
-            for part in blocks(batch, 1):
-                ids, ends = encoder.encode(part.column(1))
-                rows: list[tuple] = []
-                for doc_id, b, e in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
-                    data = ids[b:e].tobytes() + end_id
-                    names, lengths, begin = [], [], 0
-                    for end in cuts(np.frombuffer(data, encoder.kind)):
-                        chunk = data[width * begin : width * end]
-                        names.append(name := digest(chunk))
-                        lengths.append(end - begin)
-                        if name not in seen:
-                            seen.add(name)
-                            rows.append(("chunk", name, name, None, end - begin, chunk, None, None))
-                        begin = end
-                    serial += 1
-                    rows.append(("recipe", serial.to_bytes(9, "big"), merkle(names), doc_id, len(data) // width, None, names, lengths))
-                if len(seen) > SEEN:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), _STAGED_ARROW.types, strict=True)], schema=_STAGED_ARROW)
+        with calm_gc():
+            task = TaskContext.get()
+            serial = (task.partitionId() if task else 0) << 40
+            end_id = np.array([END_ID], encoder.kind).tobytes()
+            width = len(end_id)
+            seen: set[bytes] = set()
+            for batch in batches:
+                for part in blocks(batch, 1):
+                    ids, ends = encoder.encode(part.column(1))
+                    rows: list[tuple] = []
+                    for doc_id, b, e in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                        data = ids[b:e].tobytes() + end_id
+                        names, lengths, begin = [], [], 0
+                        for end in cuts(np.frombuffer(data, encoder.kind)):
+                            chunk = data[width * begin : width * end]
+                            names.append(name := digest(chunk))
+                            lengths.append(end - begin)
+                            if name not in seen:
+                                seen.add(name)
+                                rows.append(("chunk", name, name, None, end - begin, chunk, None, None))
+                            begin = end
+                        serial += 1
+                        rows.append(("recipe", serial.to_bytes(9, "big"), merkle(names), doc_id, len(data) // width, None, names, lengths))
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), _STAGED_ARROW.types, strict=True)], schema=_STAGED_ARROW)
 
     staged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, _STAGED)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

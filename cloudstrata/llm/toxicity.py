@@ -14,7 +14,6 @@ or one class only, every score is the mean label (0 without rows).
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudstrata.llm.bpe import TwoGenerations
+from cloudstrata.llm.bpe import calm_gc, TwoGenerations
 from cloudstrata.llm.labelled import held_out, training_rows
 from cloudstrata.llm.trees import BoostedTrees, Isotonic
 
@@ -227,13 +226,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """doc_id, held_out, score and predicted (1 if score >= 0.7) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        table = Words(model.words, model.begun)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                score = model.score(table, part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= REJECT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        with calm_gc():
+            table = Words(model.words, model.begun)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    score = model.score(table, part.column(2).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= REJECT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, 3, 1).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int")
@@ -244,11 +243,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        table = Words(model.words, model.begun)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                yield part.filter(pa.array(model.score(table, part.column(at).to_pylist()) < REJECT))
+        with calm_gc():
+            table = Words(model.words, model.begun)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 500):
+                    part = batch.slice(begin, 500)
+                    yield part.filter(pa.array(model.score(table, part.column(at).to_pylist()) < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
