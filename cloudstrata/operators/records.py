@@ -132,7 +132,7 @@ def interleaved(rows: DataFrame, group: str, hint: str, order: list) -> DataFram
     return df.withColumn("turn", F.row_number().over(w.orderBy("__of_hint", "__first"))).drop("__k", "__of_hint", "__first")
 
 
-def shape_hint(x: str, y: str, z: str):
+def shape_hint(x, y, z):
     """elongated, thin or compact, by the sorted spans of a box."""
     s = F.sort_array(F.array(x, y, z))
     return F.when(s[2] >= 2.5 * F.greatest(s[1], F.lit(1e-12)), "elongated").when(s[1] >= 2.5 * F.greatest(s[0], F.lit(1e-12)), "thin").otherwise("compact")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.hashing import membership_id as member_ids
-from cloudstrata.operators import records
+from cloudstrata.operators import batches, ground, records
 from cloudstrata.plans.point_queries import points, rounded
 from cloudstrata.plans.registry import query, table
 from cloudstrata.sources import documents as docs
@@ -158,3 +158,43 @@ def alias_lookup(spark, sf_dir):
     groups = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.collect_set("p_partkey").alias("legacy_ids"))
     each = groups.select("id", F.explode("legacy_ids").alias("legacy"))
     return each.join(each.groupBy("legacy").agg(F.count("*").alias("matches")), "legacy").filter("matches = 1").select("id", "legacy", "matches")
+
+
+_MEMBERS = """m AS (SELECT l_suppkey % 12 AS c, l_shipmode_ AS source, l_orderkey AS r, l_quantity AS q FROM (SELECT *, CASE WHEN l_linenumber <= 3 THEN 'left' ELSE 'right' END AS l_shipmode_ FROM lineitem WHERE l_suppkey <= 36 AND l_orderkey % 5 = 0))"""
+
+
+@query(f"""WITH {_MEMBERS}, d AS (SELECT DISTINCT source || c AS g, source, r FROM m), n AS (SELECT g, count(*) AS n FROM d GROUP BY g), sh AS (SELECT a.g AS a, b.g AS b, count(*) AS shared, any_value(na.n) AS na, any_value(nb.n) AS nb
+FROM d a JOIN d b ON a.r = b.r AND a.source = b.source AND a.g < b.g JOIN n na ON na.g = a.g JOIN n nb ON nb.g = b.g GROUP BY a.g, b.g),
+bx AS (SELECT source || c AS g, source, min(r) AS lo, max(r) AS hi, min(q) AS ql, max(q) AS qh FROM m GROUP BY ALL), ov AS (SELECT p.g AS a, q.g AS b FROM bx p JOIN bx q ON p.source = q.source AND p.g < q.g AND greatest(p.lo, q.lo) <= least(p.hi, q.hi) AND greatest(p.ql, q.ql) <= least(p.qh, q.qh))
+SELECT coalesce(sh.a, ov.a) AS a, coalesce(sh.b, ov.b) AS b, coalesce(shared, 0) AS shared, round(coalesce(shared / least(na, nb), 0), 6) AS smaller_share, ov.a IS NOT NULL AS boxes_overlap FROM sh FULL JOIN ov ON sh.a = ov.a AND sh.b = ov.b""")
+def pair_evidence(spark, sf_dir):
+    side = F.when(F.col("l_linenumber") <= 3, "left").otherwise("right")
+    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 36 and l_orderkey % 5 = 0").select(side.alias("source"), (F.col("l_suppkey") % 12).alias("c"), F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("q"))
+    rows = rows.withColumn("candidate_id", F.concat("source", F.col("c").cast("string")))
+    box = rows.groupBy("source", "candidate_id").agg(F.min("row_id").alias("min_x"), F.max("row_id").alias("max_x"), F.min("q").alias("min_y"), F.max("q").alias("max_y"), F.lit(0).alias("min_z"), F.lit(0).alias("max_z"))
+    return rounded(batches.pair_evidence(rows, box))
+
+
+@query(f"""WITH {PTS}, c AS (SELECT * FROM pts WHERE user_id = 7 AND classification = 'click'), b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM c)
+SELECT row_id, x, y, z, row_id IN (SELECT row_id FROM c) AS member FROM pts, b WHERE x BETWEEN lx - 8 AND hx + 8 AND y BETWEEN ly - 8 AND hy + 8""")
+def candidate_context(spark, sf_dir):
+    p = points(spark, sf_dir).select("row_id", "x", "y", "z", "user_id", "classification")
+    return batches.candidate_context(p, p.filter("user_id = 7 and classification = 'click'"), 8.0).select("row_id", "x", "y", "z", "member")
+
+
+@query(f"""WITH {PTS}, g AS (SELECT side, z - min(z) OVER (PARTITION BY side, floor(x / 24.0::DOUBLE), floor(y / 24.0::DOUBLE)) <= 25 AS a, z <= 20 AS b FROM pts)
+SELECT 'baseline' AS method, side, count(*) AS input_points, count(*) FILTER (a) AS ground_points, count(*) FILTER (NOT a) AS other_points, round(count(*) FILTER (a) / count(*), 6) AS ground_fraction FROM g GROUP BY side
+UNION ALL SELECT 'level', side, count(*), count(*) FILTER (b), count(*) FILTER (NOT b), round(count(*) FILTER (b) / count(*), 6) FROM g GROUP BY side""")
+def ground_comparison(spark, sf_dir):
+    p = ground.ground_by_cell(points(spark, sf_dir), 24.0, 25.0, ["side"]).withColumnRenamed("ground", "baseline").withColumn("level", F.col("z") <= 20)
+    rows = batches.comparison_rows(p, {"baseline": {"cell": 24}, "level": {"z": 20}}, ["side"])
+    return rounded(rows.select("method", "side", "input_points", "ground_points", "other_points", "ground_fraction"))
+
+
+@query()
+def review_batch(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("crop", F.concat(F.lit("crop"), (F.col("user_id") % 5).cast("string"))).withColumnsRenamed({"side": "source"}).withColumn("label", (F.col("user_id") % 20).cast("int"))
+    c = p.groupBy("crop", "label", "source").agg(F.count("*").alias("point_count"), *[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+    c = c.withColumn("is_parent", (F.col("label") < 5) & (F.col("source") == "left")).withColumn("clearance", F.col("min_x") + 1)
+    chosen, _, _ = batches.prepare_batch(c, p.select("crop", "label", "source", "row_id"), 12, 3)
+    return spark.createDataFrame([(k, r["id"], r["crop"], r["label"], r["points"]) for k, r in enumerate(chosen)], "place int, candidate_id string, crop string, label int, points long")
