@@ -48,7 +48,7 @@ from cloudstrata.session import cut
 
 WORDS, SIMILAR = 5, 80
 #: Shingles of a block; bytes of text for a hash range; texts of a block from which a shingle counts as frequent there.
-BLOCK, RANGE_BYTES, FREQUENT = 2_000_000, 16 << 20, 256
+BLOCK, RANGE_BYTES, FREQUENT = 1_000_000, 16 << 20, 256
 #: Texts of a block of a cluster, and of its candidate pairs how many are verified one by one rather than by a matrix product.
 BLOCK_TEXTS, FEW = 256, 400
 

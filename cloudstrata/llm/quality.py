@@ -50,7 +50,7 @@ class Lines:
     def __init__(self) -> None:
         self.rows: dict[tuple, int] = {}
         self.table = np.zeros((0, 11))
-        self.number = TwoGenerations(self.look, 200_000)
+        self.number = TwoGenerations(self.look, 120_000)
 
     def look(self, word: str) -> int:
         letters = sum(map(str.isalpha, word))

@@ -69,7 +69,7 @@ class Words:
         self.words, self.begun = words, begun
         self.rows: dict[tuple, int] = {}
         self.table = np.zeros((0, 16))
-        self.number = TwoGenerations(self.look, 200_000)
+        self.number = TwoGenerations(self.look, 120_000)
 
     def look(self, word: str) -> int:
         low = _plain(word)
