@@ -44,21 +44,21 @@ SEEN = 200_000
 _GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end. The hash of a place is a sum over the WINDOW ids before it, shifted by age, so it doesn't depend on what came earlier."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    gear = _GEAR[ids.astype(np.int64) & 0xFFFF]
-    rolling = gear.copy()
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """The places after which a chunk may end. The hash of a place is a sum over the WINDOW ids before it, shifted by age, so it doesn't depend on what came earlier."""
+    rolling = _GEAR[ids]
     span = 1
     while span < WINDOW:  # doubling: the sum over 2k ids from the sums over k
-        later = rolling.copy()
-        later[span:] += rolling[:-span] << np.uint64(span)
-        rolling, span = later, 2 * span
-    found = (np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist()
+        earlier = rolling[:-span] << np.uint64(span)
+        rolling[span:] += earlier
+        span *= 2
+    return np.flatnonzero(rolling >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def ends_of(marks: list[int], n: int) -> list[int]:
+    """Where the chunks of n ids end: at marks that are LEAST or more behind the last end, and at MOST ids."""
     ends, last = [], 0
-    for c in [*found, n]:
+    for c in [*marks, n]:
         while c - last > MOST:
             last += MOST
             ends.append(last)
@@ -70,6 +70,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Where chunks of one stream end."""
+    return ends_of(marks_of(ids & 0xFFFF).tolist(), len(ids))
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST_BYTES).digest()
 
@@ -111,7 +116,7 @@ def crc32_join(left: int, right: int, right_bytes: int) -> int:
 
 
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -284,11 +289,15 @@ def write_store(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
             for batch in batches:
                 for part in blocks(batch, 1):
                     ids, ends = encoder.encode(part.column(1))
+                    # no chunk ends within LEAST ids of a document's begin, so no mark that counts has seen ids of another
+                    marks = marks_of(ids & 0xFFFF)
+                    of_doc = np.searchsorted(marks, ends, "right").tolist()
+                    marks = marks.tolist()
                     rows: list[tuple] = []
-                    for doc_id, b, e in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                    for doc_id, b, e, m, k in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), of_doc, of_doc[1:], strict=False):
                         data = ids[b:e].tobytes() + end_id
                         names, lengths, begin = [], [], 0
-                        for end in cuts(np.frombuffer(data, encoder.kind)):
+                        for end in ends_of([x - b for x in marks[m:k]], e - b + 1):
                             chunk = data[width * begin : width * end]
                             names.append(name := digest(chunk))
                             lengths.append(end - begin)
@@ -386,22 +395,28 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             names, counts, data = (batch.column(c).to_pylist() for c in range(3))
             good = [digest(d) == n for n, d in zip(names, data, strict=True)]
-            crc = [zlib.crc32(np.frombuffer(d, f"<u{len(d) // c}").astype("<u4").tobytes()) for c, d in zip(counts, data, strict=True)]
+            crc = [zlib.crc32(np.frombuffer(d, "<u2").astype("<u4")) if len(d) == 2 * c else zlib.crc32(d) for c, d in zip(counts, data, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(crc, pa.int64()), pa.array(good)], names=["digest", "n_ids", "crc", "good"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            ends = lists.offsets.to_pylist()
-            columns = [lists.values.field(k).to_pylist() for k in range(6)]
+            parts = batch.column(4)
+            ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            inner = parts.flatten()
+            numbers = [pc.fill_null(inner.field(k).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5)]
+            doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            order = np.lexsort((numbers[0], doc))
+            _, length, n_ids, crc, good = (v[order] for v in numbers)
+            names = inner.field(1).take(pa.array(order)).to_pylist()
+            sound = np.logical_and.reduceat((good == 1) & (length == n_ids), ends[:-1]) & (np.add.reduceat(length, ends[:-1]) == batch.column(2).to_numpy())
+            crc, size = crc.tolist(), (4 * n_ids).tolist()
             crcs, intact = [], []
-            for tokens, root, b, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), ends, ends[1:], strict=False):
-                chunks = sorted(zip(*(c[b:e] for c in columns), strict=True))
-                crc = 0
-                for _, _, _, n, c, _ in chunks:
-                    crc = crc32_join(crc, c or 0, 4 * (n or 0))
-                crcs.append(crc)
-                intact.append(all(good and n == length for _, _, length, n, _, good in chunks) and sum(c[2] for c in chunks) == tokens and merkle([c[1] for c in chunks]) == root)
+            for root, ok, b, e in zip(batch.column(3).to_pylist(), sound.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                total = crc[b]
+                for k in range(b + 1, e):
+                    total = crc32_join(total, crc[k], size[k])
+                crcs.append(total)
+                intact.append(ok and merkle(names[b:e]) == root)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64()), pa.array(intact)], names=["doc_id", "start", "n_tokens", "ids_crc32", "intact"])
 
     checked = read_chunks(spark, folder).select("digest", "n_ids", "payload").mapInArrow(check, "digest binary, n_ids int, crc long, good boolean")
