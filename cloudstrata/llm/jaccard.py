@@ -122,7 +122,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int) -> list[tuple]:
     """The rows of a block of sets: 5 bytes of each hash by range, or counts and texts of what is frequent in the block."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    spare = _U(max(0, 24 - bits))  # what 5 bytes beside the range don't hold goes everywhere, so a shingle has one name
+    hashes, owner = np.concatenate(sets) >> spare << spare, np.repeat(np.arange(len(sets)), sizes)
     names = np.array(keys, np.int64).view(np.uint64)
     rows: list[tuple] = []
     slots = (hashes & _U((1 << 21) - 1)).astype(np.int64)

@@ -62,6 +62,22 @@ def test_components(docs_of, monkeypatch, how):
     assert got == brute(texts, ids)
 
 
+def test_frequent_in_some_blocks_only(docs_of, monkeypatch):
+    """Near copies some of which lie in blocks where their shingles are frequent, and some where they aren't."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 400)
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(40)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        w[r.randrange(40)] = f"x{k}"
+        texts.append(" ".join(w) if k % 3 == 0 or k < 14 else " ".join(f"o{k}-{j}" for j in range(60)))
+    ids = [*range(len(texts))]
+    got = sorted((tuple(x) for x in jaccard.jaccard_components(docs_of(texts, ids)).collect()), key=repr)
+    assert got == brute(texts, ids)
+
+
 def test_no_documents(docs_of):
     assert jaccard.jaccard_components(docs_of([])).count() == 0
     assert jaccard.jaccard_components(docs_of([None, ""])).count() == 2
