@@ -15,7 +15,10 @@ only windows that may match reach the join.
 
 Windows that are mostly placeholders say nothing and are left out on both
 sides; an item made of such alone can't be found. An item shorter than a window
-is one window. Null and empty texts have no windows. Rows with one doc_id count
+is one window; it is found in longer texts, too, where its end is the end of a
+sentence, line or text (not before more words of the same sentence), by windows
+of its size there. With fewer than SAYS plain words beside placeholders it
+matches a whole text only. Null and empty texts have no windows. Rows with one doc_id count
 as one document; null doc_ids count as one document, too.
 """
 
@@ -37,9 +40,12 @@ from cloudstrata.session import cut
 WINDOW, COVERAGE, CONSISTENT = 8, 0.6, 0.8
 #: Of a window at most so many tokens are placeholders.
 SLOTS = WINDOW // 2
+#: A shorter window within a text has so many plain words at least, if it has placeholders.
+SAYS = 3
 BITMAP_BITS = 24
 
 LINE = "\ue000"
+CLOSING = "\"'”’»)]}*_"
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 NUMBER = re.compile(r"[+\-−]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
 WITH_UNIT = re.compile(r"([+\-−]?\d+(?:[.,]\d+)*)([a-zA-Z°µ%]{1,4})")
@@ -63,7 +69,7 @@ class Canonical:
         self.number = TwoGenerations(self.look, 100_000)
 
     def look(self, word: str) -> int:
-        """60 bits of a word's hash, three of its kind as it stands alone, and whether a sentence ends after it."""
+        """59 bits of a word's hash, whether a sentence ends after it and closing marks, three bits of its kind as it stands alone, and whether a sentence ends after it."""
         core = EDGES.sub("", word)
         low = core.lower()
         ends = word[-1] in ".!?:;…" or word == LINE
@@ -79,16 +85,17 @@ class Canonical:
             kind = NAME
         else:
             kind = WORD
-        return xxhash.xxh3_64_intdigest(low) >> 4 << 4 | kind << 1 | ends
+        stops = ends or word.rstrip(CLOSING)[-1:] in set(".!?:;…")
+        return xxhash.xxh3_64_intdigest(low) >> 5 << 5 | stops << 4 | kind << 1 | ends
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Codes, kinds and word numbers of the tokens, and the words."""
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Codes, kinds and word numbers of the tokens, whether a sentence or the text ends with them, and the words."""
         words = (text or "").replace("\n", f" {LINE} ").split()
         n = len(words)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), words
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, bool), words
         known = np.fromiter(map(self.number.__getitem__, words), np.uint64, n)
-        code, kind, ends = known >> np.uint64(4) << np.uint64(4), (known >> np.uint64(1) & np.uint64(7)).astype(np.int8), known & np.uint64(1) == 1
+        code, kind, ends = known >> np.uint64(5) << np.uint64(5), (known >> np.uint64(1) & np.uint64(7)).astype(np.int8), known & np.uint64(1) == 1
         starts = np.concatenate([[True], ends[:-1]])
         kind[(kind == NAME) & starts] = WORD
         kept = np.flatnonzero(kind != NONE)
@@ -98,29 +105,39 @@ class Canonical:
             kind[(kind == UNIT) & ~after_number] = WORD
             first = np.concatenate([[True], ~((kind[1:] == NAME) & (kind[:-1] == NAME))])  # a run of names is one name
             kind, code, kept = kind[first], code[first], kept[first]
-        return np.where(kind == WORD, code, SLOT_CODE[kind]), kind, kept, words
+        stopped = np.concatenate([[0], np.cumsum(known >> np.uint64(4) & np.uint64(1))])
+        stops = stopped[np.append(kept[1:], n)] > stopped[kept] if len(kept) else np.zeros(0, bool)
+        stops[-1:] = True
+        return np.where(kind == WORD, code, SLOT_CODE[kind]), kind, kept, stops, words
 
-    def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Hashes of the windows that say something, where they begin, and what slots needs."""
-        code, kind, kept, words = self.tokens(text)
+    @staticmethod
+    def windows(tokens: tuple, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the windows that say something, where they begin, and their sizes: windows of WINDOW tokens, or one of all if there are fewer, and those of `sizes` that end as sentences do."""
+        code, kind, _, stops, _ = tokens
         n = len(code)
-        size = min(WINDOW, n)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), (kind, kept, words, 0)
-        h = code[: n - size + 1].copy()
-        for k in range(1, size):
-            h ^= h >> np.uint64(31)
-            h *= _FOLD
-            h += code[k : n - size + 1 + k]
-        h = (h ^ (h >> np.uint64(29))) * _FOLD + np.uint64(size)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         filled = np.concatenate([[0], np.cumsum(kind != WORD)])
-        good = np.flatnonzero(filled[size:] - filled[: n - size + 1] <= (SLOTS if size == WINDOW else size // 2))
-        return h[good], good, (kind, kept, words, size)
+        whole, out = min(WINDOW, n), []
+        for size in (whole, *(k for k in sizes if k < whole)):
+            slots = filled[size:] - filled[: n - size + 1]
+            good = slots <= (SLOTS if size == WINDOW else size // 2)
+            if size < whole:
+                good &= stops[size - 1 :] & ((slots == 0) | (size - slots >= SAYS))
+            h = code[: n - size + 1].copy() if size == whole else code[: n - size + 1][good]
+            at = np.flatnonzero(good)
+            for k in range(1, size):
+                h ^= h >> np.uint64(31)
+                h *= _FOLD
+                h += code[k : n - size + 1 + k] if size == whole else code[at + k]
+            h = (h ^ (h >> np.uint64(29))) * _FOLD + np.uint64(size)
+            out.append((h[at] if size == whole else h, at, np.full(len(at), size)))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     @staticmethod
-    def slots(at: int, found: tuple) -> list[str]:
+    def slots(at: int, size: int, tokens: tuple) -> list[str]:
         """The slots of the window at a place: the kind and what fills it."""
-        kind, kept, words, size = found
+        _, kind, kept, _, words = tokens
         out = []
         for k in range(at, at + size):
             if kind[k] != WORD:
@@ -133,33 +150,38 @@ class Canonical:
 _WINDOWS = "id long, window long, at int, slots array<string>, tokens int"
 
 
-def _window_rows(short: bool, bitmap: np.ndarray | None = None):
-    """Rows of the windows. short: texts of fewer tokens than a window are one window (items); otherwise also all runs as short as `bitmap`'s shortest."""
+def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int, ...] = ()):
+    """Rows of the windows. items: texts are items, whose first word may be a name elsewhere; otherwise those that `bitmap` may hold, also of `sizes` (of items shorter than a window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with calm_gc():
             canonical = Canonical()
             for batch in batches:
                 ids, windows, places, slots, tokens = [], [], [], [], []
+
+                def add(i, found, h, at, size):
+                    for w, a, s in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), strict=True):
+                        ids.append(i)
+                        windows.append(w)
+                        places.append(a)
+                        slots.append(canonical.slots(a, s, found))
+                        tokens.append(s)
+
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    h, at, found = canonical.windows(text)
+                    found = canonical.tokens(text)
+                    h, at, size = canonical.windows(found, sizes)
                     if bitmap is not None and len(h):
                         low = h & np.uint64((1 << BITMAP_BITS) - 1)
                         hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        h, at = h[hit], at[hit]
-                    for w, a in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
-                        ids.append(i)
-                        windows.append(w)
-                        places.append(a)
-                        slots.append(canonical.slots(a, found))
-                        tokens.append(found[3])
-                    if short and len(h) and at[0] == 0 and found[0][0] == WORD:
+                        h, at, size = h[hit], at[hit], size[hit]
+                    add(i, found, h, at, size)
+                    if items and len(found[0]) and found[1][0] == WORD and text.split()[0][:1].isupper():
                         # the first word of an item may be a name to what stands before it elsewhere
-                        first = text.split()[0]
-                        if first[:1].isupper():
-                            h2, at2, found2 = canonical.windows("a " + text)
-                            if len(at2) > 1 and at2[1] == 1 and found2[0][1] == NAME:
-                                ids.append(i), windows.append(int(h2[1:2].view(np.int64)[0])), places.append(0), slots.append(canonical.slots(1, found2)), tokens.append(found[3])
+                        *parts, words = canonical.tokens("a " + text)
+                        if len(parts[0]) > 1 and parts[1][1] == NAME:
+                            found = (*(p[1:] for p in parts), words)
+                            h, at, size = canonical.windows(found)
+                            add(i, found, h[at == 0], at[at == 0], size[at == 0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32())], names=["id", "window", "at", "slots", "tokens"]
                 )
@@ -187,10 +209,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """doc_id, item_id, matched and all windows of the item, coverage, slots and consistency, of each contaminated document and item."""
     spark = docs.sparkSession
     items = cut(benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).mapInArrow(_window_rows(True), _WINDOWS), "items")
+    short = tuple(sorted(r["tokens"] for r in items.filter(F.col("tokens") < WINDOW).select("tokens").distinct().collect()))  # seven at most
     bits = spark.sparkContext.broadcast(_bitmap(items))  # 2 MB, whatever the benchmark's size
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _window_rows(False, bits.value)(batches)
+        yield from _window_rows(False, bits.value, short)(batches)
 
     hits = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(probe, _WINDOWS)
     hits = hits.select(F.col("id").alias("doc_id"), "window", F.col("slots").alias("doc_slots"), F.col("at").alias("doc_at"))

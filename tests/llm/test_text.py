@@ -94,3 +94,16 @@ def test_tokenizer_is_tolerant():
     cases = {"a < b": ["a < b"], "a<b": ["a"], "<p>a<p>b": ["a", "b"], "<div>x<script>y</div>": ["x"], "<a title='>'>z</a>": ["z"], "<p hidden>q</p>r": ["r"], "x &lt; y &#233;": ["x < y é"], "<td>1<td>2": ["1", "2"]}
     for page, want in cases.items():
         assert [b[0] for b in html_text.blocks_of(page)] == want, page
+
+
+def pairs_of(spark, docs, items):
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(docs, frame).collect()}
+
+
+def test_short_items_in_longer_texts(spark, docs_of):
+    items = ["What is the capital of France?", "Alice Mary Jones met Robert James Brown near old town.", "Name the largest ocean"]
+    around = filler(1) + " {} " + filler(2)
+    texts = [around.format(t) for t in (items[0], 'then asked "What is the capital of France?"', "What is the capital of France when it rains?", items[1], "Alice", "What is 7?")]
+    texts += ["What is the capital of Spain?", around.format("Name the largest ocean\n"), "name the largest ocean", "What is the capital of France?"]
+    assert pairs_of(spark, docs_of(texts), items) == {(0, 0), (1, 0), (3, 1), (6, 0), (7, 2), (8, 2), (9, 0)}
