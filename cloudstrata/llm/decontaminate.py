@@ -13,12 +13,14 @@ COVERAGE of the item's windows and its slots are consistent. Documents meet a
 bitmap of the item windows first (of fixed size, without false negatives), so
 only windows that may match reach the join.
 
-Windows that are mostly placeholders say nothing and are left out on both
-sides; an item made of such alone can't be found. An item shorter than a window
+Windows that are mostly placeholders say nothing as templates; with what fills
+the placeholders in the hash they match verbatim copies. An item of such alone
+is found when copied verbatim, not with other parameters. The item's windows
+that have to be covered are its templates, or all of them. An item shorter than a window
 is one window; it is found in longer texts, too, where its end is the end of a
 sentence, line or text (not before more words of the same sentence), by windows
-of its size there. With fewer than SAYS plain words beside placeholders it
-matches a whole text only. Null and empty texts have no windows. Rows with one doc_id count
+of its size there. With fewer than SAYS plain words beside placeholders it is
+found there by verbatim copies only. Null and empty texts have no windows. Rows with one doc_id count
 as one document; null doc_ids count as one document, too.
 """
 
@@ -60,6 +62,10 @@ WORD, NUM, NAME, UNIT, NONE = range(5)
 #: The codes of placeholders among the hashes of words.
 SLOT_CODE = np.array([0, 0x1F0F_7A5C_91D3_6E21, 0x2B7E_1516_28AE_D2A6, 0x3C6E_F372_FE94_F82B, 0], np.uint64)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Factors of the words of a name, the first being 1; the words beyond share the last.
+_ODD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
+#: Tells hashes of what is written from hashes of templates.
+_EXACT = np.uint64(0x5851_F42D_4C95_7F2D)
 
 
 class Canonical:
@@ -88,12 +94,12 @@ class Canonical:
         stops = ends or word.rstrip(CLOSING)[-1:] in set(".!?:;…")
         return xxhash.xxh3_64_intdigest(low) >> 5 << 5 | stops << 4 | kind << 1 | ends
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Codes, kinds and word numbers of the tokens, whether a sentence or the text ends with them, and the words."""
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Codes, codes of what is written, kinds and word numbers of the tokens, whether a sentence or the text ends with them, and the words."""
         words = (text or "").replace("\n", f" {LINE} ").split()
         n = len(words)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, bool), words
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, bool), words
         known = np.fromiter(map(self.number.__getitem__, words), np.uint64, n)
         code, kind, ends = known >> np.uint64(5) << np.uint64(5), (known >> np.uint64(1) & np.uint64(7)).astype(np.int8), known & np.uint64(1) == 1
         starts = np.concatenate([[True], ends[:-1]])
@@ -104,40 +110,49 @@ class Canonical:
             after_number = np.concatenate([[False], kind[:-1] == NUM])
             kind[(kind == UNIT) & ~after_number] = WORD
             first = np.concatenate([[True], ~((kind[1:] == NAME) & (kind[:-1] == NAME))])  # a run of names is one name
-            kind, code, kept = kind[first], code[first], kept[first]
+            at = np.flatnonzero(first)
+            code = np.add.reduceat(code * _ODD[np.minimum(np.arange(len(code)) - np.repeat(at, np.diff(at, append=len(code))), len(_ODD) - 1)], at)
+            kind, kept = kind[first], kept[first]
         stopped = np.concatenate([[0], np.cumsum(known >> np.uint64(4) & np.uint64(1))])
         stops = stopped[np.append(kept[1:], n)] > stopped[kept] if len(kept) else np.zeros(0, bool)
         stops[-1:] = True
-        return np.where(kind == WORD, code, SLOT_CODE[kind]), kind, kept, stops, words
+        return np.where(kind == WORD, code, SLOT_CODE[kind]), code, kind, kept, stops, words
 
     @staticmethod
-    def windows(tokens: tuple, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the windows that say something, where they begin, and their sizes: windows of WINDOW tokens, or one of all if there are fewer, and those of `sizes` that end as sentences do."""
-        code, kind, _, stops, _ = tokens
+    def windows(tokens: tuple, sizes: tuple[int, ...] = (), both: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the windows, where they begin, their sizes, and whether what is written is hashed, as it is where a template would say nothing.
+
+        Windows have WINDOW tokens, or all if there are fewer; those of `sizes` end as sentences do. both: for an item
+        shorter than a window that is a template to whole texts only, also what is written.
+        """
+        code, written, kind, _, stops, _ = tokens
         n = len(code)
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         filled = np.concatenate([[0], np.cumsum(kind != WORD)])
-        whole, out = min(WINDOW, n), []
-        for size in (whole, *(k for k in sizes if k < whole)):
+        whole = min(WINDOW, n)
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for size in (whole, *(k for k in sizes if k < whole)) if n else ():
             slots = filled[size:] - filled[: n - size + 1]
-            good = slots <= (SLOTS if size == WINDOW else size // 2)
+            good, says = slots <= (SLOTS if size == WINDOW else size // 2), (slots == 0) | (size - slots >= SAYS)
+            ends = stops[size - 1 :] if size < whole else np.ones(n - size + 1, bool)
+            exact = ~good | ~says if size < whole or both and size < WINDOW else ~good
             if size < whole:
-                good &= stops[size - 1 :] & ((slots == 0) | (size - slots >= SAYS))
-            h = code[: n - size + 1].copy() if size == whole else code[: n - size + 1][good]
-            at = np.flatnonzero(good)
-            for k in range(1, size):
-                h ^= h >> np.uint64(31)
-                h *= _FOLD
-                h += code[k : n - size + 1 + k] if size == whole else code[at + k]
-            h = (h ^ (h >> np.uint64(29))) * _FOLD + np.uint64(size)
-            out.append((h[at] if size == whole else h, at, np.full(len(at), size)))
+                good &= says
+            for chosen, of, salt in ((good & ends, code, np.uint64(0)), (exact & ends, written, _EXACT)):
+                at = np.flatnonzero(chosen)
+                if len(at):
+                    h = of[at]
+                    for k in range(1, size):
+                        h ^= h >> np.uint64(31)
+                        h *= _FOLD
+                        h += of[at + k]
+                    h = ((h ^ (h >> np.uint64(29))) * _FOLD + np.uint64(size)) ^ salt
+                    out.append((h, at, np.full(len(at), size), np.full(len(at), salt != 0)))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
     @staticmethod
     def slots(at: int, size: int, tokens: tuple) -> list[str]:
         """The slots of the window at a place: the kind and what fills it."""
-        _, kind, kept, _, words = tokens
+        _, _, kind, kept, _, words = tokens
         out = []
         for k in range(at, at + size):
             if kind[k] != WORD:
@@ -147,7 +162,7 @@ class Canonical:
         return out
 
 
-_WINDOWS = "id long, window long, at int, slots array<string>, tokens int"
+_WINDOWS = "id long, window long, at int, slots array<string>, tokens int, exact boolean"
 
 
 def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int, ...] = ()):
@@ -157,9 +172,10 @@ def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int
         with calm_gc():
             canonical = Canonical()
             for batch in batches:
-                ids, windows, places, slots, tokens = [], [], [], [], []
+                ids, windows, places, slots, tokens, exact = [], [], [], [], [], []
 
-                def add(i, found, h, at, size):
+                def add(i, found, h, at, size, written):
+                    exact.extend(written.tolist())
                     for w, a, s in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), strict=True):
                         ids.append(i)
                         windows.append(w)
@@ -169,21 +185,21 @@ def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int
 
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     found = canonical.tokens(text)
-                    h, at, size = canonical.windows(found, sizes)
-                    if bitmap is not None and len(h):
-                        low = h & np.uint64((1 << BITMAP_BITS) - 1)
+                    rows = canonical.windows(found, sizes, items)
+                    if bitmap is not None and len(rows[0]):
+                        low = rows[0] & np.uint64((1 << BITMAP_BITS) - 1)
                         hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        h, at, size = h[hit], at[hit], size[hit]
-                    add(i, found, h, at, size)
-                    if items and len(found[0]) and found[1][0] == WORD and text.split()[0][:1].isupper():
+                        rows = [r[hit] for r in rows]
+                    add(i, found, *rows)
+                    if items and len(found[0]) and found[2][0] == WORD and text.split()[0][:1].isupper():
                         # the first word of an item may be a name to what stands before it elsewhere
                         *parts, words = canonical.tokens("a " + text)
-                        if len(parts[0]) > 1 and parts[1][1] == NAME:
+                        if len(parts[0]) > 1 and parts[2][1] == NAME:
                             found = (*(p[1:] for p in parts), words)
-                            h, at, size = canonical.windows(found)
-                            add(i, found, h[at == 0], at[at == 0], size[at == 0])
+                            rows = canonical.windows(found, (), True)
+                            add(i, found, *(r[rows[1] == 0] for r in rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32())], names=["id", "window", "at", "slots", "tokens"]
+                    [pa.array(ids, pa.int64()), pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32()), pa.array(exact, pa.bool_())], names=["id", "window", "at", "slots", "tokens", "exact"]
                 )
 
     return run
@@ -217,10 +233,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     hits = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(probe, _WINDOWS)
     hits = hits.select(F.col("id").alias("doc_id"), "window", F.col("slots").alias("doc_slots"), F.col("at").alias("doc_at"))
-    item = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
-    pairs = cut(hits.join(item, "window").select("doc_id", "item_id", "item_at", "doc_at", "doc_slots", "item_slots"), "window-pairs")
-    size = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("windows"))
-    found = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("matched"), F.min("doc_at").alias("first_token")).join(size, "item_id").filter(F.col("matched") >= COVERAGE * F.col("windows"))
+    item = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"), "exact")
+    pairs = cut(hits.join(item, "window").select("doc_id", "item_id", "item_at", "doc_at", "doc_slots", "item_slots", "exact"), "window-pairs")
+    template = F.when(~F.col("exact"), F.col("at"))
+    size = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("windows"), F.countDistinct(template).alias("templates"))
+    found = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("as_templates"), F.min("doc_at").alias("first_token"))
+    # an item with other parameters matches by templates only, a copy by all windows
+    whole = F.col("matched") * F.greatest("templates", F.lit(1)) >= F.col("as_templates") * F.col("windows")
+    found = found.join(size, "item_id").withColumns({"matched": F.when(whole, F.col("matched")).otherwise(F.col("as_templates")), "windows": F.when(whole, F.col("windows")).otherwise(F.col("templates"))})
+    found = found.filter(F.col("matched") >= COVERAGE * F.col("windows"))
     filled = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select("doc_id", "item_id", F.col("s.item_slots").alias("a"), F.col("s.doc_slots").alias("b"))
     each = filled.groupBy("doc_id", "item_id", "a", "b").count()
     # how often a slot is filled as it mostly is, by the item's value and by the document's

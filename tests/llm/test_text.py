@@ -107,3 +107,10 @@ def test_short_items_in_longer_texts(spark, docs_of):
     texts = [around.format(t) for t in (items[0], 'then asked "What is the capital of France?"', "What is the capital of France when it rains?", items[1], "Alice", "What is 7?")]
     texts += ["What is the capital of Spain?", around.format("Name the largest ocean\n"), "name the largest ocean", "What is the capital of France?"]
     assert pairs_of(spark, docs_of(texts), items) == {(0, 0), (1, 0), (3, 1), (6, 0), (7, 2), (8, 2), (9, 0)}
+
+
+def test_items_of_placeholders(spark, docs_of):
+    items = ["12 + 30 = 42, 17 + 5 = 22, 8 + 9 = 17, 40 + 2 = 42", "Anna, Ben, Carl, Dora, Emil, Fritz, Gustav, Hanna, Ida", "On 3 May 1999 Smith paid 20 dollars, on 4 June 2001 Jones paid 30 dollars, on 5 July 2003 Brown paid 40 euros"]
+    around = filler(1) + " {}. " + filler(2)
+    texts = [around.format(t) for t in (items[0], "we met " + items[1], items[2], "12 + 31 = 43, 18 + 5 = 23, 9 + 9 = 18, 41 + 2 = 43", "Anna, Ben, Carl and Dora", "we met Anna Smith", "Anna Smith")]
+    assert pairs_of(spark, docs_of(texts), items) == {(0, 0), (1, 1), (2, 2)}
