@@ -9,7 +9,9 @@ way wherever they recur, it is the item with other parameters; filled at random,
 it is text of the same shape.
 
 A document is contaminated by an item if the matched windows cover at least
-COVERAGE of the item's windows and its slots are consistent. Documents meet a
+COVERAGE of the item's windows and its slots are consistent, in one occurrence
+of the item (matches at one shift, or at shifts that differ by a few tokens) or
+in the whole document (an item in pieces). Documents meet a
 bitmap of the item windows first (of fixed size, without false negatives), so
 only windows that may match reach the join.
 
@@ -237,23 +239,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     pairs = cut(hits.join(item, "window").select("doc_id", "item_id", "item_at", "doc_at", "doc_slots", "item_slots", "exact"), "window-pairs")
     template = F.when(~F.col("exact"), F.col("at"))
     size = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("windows"), F.countDistinct(template).alias("templates"))
-    found = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("as_templates"), F.min("doc_at").alias("first_token"))
+    # shifts in one cell of a grid, or of the grid half a cell on, are one occurrence; cells are never wider than the item
+    shift, cell = F.col("doc_at") - F.col("item_at"), F.least(F.lit(WINDOW), F.col("windows"))
+    kinds = [(0, F.lit(0)), (1, shift), (2, F.floor(shift / cell)), (3, F.floor((shift + F.floor(cell / 2)) / cell))]
+    places = F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("long").alias("at")) for k, at in kinds])
+    each_place = pairs.join(size, "item_id").withColumn("place", F.explode(places))
+    key = ["doc_id", "item_id", "place"]
+    found = each_place.groupBy(*key).agg(
+        F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("as_templates"), F.min("doc_at").alias("first_token"), F.first("windows").alias("windows"), F.first("templates").alias("templates")
+    )
     # an item with other parameters matches by templates only, a copy by all windows
     whole = F.col("matched") * F.greatest("templates", F.lit(1)) >= F.col("as_templates") * F.col("windows")
-    found = found.join(size, "item_id").withColumns({"matched": F.when(whole, F.col("matched")).otherwise(F.col("as_templates")), "windows": F.when(whole, F.col("windows")).otherwise(F.col("templates"))})
+    found = found.withColumns({"matched": F.when(whole, F.col("matched")).otherwise(F.col("as_templates")), "windows": F.when(whole, F.col("windows")).otherwise(F.col("templates"))})
     found = found.filter(F.col("matched") >= COVERAGE * F.col("windows"))
-    filled = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select("doc_id", "item_id", F.col("s.item_slots").alias("a"), F.col("s.doc_slots").alias("b"))
-    each = filled.groupBy("doc_id", "item_id", "a", "b").count()
+    filled = each_place.select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*key, F.col("s.item_slots").alias("a"), F.col("s.doc_slots").alias("b"))
+    each = filled.groupBy(*key, "a", "b").count()
     # how often a slot is filled as it mostly is, by the item's value and by the document's
-    best = each.withColumn("of_a", F.max("count").over(W.partitionBy("doc_id", "item_id", "a"))).withColumn("of_b", F.max("count").over(W.partitionBy("doc_id", "item_id", "b")))
-    slots = best.groupBy("doc_id", "item_id").agg(F.sum("count").alias("slots"), F.sum(F.when((F.col("count") == F.col("of_a")) & (F.col("count") == F.col("of_b")), F.col("count")).otherwise(0)).alias("same"))
-    slots = slots.withColumnsRenamed({"doc_id": "d", "item_id": "i"})
-    out = found.join(slots, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
+    best = each.withColumn("of_a", F.max("count").over(W.partitionBy(*key, "a"))).withColumn("of_b", F.max("count").over(W.partitionBy(*key, "b")))
+    slots = best.groupBy(*key).agg(F.sum("count").alias("slots"), F.sum(F.when((F.col("count") == F.col("of_a")) & (F.col("count") == F.col("of_b")), F.col("count")).otherwise(0)).alias("same"))
+    slots = slots.withColumnsRenamed({"doc_id": "d", "item_id": "i", "place": "p"})
+    out = found.join(slots, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & F.col("place").eqNullSafe(F.col("p")), "left")
     out = out.select(
-        "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "first_token", F.coalesce("slots", F.lit(0)).alias("slots"),
+        "doc_id", "item_id", "place", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "first_token", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce(F.col("same") / F.col("slots"), F.lit(1.0)).alias("consistency"),
     )
-    return out.filter(F.col("consistency") >= CONSISTENT)
+    # of a document and an item, the place that is covered best
+    row = F.struct("matched", "windows", "coverage", "first_token", "slots", "consistency")
+    rank = F.struct("coverage", "consistency", -F.col("first_token"), -F.col("place.kind"))
+    return out.filter(F.col("consistency") >= CONSISTENT).groupBy("doc_id", "item_id").agg(F.max_by(row, rank).alias("r")).select("doc_id", "item_id", "r.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -114,3 +114,12 @@ def test_items_of_placeholders(spark, docs_of):
     around = filler(1) + " {}. " + filler(2)
     texts = [around.format(t) for t in (items[0], "we met " + items[1], items[2], "12 + 31 = 43, 18 + 5 = 23, 9 + 9 = 18, 41 + 2 = 43", "Anna, Ben, Carl and Dora", "we met Anna Smith", "Anna Smith")]
     assert pairs_of(spark, docs_of(texts), items) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_copy_beside_variants(spark, docs_of):
+    item = "A farmer sells 7 baskets of red apples at the old market every single morning before the rain starts to fall"
+    short, wild = "How many eggs are in 7 boxes?", "A farmer sells 7 baskets of red apples for 7 coins at the old market with 7 children before the rain"
+    nine, eight = item.replace("7", "9"), item.replace("7", "8")
+    texts = [" ".join([item + ".", filler(1), nine + ".", filler(2), nine + "."]), " ".join([short, short.replace("7", "9"), short.replace("7", "8")]), f"{eight}. {nine}. {item}."]
+    texts += [filler(3) + " " + wild.replace("7", "4", 1).replace("7", "5", 1).replace("7", "6", 1)]
+    assert pairs_of(spark, docs_of(texts), [item, short, wild]) == {(0, 0), (1, 1), (2, 0)}
