@@ -100,3 +100,13 @@ def ground_by_cloth(points: DataFrame, by: list[str], resolution: float = 1.0, t
     return points.groupBy(*by).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "ground boolean"]))
 
 
+def ground_by_cloth_regions(points: DataFrame, by: list[str], span: float = 512.0, padding: float = 32.0, **cloth) -> DataFrame:
+    """Adds ground to every point: squares of a fixed grid, each with padding around, are regions of a cloth each, and a point takes its own square's label."""
+    squares = {}
+    for a in ("x", "y"):
+        first, last = (F.floor((F.col(a) + d) / F.lit(span)) for d in (-padding, padding))
+        squares[a] = F.sequence(first, last)
+    out = points.withColumn("__sx", F.explode(squares["x"])).withColumn("__sy", F.explode(squares["y"]))
+    out = ground_by_cloth(out, [*by, "__sx", "__sy"], **cloth)
+    own = (F.col("__sx") == F.floor(F.col("x") / F.lit(span))) & (F.col("__sy") == F.floor(F.col("y") / F.lit(span)))
+    return out.filter(own).drop("__sx", "__sy")

@@ -141,8 +141,8 @@ def partition_counts(spark, sf_dir):
 
 @query()
 def ground_cloth(spark, sf_dir):
-    p = points(spark, sf_dir).filter(regions.inside({"x": (0, 360)})).select("row_id", "side", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"))
-    return ground.ground_by_cloth(p, ["side"], iterations=200).select("row_id", "side", "ground")
+    p = points(spark, sf_dir).select("row_id", "side", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"))
+    return ground.ground_by_cloth_regions(p, ["side"], iterations=200).select("row_id", "side", "ground")
 
 
 @query(f"""WITH {PTS}, v AS (SELECT *, row_number() OVER (PARTITION BY side, floor(x / 20.0::DOUBLE), floor(y / 20.0::DOUBLE), floor(z / 20.0::DOUBLE) ORDER BY row_id) AS k FROM pts)
@@ -337,8 +337,8 @@ def seed_support(spark, sf_dir):
 
 @query()
 def dense_regrouping(spark, sf_dir):
-    p = points(spark, sf_dir).filter(regions.inside({"x": (0, 200)}))
-    return clusters.regroup_dense(p.filter("side = 'left'"), p.filter("side = 'right' and row_id % 10 = 0"), 6.01, 3, 12.07)[1]
+    p = points(spark, sf_dir)
+    return clusters.regroup_dense(p.filter("side = 'left'"), p.filter("side = 'right'"), 6.01, 3, 12.07)[1]
 
 
 @query(f"""WITH {PTS}, b AS (SELECT side, {_BOX} FROM pts GROUP BY side) SELECT side, {", ".join(f"round(min_{a} - greatest(0.05::DOUBLE, 0.07::DOUBLE * (max_{a} - min_{a})), 6) AS low_{a}, round(max_{a} + greatest(0.05::DOUBLE, 0.07::DOUBLE * (max_{a} - min_{a})), 6) AS high_{a}" for a in AXES)} FROM b""")

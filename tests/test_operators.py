@@ -248,3 +248,38 @@ def test_documents(spark, tmp_path):
     rows = documents.history_rows(spark, str(tmp_path / "*/manifest.json"))
     assert rows.select("row.name").orderBy("name").collect()[0][0] == "a" and rows.count() == 2
     documents.write_comparison_csv(rows, str(tmp_path / "csv"))
+
+
+def test_cloth_of_all_points(spark, sf_dir):
+    from cloudstrata.plans import registry
+
+    rows = registry.QUERIES["ground_cloth"](spark, sf_dir).collect()
+    ids = [r["row_id"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("row_id")).collect()]
+    assert sorted(r["row_id"] for r in rows) == sorted(ids)
+
+
+def test_cloth_regions(spark):
+    r = np.random.default_rng(9)
+    xy = r.random((900, 2)) * 60 - 20
+    rows = [(k, "left", float(x), float(y), 0.0 if k % 9 else 6.0) for k, (x, y) in enumerate(xy)]
+    p = spark.createDataFrame(rows, "row_id long, side string, x double, y double, z double")
+    got = {x["row_id"]: x["ground"] for x in ground.ground_by_cloth_regions(p, ["side"], 16.0, 6.0, resolution=2.0, iterations=200).collect()}
+    assert len(got) == 900 and np.mean([got[k] for k in got if k % 9]) > 0.95 and np.mean([got[k] for k in got if not k % 9]) < 0.1
+
+
+def test_regrouping_of_all_points(spark, sf_dir):
+    from cloudstrata.plans import point_queries, registry
+
+    p = point_queries.points(spark, sf_dir)
+    left, right = ([(r["row_id"], r["x"], r["y"], r["z"]) for r in p.filter(F.col("side") == s).orderBy("row_id").collect()] for s in ("left", "right"))
+    rows = registry.QUERIES["dense_regrouping"](spark, sf_dir).collect()
+    labelled = clusters.regroup_dense(p.filter("side = 'left'"), p.filter("side = 'right'").limit(1), 6.01, 3, 12.07)[0]
+    label = {r["row_id"]: r["label"] for r in labelled.collect()}
+    dense, want = np.array(left)[:, 1:], {}
+    for seed in np.array(right)[:, 1:]:
+        d2 = ((dense - seed) ** 2).sum(1)
+        k = label[left[int(d2.argmin())][0]]
+        if d2.min() <= 12.07**2 and k >= 0:
+            want[k] = want.get(k, 0) + 1
+    assert {r["label"]: r["support"] for r in rows if r["support"]} == want
+    assert sum(r["points"] for r in rows) == sum(k >= 0 for k in label.values())
