@@ -29,7 +29,9 @@ A word is what lies between ASCII white space, with A-Z lower-cased. A text of
 fewer words than a shingle is one shingle; null, empty and blank texts have none
 and link with nothing. Rows with one doc_id are different documents; a null
 doc_id takes part but never names a component that has another id. Texts with
-equal sets are one class, by a 64-bit hash of the set.
+equal sets are one class, by a 64-bit hash of the set. Repeated rows are rows of
+one class; very long texts are sets like others; other columns, whatever their
+names, aren't read. Shingles are compared by their whole 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -43,12 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.graph import connected_components
+from cloudstrata.functions.joins import SALT, copied, dealt, hot_keys, join_hot
 from cloudstrata.llm.bpe import calm_gc
+from cloudstrata.llm.texts import NAME, same_row, text_name
 from cloudstrata.session import cut
 
 WORDS, SIMILAR = 5, 80
 #: Shingles of a block; bytes of text for a hash range; texts of a block from which a shingle counts as frequent there.
-BLOCK, RANGE_BYTES, FREQUENT = 1_000_000, 16 << 20, 256
+BLOCK, RANGE_BYTES, FREQUENT = 1_000_000, 8 << 20, 256
 #: Texts of a block of a cluster, and of its candidate pairs how many are verified one by one rather than by a matrix product.
 BLOCK_TEXTS, FEW = 256, 400
 
@@ -111,19 +115,25 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return np.frombuffer(data, np.uint64, n, 4), np.frombuffer(data, np.uint32, n, at), np.frombuffer(data, np.uint32, n, at + 4 * n), at + 8 * n
 
 
-_ROWS = "bucket long, kind string, payload binary, doc_id long, key long, n long"
-_ROWS_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_ROWS = "bucket long, kind string, payload binary, doc_id long, key long, n long, t1 long, t2 long"
+_ROWS_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("payload", pa.binary()), *((c, pa.int64()) for c in ("doc_id", "key", "n", *NAME))])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of _ROWS; those of other kinds than "doc" may end before the name of a text."""
+    rows = [r if len(r) == 8 else (*r, None, None) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), _ROWS_ARROW.types, strict=True)], schema=_ROWS_ARROW)
 
 
+def _width(bits: int) -> int:
+    """Bytes of a hash beside those bits that its range tells."""
+    return -(-(64 - bits) // 8)
+
+
 def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int) -> list[tuple]:
-    """The rows of a block of sets: 5 bytes of each hash by range, or counts and texts of what is frequent in the block."""
+    """The rows of a block of sets: what the range doesn't tell of each hash, by range, or counts and texts of what is frequent in the block."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    spare = _U(max(0, 24 - bits))  # what 5 bytes beside the range don't hold goes everywhere, so a shingle has one name
-    hashes, owner = np.concatenate(sets) >> spare << spare, np.repeat(np.arange(len(sets)), sizes)
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     names = np.array(keys, np.int64).view(np.uint64)
     rows: list[tuple] = []
     slots = (hashes & _U((1 << 21) - 1)).astype(np.int64)
@@ -144,7 +154,7 @@ def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int)
     bucket = (hashes >> _U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(hashes), np.uint32)
     order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
     bucket, owner = bucket[order], owner[order]
-    low = (hashes[order] << _U(bits) >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    low = hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _width(bits)]
     begin, count = _runs(bucket)
     for b, c in zip(begin.tolist(), count.tolist(), strict=True):
         own = owner[b : b + c]
@@ -161,15 +171,16 @@ def _shred(words: int, bits: int):
         with calm_gc():
             task = TaskContext.get()
             salt = (task.partitionId() if task else 0) << 20
+            parts = 1 << bits
             sets: list[np.ndarray] = []
             keys: dict[int, None] = {}
             held = 0
             for batch in batches:
                 docs: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text, *name in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                     found = shingle_set(text, words)
                     key = set_key(found)
-                    docs.append((key & ((1 << bits) - 1), "doc", None, doc_id, key, len(found)))
+                    docs.append((doc_id % parts if doc_id is not None else key & (parts - 1), "doc", None, doc_id, key, len(found), *name))
                     if len(found) and key not in keys:
                         keys[key] = None
                         sets.append(found)
@@ -219,10 +230,10 @@ def _count(bits: int):
     """Of each hash range, what two or more texts hold, routed to the texts; and how many hold what was frequent in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches, ("kind", "payload", "doc_id", "key", "n")):
+        for bucket, rows in _by_bucket(batches, ("kind", "payload", "doc_id", "key", "n", *NAME)):
             out = [(bucket, *r) for r in rows if r[0] in ("doc", "texts")]
             frequent: dict[int, int] = {}
-            for kind, payload, _, _, n in rows:
+            for kind, payload, _, _, n, *_ in rows:
                 if kind == "frequent":
                     h = int(np.frombuffer(payload, np.uint64)[0])
                     frequent[h] = frequent.get(h, 0) + n
@@ -233,11 +244,13 @@ def _count(bits: int):
             if parts:
                 keys, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 owner = np.repeat(np.arange(len(keys), dtype=np.int64), np.concatenate([p[2] for p in parts]))
-                low = np.concatenate([np.frombuffer(d, np.uint8, offset=p[3]).reshape(-1, 5) for d, p in zip(data, parts, strict=True)])
+                width = _width(bits)
+                low = np.concatenate([np.frombuffer(d, np.uint8, offset=p[3]).reshape(-1, width) for d, p in zip(data, parts, strict=True)])
                 wide = np.zeros((len(low), 8), np.uint8)
-                wide[:, :5] = low
-                hashes = wide.view("<u8").ravel() << _U(24) >> _U(bits)
-                if bits:
+                wide[:, :width] = low
+                hashes = wide.view("<u8").ravel()
+                if bits:  # the lowest byte may hold some bits of the range, too
+                    hashes &= _U((1 << (64 - bits)) - 1)
                     hashes |= _U(bucket) << _U(64 - bits)
                 del low, wide, parts, data
                 order = np.argsort(hashes)
@@ -357,7 +370,7 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """a, b of the pairs that are similar enough."""
+    """a, b of the pairs that are similar enough. Many a may have one b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +384,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("xa"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("xb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+    hot, on = hot_keys(pairs, ["b"]), ["b"]
+    if hot is not None:
+        pairs, two, on = dealt(pairs, on, hot), copied(two, on, hot), ["b", SALT]
+    return pairs.join(one, "a").join(two, on).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 class _Block:
@@ -481,17 +497,19 @@ def _verify_blocks(similar: int):
 def _links(prefixes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Links a, b between texts that connect all that similar pairs connect."""
     hub = F.min(F.struct((F.col("alone") * 100 / F.col("n")).cast("int").alias("own"), "key", "n")).alias("hub")
-    groups = prefixes.groupBy("shingle").agg(F.count("*").alias("members"), hub).filter("members > 1")
-    members = cut(prefixes.join(groups, "shingle").select("shingle", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-members")
+    groups = cut(prefixes.groupBy("shingle").agg(F.count("*").alias("count"), hub).filter("count > 1"), "jaccard-groups")
+    counts = groups.select("shingle", "count")
+    members = join_hot(prefixes, groups, ["shingle"], counts=counts)
+    members = cut(members.select("shingle", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "jaccard-members")
     near = members.filter(f"key <> hub and 100 * least(n, hub_n) >= {similar} * greatest(n, hub_n)")
     best = near.groupBy("key", "hub").count().groupBy("key").agg(F.max(F.struct("count", "hub")).alias("best"))
     tried = cut(best.select(F.col("key").alias("a"), F.col("best.hub").alias("b")), "jaccard-tried")
     links = cut(_verify(tried, sets, similar), "jaccard-links")
     labels = cut(connected_components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "label"}), "jaccard-labels")
-    labelled = members.select("shingle", "key").join(labels, "key", "left").select("shingle", "key", F.coalesce("label", "key").alias("label"))
+    labelled = cut(members.select("shingle", "key").join(labels, "key", "left").select("shingle", "key", F.coalesce("label", "key").alias("label")), "jaccard-labelled")
     # shingles whose texts have several labels; their texts form the clusters
     ends = labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("key").alias("first")).filter("least <> most")
-    edges = cut(labelled.join(ends.select("shingle", "first"), "shingle").select("key", "first").distinct(), "jaccard-edges")
+    edges = cut(join_hot(labelled, ends.select("shingle", "first"), ["shingle"], counts=counts).select("key", "first").distinct(), "jaccard-edges")
     clusters = cut(connected_components(edges, "key", "first").withColumnsRenamed({"node": "key", "component": "cluster"}), "jaccard-clusters")
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("texts"))
     # sizes whose quotient is at least `similar` percent are in the same or the next bin; small clusters are one block
@@ -511,35 +529,54 @@ def _links(prefixes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return links.unionByName(cut(more, "jaccard-links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles and component_id, the least doc_id that links of 100 * overlap >= similar * union reach, of every document."""
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs with a shingle or more (doc_id, t1, t2, n, label, component_id), and those without (doc_id, t1, t2, n). Rows of a component have one label."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (max(1, size // RANGE_BYTES) - 1).bit_length())
     parts = max(n, 1 << bits)
-    shredded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_shred(words, bits), _ROWS)
+    shredded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_name(text_col)).mapInArrow(_shred(words, bits), _ROWS)
     counted = cut(shredded.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(bits), _ROWS), "jaccard-counted")
     frequent = counted.filter("kind = 'count'").groupBy("key").agg(F.sum("n").alias("total"))
-    texts = counted.filter("kind = 'texts'").join(frequent, "key").select("payload", "total").mapInArrow(_join_frequent(bits), _ROWS)
+    texts = join_hot(counted.filter("kind = 'texts'").select("key", "payload"), frequent, ["key"]).select("payload", "total").mapInArrow(_join_frequent(bits), _ROWS)
     shared = counted.filter("kind = 'shared'").unionByName(texts)
     ordered = cut(shared.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(similar), _ORDERED), "jaccard-ordered")
     links = _links(ordered.filter("kind = 'prefix'").select("shingle", "key", "n", "alone"), ordered.filter("kind = 'set'").select("key", "n", "alone", "prefix", "hashes"), similar)
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    rows = counted.filter("kind = 'doc'").select("doc_id", "key", "n")
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("label"))
+    rows = counted.filter("kind = 'doc'").select("doc_id", *NAME, "key", "n")
+    some = rows.filter("n > 0")
+    classes = some.groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("label"))
+    classes = cut(classes, "jaccard-classes")
     whole = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = classes.join(whole, "label").select("key", "component_id")
-    filled = rows.filter("n > 0").join(found, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return filled.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = join_hot(classes, whole, ["label"]).select("key", "label", "component_id")
+    return join_hot(some, found, ["key"]).select("doc_id", *NAME, "n", "label", "component_id"), rows.filter("n = 0").select("doc_id", *NAME, "n")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles and component_id, the least doc_id that links of 100 * overlap >= similar * union reach, of every row of docs."""
+    linked, empty = _components(docs, id_col, text_col, words, similar)
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """The rows of docs, unchanged, of the least doc_id of each component.
+    """One row of docs, unchanged, of each component, and all rows without a shingle.
 
-    Rows with one doc_id stay or go together: they go if any of them is in a
-    component that a smaller doc_id names. Rows with a null doc_id stay.
+    Of a component the row of the least doc_id stays, a null one being the greatest;
+    of rows with one doc_id that of the least text name, and of rows that
+    are equal in both any one.
     """
-    found = jaccard_components(docs, words=words, similar=similar)
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    rows = cut(_components(docs, "doc_id", "text", words, similar)[0].select("doc_id", *NAME, "label"), "jaccard-rows")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *NAME)
+    several = rows.groupBy("label").agg(F.count("*").alias("rows"), F.min(name).alias("first")).filter("rows > 1").drop("rows")
+    judged = join_hot(rows, several, ["label"]).groupBy("doc_id", *NAME).agg(F.count("*").alias("rows"), F.max(name == F.col("first")).alias("stays"))
+    judged = judged.filter("not stays or rows > 1").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *NAME)], "stays")
+    judged = cut(judged, "jaccard-gone")
+    kept = docs.join(judged, same_row(docs, judged), "left_anti")
+    again = judged.filter("stays")  # rows that are there several times
+    if not again.limit(1).count():
+        return kept
+    copies = docs.join(again, same_row(docs, again), "left_semi")
+    keys = dict(zip(("__doc_id", "__t1", "__t2"), (F.col("doc_id"), *text_name("text")), strict=True))
+    return kept.unionByName(copies.withColumns(keys).dropDuplicates([*keys]).drop(*keys))

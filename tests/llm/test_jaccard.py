@@ -87,7 +87,36 @@ def test_keep_one(docs_of):
     docs = docs_of(["a b c d e f", "a b c d e f", "other words stand in here", None, "a b c d e f"], [5, 2, 7, 8, None])
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8"]
+
+
+def test_keep_one_of_repeated_rows(docs_of):
+    a, b, c = "a b c d e f", "other words stand in here now", "this text is there under no name at all"
+    docs = docs_of([a, a, a, b, b, c, c, None, None, "", b + " x" * 60_000], [1, 1, None, 3, 3, None, None, 4, 4, None, 9])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:40]) for r in kept.collect()) == sorted([("1", a), ("3", b), ("None", c), ("4", ""), ("4", ""), ("None", ""), ("9", (b + " x" * 60)[:40])])
+    one_id = docs_of([a, b, a + " g"], [5, 5, 5])  # different texts of one id, the first and last too far apart
+    assert {r["text"] for r in jaccard.keep_one(one_id).collect()} == {a, b, a + " g"}
+
+
+@pytest.mark.parametrize("few", [10])
+def test_hot_keys(docs_of, monkeypatch, few):
+    """A group of near copies that holds most rows, with salted joins."""
+    from cloudstrata.functions import joins
+
+    monkeypatch.setattr(joins, "FEW_ROWS", few)
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(50)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        if k % 3:
+            w[r.randrange(50)] = f"x{k}"
+        texts.append(" ".join(w) if k % 6 else " ".join(f"o{k}-{j}" for j in range(20)))
+    ids = [*range(len(texts))]
+    got = sorted((tuple(x) for x in jaccard.jaccard_components(docs_of(texts, ids)).collect()), key=repr)
+    assert got == brute(texts, ids)
 
 
 def test_filters_never_lose_a_pair():

@@ -81,6 +81,9 @@ def test_jaccard(spark, sf_dir, rows_of):
     docs = rows_of("documents")
     got = sorted((tuple(r)[:3] for r in queries.op7_jaccard(spark, sf_dir).collect()), key=repr)
     assert got == brute([d["text"] for d in docs], [d["doc_id"] for d in docs])
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+        assert sorted(c.execute(queries.ORACLES["op7_jaccard"]).fetchall(), key=repr) == got
 
 
 def test_chats(spark, sf_dir, rows_of):
