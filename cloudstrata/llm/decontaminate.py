@@ -11,9 +11,10 @@ it is text of the same shape.
 A document is contaminated by an item if the matched windows cover at least
 COVERAGE of the item's windows and its slots are consistent, in one occurrence
 of the item (matches at one shift, or at shifts that differ by a few tokens) or
-in the whole document (an item in pieces). Documents meet a
-bitmap of the item windows first (of fixed size, without false negatives), so
-only windows that may match reach the join.
+in the whole document (an item in pieces). Documents meet a bitmap of the item
+windows first (sized by their number, 32 MB at most, without false negatives),
+so only windows that may match reach the join; a window that very many documents
+hold is dealt over many tasks there.
 
 Windows that are mostly placeholders say nothing as templates; with what fills
 the placeholders in the hash they match verbatim copies. An item of such alone
@@ -22,8 +23,13 @@ that have to be covered are its templates, or all of them. An item shorter than
 is one window; it is found in longer texts, too, where its end is the end of a
 sentence, line or text (not before more words of the same sentence), by windows
 of its size there. With fewer than SAYS plain words beside placeholders it is
-found there by verbatim copies only. Null and empty texts have no windows. Rows with one doc_id count
-as one document; null doc_ids count as one document, too.
+found there by verbatim copies only. Null and empty texts have no windows.
+
+Each row is judged by its own text: rows with one doc_id, or with a null one,
+that say different things are different documents, and repeated rows get the
+same judgement. Very long texts are taken whole. Of equally covered places of an
+item in a document the one of the higher consistency, then the first is told.
+Columns of other names aren't read, and an empty table has no matches.
 """
 
 from __future__ import annotations
@@ -38,7 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.joins import join_hot
 from cloudstrata.llm.bpe import calm_gc, TwoGenerations
+from cloudstrata.llm.texts import TEXT_NAME, text_name
 from cloudstrata.session import cut
 
 WINDOW, COVERAGE, CONSISTENT = 8, 0.6, 0.8
@@ -46,7 +54,8 @@ WINDOW, COVERAGE, CONSISTENT = 8, 0.6, 0.8
 SLOTS = WINDOW // 2
 #: A shorter window within a text has so many plain words at least, if it has placeholders.
 SAYS = 3
-BITMAP_BITS = 24
+#: The least and the greatest number of bits of the bitmap, as powers of two; 64 bits for each window in between.
+BITMAP_BITS = (16, 28)
 
 LINE = "\ue000"
 CLOSING = "\"'”’»)]}*_"
@@ -164,7 +173,7 @@ class Canonical:
         return out
 
 
-_WINDOWS = "id long, window long, at int, slots array<string>, tokens int, exact boolean"
+_WINDOWS = "id long, t1 long, t2 long, window long, at int, slots array<string>, tokens int, exact boolean"
 
 
 def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int, ...] = ()):
@@ -174,22 +183,22 @@ def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int
         with calm_gc():
             canonical = Canonical()
             for batch in batches:
-                ids, windows, places, slots, tokens, exact = [], [], [], [], [], []
+                rows_of, windows, places, slots, tokens, exact = [], [], [], [], [], []
 
-                def add(i, found, h, at, size, written):
+                def add(row, found, h, at, size, written):
                     exact.extend(written.tolist())
                     for w, a, s in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), strict=True):
-                        ids.append(i)
+                        rows_of.append(row)
                         windows.append(w)
                         places.append(a)
                         slots.append(canonical.slots(a, s, found))
                         tokens.append(s)
 
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, text in enumerate(batch.column(3).to_pylist()):
                     found = canonical.tokens(text)
                     rows = canonical.windows(found, sizes, items)
                     if bitmap is not None and len(rows[0]):
-                        low = rows[0] & np.uint64((1 << BITMAP_BITS) - 1)
+                        low = rows[0] & np.uint64(8 * len(bitmap) - 1)
                         hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         rows = [r[hit] for r in rows]
                     add(i, found, *rows)
@@ -200,43 +209,48 @@ def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int
                             found = (*(p[1:] for p in parts), words)
                             rows = canonical.windows(found, (), True)
                             add(i, found, *(r[rows[1] == 0] for r in rows))
+                named = [batch.column(c).take(pa.array(rows_of, pa.int64())) for c in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32()), pa.array(exact, pa.bool_())], names=["id", "window", "at", "slots", "tokens", "exact"]
+                    [*named, pa.array(windows, pa.int64()), pa.array(places, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(tokens, pa.int32()), pa.array(exact, pa.bool_())], names=["id", *TEXT_NAME, "window", "at", "slots", "tokens", "exact"]
                 )
 
     return run
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
-    """The bits of all windows; a task sends its bits, of fixed size, and eight tasks do it."""
+    """The bits of all windows; a task sends its bits, of a bounded size, and eight tasks do it."""
+    least, most = BITMAP_BITS
+    bits_of = min(most, max(least, (64 * windows.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+        bits = np.zeros(1 << (bits_of - 3), np.uint8)
         for batch in batches:
-            low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+            low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits_of) - 1)
             np.bitwise_or.at(bits, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    total = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    total = np.zeros(1 << (bits_of - 3), np.uint8)
     for row in windows.select("window").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(row["bits"], np.uint8)
     return total
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, matched and all windows of the item, coverage, slots and consistency, of each contaminated document and item."""
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame:
+    """doc_id and name of the text (t1, t2), item_id, matched and all windows of the item, coverage, slots and consistency, of each contaminated text of an id and item."""
     spark = docs.sparkSession
-    items = cut(benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).mapInArrow(_window_rows(True), _WINDOWS), "items")
+    none = [F.lit(None).cast("long").alias(c) for c in TEXT_NAME]
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), *none, F.col(item_text).alias("text"))
+    items = cut(items.mapInArrow(_window_rows(True), _WINDOWS), "items")
     short = tuple(sorted(r["tokens"] for r in items.filter(F.col("tokens") < WINDOW).select("tokens").distinct().collect()))  # seven at most
-    bits = spark.sparkContext.broadcast(_bitmap(items))  # 2 MB, whatever the benchmark's size
+    bits = spark.sparkContext.broadcast(_bitmap(items))  # 32 MB at most, whatever the benchmark's size
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _window_rows(False, bits.value, short)(batches)
 
-    hits = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(probe, _WINDOWS)
-    hits = hits.select(F.col("id").alias("doc_id"), "window", F.col("slots").alias("doc_slots"), F.col("at").alias("doc_at"))
+    hits = docs.select(F.col(id_col).cast("long").alias("id"), *text_name(text_col), F.col(text_col).alias("text")).mapInArrow(probe, _WINDOWS)
+    hits = cut(hits.select(F.col("id").alias("doc_id"), *TEXT_NAME, "window", F.col("slots").alias("doc_slots"), F.col("at").alias("doc_at")), "window-hits")
     item = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"), "exact")
-    pairs = cut(hits.join(item, "window").select("doc_id", "item_id", "item_at", "doc_at", "doc_slots", "item_slots", "exact"), "window-pairs")
+    pairs = cut(join_hot(hits, item, ["window"]).select("doc_id", *TEXT_NAME, "item_id", "item_at", "doc_at", "doc_slots", "item_slots", "exact"), "window-pairs")
     template = F.when(~F.col("exact"), F.col("at"))
     size = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("windows"), F.countDistinct(template).alias("templates"))
     # shifts in one cell of a grid, or of the grid half a cell on, are one occurrence; cells are never wider than the item
@@ -244,7 +258,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kinds = [(0, F.lit(0)), (1, shift), (2, F.floor(shift / cell)), (3, F.floor((shift + F.floor(cell / 2)) / cell))]
     places = F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("long").alias("at")) for k, at in kinds])
     each_place = pairs.join(size, "item_id").withColumn("place", F.explode(places))
-    key = ["doc_id", "item_id", "place"]
+    key = ["doc_id", *TEXT_NAME, "item_id", "place"]
     found = each_place.groupBy(*key).agg(
         F.countDistinct("item_at").alias("matched"), F.countDistinct(F.when(~F.col("exact"), F.col("item_at"))).alias("as_templates"), F.min("doc_at").alias("first_token"), F.first("windows").alias("windows"), F.first("templates").alias("templates")
     )
@@ -257,19 +271,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     # how often a slot is filled as it mostly is, by the item's value and by the document's
     best = each.withColumn("of_a", F.max("count").over(W.partitionBy(*key, "a"))).withColumn("of_b", F.max("count").over(W.partitionBy(*key, "b")))
     slots = best.groupBy(*key).agg(F.sum("count").alias("slots"), F.sum(F.when((F.col("count") == F.col("of_a")) & (F.col("count") == F.col("of_b")), F.col("count")).otherwise(0)).alias("same"))
-    slots = slots.withColumnsRenamed({"doc_id": "d", "item_id": "i", "place": "p"})
-    out = found.join(slots, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & F.col("place").eqNullSafe(F.col("p")), "left")
-    out = out.select(
-        "doc_id", "item_id", "place", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "first_token", F.coalesce("slots", F.lit(0)).alias("slots"),
+    other = {c: f"__{c}" for c in key}
+    slots = slots.withColumnsRenamed(other)
+    same_place = F.lit(True)
+    for c, o in other.items():
+        same_place = same_place & F.col(c).eqNullSafe(F.col(o))
+    out = found.join(slots, same_place, "left").select(
+        *key, "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "first_token", F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce(F.col("same") / F.col("slots"), F.lit(1.0)).alias("consistency"),
     )
     # of a document and an item, the place that is covered best
     row = F.struct("matched", "windows", "coverage", "first_token", "slots", "consistency")
     rank = F.struct("coverage", "consistency", -F.col("first_token"), -F.col("place.kind"))
-    return out.filter(F.col("consistency") >= CONSISTENT).groupBy("doc_id", "item_id").agg(F.max_by(row, rank).alias("r")).select("doc_id", "item_id", "r.*")
+    return out.filter(F.col("consistency") >= CONSISTENT).groupBy("doc_id", *TEXT_NAME, "item_id").agg(F.max_by(row, rank).alias("r")).select("doc_id", *TEXT_NAME, "item_id", "r.*")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, matched and all windows of the item, coverage, first token, slots and consistency, of each contaminated document and item."""
+    return _matches(docs, benchmark, id_col, text_col, item_id, item_text).drop(*TEXT_NAME)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, whose doc_id isn't contaminated by any item."""
-    bad = cut(find_contamination(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs, unchanged, whose text isn't contaminated by any item."""
+    bad = _matches(docs, benchmark, "doc_id", "text", "item_id", "text").select(*[F.col(c).alias(f"__{c}") for c in TEXT_NAME]).distinct()
+    bad = cut(bad, "contaminated")
+    names = text_name(docs["text"])
+    return docs.join(bad, (names[0] == bad["__t1"]) & (names[1] == bad["__t2"]), "left_anti")

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from cloudstrata.functions.graph import connected_components
 from cloudstrata.functions.joins import SALT, copied, dealt, hot_keys, join_hot
 from cloudstrata.llm.bpe import calm_gc
-from cloudstrata.llm.texts import NAME, same_row, text_name
+from cloudstrata.llm.texts import TEXT_NAME, same_row, text_name
 from cloudstrata.session import cut
 
 WORDS, SIMILAR = 5, 80
@@ -116,7 +116,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 _ROWS = "bucket long, kind string, payload binary, doc_id long, key long, n long, t1 long, t2 long"
-_ROWS_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("payload", pa.binary()), *((c, pa.int64()) for c in ("doc_id", "key", "n", *NAME))])
+_ROWS_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("payload", pa.binary()), *((c, pa.int64()) for c in ("doc_id", "key", "n", *TEXT_NAME))])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -230,7 +230,7 @@ def _count(bits: int):
     """Of each hash range, what two or more texts hold, routed to the texts; and how many hold what was frequent in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches, ("kind", "payload", "doc_id", "key", "n", *NAME)):
+        for bucket, rows in _by_bucket(batches, ("kind", "payload", "doc_id", "key", "n", *TEXT_NAME)):
             out = [(bucket, *r) for r in rows if r[0] in ("doc", "texts")]
             frequent: dict[int, int] = {}
             for kind, payload, _, _, n, *_ in rows:
@@ -544,13 +544,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similar
     ordered = cut(shared.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(similar), _ORDERED), "jaccard-ordered")
     links = _links(ordered.filter("kind = 'prefix'").select("shingle", "key", "n", "alone"), ordered.filter("kind = 'set'").select("key", "n", "alone", "prefix", "hashes"), similar)
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    rows = counted.filter("kind = 'doc'").select("doc_id", *NAME, "key", "n")
+    rows = counted.filter("kind = 'doc'").select("doc_id", *TEXT_NAME, "key", "n")
     some = rows.filter("n > 0")
     classes = some.groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("label"))
     classes = cut(classes, "jaccard-classes")
     whole = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     found = join_hot(classes, whole, ["label"]).select("key", "label", "component_id")
-    return join_hot(some, found, ["key"]).select("doc_id", *NAME, "n", "label", "component_id"), rows.filter("n = 0").select("doc_id", *NAME, "n")
+    return join_hot(some, found, ["key"]).select("doc_id", *TEXT_NAME, "n", "label", "component_id"), rows.filter("n = 0").select("doc_id", *TEXT_NAME, "n")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -567,11 +567,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Dat
     of rows with one doc_id that of the least text name, and of rows that
     are equal in both any one.
     """
-    rows = cut(_components(docs, "doc_id", "text", words, similar)[0].select("doc_id", *NAME, "label"), "jaccard-rows")
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *NAME)
+    rows = cut(_components(docs, "doc_id", "text", words, similar)[0].select("doc_id", *TEXT_NAME, "label"), "jaccard-rows")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *TEXT_NAME)
     several = rows.groupBy("label").agg(F.count("*").alias("rows"), F.min(name).alias("first")).filter("rows > 1").drop("rows")
-    judged = join_hot(rows, several, ["label"]).groupBy("doc_id", *NAME).agg(F.count("*").alias("rows"), F.max(name == F.col("first")).alias("stays"))
-    judged = judged.filter("not stays or rows > 1").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *NAME)], "stays")
+    judged = join_hot(rows, several, ["label"]).groupBy("doc_id", *TEXT_NAME).agg(F.count("*").alias("rows"), F.max(name == F.col("first")).alias("stays"))
+    judged = judged.filter("not stays or rows > 1").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *TEXT_NAME)], "stays")
     judged = cut(judged, "jaccard-gone")
     kept = docs.join(judged, same_row(docs, judged), "left_anti")
     again = judged.filter("stays")  # rows that are there several times

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The columns that text_name makes.
-NAME = ("t1", "t2")
+TEXT_NAME = ("t1", "t2")
 
 
 def text_name(text: Column | str) -> list[Column]:
     """Two 64-bit hashes of a text, t1 and t2; a null text has a name, too. Made in the JVM, so a join on it needs no Python."""
     text = F.col(text) if isinstance(text, str) else text
-    return [F.xxhash64(F.lit(k), text).alias(n) for k, n in enumerate(NAME)]
+    return [F.xxhash64(F.lit(k), text).alias(n) for k, n in enumerate(TEXT_NAME)]
 
 
 def same_row(docs, other, id_col: str = "doc_id", text_col: str = "text") -> Column:

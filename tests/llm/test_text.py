@@ -1,5 +1,6 @@
 """Decontamination, licenses and pages on small known cases."""
 
+import itertools
 import random
 
 import numpy as np
@@ -123,3 +124,96 @@ def test_copy_beside_variants(spark, docs_of):
     texts = [" ".join([item + ".", filler(1), nine + ".", filler(2), nine + "."]), " ".join([short, short.replace("7", "9"), short.replace("7", "8")]), f"{eight}. {nine}. {item}."]
     texts += [filler(3) + " " + wild.replace("7", "4", 1).replace("7", "5", 1).replace("7", "6", 1)]
     assert pairs_of(spark, docs_of(texts), [item, short, wild]) == {(0, 0), (1, 1), (2, 0)}
+
+
+def test_rows_are_judged_by_their_text(spark, docs_of):
+    """A null or repeated id doesn't make one document of several; very long texts are whole; an item may be long, too."""
+    items = spark.createDataFrame([(1, ITEM), (2, " ".join(f"word{k}x holds" for k in range(3000)))], "item_id long, text string")
+    half = len(ITEM) // 2
+    texts = [ITEM, filler(1), filler(2), filler(3), ITEM[:half], ITEM[half:], ITEM, ITEM, "y " * 200_000 + ITEM, " ".join(f"word{k}x holds" for k in range(3000))]
+    docs = docs_of(texts, [None, None, None, 7, 8, 8, 7, 9, 10, 11])
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, filler(1)), (0, filler(2)), (7, filler(3)), (8, ITEM[:half]), (8, ITEM[half:])])
+    found = [(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(docs, items).collect()]
+    assert sorted(found, key=str) == sorted([(None, 1), (7, 1), (9, 1), (10, 1), (11, 2)], key=str)
+
+
+def plain_windows(tokens, sizes, item):
+    """Place, size, whether what is written counts, and the tuple that has to be equal, of each window; as the module's docstring says."""
+    code, written, kind, _, stops, _ = (t.tolist() if isinstance(t, np.ndarray) else t for t in tokens)
+    n = len(code)
+    whole = min(8, n)
+    for size in sorted({whole} | {k for k in sizes if k < whole}) if n else ():
+        for at in range(n - size + 1):
+            slots = sum(k != decontaminate.WORD for k in kind[at : at + size])
+            good, says = slots <= (4 if size == 8 else size // 2), slots == 0 or size - slots >= 3
+            if size < whole:
+                if not stops[at + size - 1]:
+                    continue
+                modes = [not (good and says)]
+            else:
+                modes = [False] * good + [True] * (not good or item and size < 8 and not says)
+            for exact in modes:
+                yield at, size, exact, tuple((written if exact else code)[at : at + size])
+
+
+def brute_contamination(docs, items):
+    canonical = decontaminate.Canonical()
+    index, places, sizes = {}, {}, set()
+    for i, text in items.items():
+        rows = []
+        tokens = canonical.tokens(text)
+        rows += [(w, canonical.slots(w[0], w[1], tokens)) for w in plain_windows(tokens, (), True)]
+        if len(tokens[0]) and tokens[2][0] == decontaminate.WORD and text.split()[0][:1].isupper():
+            *parts, words = canonical.tokens("a " + text)
+            if len(parts[0]) > 1 and parts[2][1] == decontaminate.NAME:
+                tokens = (*(p[1:] for p in parts), words)
+                rows += [(w, canonical.slots(w[0], w[1], tokens)) for w in plain_windows(tokens, (), True) if w[0] == 0]
+        for (at, size, exact, key), slots in rows:
+            index.setdefault((exact, key), []).append((i, at, slots))
+            sizes |= {size} if size < 8 else set()
+        places[i] = len({w[0] for w, _ in rows}), len({w[0] for w, _ in rows if not w[2]})
+    found = set()
+    for d, text in docs.items():
+        tokens, met = canonical.tokens(text), {}
+        for at, size, exact, key in plain_windows(tokens, sizes, False):
+            for i, item_at, slots in index.get((exact, key), ()):
+                windows = places[i][0]
+                shift, cell = at - item_at, min(8, windows)
+                for place in ((0, 0), (1, shift), (2, shift // cell), (3, (shift + cell // 2) // cell)):
+                    met.setdefault((i, place), []).append((item_at, exact, slots, canonical.slots(at, size, tokens)))
+        for (i, _), matches in met.items():
+            windows, templates = places[i]
+            every, plain = len({m[0] for m in matches}), len({m[0] for m in matches if not m[1]})
+            covered, out_of = (every, windows) if every * max(templates, 1) >= plain * windows else (plain, templates)
+            fills = [f for m in matches for f in itertools.zip_longest(m[2], m[3])]
+            times = {f: fills.count(f) for f in set(fills)}
+            same = sum(n for (a, b), n in times.items() if n == max(v for (x, _), v in times.items() if x == a) and n == max(v for (_, y), v in times.items() if y == b))
+            if covered >= 0.6 * out_of and (not fills or same >= 0.8 * len(fills)):
+                found.add((d, i))
+    return found
+
+
+def test_against_brute_force(spark, docs_of):
+    """Whole tables of documents and benchmark, with items of three tokens, of numbers alone and of placeholders among words, verbatim and with other parameters."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    more = ["Name three oceans.", "7 + 12 = 19, 8 + 30 = 38, 40 - 2 = 38", "Ann has 5 apples and Bob has 9 pears; how many fruits have Ann and Bob?", ITEM, "Paris Rome Oslo Bern", "Is 91 prime?", "List 4 old towns on the 3 rivers of Spain now"]
+    variants = [more[2].replace("5", "8").replace("Bob", "Eve"), more[2].replace("5", "8", 1).replace("Bob", "Eve", 1), OTHER, WRONG, "Is 97 prime?", more[6].replace("4", "6").replace("Spain", "Peru"), "name three rivers."]
+    r, k = random.Random(4), 10**6
+    for text in [*more, *variants]:
+        for form in ("{}", filler(1) + " {} " + filler(2), filler(3) + " so {} and on\n", "{} {}"):
+            docs[k] = form.replace("{}", text)
+            k += 1
+    for base in list(items.values())[:20]:
+        words = base.split()
+        words[r.randrange(len(words))] = str(r.randrange(99))
+        docs[k] = filler(k) + " " + " ".join(words) + " " + filler(k + 1)
+        k += 1
+    items |= {10**6 + j: t for j, t in enumerate(more)}
+    frame = spark.createDataFrame([*items.items()], "item_id long, text string")
+    found = decontaminate.find_contamination(docs_of([*docs.values()], [*docs]), frame).collect()
+    want = brute_contamination(docs, items)
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(found) == len(want) > 40
