@@ -57,7 +57,8 @@ SAYS = 3
 #: The least and the greatest number of bits of the bitmap, as powers of two; 64 bits for each window in between.
 BITMAP_BITS = (16, 28)
 
-LINE = "\ue000"
+#: The end of a line among words, and what stands for that character where a text has it.
+LINE, OTHER = "\ue000", "\ue001"
 CLOSING = "\"'”’»)]}*_"
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 NUMBER = re.compile(r"[+\-−]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
@@ -107,7 +108,10 @@ class Canonical:
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Codes, codes of what is written, kinds and word numbers of the tokens, whether a sentence or the text ends with them, and the words."""
-        words = (text or "").replace("\n", f" {LINE} ").split()
+        text = text or ""
+        if LINE in text:  # a text's own private-use character ends no line
+            text = text.replace(LINE, OTHER)
+        words = text.replace("\n", f" {LINE} ").split()
         n = len(words)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, bool), words

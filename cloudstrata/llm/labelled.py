@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.session import cut
@@ -14,7 +15,7 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, modulus: int, kept, rows: int) -> DataFrame:
-    """text, y and fold (0 to 9) of at most `rows` labelled documents, written to the shared folder.
+    """text, y, fold (0 to 9) and place (from 1, in the order of a hash of doc_id) of at most `rows` labelled documents, written to the shared folder.
 
     Labels of remainders that `kept` refuses are never read further. Which rows:
     those of the least hash of doc_id, so the choice doesn't depend on order.
@@ -26,7 +27,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, modulus: int,
     if total > 4 * rows:  # hashes are even, so the least `rows` lie well within twice their share; what is beyond needn't be sorted
         known = known.filter(F.xxhash64("doc_id") <= F.lit(-(1 << 63) + int((1 << 64) * 2 * rows / total)))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # at most `rows` ids: a proven bound for the broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "y")), "doc_id")
-    found = found.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return cut(found.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("fold")), "labelled")
+    # at most `rows` ids: a proven bound for the window and the broadcast
+    known = known.withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("doc_id"), "doc_id")).cast("long"))
+    found = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "y", "place")), "doc_id")
+    found = found.groupBy("doc_id", "y", "place").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return cut(found.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int").alias("fold"), "place"), "labelled")

@@ -3,14 +3,21 @@
 A line's features are its own rates (runs of signs, capitals, separators,
 repeated words, digits, function words and so on) and those of the lines before
 and after it. The marginal of "good" from forward-backward, weighted by the
-lengths of lines, is a document's quality, which isotonic regression on rows that
-weren't fitted turns into a probability.
-
-Learned from at most SAMPLE labelled rows of at most SAMPLE_LINES lines each;
-scoring is by whole texts. Lines take the label of their document. Labels are only
-read of rows whose crc32(doc_id as text) mod 5 isn't 0. A text without words
-has no good line: its quality before calibration is 0. Without labelled rows, or
-with one class only, every score is the mean label (1 without rows).
+lengths of lines, is a document's quality, which isotonic regression turns into
+a probability.
+
+Learned from at most SAMPLE labelled rows, taken whole in the order of a hash of
+doc_id for as long as they have at most SAMPLE_LINES lines together (a row more
+if that is the first). Lines take the label of their document. Every row is
+valued by a field that was fitted on the other FOLDS - 1 folds; these values
+calibrate, and the last field is that of all rows. Labels are only read of rows
+whose crc32(doc_id as text) mod 5 isn't 0. Without labelled rows, or with one
+class only, every score is the mean label (1 without rows).
+
+Scores are of whole texts, whatever their length, and depend on nothing but the
+text: repeated rows and ties get equal scores, a null doc_id is scored like
+others, and other columns aren't read. A null, empty or blank text has no good
+line: its quality before calibration is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +33,13 @@ from cloudstrata.llm.bpe import calm_gc, TwoGenerations
 from cloudstrata.llm.crf import LinearChainCrf
 from cloudstrata.llm.labelled import held_out, training_rows
 from cloudstrata.llm.trees import Isotonic
+from cloudstrata.session import cut
 
-#: Labelled rows that are learned from at most, lines of such a row at most, and the score from which a document is kept.
-SAMPLE, SAMPLE_LINES, KEEP = 6_000, 300, 0.3
+#: Labelled rows that are learned from at most, and lines of them together; lines of a chain in fitting; folds of the calibration; the score from which a document is kept.
+SAMPLE, SAMPLE_LINES, CHAIN, FOLDS, KEEP = 6_000, 300_000, 128, 3, 0.3
 
-#: Stands for the end of a line among words: a private-use character.
-LINE = "\ue000"
+#: Stands for the end of a line among words: it has a space, which no word has.
+LINE = " \n"
 COMMON = frozenset(
     """the of and to in is it that was for on are as with be by at from this an or he she they we you not have has had but which their
     der die das und ist in den von zu mit sich des auf für im nicht ein eine dem als auch es an werden aus er
@@ -67,16 +75,19 @@ class Lines:
         """Features and characters of every line that has words, and the number of such lines of each text."""
         words: list[str] = []
         marks: list[int] = []
+        line_ends: list[int] = []
         for text in texts:
-            words += (text or "").replace("\n", f" {LINE} ").split()
-            words.append(LINE)
+            for line in (text or "").split("\n"):
+                words += line.split()
+                words.append(LINE)
+                line_ends.append(len(words) - 1)
             marks.append(len(words) - 1)
         n = len(words)
         codes = np.fromiter(map(self.number.__getitem__, words), np.int64, n)
         names = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
         if len(self.table) < len(self.rows):
             self.table = np.array([*self.rows], np.float64)
-        ends = np.flatnonzero(names == np.int64(hash(LINE)).view(np.uint64))
+        ends = np.array(line_ends, np.int64)
         begin = np.concatenate([[0], ends[:-1] + 1])
         size = ends - begin
         doc_of_line = np.searchsorted(np.array(marks), ends)
@@ -143,35 +154,60 @@ class QualityModel:
         return np.clip(self.calibrate(_document_values(*self.lines(table, texts))), 0, 1)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> QualityModel:
+def _whole_rows(places: list[tuple[int, int]], lines: int) -> int:
+    """The last place of those that are taken: rows (place, lines) in order while their lines are no more than `lines`, and the first in any case."""
+    total, last = 0, -1
+    for place, n in sorted(places):
+        total += n
+        if total > lines and last >= 0:
+            break
+        last = place
+    return last
+
+
+def _field(rows: list[tuple[np.ndarray, int]]) -> LinearChainCrf:
+    """The field fitted to all lines of rows. A chain of more than CHAIN lines is fitted as several in a row, so that a few long texts don't make the steps of all."""
+    lines = np.array([len(x) for x, _ in rows], np.int64)
+    x = np.concatenate([x for x, _ in rows]) if rows else np.zeros((0, FEATURES))
+    chains = np.array([size for n in lines.tolist() for size in [CHAIN] * (n // CHAIN) + [n % CHAIN] * (n % CHAIN > 0)], np.int64)
+    return LinearChainCrf(2, FEATURES).fit(x, np.repeat(np.array([y for _, y in rows], np.int64), lines), chains)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, lines: int = SAMPLE_LINES) -> QualityModel:
+    """The model of at most `rows` labelled rows with `lines` lines; the same for the same rows, whatever their order and partitions."""
     sample = training_rows(docs, labels, "quality", 5, lambda r: r != 0, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Lines()
         for batch in batches:
-            x, chars, lines = table.features(batch.column(0).to_pylist())
-            ends = np.cumsum(lines)
-            out = [(x[e - n : e].astype(np.float32).tobytes(), chars[e - n : e].astype(np.float32).tobytes()) if n <= SAMPLE_LINES else None for n, e in zip(lines.tolist(), ends.tolist(), strict=True)]
-            keep = [k for k, o in enumerate(out) if o is not None]
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([out[k][0] for k in keep], pa.binary()), pa.array([out[k][1] for k in keep], pa.binary())], names=["y", "fold", "x", "chars"])
-
-    # at most rows x SAMPLE_LINES lines of FEATURES numbers
-    found = sample.select("text", "y", "fold").mapInArrow(run, "y int, fold int, x binary, chars binary").collect()
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                x, chars, lines = table.features(part.column(0).to_pylist())
+                ends = np.cumsum(lines)
+                out = [(x[e - n : e].astype(np.float32).tobytes(), chars[e - n : e].astype(np.float32).tobytes()) for n, e in zip(lines.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), part.column(2), part.column(3), pa.array(lines, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())],
+                    names=["y", "fold", "place", "lines", "x", "chars"],
+                )
+
+    features = cut(sample.select("text", "y", "fold", "place").mapInArrow(run, "y int, fold int, place long, lines long, x binary, chars binary"), "quality-features")
+    # a number for each of `rows` rows, then at most `lines` lines of FEATURES numbers
+    last = _whole_rows([tuple(r) for r in features.select("place", "lines").collect()], lines)
+    found = features.filter(F.col("place") <= last).collect()
     if not found or len({r["y"] for r in found}) < 2:
         return QualityModel(None, None, float(np.mean([r["y"] for r in found])) if found else 1.0)
-    found.sort(key=lambda r: (r["fold"], r["y"], bytes(r["x"])))
-    large = len(found) >= 1000
-    x = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in found]
+    found.sort(key=lambda r: r["place"])
+    data = [(np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float), r["y"]) for r in found]
     chars = [np.frombuffer(r["chars"], np.float32).astype(float) for r in found]
-    y, fold = np.array([r["y"] for r in found]), np.array([r["fold"] for r in found])
-    pick = np.flatnonzero(fold < 6) if large else np.arange(len(found))
-    test = np.flatnonzero(fold >= 6) if large else np.arange(len(found))
-    lines = np.array([len(v) for v in x])
-    field = LinearChainCrf(2, FEATURES).fit(np.concatenate([x[k] for k in pick]), np.repeat(y[pick], lines[pick]), lines[pick])
-    p = field.marginals(np.concatenate([x[k] for k in test]), lines[test])[:, 1]
-    value = _document_values(p, np.concatenate([chars[k] for k in test]), lines[test])
-    return QualityModel(field, Isotonic().fit(value, y[test]), float(y.mean()))
+    y, fold = np.array([r["y"] for r in found]), np.array([r["fold"] for r in found]) % FOLDS
+    value = np.zeros(len(y))
+    for k in range(FOLDS):
+        out = np.flatnonzero(fold == k)
+        if len(out):
+            size = np.array([len(data[i][0]) for i in out], np.int64)
+            p = _field([d for d, f in zip(data, fold, strict=True) if f != k]).marginals(np.concatenate([data[i][0] for i in out]), size)[:, 1]
+            value[out] = _document_values(p, np.concatenate([chars[i] for i in out]), size)
+    return QualityModel(_field(data), Isotonic().fit(value, y), float(y.mean()))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,11 +5,20 @@ learned from labelled rows (words, and word beginnings for languages that
 compound), how near hits stand to second-person words, rates of capitals,
 punctuation and obfuscation (digits and signs for letters, letters drawn apart).
 
-Learned from at most SAMPLE labelled rows: words from one part of the rows,
-trees from another, calibration from a third. Labels are only read of rows whose
-crc32(doc_id as text) mod 3 isn't 1. A null text is empty; an empty text gets
-the score that the trees give to no words at all. With no labelled rows at all,
-or one class only, every score is the mean label (0 without rows).
+Learned from at most SAMPLE labelled rows in FOLDS folds, and at any number of
+rows in one way: the rows of a fold are described by words learned from the
+other folds, and valued by trees fitted to the other folds; these values
+calibrate, and the last words and trees are those of all rows. At most LEXICON
+words and beginnings are kept, of ten times as many that most toxic rows have.
+Labels are only read of rows whose crc32(doc_id as text) mod 3 isn't 1. With no
+labelled rows at all, or one class only, every score is the mean label (0
+without rows).
+
+Scores are of whole texts, whatever their length, and depend on nothing but the
+text: repeated rows and ties get equal scores, a null doc_id is scored like
+others, and other columns aren't read. A null text is empty; an empty text gets
+the score that the trees give to no words at all. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,9 +38,7 @@ from cloudstrata.llm.trees import BoostedTrees, Isotonic
 
 #: Labelled rows that are learned from at most, learned words and beginnings at most, and the score that rejects.
 SAMPLE, LEXICON, REJECT = 16_000, 4_000, 0.7
-NEAR = 8
-#: From so many rows on, words, trees and calibration have rows of their own.
-FEW = 2000
+NEAR, FOLDS = 8, 3
 BEGINNINGS = (4, 5, 6, 7)
 
 #: General English insults; what a corpus really uses is learned.
@@ -135,8 +142,8 @@ def _units(text: str) -> tuple[set[str], set[str]]:
     return words, {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
 
 
-def _learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Log odds of words and word beginnings, of those that enough toxic rows have. Counted where the rows are; the counts of toxic rows choose what is counted in the others."""
+def _learn_words(rows: DataFrame, most: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Log odds of at most `most` words and word beginnings, of those that enough toxic rows have. Counted where the rows are; the counts of toxic rows choose what is counted in the others."""
 
     def counted(known: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +164,12 @@ def _learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         return {}, {}
     least = max(2, bad // 150)
     top = rows.filter("y = 1").select("text").mapInArrow(counted(None), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    toxic = {r["unit"]: r["n"] for r in top.orderBy(F.desc("n"), "unit").limit(10 * LEXICON).collect()}
+    toxic = {r["unit"]: r["n"] for r in top.orderBy(F.desc("n"), "unit").limit(10 * most).collect()}
     clean = rows.filter("y = 0").select("text").mapInArrow(counted(frozenset(toxic)), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     clean = {r["unit"]: r["n"] for r in clean.collect()}
     odds = {u: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(u, 0) + 0.5) / (good + 1))) for u, n in toxic.items()}
     # a word of few rows must be all the rarer in clean ones
-    kept = sorted(((w - 2 / np.sqrt(toxic[u]), u) for u, w in odds.items() if w > 0), reverse=True)[:LEXICON]
+    kept = sorted(((w - 2 / np.sqrt(toxic[u]), u) for u, w in odds.items() if w > 0), reverse=True)[:most]
     words = {u[1:]: round(w, 2) for w, u in kept if u[0] == "=" and w > 0.5}
     return words, {u[1:]: round(w, 2) for w, u in kept if u[0] == "^" and w > 0.5}
 
@@ -191,32 +198,19 @@ def _features(rows: DataFrame, words: dict[str, float], begun: dict[str, float])
     return rows.select("text", "y", "fold").mapInArrow(run, "y int, fold int, x array<double>").collect()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ToxicityModel:
-    """Words never come from the rows whose features they make, nor trees from those that calibrate them.
-
-    Of many rows, a half gives words, three tenths trees and two tenths the
-    calibration. Of few, each third is described by the words of the others and
-    calibrated by trees of the others, and the last words and trees are those of all.
-    """
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, lexicon: int = LEXICON) -> ToxicityModel:
+    """The model of at most `rows` labelled rows and `lexicon` words: no row is described by words, or valued by trees, that were learned from it."""
     sample = training_rows(docs, labels, "toxic", 3, lambda r: r != 1, rows)
-    apart = sample.count() >= FEW
-    if apart:
-        words, begun = _learn_words(sample.filter("fold < 5"))
-        found = _features(sample.filter("fold >= 5"), words, begun)
-    else:
-        words, begun = _learn_words(sample)
-        third = F.col("fold") % 3
-        found = [r for k in range(3) for r in _features(sample.filter(third == k), *_learn_words(sample.filter(third != k)))]
+    fold_of = F.col("fold") % FOLDS
+    found = [r for k in range(FOLDS) for r in _features(sample.filter(fold_of == k), *_learn_words(sample.filter(fold_of != k), lexicon))]
+    words, begun = _learn_words(sample, lexicon)
     if not found or len({r["y"] for r in found}) < 2:
         return ToxicityModel(words, begun, None, None, float(np.mean([r["y"] for r in found])) if found else 0.0)
     found.sort(key=lambda r: (r["fold"], r["y"], r["x"]))
-    x, y, fold = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float), np.array([r["fold"] for r in found])
-    if apart:
-        trees = BoostedTrees().fit(x[fold < 8], y[fold < 8])
-        return ToxicityModel(words, begun, trees, Isotonic().fit(trees.raw(x[fold >= 8]), y[fold >= 8]), float(y.mean()))
+    x, y, fold = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float), np.array([r["fold"] for r in found]) % FOLDS
     raw = np.zeros(len(y))
-    for k in range(3):
-        out = fold % 3 == k
+    for k in range(FOLDS):
+        out = fold == k
         if out.any() and not out.all():
             raw[out] = BoostedTrees().fit(x[~out], y[~out]).raw(x[out])
     return ToxicityModel(words, begun, BoostedTrees().fit(x, y), Isotonic().fit(raw, y), float(y.mean()))
