@@ -10,10 +10,18 @@ The field is trained on labelled pages. They are made by rule here, in many
 layouts, languages and degrees of bad markup, because no table has labels; the
 seed and the number are parameters, and the same call gives the same field.
 
-Scripts, styles, comments of the markup and hidden elements have no text.
-Character references are decoded, white space within a block is one space. A null
-or empty page, and a page without main blocks, has the empty text. Text
-outside any element counts as a block, too. Rows are treated one by one.
+Scripts, styles, comments of the markup and hidden elements have no text, nor
+have drawings, embedded objects, form fields and what is there for browsers without scripts
+(RAW below): a browser doesn't show these. Formulas have text. Character references
+are decoded, white space within a block is one space. A null or empty page, and a
+page without main blocks, has the empty text. Text outside any element counts as a
+block, too.
+
+Rows are treated one by one: repeated rows and null ids stay, other columns aren't
+read, an empty table gives an empty result. Reading takes time in proportion to the
+page, whatever its length and nesting: open elements are a linked stack whose nodes
+know what is above them, and places of open elements are kept by tag. Of equally
+probable labellings the one with fewer main blocks at the first difference is taken.
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +43,10 @@ from cloudstrata.llm.crf import LinearChainCrf
 PAGES, SEED = 900, 11
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
-#: Elements whose content is no markup.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
+#: A whole name, and its value if there is one.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements whose content isn't shown as text.
+RAW = frozenset("script style noscript template textarea title iframe svg object select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     """address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav
@@ -62,28 +72,169 @@ WORDS = {
     "main": "content article post entry story body text main page maincontent articlebody post-content entry-content prose blog news hentry single",
 }
 GROUP_OF = {w: k for k, words in enumerate(WORDS.values()) for w in words.split()}
-TALKS = re.compile(r"©|\(c\)|copyright|all rights reserved|cookies?\b|subscribe|newsletter|sign (?:in|up)|log ?in|advert|sponsored|comments?\b|reply|share|privacy|terms of|read more|click here|skip to", re.I)
+#: Words that notices, footers and comments say: their share among the words of a block is a feature.
+TALK = frozenset("© copyright rights reserved cookie cookies subscribe newsletter sign login log advert advertisement sponsored comment comments reply share privacy terms read click skip".split())
+SAID = re.compile(r"©|[^\W\d_]+").findall
 
-_N_TEXT = 19
-FEATURES = 1 + 2 * len(TAGS) + len(LEAVES) + 2 * len(WORDS) + _N_TEXT
-
-
-class Block:
-    """A leaf block: its text, the characters inside links, and the stack around it."""
+_STACK = 1 + 2 * len(TAGS) + len(LEAVES) + 2 * len(WORDS)
+_N_TEXT = 20
+FEATURES = _STACK + _N_TEXT
+_TAG_AT = {t: k for k, t in enumerate(TAGS)}
+_LEAF_AT = {t: k for k, t in enumerate(LEAVES)}
 
-    __slots__ = ("links", "mark", "parts", "path", "stack")
 
-    def __init__(self, stack: list[tuple[str, tuple[int, ...], bool]], mark: int):
-        self.stack, self.parts, self.links, self.mark = stack, [], 0, mark
+class Node:
+    """An open block element: what it is, and what all elements down to it say. Equal paths are one node as long as they are remembered."""
 
+    __slots__ = ("anywhere", "depth", "groups", "inside", "last", "near", "parent", "row", "tag")
 
-def blocks_of(page: str, label: str | None = None) -> list[tuple[str, float, tuple, int]]:
-    """Text, share of link characters, stack (tag, attribute groups) and label of each leaf block. label: an attribute whose presence marks main text, for training."""
-    out: list[tuple[str, float, tuple, int]] = []
-    stack: list[tuple[str, tuple[int, ...], bool, bool]] = []  # tag, groups, hidden, labelled
+    def __init__(self, tag: str, groups: tuple[int, ...], parent: Node | None):
+        self.tag, self.groups, self.parent, self.row = tag, groups, parent, None
+        at = _TAG_AT.get(tag)
+        bits = 0
+        for g in groups:
+            bits |= 1 << g
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = (parent.inside if parent else 0) | (0 if at is None else 1 << at)
+        self.near = at if at is not None else parent.near if parent else None
+        self.anywhere = (parent.anywhere if parent else 0) | bits
+        self.last = groups or (parent.last if parent else ())
+
+    def features(self) -> np.ndarray:
+        """Tags and attribute groups anywhere above, and of the innermost that says anything."""
+        if self.row is None:
+            x = np.zeros(_STACK)
+            x[0] = 1
+            at = 1
+            for k in range(len(TAGS)):
+                x[at + k] = self.inside >> k & 1
+            at += len(TAGS)
+            if self.near is not None:
+                x[at + self.near] = 1
+            at += len(TAGS)
+            if self.tag in _LEAF_AT:
+                x[at + _LEAF_AT[self.tag]] = 1
+            at += len(LEAVES)
+            for k in range(len(WORDS)):
+                x[at + k] = self.anywhere >> k & 1
+            at += len(WORDS)
+            for g in self.last:
+                x[at + g] = 1
+            self.row = x
+        return self.row
+
+
+class Paths:
+    """Nodes by parent, tag and groups; forgotten between pages when there are many."""
+
+    def __init__(self, most: int = 20_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.root = Node("", (), None)
+        self.nodes: dict[tuple, Node] = {}
+
+    def child(self, parent: Node, tag: str, groups: tuple[int, ...]) -> Node:
+        key = (id(parent), tag, groups)
+        found = self.nodes.get(key)
+        if found is None:
+            found = self.nodes[key] = Node(tag, groups, parent)
+        return found
+
+    def tidy(self) -> None:
+        if len(self.nodes) > self.most:
+            self.clear()
+
+
+class _Open:
+    """An open element of any kind: the path of block elements down to it, and what holds within it."""
+
+    __slots__ = ("block", "hidden", "labelled", "links", "path", "tag")
+
+    def __init__(self, tag: str, block: bool, path: Node, links: int, hidden: bool, labelled: bool):
+        self.tag, self.block, self.path, self.links, self.hidden, self.labelled = tag, block, path, links, hidden, labelled
+
+
+class _Stack:
+    """The open elements, with the places of each tag and of the block elements."""
+
+    def __init__(self, paths: Paths):
+        self.paths = paths
+        self.open = [_Open("", True, paths.root, 0, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    @property
+    def top(self) -> _Open:
+        return self.open[-1]
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, 0 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def push(self, tag: str, groups: tuple[int, ...], hidden: bool, labelled: bool) -> None:
+        above, block = self.open[-1], tag in BLOCK
+        path = self.paths.child(above.path, tag, groups) if block else above.path
+        self.places.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        self.open.append(_Open(tag, block, path, above.links + (tag == "a"), above.hidden or hidden, above.labelled or labelled))
+
+    def drop(self, n: int) -> None:
+        """Closes all elements from a place on."""
+        while len(self.open) > n:
+            gone = self.open.pop()
+            self.places[gone.tag].pop()
+            if gone.block:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> bool:
+        """The end tag: an inline one doesn't reach through a block. Whether it closed anything."""
+        at = self.last(tag)
+        if not at or tag not in BLOCK and at < self.blocks[-1]:
+            return False
+        self.drop(at)
+        return True
+
+    def make_room(self, tag: str) -> None:
+        """What the opening tag of a block ends: cells and items of the same list or table, or else a paragraph right around it."""
+        if tag not in CLOSES:
+            if self.open[self.blocks[-1]].tag == "p":
+                self.drop(self.blocks[-1])
+            return
+        those, stops = CLOSES[tag]
+        stop = max(map(self.last, stops))
+        first = [p[bisect_right(p, stop)] for t in those if (p := self.places.get(t)) and p[-1] > stop]
+        if first:
+            self.drop(min(first))
+
+
+def _attributes(rest: str, label: str | None) -> tuple[tuple[int, ...], bool, bool]:
+    """Groups of the attribute words, whether the element is hidden, and whether it has the labelling attribute."""
+    groups: set[int] = set()
+    hidden = labelled = False
+    for name, a, b, c in ATTRIBUTE.findall(rest):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id", "role", "itemprop", "aria-label"):
+            for word in re.findall(r"[a-z]+", value):
+                if (g := GROUP_OF.get(word)) is not None:
+                    groups.add(g)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            hidden = True
+        elif name == label:
+            labelled = True
+    return tuple(sorted(groups)), hidden, labelled
+
+
+def blocks_of(page: str, label: str | None = None, paths: Paths | None = None) -> list[tuple[str, float, Node, int]]:
+    """Text, share of link characters, path of block elements and label of each leaf block. label: an attribute whose presence marks main text, for training."""
+    out: list[tuple[str, float, Node, int]] = []
+    stack = _Stack(paths or Paths())
     parts: list[str] = []
     linked = 0
-    links = hides = 0
+    ends: dict[str, tuple[int, int] | None] = {}  # of raw elements the next end tag, None if there is no more
 
     def flush() -> None:
         nonlocal linked
@@ -91,25 +242,23 @@ def blocks_of(page: str, label: str | None = None) -> list[tuple[str, float, tup
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                inner = [s for s in stack if s[0] in BLOCK]
-                out.append((text, min(1.0, linked / max(len(raw.strip()), 1)), tuple((s[0], s[1]) for s in inner), int(any(s[3] for s in stack))))
+                out.append((text, min(1.0, linked / max(len(raw.strip()), 1)), stack.top.path, int(stack.top.labelled)))
             parts.clear()
             linked = 0
 
-    def drop(n: int) -> None:
-        nonlocal links, hides
-        for tag, _, hidden, _ in stack[n:]:
-            links -= tag == "a"
-            hides -= hidden
-        del stack[n:]
-
     def text(s: str) -> None:
         nonlocal linked
-        if hides or not s:
-            return
-        parts.append(s)
-        if links:
-            linked += len(s.strip())
+        if s and not stack.top.hidden:
+            parts.append(s)
+            if stack.top.links:
+                linked += len(s.strip())
+
+    def end_of(tag: str, at: int) -> tuple[int, int] | None:
+        found = ends.get(tag, (-1, -1))
+        if found is not None and found[0] < at:
+            m = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+            found = ends[tag] = (m.start(), m.end()) if m else None
+        return found
 
     at, size = 0, len(page)
     while at < size:
@@ -126,115 +275,45 @@ def blocks_of(page: str, label: str | None = None) -> list[tuple[str, float, tup
         if closing:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    drop(k)
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag doesn't reach through a block
-            else:
-                if tag in ("p", "br"):
-                    text(" ")
+            if not stack.close(tag) and tag in ("p", "br"):
+                text(" ")
             continue
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             text(" ")
             if tag == "hr":
                 flush()
             continue
         if tag in RAW and not rest.endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+            end = end_of(tag, at)
             if end or tag in ("script", "style", "svg", "textarea", "title"):
-                at = end.end() if end else size
+                at = end[1] if end else size
                 continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES:
-                those, stops = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in stops:
-                        break
-                    if stack[k][0] in those:
-                        drop(k)
-                        break
-            else:  # a paragraph ends before any other block
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        drop(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-        if rest.endswith("/"):
-            continue
-        groups: set[int] = set()
-        hidden = labelled = False
-        if rest:
-            labelled = label is not None and label in rest
-            for name, a, b, c, flag in ATTRIBUTE.findall(rest):
-                name, value = name.lower(), (a or b or c).lower()
-                if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    for word in re.findall(r"[a-z]+", value):
-                        if (g := GROUP_OF.get(word)) is not None:
-                            groups.add(g)
-                elif name == "style" and "display:none" in value.replace(" ", "") or flag == "hidden" or name == "aria-hidden" and value == "true":
-                    hidden = True
-        stack.append((tag, tuple(sorted(groups)), hidden, labelled))
-        links += tag == "a"
-        hides += hidden
+            stack.make_room(tag)
+        if not rest.endswith("/"):
+            stack.push(tag, *(_attributes(rest, label) if rest else ((), False, False)))
     flush()
     return out
 
 
-_TAG_AT = {t: k for k, t in enumerate(TAGS)}
-_LEAF_AT = {t: k for k, t in enumerate(LEAVES)}
-
-
-def _stack_features(stack: tuple) -> np.ndarray:
-    """What the elements around a block say: tags and attribute groups anywhere above, and of the innermost that says anything."""
-    x = np.zeros(1 + 2 * len(TAGS) + len(LEAVES) + 2 * len(WORDS))
-    x[0] = 1
-    at = 1
-    near = None
-    for tag, _ in stack:
-        if tag in _TAG_AT:
-            x[at + _TAG_AT[tag]] = 1
-            near = _TAG_AT[tag]
-    at += len(TAGS)
-    if near is not None:
-        x[at + near] = 1
-    at += len(TAGS)
-    if stack and stack[-1][0] in _LEAF_AT:
-        x[at + _LEAF_AT[stack[-1][0]]] = 1
-    at += len(LEAVES)
-    last: tuple[int, ...] = ()
-    for _, groups in stack:
-        for g in groups:
-            x[at + g] = 1
-        last = groups or last
-    at += len(WORDS)
-    for g in last:
-        x[at + g] = 1
-    return x
-
-
-def features(blocks: list[tuple[str, float, tuple, int]], known: dict[tuple, np.ndarray]) -> np.ndarray:
+def features(blocks: list[tuple[str, float, Node, int]]) -> np.ndarray:
     n = len(blocks)
     x = np.zeros((n, FEATURES))
-    for k, (text, linked, stack, _) in enumerate(blocks):
-        if stack not in known:
-            if len(known) > 20_000:
-                known.clear()
-            known[stack] = _stack_features(stack)
+    before: Node | None = None
+    for k, (text, linked, path, _) in enumerate(blocks):
         chars = len(text)
         words = text.count(" ") + 1
-        talk = bool(TALKS.search(text[:400])) if chars < 4000 else False  # a hint for short texts; the text itself stays whole
+        talk = sum(map(TALK.__contains__, SAID(text.lower()))) / words
         stop = text[-1] in ".!?…\"'”»:;"
         commas = text.count(",")
-        before = blocks[k - 1] if k else None
-        x[k, : -_N_TEXT] = known[stack]
-        x[k, -_N_TEXT:] = (
-            min(np.log1p(chars) / 6, 1.5), words < 4, words < 10, words > 25, words > 60, linked, linked > 0.5, linked > 0.9, stop, stop and words > 6, talk, talk and words < 25, min(commas / words, 0.3),
-            text[:1].isupper(), "|" in text or "·" in text or "»" in text, min(len(stack), 12) / 12, k / max(n - 1, 1), bool(before) and before[2] == stack, bool(before) and before[2][:-1] == stack[:-1],
+        x[k, :_STACK] = path.features()
+        x[k, _STACK:] = (
+            min(np.log1p(chars) / 6, 1.5), words < 4, words < 10, words > 25, words > 60, linked, linked > 0.5, linked > 0.9, stop, stop and words > 6, min(3 * talk, 1.5), talk > 0.06, talk > 0 and words < 25,
+            min(commas / words, 0.3), text[:1].isupper(), "|" in text or "·" in text or "»" in text, min(path.depth, 12) / 12, k / max(n - 1, 1), before is path,
+            before is not None and before.parent is path.parent,
         )
+        before = path
     return x
 
 
@@ -377,11 +456,12 @@ class PageMaker:
 def fit_field(pages: int = PAGES, seed: int = SEED) -> LinearChainCrf:
     """The field for pages made with a seed."""
     r = random.Random(seed)
-    xs, ys, lengths, known = [], [], [], {}
+    xs, ys, lengths, paths = [], [], [], Paths()
     for _ in range(pages):
-        blocks = blocks_of(PageMaker(r).page(), "data-main")
+        paths.tidy()
+        blocks = blocks_of(PageMaker(r).page(), "data-main", paths)
         if blocks:
-            xs.append(features(blocks, known))
+            xs.append(features(blocks))
             ys += [b[3] for b in blocks]
             lengths.append(len(blocks))
     return LinearChainCrf(2, FEATURES).fit(np.concatenate(xs), np.array(ys), np.array(lengths), rounds=220, l2=3e-4)
@@ -397,13 +477,14 @@ def field(pages: int = PAGES, seed: int = SEED) -> LinearChainCrf:
     return _fields[pages, seed]
 
 
-def label_pages(pages: list[str | None], model: LinearChainCrf, known: dict) -> list[list[str]]:
+def label_pages(pages: list[str | None], model: LinearChainCrf, paths: Paths) -> list[list[str]]:
     """The main blocks of each page."""
-    blocks = [blocks_of(p) if p else [] for p in pages]
+    paths.tidy()
+    blocks = [blocks_of(p, None, paths) if p else [] for p in pages]
     lengths = np.array([len(b) for b in blocks], np.int64)
     if not lengths.sum():
         return [[] for _ in pages]
-    states = model.viterbi(np.concatenate([features(b, known) for b in blocks if b]), lengths)
+    states = model.viterbi(np.concatenate([features(b) for b in blocks if b]), lengths)
     out, at = [], 0
     for b in blocks:
         out.append([x[0] for x, s in zip(b, states[at : at + len(b)].tolist(), strict=True) if s])
@@ -417,11 +498,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with calm_gc():
-            known: dict = {}
+            paths = Paths()
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     part = batch.slice(at, 64)
-                    text = [" ".join(b) for b in label_pages(part.column(2).to_pylist(), model, known)]
+                    text = [" ".join(b) for b in label_pages(part.column(2).to_pylist(), model, paths)]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

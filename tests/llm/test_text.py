@@ -67,11 +67,11 @@ def field():
 
 
 def test_made_pages(field):
-    r, known, right, n = random.Random(77), {}, 0, 0
+    r, right, n = random.Random(77), 0, 0
     for _ in range(120):
         blocks = html_text.blocks_of(html_text.PageMaker(r).page(), "data-main")
         if blocks:
-            s = field.viterbi(html_text.features(blocks, known), np.array([len(blocks)]))
+            s = field.viterbi(html_text.features(blocks), np.array([len(blocks)]))
             right += int((s == np.array([b[3] for b in blocks])).sum())
             n += len(blocks)
     assert right > 0.95 * n
