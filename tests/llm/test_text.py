@@ -52,6 +52,56 @@ def test_patience():
         assert len(licenses.patience(a, b)) == common(a, b)
 
 
+def place_words(text):
+    return licenses.words_of(text)
+
+
+def test_places_of_licenses(docs_of):
+    """Whole texts by name, with places and coverage, where foreign words of any number stand between their parts."""
+    for name, text in licenses.NOTICES.items():
+        words = len(place_words(text))
+        for between in (0, 40, 120, 5000) if words >= 60 else (0,):
+            parts = text.split()
+            half = len(parts) // 2
+            page = filler(3, 30) + "\n" + " ".join(parts[:half]) + ("\n" + filler(4, between) + "\n" if between else " ") + " ".join(parts[half:]) + "\n" + filler(5, 30)
+            rows = [r for r in licenses.scan_licenses(docs_of([page])).collect()] if between in (0, 120) else [licenses_row(r) for r in licenses.Scanner(licenses.NOTICES, licenses.COVERAGE).scan(page)]
+            mine = [r for r in rows if r["license"] == name]
+            assert len(mine) == 1, (name, between, rows)
+            r = mine[0]
+            assert {x["license"].split("-")[0] for x in rows} <= {name.split("-")[0], *(["BSD"] if name.startswith("BSD") else [])}, (name, rows)
+            before = len(place_words(filler(3, 30)))
+            assert r["coverage"] >= 0.95 and before <= r["first_word"] <= before + 2 and abs(r["last_word"] - (before + words + between - 1)) <= 2, (name, between, r)
+
+
+def licenses_row(r):
+    return dict(zip(("license", "coverage", "matched", "first_word", "last_word"), r, strict=True))
+
+
+def test_coverage_against_common_subsequence():
+    """No place claims more than a longest common subsequence, and damaged copies reach nearly that."""
+    r = random.Random(12)
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.COVERAGE)
+    for name in ("MIT-full", "GPL-header", "Zlib-full", "ISC-full"):
+        text = place_words(licenses.NOTICES[name])
+        for _ in range(12):
+            damaged = [w for w in text if r.random() > 0.08]
+            for _ in range(6):
+                damaged.insert(r.randrange(len(damaged)), r.choice(["foo", "bar", "the", "software"]))
+            found = [p for p in map(licenses_row, scanner.scan(" ".join(damaged))) if p["license"] == name]
+            best = common(damaged, text)
+            assert len(found) == 1 and best >= found[0]["matched"] >= 0.93 * best and found[0]["coverage"] == found[0]["matched"] / len(text)
+
+
+def test_fragments_of_one_license_again(docs_of):
+    parts = licenses.NOTICES["MIT-full"].split()
+    one, two, three = (" ".join(parts[k * len(parts) // 3 : (k + 1) * len(parts) // 3]) for k in range(3))
+    texts = [f"{one} {filler(1, 300)} {two} {filler(2, 300)} {three} {filler(3, 300)} {one} {filler(4, 300)} {two} {filler(5, 300)} {three}", f"{one} {filler(6, 300)} {one} {filler(6, 300)} {one}", f"{three} {filler(7, 300)} {one}"]
+    rows = licenses.scan_licenses(docs_of(texts)).collect()
+    assert [r["doc_id"] for r in rows if r["license"] == "MIT-full"] == [0, 0]
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.COVERAGE)
+    assert len(scanner.scan((licenses.NOTICES["MIT-full"] + " " + filler(8, 500) + " ") * 60)) == 60
+
+
 def test_licenses(docs_of):
     mit, gpl = licenses.NOTICES["MIT-text"], "This work is licensed under the GNU General Public License, version 2."
     texts = [filler(1) + "\n" + mit + "\n" + filler(2), gpl + "\n" + filler(3) + "\n" + gpl, filler(4), None, "", "Licensed under the Apache License, Version 2.0.", "the license of the software is under the version", mit.replace("free of charge", "at no cost").upper()]
