@@ -130,20 +130,20 @@ def _width(bits: int) -> int:
     return -(-(64 - bits) // 8)
 
 
-def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int) -> list[tuple]:
-    """The rows of a block of sets: what the range doesn't tell of each hash, by range, or counts and texts of what is frequent in the block."""
+def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int, least: int) -> list[tuple]:
+    """The rows of a block of sets: what the range doesn't tell of each hash, by range, or counts and texts of what `least` texts of the block or more have."""
     sizes = np.array([len(s) for s in sets], np.int64)
     hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     names = np.array(keys, np.int64).view(np.uint64)
     rows: list[tuple] = []
     slots = (hashes & _U((1 << 21) - 1)).astype(np.int64)
-    often = np.bincount(slots, minlength=1 << 21)[slots] >= FREQUENT
+    often = np.bincount(slots, minlength=1 << 21)[slots] >= least
     if often.any():
         where = np.flatnonzero(often)
         where = where[np.argsort(hashes[where], kind="stable")]
         begin, count = _runs(hashes[where])
         for b, c in zip(begin.tolist(), count.tolist(), strict=True):
-            if c >= FREQUENT:
+            if c >= least:
                 own = where[b : b + c]
                 h = hashes[own[0]]
                 rows.append((int(h >> _U(64 - bits)) if bits else 0, "frequent", h.tobytes(), None, None, c))
@@ -187,13 +187,13 @@ def _shred(words: int, bits: int):
                         held += len(found)
                         if held >= BLOCK:
                             salt += 1
-                            yield _batch(_shred_block(sets, [*keys], bits, salt))
+                            yield _batch(_shred_block(sets, [*keys], bits, salt, FREQUENT))
                             sets, held = [], 0
                             keys.clear()
                 if docs:
                     yield _batch(docs)
             if sets:
-                yield _batch(_shred_block(sets, [*keys], bits, salt + 1))
+                yield _batch(_shred_block(sets, [*keys], bits, salt + 1, FREQUENT))
 
     return run
 
@@ -454,13 +454,13 @@ def _overlaps(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total[np.searchsorted(ua, a), np.searchsorted(ub, b)].astype(np.int64)
 
 
-def block_links(x: _Block, y: _Block, same: bool, similar: int = SIMILAR) -> list[tuple[int, int]]:
+def block_links(x: _Block, y: _Block, same: bool, similar: int = SIMILAR, few: int = FEW) -> list[tuple[int, int]]:
     """Links between texts of two blocks that connect all that its similar pairs connect."""
     a, b = _candidates(x, y, same, similar)
     if not len(a):
         return []
     least = -(-similar * (x.n[a] + y.n[b]) // (100 + similar))
-    if len(a) <= FEW:
+    if len(a) <= few:
         good = np.array([suffix_bound(x.sets[i], y.sets[j]) >= m and overlap(x.sets[i], y.sets[j]) >= m for i, j, m in zip(a.tolist(), b.tolist(), least.tolist(), strict=True)], bool)
     else:
         good = _overlaps(x, y, a, b) >= least
@@ -488,7 +488,7 @@ def _verify_blocks(similar: int):
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
                 x = _Block(one.as_py())
                 rows = two.as_py()
-                out += block_links(x, x if rows is None else _Block(rows), rows is None, similar)
+                out += block_links(x, x if rows is None else _Block(rows), rows is None, similar, FEW)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
 
     return run

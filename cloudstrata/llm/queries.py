@@ -71,7 +71,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(
         F.inline(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for k, r in enumerate(("user", "assistant"))]))
     )
-    return chat.read_back(chat.format_chats(rows.unionByName(extra)))
+    return chat.read_back(chat.format_chats(rows.unionByName(extra)), in_order=True)
 
 
 QUERIES = {
