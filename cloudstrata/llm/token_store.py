@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.joins import join_hot
 from cloudstrata.llm.bpe import byte_alphabet, calm_gc
 from cloudstrata.session import drop_folder
 
@@ -378,7 +379,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
     recipes = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", F.posexplode("chunks").alias("pos", "digest"))
-    joined = recipes.join(read_chunks(spark, folder), "digest").groupBy("doc_id", "start").agg(F.collect_list(F.struct("pos", "n_ids", "payload")).alias("parts"))
+    joined = join_hot(recipes, read_chunks(spark, folder), ["digest"]).groupBy("doc_id", "start").agg(F.collect_list(F.struct("pos", "n_ids", "payload")).alias("parts"))
     return joined.mapInArrow(join_payloads, "doc_id long, start long, ids array<long>")
 
 
@@ -422,5 +423,5 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
     checked = read_chunks(spark, folder).select("digest", "n_ids", "payload").mapInArrow(check, "digest binary, n_ids int, crc long, good boolean")
     steps = spark.read.parquet(f"{folder}/recipes").select("doc_id", "start", "n_tokens", "root", F.posexplode(F.arrays_zip("chunks", "lengths")).alias("pos", "c"))
     steps = steps.select("doc_id", "start", "n_tokens", "root", "pos", F.col("c.chunks").alias("digest"), F.col("c.lengths").alias("length"))
-    parts = steps.join(checked, "digest", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("pos", "digest", "length", "n_ids", "crc", "good")).alias("parts"))
+    parts = join_hot(steps, checked, ["digest"], "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("pos", "digest", "length", "n_ids", "crc", "good")).alias("parts"))
     return parts.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, intact boolean")
