@@ -117,7 +117,7 @@ def crc32_join(left: int, right: int, right_bytes: int) -> int:
 
 
 #: Bytes of text that are encoded together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ class LibraryEncoder:
 
     ENDS = tuple(".,;:!?")
 
-    def __init__(self, path: str, entries: int = 1_500_000):
+    def __init__(self, path: str, entries: int = 1_100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -181,7 +181,7 @@ class LibraryEncoder:
 
     def _other(self, pieces: list[str]) -> list[bytes | None]:
         """The ids of a space and each piece; None for pieces that can't be taken alone."""
-        if len(self.others) > 200_000:
+        if len(self.others) > 100_000:
             self.others = {}
         known, new = self.others, []
         for p in pieces:
