@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: So many rows of one key are no burden to a task.
-FEW_ROWS = 2_000
+FEW_ROWS = 50_000
 SALT = "__salt"
 
 
