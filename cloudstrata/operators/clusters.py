@@ -24,9 +24,15 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     places = cut(nodes(points).select(F.col("row_id").alias("node"), *AXES, "weight"), "places")
     pairs = cut(radius_join(places, places, eps).select(F.col("q.node").alias("a"), F.col("p.node").alias("b"), F.col("p.weight").alias("w")), "radius-pairs")
     core = cut(pairs.groupBy("a").agg(F.sum("w").alias("near")).filter(F.col("near") >= min_samples).select(F.col("a").alias("node")), "core")
-    from_core = pairs.join(core.withColumnRenamed("node", "a"), "a")
-    edges = from_core.join(core.withColumnRenamed("node", "b"), "b").select("a", "b")
-    found = cut(connected_components(edges, "a", "b"), "clusters")  # a core point pairs with itself, so none is left out
+    # core points of a cell whose diagonal is at most eps are within eps of one another: the least stands for them
+    cell = [F.floor(F.col(a) / F.lit(eps / 3**0.5 * (1 - 1e-9))).alias(f"__c{a}") for a in AXES]
+    at = core.join(places, "node").select("node", *cell)
+    first = at.groupBy(*[f"__c{a}" for a in AXES]).agg(F.min("node").alias("first"))
+    stands = cut(at.join(first, [f"__c{a}" for a in AXES]).select("node", "first"), "core-cells")
+    from_core = pairs.filter("a <= b").join(stands.select(F.col("node").alias("a"), F.col("first").alias("fa")), "a")
+    edges = from_core.join(stands.select(F.col("node").alias("b"), F.col("first").alias("fb")), "b").select("fa", "fb").distinct()
+    joined = connected_components(edges, "fa", "fb").withColumnRenamed("node", "first")  # a core point pairs with itself, so none is left out
+    found = cut(stands.join(joined, "first").select("node", "component"), "clusters")
     first = found.groupBy("component").agg(F.min("node").alias("first"))
     numbers = placed(first, ["first"], "label").select("component", "label")
     labels = found.join(numbers, "component").select("node", "label")

@@ -1,7 +1,9 @@
 """Neighbour joins over a grid: radius pairs and nearest neighbours.
 
 A cell is as wide as the radius, so partners lie in the 27 cells around a point.
-Coincident points are one node with a count: many equal points don't multiply.
+Coincident points are one node with a count, or only the least of them can be
+among the nearest: many equal points don't multiply. A cell that very many
+points share is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.joins import join_hot
+from cloudstrata.functions.numbering import quantiles
 from cloudstrata.operators.profile import AXES
 from cloudstrata.session import cut
 
@@ -48,7 +52,9 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, by: list[str] | Non
     """query row_id, rank, neighbour row_id and distance of the k nearest points. other: a point isn't its own neighbour. Ties go to the smaller row_id.
 
     The grid begins with cells that hold about k points; queries whose k-th
-    neighbour is farther than a cell go on with cells twice as wide.
+    neighbour is farther than a cell go on with cells twice as wide. Queries are
+    repeated for the cells around them, so later rounds with few of them are cheap, and the points of
+    a wide cell that is in demand are dealt over many tasks.
     """
     by = by or []
     box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -58,12 +64,18 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, by: list[str] | Non
     spans = [max(box[f"hi{a}"] - box[f"lo{a}"], 1e-9) for a in AXES]
     widest = max(spans)
     size = max((spans[0] * spans[1] * spans[2] * (k + 1) / box["n"]) ** (1 / 3), widest / 2**20)
+    # of coincident points the k + 1 least are enough; they are limited before the shuffle
+    place = W.partitionBy(*by, *AXES).orderBy("pid")
+    everything = points.select(*by, F.col("row_id").alias("pid"), *AXES).withColumn("__k", F.row_number().over(place)).filter(F.col("__k") <= k + 1).drop("__k")
+    everything = cut(everything, "places")
     open_queries = queries.select(*by, F.col("row_id").alias("qid"), *AXES)
-    everything = points.select(*by, F.col("row_id").alias("pid"), *AXES)
     done = None
     while True:
         last = size >= widest
-        pairs = radius_join(open_queries, everything, size if not last else 4 * widest, by)
+        cell = size if not last else 4 * widest
+        q = _around(_cells(open_queries.select(*by, *AXES, F.struct("qid", *AXES).alias("q")), cell)).drop(*AXES)
+        p = _cells(everything.select(*by, *AXES, F.struct("pid", *AXES).alias("p")), cell).drop(*AXES)
+        pairs = join_hot(p, q, [*by, *[f"c{a}" for a in AXES]]).select("q", "p", _squared("q", "p").alias("d2")).filter(F.col("d2") <= cell * cell)
         if other:
             pairs = pairs.filter("q.qid <> p.pid")
         rank = F.row_number().over(W.partitionBy("query").orderBy("d2", "neighbour"))
@@ -80,24 +92,26 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, by: list[str] | Non
         size *= 2
 
 
+QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
+
+
 def spacing_report(points: DataFrame) -> DataFrame:
     """One row about nearest other points: quantiles of distances and of those above zero, zeros, points beyond distinct places, and twice the median above zero as a radius."""
-    near = k_nearest(points, points, 1, other=True).select("distance")
-    q = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
-    above = F.when(F.col("distance") > 0, F.col("distance"))
-    out = near.agg(
-        F.count("*").alias("points"), F.percentile("distance", F.array(*map(F.lit, q))).alias("a"), F.percentile(above, F.array(*map(F.lit, q))).alias("b"), F.count_if(F.col("distance") == 0).alias("zeros")
-    )
-    places = points.agg((F.count("*") - F.countDistinct(*AXES)).alias("duplicates"))
-    names = [f"q{int(100 * v):02d}" for v in q]
-    return out.crossJoin(places).select(  # two single rows
-        "points", *[F.col("a")[k].alias(n) for k, n in enumerate(names)], *[F.col("b")[k].alias(f"{n}_above_zero") for k, n in enumerate(names)], "zeros", "duplicates", (2 * F.col("b")[2]).alias("suggested_radius")
-    )
+    near = cut(k_nearest(points, points, 1, other=True).select("distance"), "spacings")
+    names = [f"q{int(100 * v):02d}" for v in QUANTILES]
+    both = near.withColumn("kind", F.lit(0)).unionByName(near.filter("distance > 0").withColumn("kind", F.lit(1)))
+    q = quantiles(both, "distance", QUANTILES, ["kind"])
+    pick = lambda kind, k: F.max(F.when(F.col("kind") == kind, F.col("quantiles")[k]))
+    wide = q.agg(*[pick(0, k).alias(n) for k, n in enumerate(names)], *[pick(1, k).alias(f"{n}_above_zero") for k, n in enumerate(names)], (2 * pick(1, 2)).alias("suggested_radius"))
+    counts = near.agg(F.count("*").alias("points"), F.count_if(F.col("distance") == 0).alias("zeros"))
+    places = points.select(*AXES).distinct().agg(F.count("*").alias("__places")).crossJoin(points.agg(F.count("*").alias("__all")))  # single rows
+    out = counts.crossJoin(places).crossJoin(wide)  # single rows
+    return out.select("points", *names, *[f"{n}_above_zero" for n in names], "zeros", (F.col("__all") - F.col("__places")).alias("duplicates"), "suggested_radius")
 
 
 def sampled_spacing(points: DataFrame, most: int = 6000) -> DataFrame:
     """Median and ninetieth percentile of nearest distances, zeros included, and the share of zeros, for an even sample of queries against all points."""
     from cloudstrata.operators.regions import even_sample
 
-    near = k_nearest(even_sample(points, most, ["row_id"]), points, 1, other=True)
+    near = k_nearest(even_sample(points, most, ["row_id"]), points, 1, other=True)  # `most` rows at most
     return near.agg(F.median("distance").alias("median"), F.percentile("distance", 0.9).alias("p90"), F.avg((F.col("distance") == 0).cast("double")).alias("zero_fraction"))

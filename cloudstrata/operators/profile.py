@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.numbering import quantiles
+
 PERCENTILES = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
 AXES = ("x", "y", "z")
 
@@ -22,17 +24,18 @@ def unpivoted(df: DataFrame, dimensions: list[str]) -> DataFrame:
 def statistics(df: DataFrame, dimensions: list[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Count, least, greatest, mean, population deviation and percentiles of each dimension's finite values.
 
-    exact percentiles hold a count for each distinct value of a dimension; without
-    it a sketch of bounded size answers, which is the choice for very large tables.
+    Exact percentiles are found by counting and numbering values in ranges, so no task
+    holds a dimension; without exact a sketch of bounded size answers, as streams need.
     A dimension without finite values is there with available = false.
     """
     v = F.when(finite(F.col("value")), F.col("value"))
-    quantile = (lambda p: F.percentile(v, p)) if exact else (lambda p: F.percentile_approx(v, p, accuracy))
-    out = unpivoted(df, dimensions).groupBy("dimension").agg(
-        (F.count(v) > 0).alias("available"), F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("standard_deviation"),
-        *[quantile(p).alias(n) for n, p in PERCENTILES.items()],
-    )
-    return out
+    basic = [(F.count(v) > 0).alias("available"), F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("standard_deviation")]
+    rows = unpivoted(df, dimensions)
+    if not exact:
+        return rows.groupBy("dimension").agg(*basic, *[F.percentile_approx(v, p, accuracy).alias(n) for n, p in PERCENTILES.items()])
+    found = quantiles(rows.withColumn("value", v), "value", [*PERCENTILES.values()], ["dimension"])
+    out = rows.groupBy("dimension").agg(*basic).join(found, "dimension", "left")
+    return out.select("dimension", "available", "count", "min", "max", "mean", "standard_deviation", *[F.col("quantiles")[k].alias(n) for k, n in enumerate(PERCENTILES)])
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

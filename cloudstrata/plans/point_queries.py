@@ -177,41 +177,42 @@ def cluster_representatives(spark, sf_dir):
 _D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
 
-def _subset(spark, sf_dir):
-    return points(spark, sf_dir).filter("classification = 'click'")
+_Q = {f"q{int(100 * v):02d}": v for v in neighbours.QUANTILES}
+_NN = f"nn AS (SELECT a.row_id, sqrt(min({_D2})) AS d FROM pts a JOIN pts b ON a.row_id <> b.row_id GROUP BY a.row_id)"
 
 
-_SUB = f"{PTS}, sub AS (SELECT * FROM pts WHERE classification = 'click')"
-_Q = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95}
-_NN = f"nn AS (SELECT a.row_id, sqrt(min({_D2})) AS d FROM sub a JOIN sub b ON a.row_id <> b.row_id GROUP BY a.row_id)"
+def _close(radius: float) -> str:
+    """Pairs a, b of points of a side at most a radius apart, met in cells of x."""
+    return f"""(SELECT *, CAST(floor(x / {radius}) AS BIGINT) + d AS cell FROM pts, generate_series(-1, 1) t(d)) a JOIN pts b ON a.side = b.side AND CAST(floor(b.x / {radius}) AS BIGINT) = a.cell
+AND abs(a.y - b.y) <= {radius} AND abs(a.z - b.z) <= {radius} AND {_D2} <= CAST({radius} AS DOUBLE) * CAST({radius} AS DOUBLE)"""
 
 
-@query(f"""WITH {_SUB}, {_NN} SELECT count(*) AS points, {", ".join(f"round(quantile_cont(d, {p}), 6) AS {n}" for n, p in _Q.items())},
+@query(f"""WITH {PTS}, {_NN} SELECT count(*) AS points, {", ".join(f"round(quantile_cont(d, {p}), 6) AS {n}" for n, p in _Q.items())},
 {", ".join(f"round(quantile_cont(d, {p}) FILTER (d > 0), 6) AS {n}_above_zero" for n, p in _Q.items())}, count(*) FILTER (d = 0) AS zeros,
-(SELECT count(*) - count(DISTINCT (x, y, z)) FROM sub) AS duplicates, round(2 * quantile_cont(d, 0.5) FILTER (d > 0), 6) AS suggested_radius FROM nn""")
+(SELECT count(*) - count(DISTINCT (x, y, z)) FROM pts) AS duplicates, round(2 * quantile_cont(d, 0.5) FILTER (d > 0), 6) AS suggested_radius FROM nn""")
 def nn_spacing(spark, sf_dir):
-    return rounded(neighbours.spacing_report(_subset(spark, sf_dir)))
+    return rounded(neighbours.spacing_report(points(spark, sf_dir)))
 
 
-@query(f"""WITH {_SUB}, one AS (SELECT *, 1 AS one FROM sub), {_EVEN.format(by="one", of="one", m=200)}, q AS (SELECT * FROM n WHERE n <= 200 OR rn IN (SELECT place FROM w)),
-nn AS (SELECT a.row_id, sqrt(min({_D2})) AS d FROM q a JOIN sub b ON a.row_id <> b.row_id GROUP BY a.row_id)
+@query(f"""WITH {PTS}, one AS (SELECT *, 1 AS one FROM pts), {_EVEN.format(by="one", of="one", m=200)}, q AS (SELECT * FROM n WHERE n <= 200 OR rn IN (SELECT place FROM w)),
+nn AS (SELECT a.row_id, sqrt(min({_D2})) AS d FROM q a JOIN pts b ON a.row_id <> b.row_id GROUP BY a.row_id)
 SELECT round(median(d), 6) AS "median", round(quantile_cont(d, 0.9), 6) AS p90, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_fraction FROM nn""")
 def nn_spacing_sampled(spark, sf_dir):
-    return rounded(neighbours.sampled_spacing(_subset(spark, sf_dir), 200))
+    return rounded(neighbours.sampled_spacing(points(spark, sf_dir), 200))
 
 
-@query(f"""WITH {_SUB}, r AS (SELECT a.row_id AS query, b.row_id AS neighbour, {_D2} AS d2 FROM (SELECT * FROM sub WHERE row_id % 20 = 0) a JOIN sub b ON a.row_id <> b.row_id),
+@query(f"""WITH {PTS}, r AS (SELECT a.row_id AS query, b.row_id AS neighbour, {_D2} AS d2 FROM (SELECT * FROM pts WHERE row_id % 100 = 0) a JOIN pts b ON a.row_id <> b.row_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, neighbour) AS "rank" FROM r) SELECT query, CAST("rank" AS INTEGER) AS "rank", neighbour, round(sqrt(d2), 6) AS distance FROM k WHERE "rank" <= 3""")
 def k_nearest(spark, sf_dir):
-    sub = _subset(spark, sf_dir)
-    return rounded(neighbours.k_nearest(sub.filter("row_id % 20 = 0"), sub, 3, other=True))
+    """The stated set of queries, rows whose id is divisible by 100, against all points."""
+    p = points(spark, sf_dir)
+    return rounded(neighbours.k_nearest(p.filter("row_id % 100 = 0"), p, 3, other=True))
 
 
-@query(f"""WITH {_SUB} SELECT a.row_id AS row_id, count(*) AS neighbours, round(sum(sqrt({_D2})), 6) AS total_distance FROM sub a JOIN sub b ON a.side = b.side
-AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} AND abs(a.z - b.z) <= {RADIUS} AND {_D2} <= CAST({RADIUS} AS DOUBLE) * CAST({RADIUS} AS DOUBLE) GROUP BY a.row_id""")
+@query(f"""WITH {PTS} SELECT a.row_id AS row_id, count(*) AS neighbours, round(sum(sqrt({_D2})), 6) AS total_distance FROM {_close(RADIUS)} GROUP BY a.row_id""")
 def radius_neighbors(spark, sf_dir):
-    sub = _subset(spark, sf_dir).select("row_id", "side", *AXES)
-    pairs = neighbours.radius_join(sub, sub, RADIUS, ["side"])
+    p = points(spark, sf_dir).select("row_id", "side", *AXES)
+    pairs = neighbours.radius_join(p, p, RADIUS, ["side"])
     return rounded(pairs.groupBy(F.col("q.row_id").alias("row_id")).agg(F.count("*").alias("neighbours"), F.sum(F.sqrt("d2")).alias("total_distance")))
 
 
@@ -286,13 +287,12 @@ def pca_global(spark, sf_dir):
     return rounded(out.select("side", "classification", "count", "status", "cxx", "cxy", "czz", *_SHAPE, "surface_verticality", *[f"extent_{a}" for a in AXES]))
 
 
-_NEAR = f"""{_SUB}, nb AS (SELECT a.row_id AS row_id, b.x, b.y, b.z FROM (SELECT * FROM sub WHERE row_id % 5 = 0) a JOIN sub b ON a.side = b.side AND abs(a.x - b.x) <= 21.7 AND abs(a.y - b.y) <= 21.7
-AND abs(a.z - b.z) <= 21.7 AND {_D2} <= 21.7::DOUBLE * 21.7::DOUBLE), {eigen_sql("nb", "row_id")}"""
+_NEAR = f"""{PTS}, nb AS (SELECT a.row_id AS row_id, b.x, b.y, b.z FROM {_close(21.7)}), {eigen_sql("nb", "row_id")}"""
 
 
 def _local(spark, sf_dir):
-    sub = _subset(spark, sf_dir)
-    return shape.local_features(sub.filter("row_id % 5 = 0"), sub, 21.7, ["side"])
+    p = points(spark, sf_dir)
+    return shape.local_features(p, p, 21.7, ["side"])
 
 
 @query(f"""WITH {_NEAR} SELECT row_id, n AS "count", status, round(linearity, 5) AS linearity, round(planarity, 5) AS planarity, round(scattering, 5) AS scattering FROM f""")
@@ -325,14 +325,14 @@ def box_scan(spark, sf_dir):
     return regions.box_points(points(spark, sf_dir), _BOXES, 5.0).select("box", "row_id", *AXES)
 
 
-@query(f"""WITH {PTS}, dense AS (SELECT *, CAST(user_id % 7 AS INTEGER) AS label FROM pts WHERE side = 'left'), seeds AS (SELECT * FROM pts WHERE side = 'right' AND row_id % 10 = 0),
+@query(f"""WITH {PTS}, dense AS (SELECT *, CAST(user_id % 7 AS INTEGER) AS label FROM pts WHERE side = 'left'), seeds AS (SELECT * FROM pts WHERE side = 'right'),
 nn AS (SELECT a.row_id, arg_min(b.label, ({_D2}, b.row_id)) AS label, sqrt(min({_D2})) AS d FROM seeds a, dense b GROUP BY a.row_id), s AS (SELECT label, count(*) AS support FROM nn WHERE d <= 12.07 GROUP BY label),
 o AS (SELECT d.label, count(*) AS points, coalesce(max(support), 0) AS support FROM dense d LEFT JOIN s ON s.label = d.label GROUP BY d.label)
 SELECT label, points, support, CAST(row_number() OVER (ORDER BY support DESC, points DESC, label) AS INTEGER) AS place FROM o""")
 def seed_support(spark, sf_dir):
     p = points(spark, sf_dir)
     dense = p.filter("side = 'left'").withColumn("label", (F.col("user_id") % 7).cast("int"))
-    return clusters.seed_support(dense, p.filter("side = 'right' and row_id % 10 = 0"), 12.07)
+    return clusters.seed_support(dense, p.filter("side = 'right'"), 12.07)
 
 
 @query()

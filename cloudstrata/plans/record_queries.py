@@ -46,10 +46,10 @@ def context_anti(spark, sf_dir):
     return records.context_of(e, e.filter("event_type = 'click' and user_id % 3 = 0"), "event_id").select("event_id", "user_id", "event_type")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS r FROM lineitem WHERE l_suppkey <= 40), n AS (SELECT g, count(*) AS n FROM m GROUP BY g)
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS g, l_orderkey AS r FROM lineitem), n AS (SELECT g, count(*) AS n FROM m GROUP BY g)
 SELECT a.g AS a, b.g AS b, count(*) AS shared, round(count(*) / least(any_value(na.n), any_value(nb.n)), 6) AS smaller_share FROM m a JOIN m b ON a.r = b.r AND a.g < b.g JOIN n na ON na.g = a.g JOIN n nb ON nb.g = b.g GROUP BY a.g, b.g""")
 def membership_overlap(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 40").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("r"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_orderkey").alias("r"))
     return rounded(records.shared_members(m, "g", "r"))
 
 
@@ -160,7 +160,7 @@ def alias_lookup(spark, sf_dir):
     return each.join(each.groupBy("legacy").agg(F.count("*").alias("matches")), "legacy").filter("matches = 1").select("id", "legacy", "matches")
 
 
-_MEMBERS = """m AS (SELECT l_suppkey % 12 AS c, l_shipmode_ AS source, l_orderkey AS r, l_quantity AS q FROM (SELECT *, CASE WHEN l_linenumber <= 3 THEN 'left' ELSE 'right' END AS l_shipmode_ FROM lineitem WHERE l_suppkey <= 36 AND l_orderkey % 5 = 0))"""
+_MEMBERS = """m AS (SELECT l_suppkey % 12 AS c, l_shipmode_ AS source, l_orderkey AS r, l_quantity AS q FROM (SELECT *, CASE WHEN l_linenumber <= 3 THEN 'left' ELSE 'right' END AS l_shipmode_ FROM lineitem))"""
 
 
 @query(f"""WITH {_MEMBERS}, d AS (SELECT DISTINCT source || c AS g, source, r FROM m), n AS (SELECT g, count(*) AS n FROM d GROUP BY g), sh AS (SELECT a.g AS a, b.g AS b, count(*) AS shared, any_value(na.n) AS na, any_value(nb.n) AS nb
@@ -169,7 +169,7 @@ bx AS (SELECT source || c AS g, source, min(r) AS lo, max(r) AS hi, min(q) AS ql
 SELECT coalesce(sh.a, ov.a) AS a, coalesce(sh.b, ov.b) AS b, coalesce(shared, 0) AS shared, round(coalesce(shared / least(na, nb), 0), 6) AS smaller_share, ov.a IS NOT NULL AS boxes_overlap FROM sh FULL JOIN ov ON sh.a = ov.a AND sh.b = ov.b""")
 def pair_evidence(spark, sf_dir):
     side = F.when(F.col("l_linenumber") <= 3, "left").otherwise("right")
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 36 and l_orderkey % 5 = 0").select(side.alias("source"), (F.col("l_suppkey") % 12).alias("c"), F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").select(side.alias("source"), (F.col("l_suppkey") % 12).alias("c"), F.col("l_orderkey").alias("row_id"), F.col("l_quantity").alias("q"))
     rows = rows.withColumn("candidate_id", F.concat("source", F.col("c").cast("string")))
     box = rows.groupBy("source", "candidate_id").agg(F.min("row_id").alias("min_x"), F.max("row_id").alias("max_x"), F.min("q").alias("min_y"), F.max("q").alias("max_y"), F.lit(0).alias("min_z"), F.lit(0).alias("max_z"))
     return rounded(batches.pair_evidence(rows, box))

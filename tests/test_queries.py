@@ -8,9 +8,6 @@ import pytest
 from cloudstrata.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Too slow for the unit tests at no gain: other queries run the same operators.
-SLOW = {"nn_spacing_sampled", "cluster_summary", "cluster_table", "dense_regrouping"}
-
 
 @pytest.fixture(scope="module")
 def sql(sf_dir):
@@ -26,7 +23,7 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(name, spark, sf_dir, sql):
     df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
