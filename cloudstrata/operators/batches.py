@@ -138,3 +138,19 @@ def prepare_batch(components: DataFrame, membership: DataFrame, target: int = 20
     boxes = components.groupBy("source", "crop").agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
     return chosen, aliases, groups_of_edges(boxes, "crop", overlapping_boxes(boxes, "crop", "source"))
 
+
+
+def original_candidate(membership: DataFrame, crop: DataFrame, name: str, columns: list[str], key: str = "candidate_id") -> DataFrame:
+    """The crop's points of a saved candidate, without clustering again; ValueError unless they are there as saved."""
+    rows = membership.filter(F.col(key) == name).drop(key)
+    check_members(crop, rows, columns)
+    return crop.join(rows.select("row_id"), "row_id", "left_semi")
+
+
+def observations(reports: DataFrame, expected: int | None = None) -> DataFrame:
+    """A row for each crop of the latest report of each kind (kind, path, crops array<struct>): its report and the crop's fields. expected: an error for another number of crops."""
+    last = reports.groupBy("kind").agg(F.max_by(F.struct("path", "crops"), "path").alias("r"))
+    out = last.select("kind", F.col("r.path").alias("path"), F.inline("r.crops"))
+    if expected is not None and out.count() != expected:
+        raise ValueError(f"not {expected} crops")
+    return out

@@ -80,3 +80,15 @@ def text_report(stats: list, counts: list) -> str:
     """A profile for people: a line for each dimension and each counted value."""
     lines = [f"{r['dimension']}: n={r['count']} " + " ".join(f"{k}={r[k]:.6g}" for k in ("min", "p01", "median", "p99", "max", "mean", "standard_deviation")) if r["available"] else f"{r['dimension']}: not available" for r in sorted(stats, key=lambda r: r["dimension"])]
     return "\n".join(lines + [f"{r['dimension']}={r['value']}: {r['count']}" for r in sorted(counts, key=lambda r: (r["dimension"], -r["count"], r["value"]))]) + "\n"
+
+
+def json_profile(stats: DataFrame, counts: DataFrame) -> DataFrame:
+    """One JSON document of a profile: dimensions by name, and counts by dimension and value."""
+    one = stats.agg(F.sort_array(F.collect_list(F.struct(*stats.columns))).alias("dimensions"))  # a row for each dimension
+    two = counts.agg(F.sort_array(F.collect_list(F.struct(*counts.columns))).alias("counts"))  # a row for each counted value
+    return one.crossJoin(two).select(F.to_json(F.struct("dimensions", "counts")).alias("profile"))  # single rows
+
+
+def same_schema(left: DataFrame, right: DataFrame) -> bool:
+    """Whether both have the same dimensions in the same order."""
+    return left.columns == right.columns

@@ -54,3 +54,21 @@ def disagreement(scores: DataFrame, digits: int | None = None) -> DataFrame:
     views = top(ranked(scores, ["candidate", "view"]), 1).select("candidate", F.col("prompt").alias("view_top1"))
     joined = views.join(best, "candidate")
     return joined.groupBy("candidate", "top1").agg(F.avg((F.col("view_top1") != F.col("top1")).cast("double")).alias("disagreement"))
+
+
+class EmbeddingProvider:
+    """What turns views and prompts into features: a model of the user's own behind two methods. Both return arrays of one length."""
+
+    def of_views(self, views: DataFrame) -> DataFrame:
+        """candidate, view, features."""
+        raise NotImplementedError
+
+    def of_prompts(self, prompts: list[str]) -> DataFrame:
+        """prompt, features."""
+        raise NotImplementedError
+
+
+def score_candidates(provider: EmbeddingProvider, views: DataFrame, prompts: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores by view, the ranking over views, and the disagreement of views, with a provider's features."""
+    scores = cosine_scores(provider.of_views(views), provider.of_prompts(prompts))
+    return scores, aggregate_ranking(scores), disagreement(scores)

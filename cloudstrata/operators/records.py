@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -159,3 +159,40 @@ def choose_components(anchors: list[dict], pools: list[list[dict]], shared: dict
         if len(chosen) == before:
             break
     return chosen, aliases
+
+
+def joined_ids(c: str) -> Column:
+    """Distinct ids of a group in order, with | between."""
+    return F.array_join(F.sort_array(F.collect_set(c)), "|")
+
+
+def crop_groups(crops: DataFrame, key: str = "crop", source: str = "source", region: str = "region") -> DataFrame:
+    """key, group and group_id of crops (a row each, with bounds): those of one source and region, or of one source with boxes that overlap, are one group, whatever lies between.
+
+    group_id is the SHA-256 of the source and the group's keys in order; a group has
+    the crops of a review, not its points.
+    """
+    same = tagged_edges(crops, key, [source, region])
+    edges = overlapping_boxes(crops, key, source, cell=typical_cell(crops)).select("a", "b").unionByName(same)
+    found = groups_of_edges(crops, key, edges).join(crops.select(key, source), key)
+    names = found.groupBy("group", source).agg(F.sha2(F.concat_ws("|", F.col(source), joined_ids(key)), 256).alias("group_id"))
+    return found.join(names, ["group", source]).select(key, "group", "group_id")
+
+
+def tagged_edges(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Edges from each row to the first of its group; a null tag joins nothing."""
+    first = rows.groupBy(*by).agg(F.min(key).alias("a"))
+    return rows.join(first, by).select("a", F.col(key).alias("b"))
+
+
+def typical_cell(boxes: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> float:
+    """A grid width of twice the mean span of boxes, so that a box meets few cells."""
+    spans = boxes.agg(*[F.avg(F.col(f"max_{a}") - F.col(f"min_{a}")).alias(a) for a in axes]).first()
+    return max([2 * float(spans[a] or 0) for a in axes] + [1e-6])
+
+
+def first_entry(features: DataFrame, names: DataFrame, name: str = "name", key: str = "candidate_id") -> DataFrame:
+    """key and the columns of the first of a candidate's names (key, name, position) that features (name, ...) know; equal positions in the order of names."""
+    columns = [c for c in features.columns if c != name]
+    met = names.join(features, name)
+    return met.groupBy(key).agg(F.min_by(F.struct(F.col(name).alias("found_as"), *columns), F.struct("position", name)).alias("f")).select(key, "f.*")

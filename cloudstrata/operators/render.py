@@ -52,6 +52,9 @@ def pixels(rows: DataFrame, frames: DataFrame, size: int, radius: int, by: list[
     disc = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
     at = rows.join(F.broadcast(frames), "view")  # a row for each view
     at = at.withColumns({"__x": F.rint((F.col("u") - F.col("centre_u")) * F.col("scale") + (size - 1) / 2).cast("int"), "__y": F.rint(-(F.col("v") - F.col("centre_v")) * F.col("scale") + (size - 1) / 2).cast("int")})
+    # points with one centre cover one disc: the winner among them is enough, and is found before the shuffle
+    centre = at.groupBy(*by, "view", "__x", "__y").agg(F.max(F.struct("depth", "row_id")).alias("w"))
+    at = centre.select(*by, "view", "__x", "__y", "w.depth", "w.row_id")
     splat = F.explode(F.array(*[F.struct((F.col("__x") + dx).alias("px"), (F.col("__y") + dy).alias("py")) for dx, dy in disc]))
     cells = at.select(*by, "view", "depth", "row_id", splat.alias("c")).select(*by, "view", "c.px", "c.py", "depth", "row_id").filter(f"px between 0 and {size - 1} and py between 0 and {size - 1}")
     return cells.groupBy(*by, "view", "py", "px").agg(F.max(F.struct("depth", "row_id")).alias("w")).select(*by, "view", "py", "px", F.col("w.row_id").alias("row_id"))
@@ -69,8 +72,30 @@ def eight_bit(c):
 
 
 def normalised_colour(c, kind: str):
-    """A colour as a share: 16-bit and 8-bit values by their greatest, floats as they are."""
-    return c / 65535.0 if kind == "uint16" else c / 255.0 if kind == "uint8" else c
+    """A colour as a share: 16-bit and 8-bit values by their greatest; others must be finite shares already, or the row raises an error."""
+    if kind in ("uint16", "uint8"):
+        return c / (65535.0 if kind == "uint16" else 255.0)
+    fits = c.isNotNull() & ~F.isnan(c) & c.between(0.0, 1.0)
+    return F.when(fits, c).otherwise(F.raise_error(F.lit("a colour isn't a share from 0 to 1")).cast("double"))
+
+
+def coloured(drawn: DataFrame, colours: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The pixels of drawn with red, green and blue (0 to 255) of the point that won each; colours: row_id and shares."""
+    shares = colours.select("row_id", *[eight_bit(F.col(c)).alias(c) for c in ("red", "green", "blue")])
+    return drawn.join(shares, "row_id").select(*(by or []), "view", "py", "px", "row_id", "red", "green", "blue")
+
+
+def images(pixels_rgb: DataFrame, size: int, background: int = 255) -> DataFrame:
+    """view and png of coloured pixels: an image has size x size pixels at most, which bounds a group."""
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        rgb = np.full((size, size, 3), background, np.uint8)
+        rgb[pdf["py"], pdf["px"]] = pdf[["red", "green", "blue"]].to_numpy(np.uint8)
+        return pd.DataFrame({"view": [pdf["view"].iloc[0]], "png": [png(size, size, rgb.tobytes())]})
+
+    return pixels_rgb.groupBy("view").applyInPandas(run, "view string, png binary")
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudstrata.sources.documents import atomic_json
+
 #: Fixed vocabularies. Version 1 has "complete object", version 2 "usable single object".
 QUALITIES = {
     1: ("complete object", "incomplete object", "multiple objects", "ground contamination", "unclear"),
@@ -21,6 +25,7 @@ REVIEW = (
     "candidate_id string, revision int, saved_utc timestamp, human_class string, crop_quality string, notes string, reviewer_name string, shared_object_group string, vocabulary int, "
     "suggestions_revealed boolean, reveal_event_count long"
 )
+POSITION = "candidate_id string, at_utc timestamp, reviewer_name string"
 EXPOSURE = "candidate_id string, at_utc timestamp, reviewer_name string, suggestions_available boolean"
 
 
@@ -68,6 +73,22 @@ def reference_rows(candidates: DataFrame, reviews: DataFrame, groups: DataFrame,
     return out.withColumns({"reviewed": F.col("revision").isNotNull(), "eligible_for_later_classification": eligible(F.col("human_class"), F.col("crop_quality"))})
 
 
+#: Columns that tell what a model said: no reviewer sees them before asking.
+SUGGESTIONS = ("predictions", "prediction_snapshot", "evidence_references", "evidence_report", "scores", "top1", "disagreement", "feature_reference")
+
+
+def public_view(candidates: DataFrame) -> DataFrame:
+    """Candidates without what models said of them."""
+    return candidates.drop(*SUGGESTIONS)
+
+
+def evidence_references(candidates: DataFrame, evidence: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """key and references: an array of report path, model and prompts for each saved piece of evidence (key, path, model, prompts), in the order of paths; empty without any."""
+    found = evidence.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("path", "model", "prompts"))).alias("references"))
+    none = F.array().cast("array<struct<path:string,model:string,prompts:array<string>>>")
+    return candidates.select(key).join(found, key, "left").select(key, F.coalesce("references", none).alias("references"))
+
+
 class RevisionConflict(ValueError):
     """The review was changed by someone else since it was read."""
 
@@ -77,7 +98,26 @@ class ReviewStore:
 
     def __init__(self, spark: SparkSession, folder: str, candidates: DataFrame, vocabulary: int = 2):
         self.spark, self.folder, self.candidates, self.vocabulary = spark, folder, candidates, vocabulary
-        self.classes = [*CLASSES]
+
+    @property
+    def classes(self) -> list[str]:
+        """The given classes, then those that reviews have added, in the order of their first use: they outlive a restart."""
+        used = self.reviews.filter(F.col("human_class").isNotNull()).groupBy("human_class").agg(F.min("saved_utc").alias("at"))
+        return [*CLASSES, *(r["human_class"] for r in used.orderBy("at", "human_class").collect() if r["human_class"] not in CLASSES)]
+
+    @property
+    def cursor(self) -> str | None:
+        """Where the last reviewer was, if that candidate is there still, else the first candidate."""
+        last = self._read("positions", POSITION).agg(F.max_by("candidate_id", "at_utc").alias("c")).first()["c"]
+        if last is not None and self.candidates.filter(F.col("candidate_id") == last).limit(1).count():
+            return last
+        return self.candidates.agg(F.min("candidate_id").alias("c")).first()["c"]
+
+    def position(self, candidate_id: str, reviewer: str = "") -> None:
+        """Keeps where a reviewer is."""
+        self._known(candidate_id)
+        row = (candidate_id, dt.datetime.now(dt.timezone.utc), reviewer[:LABEL_CHARS])
+        self.spark.createDataFrame([row], POSITION).write.mode("append").parquet(f"{self.folder}/positions")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -97,11 +137,13 @@ class ReviewStore:
         if not self.candidates.filter(F.col("candidate_id") == candidate_id).limit(1).count():
             raise ValueError(f"no candidate {candidate_id}")
 
-    def reveal(self, candidate_id: str, reviewer: str = "", available: bool = True) -> None:
-        """Logs that suggestions were asked for, whether there were any or not."""
+    def reveal(self, candidate_id: str, reviewer: str = "", available: bool = True, evidence: DataFrame | None = None) -> list:
+        """The saved evidence of a candidate, if any is given; logs that it was asked for, whether there was any or not."""
         self._known(candidate_id)
-        row = (candidate_id, dt.datetime.now(dt.timezone.utc), reviewer[:LABEL_CHARS], available)
+        found = evidence.filter(F.col("candidate_id") == candidate_id).collect() if evidence is not None else []
+        row = (candidate_id, dt.datetime.now(dt.timezone.utc), reviewer[:LABEL_CHARS], bool(found) if evidence is not None else available)
         self.spark.createDataFrame([row], EXPOSURE).write.mode("append").parquet(f"{self.folder}/exposures")
+        return found
 
     def save(self, candidate_id: str, human_class: str | None, crop_quality: str, expected_revision: int | None = None, notes: str = "", reviewer: str = "", shared_object_group: str | None = None) -> int:
         """Appends a revision and returns its number. RevisionConflict if another number was expected."""
@@ -120,8 +162,6 @@ class ReviewStore:
         group = (shared_object_group or "").strip()[:LABEL_CHARS] or None
         row = (candidate_id, revision + 1, dt.datetime.now(dt.timezone.utc), label, crop_quality, notes[:NOTE_CHARS], reviewer[:LABEL_CHARS], group, self.vocabulary, seen["a"], seen["n"])
         self.spark.createDataFrame([row], REVIEW).write.mode("append").parquet(f"{self.folder}/reviews")
-        if label and label not in self.classes:
-            self.classes.append(label)
         return revision + 1
 
     def decide(self, candidate_id: str, decision: str, label: str | None, crop_quality: str, notes: str = "") -> int:
@@ -136,3 +176,15 @@ class ReviewStore:
         """Reference rows as one CSV file with a header."""
         rows = reference_rows(self.candidates, self.reviews, groups)
         rows.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+
+    def export_file(self, groups: DataFrame, path: str) -> dict:
+        """Reference rows of a review's candidates as one CSV file on the driver, with a byte-order mark, put in place in one step, and a manifest of it beside."""
+        rows = reference_rows(self.candidates, self.reviews, groups)
+        data = rows.orderBy("candidate_id").toPandas()
+        data.to_csv(f"{path}.tmp", index=False, encoding="utf-8-sig")
+        os.replace(f"{path}.tmp", path)
+        with open(path, "rb") as f:
+            digest = hashlib.sha256(f.read()).hexdigest()
+        manifest = {"rows": len(data), "reviewed": int(data["reviewed"].sum()), "eligible": int(data["eligible_for_later_classification"].sum()), "columns": [*data.columns], "sha256": digest}
+        atomic_json(f"{path}.manifest.json", manifest)
+        return manifest

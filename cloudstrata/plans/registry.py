@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from cloudstrata.plans import point_queries, record_queries, review_queries  # noqa: E402, F401
+from cloudstrata.plans import point_queries, record_queries, review_queries, run_queries  # noqa: E402, F401
