@@ -45,8 +45,6 @@ def top(rows: DataFrame, k: int) -> DataFrame:
 
 def disagreement(scores: DataFrame, digits: int | None = None) -> DataFrame:
     """candidate, best prompt over views, and the share of views whose best is another."""
-    if digits is not None:
-        scores = scores.withColumn("cosine", F.round("cosine", digits))
     total = scores.groupBy("candidate", "prompt").agg(F.avg("cosine").alias("score"))
     if digits is not None:
         total = total.withColumn("score", F.round("score", digits))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.numbering import placed
+from cloudstrata.session import cut
 
 
 def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,15 +34,22 @@ def label_by_partition(region: DataFrame, parts: dict[str, DataFrame], columns:
         rows = df.select(*columns).withColumn("label", F.lit(name))
         saved = rows if saved is None else saved.unionByName(rows)
     counts = saved.groupBy(*columns).agg(F.count("*").alias("__saved"), F.min("label").alias("label"), F.max("label").alias("__last"))
-    if check:
-        if counts.filter("label <> __last").limit(1).count():
+    names = {c: f"__{c}" for c in columns}
+    counts = counts.withColumnsRenamed(names)
+    if check:  # one full join of the counts of both sides tells all there is to tell
+        there = _numbered(region, columns)
+        both = there.join(counts, [there[c].eqNullSafe(counts[n]) for c, n in names.items()], "full")
+        both = cut(both.select(*names.values(), "label", "__last", "__saved", "__n"), "labels-of-records")
+        n, m = F.coalesce("__n", F.lit(0)), F.coalesce("__saved", F.lit(0))
+        bad = both.agg(F.count_if(F.col("label") != F.col("__last")).alias("twice"), F.count_if(m > n).alias("more"), F.count_if(m < n).alias("fewer")).first()
+        if bad["twice"]:
             raise ValueError("a record is in two parts")
-        if multiset_difference(saved, region, columns).limit(1).count():
+        if bad["more"]:
             raise ValueError("the parts hold a record, or copies of one, that the region hasn't")
-        if multiset_difference(region, saved, columns).limit(1).count():
+        if bad["fewer"]:
             raise ValueError("the region holds a record that no part has")
-    names = {c: f"__{c}" for c in columns}
-    counts = counts.select(*[F.col(c).alias(n) for c, n in names.items()], "label")
+        counts = both
+    counts = counts.select(*names.values(), "label")
     return region.join(counts, [region[c].eqNullSafe(counts[n]) for c, n in names.items()], "left").select(*[region[c] for c in region.columns], "label")
 
 

@@ -44,10 +44,7 @@ def view_top3(spark, sf_dir):
 @query(f"""WITH {_AGG}, b AS (SELECT candidate, prompt AS top1 FROM r WHERE "rank" = 1), w AS (SELECT candidate, view, arg_min(prompt, (-cosine, prompt)) AS p FROM s GROUP BY candidate, view)
 SELECT b.candidate, top1, avg(CASE WHEN p <> top1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS disagreement FROM w JOIN b ON b.candidate = w.candidate GROUP BY b.candidate, top1""")
 def view_disagreement(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    best = ranking.top(_ranking(spark, sf_dir), 1).select("candidate", F.col("prompt").alias("top1"))
-    views = ranking.top(ranking.ranked(s, ["candidate", "view"]), 1).join(best, "candidate")
-    return views.groupBy("candidate", "top1").agg(F.avg((F.col("prompt") != F.col("top1")).cast("double")).alias("disagreement"))
+    return ranking.disagreement(_scores(spark, sf_dir), 7)
 
 
 @query("""SELECT conv_id, max(turn) AS revision, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")

@@ -2,8 +2,14 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of docs, whatever they are. Stages that learn do so from the
-labels table of sf_dir and the documents they are given. Rows with a null doc_id
-are judged by their text like others; they have no label.
+labels table of sf_dir and the documents they are given.
+
+Rows are judged by their text. A row with a null doc_id is judged like others and
+has no label; rows with one doc_id and different texts are judged each; repeated
+rows get one judgement, but of near duplicates one row stays. Null and empty texts
+have no good line, so the first stage rejects them where it could learn; else they
+pass all stages and have no tokens. Texts of any length are taken whole. Columns
+of any other names pass through the stages unread. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,12 +36,12 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
+    """Of each group of near duplicates one row stays: that with the least doc_id, null being the greatest, and of equal ones that with the least text name."""
     return jaccard.keep_one(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents whose text holds a benchmark item go, whatever their doc_id."""
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
