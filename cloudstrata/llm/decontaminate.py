@@ -54,8 +54,8 @@ WINDOW, COVERAGE, CONSISTENT = 8, 0.6, 0.8
 SLOTS = WINDOW // 2
 #: A shorter window within a text has so many plain words at least, if it has placeholders.
 SAYS = 3
-#: The least and the greatest number of bits of the bitmap, as powers of two; 64 bits for each window in between.
-BITMAP_BITS = (16, 28)
+#: The least and the greatest number of bits of the bitmap, as powers of two; 4096 bits for each window in between, as each false hit costs a row.
+BITMAP_BITS = (24, 28)
 
 #: The end of a line among words, and what stands for that character where a text has it.
 LINE, OTHER = "\ue000", "\ue001"
@@ -224,7 +224,7 @@ def _window_rows(items: bool, bitmap: np.ndarray | None = None, sizes: tuple[int
 def _bitmap(windows: DataFrame) -> np.ndarray:
     """The bits of all windows; a task sends its bits, of a bounded size, and eight tasks do it."""
     least, most = BITMAP_BITS
-    bits_of = min(most, max(least, (64 * windows.count()).bit_length()))
+    bits_of = min(most, max(least, (4096 * windows.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (bits_of - 3), np.uint8)
