@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, licenses, neighbours, quality, token_store, toxicity
+from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, language, licenses, neighbours, quality, token_store, toxicity
 from cloudstrata.session import new_folder
 
 
@@ -74,6 +74,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(extra)), in_order=True)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict_languages(docs, language.fit_languages(docs))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neighbours": op2_neighbours,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_language": op11_language,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
