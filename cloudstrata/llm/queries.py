@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, language, licenses, neighbours, quality, token_store, toxicity
+from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, language, licenses, neighbours, quality, search, token_store, toxicity
 from cloudstrata.session import new_folder
 
 
@@ -79,6 +79,11 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, language.fit_languages(docs))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.LexicalIndex.write(_table(spark, sf_dir, "documents"), new_folder(spark, "lexical-index"))
+    return index.search(_table(spark, sf_dir, "benchmark"), 20)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neighbours": op2_neighbours,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
     "op11_language": op11_language,
+    "op12_search": op12_search,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -102,5 +108,15 @@ l AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (n - shared)),
 r AS (SELECT a AS i, b AS j FROM l UNION SELECT r.i, l.b FROM r JOIN l ON r.j = l.a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(j) FROM r WHERE r.i = s.doc_id), doc_id)) AS component_id FROM s"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_SEARCH = f"""WITH k AS (SELECT * FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM k),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM k) GROUP BY doc_id, n, term),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+p AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op7_jaccard": _JACCARD}
+ORACLES: dict[str, str] = {"op7_jaccard": _JACCARD, "op12_search": _SEARCH}
