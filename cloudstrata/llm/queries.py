@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.llm import bpe, chat, decontaminate, html_text, jaccard, language, licenses, neighbours, quality, search, token_store, toxicity
+from cloudstrata.llm import bpe, chat, codes, decontaminate, html_text, jaccard, language, licenses, neighbours, quality, search, token_store, toxicity
 from cloudstrata.session import new_folder
 
 
@@ -84,6 +84,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(_table(spark, sf_dir, "benchmark"), 20)
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books, _ = codes.compress(_table(spark, sf_dir, "embeddings"))
+    named = F.lit(None if books is None else codes.codebooks_sha256(books)).cast("string")
+    return codes.label_errors(coded).select("vec_id", "code", "error", "label_error", named.alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neighbours": op2_neighbours,
@@ -97,6 +103,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_language": op11_language,
     "op12_search": op12_search,
+    "op13_codes": op13_codes,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -118,5 +125,20 @@ p AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
 
+_ASSIGN = "SELECT x.id, x.p, min(struct_pack(d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x.v, b.v)]), e := b.e)) AS m, any_value(x.v) AS v FROM x JOIN {book} b ON b.p = x.p GROUP BY x.id, x.p"
+_UPDATE = """SELECT b.p, b.e, coalesce(u.v, b.v) AS v FROM {book} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS v FROM (SELECT p, m.e AS e, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS c
+FROM {assigned}, generate_series(1, 1024) g(i) WHERE i <= len(v) GROUP BY p, m.e, i) GROUP BY p, e) u ON u.p = b.p AND u.e = b.e"""
+_CODES = f"""WITH k AS (SELECT vec_id, label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding] AS v, len(embedding) // 16 AS w FROM embeddings
+WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR isnan(c) OR isinf(c)]) = 0),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS id FROM k),
+x AS (SELECT id, p, v[p * w + 1 : p * w + w] AS v FROM n, generate_series(0, 15) g(p)),
+b0 AS (SELECT p, id AS e, v FROM x WHERE id < 64),
+a1 AS ({_ASSIGN.format(book="b0")}), b1 AS ({_UPDATE.format(book="b0", assigned="a1")}),
+a2 AS ({_ASSIGN.format(book="b1")}), b2 AS ({_UPDATE.format(book="b1", assigned="a2")}),
+a3 AS ({_ASSIGN.format(book="b2")}),
+c AS (SELECT id, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a3 GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN n USING (id), h"""
+
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op7_jaccard": _JACCARD, "op12_search": _SEARCH}
+ORACLES: dict[str, str] = {"op7_jaccard": _JACCARD, "op12_search": _SEARCH, "op13_codes": _CODES}
