@@ -23,14 +23,17 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
     )
 
 
+#: Folders of our own by application, where spark.checkpoint.dir is unset; it can't be set once a session runs.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.gettempdir()}/cloudstrata-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _own_folders.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/cloudstrata-{uuid.uuid4().hex}")
     return where.rstrip("/")
 
 
