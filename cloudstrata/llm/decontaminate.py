@@ -20,10 +20,10 @@ Windows that are mostly placeholders say nothing as templates; with what fills
 the placeholders in the hash they match verbatim copies. An item of such alone
 is found when copied verbatim, not with other parameters. The item's windows
 that have to be covered are its templates, or all of them. An item shorter than a window
-is one window; it is found in longer texts, too, where its end is the end of a
-sentence, line or text (not before more words of the same sentence), by windows
-of its size there. With fewer than SAYS plain words beside placeholders it is
-found there by verbatim copies only. Null and empty texts have no windows.
+is one window; it is found in longer texts, too, by windows of its size: anywhere with SAYS
+plain words or more, else where its end is the end of a
+sentence, line or text. With fewer than SAYS plain words beside placeholders it is
+found there by verbatim copies only, anywhere from SAYS tokens on. Null and empty texts have no windows.
 
 Each row is judged by its own text: rows with one doc_id, or with a null one,
 that say different things are different documents, and repeated rows get the
@@ -137,7 +137,7 @@ class Canonical:
     def windows(tokens: tuple, sizes: tuple[int, ...] = (), both: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the windows, where they begin, their sizes, and whether what is written is hashed, as it is where a template would say nothing.
 
-        Windows have WINDOW tokens, or all if there are fewer; those of `sizes` end as sentences do. both: for an item
+        Windows have WINDOW tokens, or all if there are fewer; those of `sizes` that say little end as sentences do. both: for an item
         shorter than a window that is a template to whole texts only, also what is written.
         """
         code, written, kind, _, stops, _ = tokens
@@ -148,11 +148,12 @@ class Canonical:
         for size in (whole, *(k for k in sizes if k < whole)) if n else ():
             slots = filled[size:] - filled[: n - size + 1]
             good, says = slots <= (SLOTS if size == WINDOW else size // 2), (slots == 0) | (size - slots >= SAYS)
-            ends = stops[size - 1 :] if size < whole else np.ones(n - size + 1, bool)
+            ends = stops[size - 1 :] | (size - slots >= SAYS) if size < whole else np.ones(n - size + 1, bool)
+            written_ends = ends | (size >= SAYS)
             exact = ~good | ~says if size < whole or both and size < WINDOW else ~good
             if size < whole:
                 good &= says
-            for chosen, of, salt in ((good & ends, code, np.uint64(0)), (exact & ends, written, _EXACT)):
+            for chosen, of, salt in ((good & ends, code, np.uint64(0)), (exact & written_ends, written, _EXACT)):
                 at = np.flatnonzero(chosen)
                 if len(at):
                     h = of[at]

@@ -45,6 +45,8 @@ PAGES, SEED = 900, 11
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)""", re.S)
 #: A whole name, and its value if there is one.
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A last slash that belongs to a value without quotes.
+UNQUOTED_SLASH = re.compile(r"""=\s*[^\s"'>]*/\Z""")
 #: Elements whose content isn't shown as text.
 RAW = frozenset("script style noscript template textarea title iframe svg object select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -221,7 +223,7 @@ def _attributes(rest: str, label: str | None) -> tuple[tuple[int, ...], bool, bo
             for word in re.findall(r"[a-z]+", value):
                 if (g := GROUP_OF.get(word)) is not None:
                     groups.add(g)
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif name == label:
             labelled = True
@@ -283,7 +285,8 @@ def blocks_of(page: str, label: str | None = None, paths: Paths | None = None) -
             if tag == "hr":
                 flush()
             continue
-        if tag in RAW and not rest.endswith("/"):
+        closed = rest.endswith("/") and not UNQUOTED_SLASH.search(rest)
+        if tag in RAW and not (closed and tag == "svg"):  # in HTML a slash closes no raw element
             end = end_of(tag, at)
             if end or tag in ("script", "style", "svg", "textarea", "title"):
                 at = end[1] if end else size
@@ -291,7 +294,7 @@ def blocks_of(page: str, label: str | None = None, paths: Paths | None = None) -
         if tag in BLOCK:
             flush()
             stack.make_room(tag)
-        if not rest.endswith("/"):
+        if not closed:
             stack.push(tag, *(_attributes(rest, label) if rest else ((), False, False)))
     flush()
     return out

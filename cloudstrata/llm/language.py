@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.llm.bpe import calm_gc
@@ -145,9 +144,15 @@ def _sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: st
     if reach:
         limit = F.create_map(*[F.lit(v) for k, n in reach.items() for v in (k, n)])[F.col("lang")]
         own = own.filter(limit.isNull() | (h <= limit))
-    one = own.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.*")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(h, "id"))  # of about twice `each` rows
-    return cut(one.withColumn("place", place).filter(F.col("place") <= each).select("lang", "text"), "languages"), [r["lang"] for r in sizes]
+    one = cut(own.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select(h.alias("h"), "r.*"), "languages")
+    found: dict[str, list[int]] = {}
+    for r in one.select("lang", "h").collect():  # four numbers for each of `rows` at most
+        found.setdefault(r["lang"], []).append(r["h"])
+    last = {v: sorted(hashes)[each - 1] for v, hashes in found.items() if len(hashes) > each}
+    if last:
+        limit = F.create_map(*[F.lit(v) for k, n in last.items() for v in (k, n)])[F.col("lang")]
+        one = one.filter(limit.isNull() | (F.col("h") <= limit))
+    return one.select("lang", "text"), [r["lang"] for r in sizes]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ time that grows with their length. Columns of other names aren't read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -197,8 +198,7 @@ class Scanner:
         for k in np.flatnonzero(reach >= self.coverage * self.counts.sum(1)).tolist():
             out += [(k, *p) for p in self._places(k, codes)]
         # a text that contains another of its family explains its places, too
-        longest = [p for p in out if not any(q[0] != p[0] and self.family[q[0]] == self.family[p[0]] and q[2] > p[2] and q[3] <= p[3] and p[4] <= q[4] for q in out)] if len(out) < 200 else out
-        return [(self.names[k], *p) for k, *p in longest]
+        return [(self.names[k], *p) for k, *p in _uncontained(out, self.family)]
 
     def _is_own(self, k: int, matched: list[int]) -> bool:
         """Half of the words that no other family has are matched."""
@@ -289,6 +289,37 @@ class Scanner:
         return out
 
 
+def _uncontained(places: list[tuple[int, float, int, int, int]], family: list) -> list[tuple[int, float, int, int, int]]:
+    """The places (license, coverage, matched, first, last) that lie within no place of another license of their family with more matched words.
+
+    A sweep from the last end to the first: of the places that end no sooner, each license keeps the most matched
+    words by where they begin, as maxima of a binary indexed tree.
+    """
+    begins = {b: k + 1 for k, b in enumerate(sorted({p[3] for p in places}))}
+    best: dict[int, list[int]] = {p[0]: [0] * (len(begins) + 1) for p in places}
+    kept = []
+    by_end = sorted(range(len(places)), key=lambda i: -places[i][4])
+    for _, group in itertools.groupby(by_end, key=lambda i: places[i][4]):
+        same = list(group)
+        for i in same:
+            license, _, matched, first, _ = places[i]
+            k, tree = begins[first], best[license]
+            while k < len(tree):
+                tree[k] = max(tree[k], matched)
+                k += k & -k
+        for i in same:
+            license, _, matched, first, _ = places[i]
+            most = 0
+            for other, tree in best.items():
+                k = begins[first] if other != license and family[other] == family[license] else 0
+                while k:
+                    most = max(most, tree[k])
+                    k -= k & -k
+            if most <= matched:
+                kept.append(i)
+    return [places[i] for i in sorted(kept)]
+
+
 def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, coverage, matched words, first and last matched word, of every place of every document."""
     names = ["license", "coverage", "matched", "first_word", "last_word"]

@@ -6,9 +6,10 @@ and after it. The marginal of "good" from forward-backward, weighted by the
 lengths of lines, is a document's quality, which isotonic regression turns into
 a probability.
 
-Learned from at most SAMPLE labelled rows, taken whole in the order of a hash of
-doc_id for as long as they have at most SAMPLE_LINES lines together (a row more
-if that is the first). Lines take the label of their document. Every row is
+Learned from at most SAMPLE labelled rows, taken whole: of each label the row of
+fewest lines, then, in the order of a hash of doc_id, all rows with which they have at most
+SAMPLE_LINES lines together. A row that doesn't fit is passed over, so a very long
+labelled row neither ends the sample nor leaves one label only. Lines take the label of their document. Every row is
 valued by a field that was fitted on the other FOLDS - 1 folds; these values
 calibrate, and the last field is that of all rows. Labels are only read of rows
 whose crc32(doc_id as text) mod 5 isn't 0. Without labelled rows, or with one
@@ -154,15 +155,16 @@ class QualityModel:
         return np.clip(self.calibrate(_document_values(*self.lines(table, texts))), 0, 1)
 
 
-def _whole_rows(places: list[tuple[int, int]], lines: int) -> int:
-    """The last place of those that are taken: rows (place, lines) in order while their lines are no more than `lines`, and the first in any case."""
-    total, last = 0, -1
-    for place, n in sorted(places):
-        total += n
-        if total > lines and last >= 0:
-            break
-        last = place
-    return last
+def _whole_rows(rows: list[tuple[int, int, int]], lines: int) -> list[int]:
+    """The places of the rows (place, lines, label) that are taken: the shortest of each label in any case, and in order those that fit with the others into `lines`."""
+    shortest = {y: min((n, place) for place, n, label in rows if label == y) for y in {r[2] for r in rows}}
+    taken = {place for _, place in shortest.values()}
+    total = sum(n for n, _ in shortest.values())
+    for place, n, _ in sorted(rows):
+        if place not in taken and total + n <= lines:
+            taken.add(place)
+            total += n
+    return sorted(taken)
 
 
 def _field(rows: list[tuple[np.ndarray, int]]) -> LinearChainCrf:
@@ -191,9 +193,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, lines: i
                 )
 
     features = cut(sample.select("text", "y", "fold", "place").mapInArrow(run, "y int, fold int, place long, lines long, x binary, chars binary"), "quality-features")
-    # a number for each of `rows` rows, then at most `lines` lines of FEATURES numbers
-    last = _whole_rows([tuple(r) for r in features.select("place", "lines").collect()], lines)
-    found = features.filter(F.col("place") <= last).collect()
+    # three numbers for each of `rows` rows, then at most `lines` lines of FEATURES numbers, or the shortest row of each label
+    taken = _whole_rows([tuple(r) for r in features.select("place", "lines", "y").collect()], lines)
+    found = features.filter(F.col("place").isin(taken)).collect() if taken else []
     if not found or len({r["y"] for r in found}) < 2:
         return QualityModel(None, None, float(np.mean([r["y"] for r in found])) if found else 1.0)
     found.sort(key=lambda r: r["place"])

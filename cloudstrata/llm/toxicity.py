@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from cloudstrata.llm.bpe import calm_gc, TwoGenerations
 from cloudstrata.llm.labelled import held_out, training_rows
 from cloudstrata.llm.trees import BoostedTrees, Isotonic
+from cloudstrata.session import cut
 
 #: Labelled rows that are learned from at most, learned words and beginnings at most, and the score that rejects.
 SAMPLE, LEXICON, REJECT = 16_000, 4_000, 0.7
@@ -142,36 +143,52 @@ def _units(text: str) -> tuple[set[str], set[str]]:
     return words, {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
 
 
-def _learn_words(rows: DataFrame, most: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Log odds of at most `most` words and word beginnings, of those that enough toxic rows have. Counted where the rows are; the counts of toxic rows choose what is counted in the others."""
+def _learn_words(rows: DataFrame, most: int) -> list[tuple[dict[str, float], dict[str, float]]]:
+    """Log odds of at most `most` words and word beginnings, of those that enough toxic rows have: for each fold those of the rows outside it, and last those of all rows.
+
+    Units are counted once by fold, where the rows are; the counts of toxic rows choose what is counted in the others.
+    """
+    fold = F.col("fold") % FOLDS
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
 
     def counted(known: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words, begun = _units(text)
                     units = {"=" + w for w in words} | {"^" + b for b in begun}
-                    total.update(units if known is None else units & known)
+                    total.update((k, u) for u in (units if known is None else units & known))
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([*total]), pa.array([*total.values()], pa.int64())], names=["unit", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([u for _, u in total]), pa.array([*total.values()], pa.int64())], names=["fold", "unit", "n"])
 
         return run
 
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
-        return {}, {}
-    least = max(2, bad // 150)
-    top = rows.filter("y = 1").select("text").mapInArrow(counted(None), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    toxic = {r["unit"]: r["n"] for r in top.orderBy(F.desc("n"), "unit").limit(10 * most).collect()}
-    clean = rows.filter("y = 0").select("text").mapInArrow(counted(frozenset(toxic)), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    clean = {r["unit"]: r["n"] for r in clean.collect()}
-    odds = {u: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean.get(u, 0) + 0.5) / (good + 1))) for u, n in toxic.items()}
-    # a word of few rows must be all the rarer in clean ones
-    kept = sorted(((w - 2 / np.sqrt(toxic[u]), u) for u, w in odds.items() if w > 0), reverse=True)[:most]
-    words = {u[1:]: round(w, 2) for w, u in kept if u[0] == "=" and w > 0.5}
-    return words, {u[1:]: round(w, 2) for w, u in kept if u[0] == "^" and w > 0.5}
+    def counts(y: int, known: frozenset | None) -> DataFrame:
+        return rows.filter(F.col("y") == y).select("text", fold.cast("int").alias("fold")).mapInArrow(counted(known), "fold int, unit string, n long").groupBy("unit").agg(*by_fold)
+
+    sizes = np.zeros((2, FOLDS), np.int64)
+    for r in rows.groupBy("y", fold.alias("fold")).count().collect():
+        sizes[r["y"], r["fold"]] = r["count"]
+    inside = [*np.eye(FOLDS, dtype=bool), np.zeros(FOLDS, bool)]
+    toxic_counts = cut(counts(1, None), "toxic-units")
+    chosen: list[dict[str, int]] = []
+    for out in inside:
+        bad = int(sizes[1, ~out].sum())
+        n = sum((F.col(f"n{k}") for k in range(FOLDS) if not out[k]), F.lit(0))
+        top = toxic_counts.select("unit", n.alias("n")).filter(F.col("n") >= max(2, bad // 150)).orderBy(F.desc("n"), "unit").limit(10 * most)
+        chosen.append({r["unit"]: r["n"] for r in top.collect()} if bad and sizes[0, ~out].sum() else {})
+    known = frozenset().union(*chosen)
+    clean_counts = {r["unit"]: np.array(r[1:]) for r in counts(0, known).select("unit", *[f"n{k}" for k in range(FOLDS)]).collect()} if known else {}
+    learned = []
+    for out, toxic in zip(inside, chosen, strict=True):
+        bad, good = int(sizes[1, ~out].sum()), int(sizes[0, ~out].sum())
+        clean = {u: int(clean_counts[u][~out].sum()) if u in clean_counts else 0 for u in toxic}
+        odds = {u: float(np.log((n + 0.5) / (bad + 1)) - np.log((clean[u] + 0.5) / (good + 1))) for u, n in toxic.items()}
+        # a word of few rows must be all the rarer in clean ones
+        kept = sorted(((w - 2 / np.sqrt(toxic[u]), u) for u, w in odds.items() if w > 0), reverse=True)[:most]
+        learned.append(tuple({u[1:]: round(w, 2) for w, u in kept if u[0] == sign and w > 0.5} for sign in "=^"))
+    return learned
 
 
 class ToxicityModel:
@@ -202,8 +219,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, lexicon
     """The model of at most `rows` labelled rows and `lexicon` words: no row is described by words, or valued by trees, that were learned from it."""
     sample = training_rows(docs, labels, "toxic", 3, lambda r: r != 1, rows)
     fold_of = F.col("fold") % FOLDS
-    found = [r for k in range(FOLDS) for r in _features(sample.filter(fold_of == k), *_learn_words(sample.filter(fold_of != k), lexicon))]
-    words, begun = _learn_words(sample, lexicon)
+    *of_folds, (words, begun) = _learn_words(sample, lexicon)
+    found = [r for k, known in enumerate(of_folds) for r in _features(sample.filter(fold_of == k), *known)]
     if not found or len({r["y"] for r in found}) < 2:
         return ToxicityModel(words, begun, None, None, float(np.mean([r["y"] for r in found])) if found else 0.0)
     found.sort(key=lambda r: (r["fold"], r["y"], r["x"]))

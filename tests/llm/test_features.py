@@ -2,9 +2,12 @@
 
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudstrata.llm import quality, toxicity
 from cloudstrata.llm.crf import LinearChainCrf
@@ -63,7 +66,58 @@ def test_value_of_a_document():
 
 
 def test_whole_rows():
-    assert quality._whole_rows([], 5) == -1 and quality._whole_rows([(2, 3), (1, 9), (3, 1)], 5) == 1 and quality._whole_rows([(1, 2), (2, 3), (3, 1)], 5) == 2
+    assert quality._whole_rows([], 5) == []
+    assert quality._whole_rows([(1, 2, 0), (2, 3, 0), (3, 1, 0)], 5) == [1, 3] and quality._whole_rows([(1, 2, 0), (2, 2, 0), (3, 1, 0)], 5) == [1, 2, 3]
+    for first in range(3):  # a row that never fits is passed over, wherever it is
+        rows = [(k, 2, k % 2) for k in range(9)]
+        rows[first] = (first, 300_001, first % 2)
+        assert quality._whole_rows(rows, 300_000) == [k for k in range(9) if k != first]
+    assert quality._whole_rows([(1, 4, 0), (2, 4, 0), (3, 90, 1), (4, 80, 1)], 8) == [1, 4]  # both labels, in any case
+
+
+@pytest.mark.parametrize("label", [0, 1])
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_a_very_long_labelled_row(spark, label, place):
+    """A labelled row of more lines than all others may have, first, second or third in the order of hashes, doesn't silence either classifier."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 3 != 1][:120]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    order = [r["doc_id"] for r in frame.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    good, bad = "The words of this line are plain and easy to read.\n" * 4, "%%% ||| $$$ XX 99 || 12 //\n||| %% 77\n" * 3
+    rows, labels = [], []
+    for i in ids:
+        y = i % 2 if i != order[place] else label
+        text = (good if y else bad) + f"number {i}" if i != order[place] else "a line\n" * 300_001
+        rows.append((i, text))
+        labels.append((i, y, 1 - y))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, known)
+    assert model.field is not None
+    kept = {r["doc_id"] for r in quality.drop_poor(docs, model).select("doc_id").collect()}
+    assert {i for i in ids if i != order[place]} & kept == {i for i in ids if i % 2 and i != order[place]}
+    if place == 1:
+        scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, known)).collect()}
+        assert min(scores[i] for i in ids if not i % 2 and i != order[place]) > max(scores[i] for i in ids if i % 2 and i != order[place])
+
+
+def test_learned_words(spark):
+    """Words and beginnings by fold against plain counts."""
+    r = random.Random(5)
+    pool = [f"w{k}tail{k % 7}" for k in range(40)] + ["Zorbax!", "zorbaxes", "calm"]
+    rows = [(" ".join(r.choice(pool[20:] if k % 3 == 0 else pool[:30]) for _ in range(12)), int(k % 3 == 0), k % 10) for k in range(240)]
+    got = toxicity._learn_words(spark.createDataFrame(rows, "text string, y int, fold int").repartition(5), 25)
+    assert len(got) == toxicity.FOLDS + 1
+    for out, learned in enumerate(got):
+        inside = [(t, y) for t, y, f in rows if f % toxicity.FOLDS != out]
+        size = [sum(y == v for _, y in inside) for v in (0, 1)]
+        count = [Counter(), Counter()]
+        for t, y in inside:
+            words = {w for w in map(toxicity._plain, t.split()) if w}
+            count[y].update({"=" + w for w in words} | {"^" + w[:n] for w in words for n in toxicity.BEGINNINGS if len(w) > n})
+        top = sorted((u for u, n in count[1].items() if n >= max(2, size[1] // 150)), key=lambda u: (-count[1][u], u))[:250]
+        odds = {u: math.log((count[1][u] + 0.5) / (size[1] + 1)) - math.log((count[0][u] + 0.5) / (size[0] + 1)) for u in top}
+        kept = sorted(((w - 2 / math.sqrt(count[1][u]), u) for u, w in odds.items() if w > 0), reverse=True)[:25]
+        for sign, found in zip("=^", learned, strict=True):
+            assert found == pytest.approx({u[1:]: round(w, 2) for w, u in kept if u[0] == sign and w > 0.5}, abs=0.011)
 
 
 WORDS, BEGUN = {"zorbax": 2.0, "grumbled": 1.2, "idiot": 3.0}, {"grum": 1.5, "zorb": 0.7}

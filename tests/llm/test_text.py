@@ -23,9 +23,9 @@ def test_contamination(spark, docs_of):
     texts = [filler(1) + " " + ITEM + " " + filler(2), filler(3) + " " + OTHER, filler(4) + " " + WRONG, filler(5), None, "", ITEM, "9 8 7 6 5 4 3 2 1 0", "so. Short question here now", "x " * 50_000 + ITEM]
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_contamination(docs_of(texts), items).collect()}
     assert {k for k in got if k[1] == 1} == {(0, 1), (1, 1), (6, 1), (9, 1)}
-    assert (8, 5) not in got and got[0, 1]["slots"] > 0  # a shorter text than a window matches a whole text only
+    assert (8, 5) in got and got[0, 1]["slots"] > 0  # an item shorter than a window is found before more words of its sentence, too
     kept = decontaminate.drop_contaminated(docs_of(texts), items)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 7, 8]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 7]
     assert decontaminate.find_contamination(docs_of(texts), items.limit(0)).count() == 0
     assert decontaminate.find_contamination(docs_of([]), items).count() == 0
 
@@ -111,6 +111,25 @@ def test_licenses(docs_of):
     assert licenses.scan_licenses(docs_of([])).count() == 0
 
 
+def uncontained(places, family):
+    return [p for p in places if not any(q[0] != p[0] and family[q[0]] == family[p[0]] and q[2] > p[2] and q[3] <= p[3] and p[4] <= q[4] for q in places)]
+
+
+def test_contained_places_at_any_number():
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.COVERAGE)
+    for times in (3, 99, 100, 101, 260):  # each whole text holds a part that is a license text, too
+        found = scanner.scan((licenses.NOTICES["MIT-full"] + " " + filler(8, 40) + " ") * times)
+        assert [f[0] for f in found] == ["MIT-full"] * times
+    r = random.Random(6)
+    for _ in range(300):
+        family = [r.randrange(2) for _ in range(5)]
+        places = []
+        for _ in range(r.randrange(14)):
+            begin = r.randrange(8)
+            places.append((r.randrange(5), 1.0, r.randrange(6), begin, begin + r.randrange(6)))
+        assert licenses._uncontained(places, family) == uncontained(places, family)
+
+
 @pytest.fixture(scope="module")
 def field():
     return html_text.field(400, 3)
@@ -142,7 +161,11 @@ def test_pages(spark, field):
 
 
 def test_tokenizer_is_tolerant():
-    cases = {"a < b": ["a < b"], "a<b": ["a"], "<p>a<p>b": ["a", "b"], "<div>x<script>y</div>": ["x"], "<a title='>'>z</a>": ["z"], "<p hidden>q</p>r": ["r"], "x &lt; y &#233;": ["x < y é"], "<td>1<td>2": ["1", "2"]}
+    cases = {
+        '<p>Price <span aria-hidden="true">$5 only</span> today</p>': ["Price $5 only today"], "<script src=/a/b/>var leaked = 1;</script>x": ["x"], "<p>a<style/>b{}</style>c</p>": ["ac"],
+        "<iframe src='/x' />no</iframe>y": ["y"], "<p>a<svg/>b</p>": ["ab"], "<p>a<svg viewBox=/0/>b</svg>c</p>": ["ac"], "<title/>t</title>u": ["u"], "<div class=/a/>m</div>n": ["m", "n"], "<select/><option>o</select>p": ["p"],
+    }
+    cases |= {"a < b": ["a < b"], "a<b": ["a"], "<p>a<p>b": ["a", "b"], "<div>x<script>y</div>": ["x"], "<a title='>'>z</a>": ["z"], "<p hidden>q</p>r": ["r"], "x &lt; y &#233;": ["x < y é"], "<td>1<td>2": ["1", "2"]}
     for page, want in cases.items():
         assert [b[0] for b in html_text.blocks_of(page)] == want, page
 
@@ -157,7 +180,15 @@ def test_short_items_in_longer_texts(spark, docs_of):
     around = filler(1) + " {} " + filler(2)
     texts = [around.format(t) for t in (items[0], 'then asked "What is the capital of France?"', "What is the capital of France when it rains?", items[1], "Alice", "What is 7?")]
     texts += ["What is the capital of Spain?", around.format("Name the largest ocean\n"), "name the largest ocean", "What is the capital of France?"]
-    assert pairs_of(spark, docs_of(texts), items) == {(0, 0), (1, 0), (3, 1), (6, 0), (7, 2), (8, 2), (9, 0)}
+    assert pairs_of(spark, docs_of(texts), items) == {(0, 0), (1, 0), (2, 0), (3, 1), (6, 0), (7, 2), (8, 2), (9, 0)}
+
+
+def test_short_items_within_sentences(spark, docs_of):
+    """With three plain words or more an item is found before other words of its sentence; with fewer only where a sentence ends, or verbatim."""
+    items = ["name the largest ocean", "over there", "Anna 7 12", "Is 91 prime?"]
+    around = filler(1) + " {} " + filler(2)
+    texts = ["please name the largest ocean of the world now", "we go over there now and then", "we go over there.", "we saw Anna 7 12 in the list", "we saw Berta 8 13 in the list", "they ask is 91 prime or not", "they ask is 97 prime or not", "name the deepest ocean of the world"]
+    assert pairs_of(spark, docs_of([around.format(t) for t in texts]), items) == {(0, 0), (2, 1), (3, 2), (5, 3)}
 
 
 def test_items_of_placeholders(spark, docs_of):
@@ -199,9 +230,10 @@ def plain_windows(tokens, sizes, item):
             slots = sum(k != decontaminate.WORD for k in kind[at : at + size])
             good, says = slots <= (4 if size == 8 else size // 2), slots == 0 or size - slots >= 3
             if size < whole:
-                if not stops[at + size - 1]:
+                exact = not (good and says)
+                if not stops[at + size - 1] and (size if exact else size - slots) < 3:
                     continue
-                modes = [not (good and says)]
+                modes = [exact]
             else:
                 modes = [False] * good + [True] * (not good or item and size < 8 and not says)
             for exact in modes:
