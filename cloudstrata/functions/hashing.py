@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +64,59 @@ def little_endian(column: Column) -> Column:
     return F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)])
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are equal."""
+    after, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    unequal = pc.fill_null(pc.not_equal(after, before), False).to_numpy(zero_copy_only=False)
+    return unequal | (after.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+
+
 def membership_id(rows: DataFrame, group: list[str], identity: Column, row_col: str = "row_id") -> DataFrame:
-    """candidate_ and 24 digits of the SHA-256 over the source's identity and the group's distinct rows in order, eight bytes each, least first."""
-    ordered = F.array_sort(F.collect_set(F.col(row_col).cast("long")))
-    grouped = rows.groupBy(*group).agg(ordered.alias("__rows"), F.first(identity).alias("__identity"))
-    data = F.concat(F.hex(F.col("__identity").cast("binary")), F.array_join(F.transform("__rows", little_endian), ""))
-    return grouped.select(*group, F.concat(F.lit("candidate_"), F.substring(F.sha2(F.unhex(data), 256), 1, 24)).alias("candidate_id"), F.size("__rows").alias("point_count"))
+    """candidate_ and 24 digits of the SHA-256 over the source's identity and the group's distinct rows in order, eight bytes each, least first.
+
+    Rows are sorted by group within partitions and the digest is fed as they stream by, so a
+    group of any size takes the memory of a batch; a digest in order is one task's work. A group's identity is its least.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*group).schema}
+    numbered = rows.select(*group, F.col(row_col).cast("long").alias("__row"), identity.cast("string").alias("__identity"))
+    first = numbered.groupBy(*group).agg(F.min("__identity").alias("__identity"))
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}")) for g in group]
+    together = numbered.alias("r").join(first.alias("f"), same).select(*[F.col(f"r.{g}").alias(g) for g in group], F.col("r.__row").alias("__row"), F.col("f.__identity").alias("__identity")).filter("__row is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, count, last, held = None, 0, None, None
+
+        def out() -> pa.RecordBatch:
+            values = [held.column(k) for k in range(len(group))]
+            return pa.RecordBatch.from_arrays([*values, pa.array([f"candidate_{digest.hexdigest()[:24]}"]), pa.array([count], pa.int32())], names=[*group, "candidate_id", "point_count"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(len(group)).to_numpy()
+            new = np.zeros(batch.num_rows, bool)
+            if held is not None:
+                joined = [pa.concat_arrays([held.column(k), batch.column(k).slice(0, 1)]) for k in range(len(group))]
+                new[0] = any(_changes(c)[0] for c in joined)
+            for k in range(len(group)):
+                new[1:] |= _changes(batch.column(k))
+            starts = np.flatnonzero(new).tolist()
+            for begin, end in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if begin == end:
+                    continue
+                if held is None or new[begin]:
+                    if held is not None:
+                        yield out()
+                    held, count, last = batch.slice(begin, 1), 0, None
+                    digest = hashlib.sha256((batch.column(len(group) + 1)[begin].as_py() or "").encode())
+                run_rows = own[begin:end]
+                fresh = np.concatenate([[last is None or run_rows[0] != last], run_rows[1:] != run_rows[:-1]])
+                digest.update(run_rows[fresh].astype("<i8").tobytes())
+                count, last = count + int(fresh.sum()), run_rows[-1]
+        if held is not None:
+            yield out()
+
+    return together.repartition(*group).sortWithinPartitions(*group, "__row").mapInArrow(run, ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "candidate_id string, point_count int"]))
 
 
 def content_key(value: object) -> str:

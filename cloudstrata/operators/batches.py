@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import re
 import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.hashing import content_key, membership_id
+from cloudstrata.functions.numbering import placed
 from cloudstrata.operators.ground import ground_by_cell, ground_by_cloth
 from cloudstrata.operators.profile import AXES
-from cloudstrata.operators.records import choose_components, groups_of_edges, interleaved, overlapping_boxes, shape_hint, shared_members
+from cloudstrata.operators.records import crop_groups, interleaved, overlapping_boxes, shape_hint, shared_members
+from cloudstrata.operators.selection import select_in_turn
+from cloudstrata.session import cut
+from cloudstrata.sources.documents import create_text, is_folder, json_text, read_json, replace_text
 
-#: Fixed by the format of candidate names: sixteen hexadecimal digits and a label.
+#: Fixed by the formats of candidate names: sixteen hexadecimal digits and a label, or a name by membership.
 CANDIDATE_ID = r"[0-9a-f]{16}_[0-9]{5,}"
+CANDIDATE_NAME = re.compile(rf"{CANDIDATE_ID}|candidate_[0-9a-f]{{24}}")
 
 
 def cached(spark: SparkSession, root: str, inputs: object, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
@@ -78,6 +87,35 @@ def candidate_context(points: DataFrame, members: DataFrame, padding: float) ->
     return near.join(marked, "row_id", "left").select(*points.columns, F.col("__m").isNotNull().alias("member"))
 
 
+def context_summary(loaded: DataFrame, members: DataFrame, padding: float, region: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """One row about a candidate's context: the box that is asked for in x and y, its points, whether it reaches beyond what is loaded (truncated), and a note that says so.
+
+    region: least and greatest x, least and greatest y that were loaded; without it the bounds of the loaded points.
+    """
+    box = members.agg(*[f(a).alias(f"{n}_{a}") for a in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    asked = box.select(*[e for a in "xy" for e in ((F.col(f"min_{a}") - padding).alias(f"low_{a}"), (F.col(f"max_{a}") + padding).alias(f"high_{a}"))])
+    if region is None:
+        there = loaded.agg(*[f(a).alias(f"{n}_{a}") for a in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    else:
+        there = box.select(*[F.lit(float(v)).alias(n) for n, v in zip(("min_x", "max_x", "min_y", "max_y"), region, strict=True)])
+    points = candidate_context(loaded, members, padding).agg(F.count("*").alias("points"), F.count_if("member").alias("members"))
+    row = asked.crossJoin(there).crossJoin(points)  # single rows
+    beyond = F.lit(False)
+    for a in "xy":
+        beyond = beyond | (F.col(f"low_{a}") < F.col(f"min_{a}")) | (F.col(f"high_{a}") > F.col(f"max_{a}"))
+    note = F.when(F.col("truncated"), "The context ends where the loaded region ends.").otherwise("The context lies within the loaded region.")
+    return row.withColumn("truncated", F.coalesce(beyond, F.lit(False))).select("low_x", "high_x", "low_y", "high_y", "points", "members", "truncated", note.alias("note"))
+
+
+def known_candidate(batch: DataFrame, name: str) -> str:
+    """The name, if it has the form of a candidate's and is in the batch; ValueError otherwise."""
+    if not CANDIDATE_NAME.fullmatch(name):
+        raise ValueError(f"{name} isn't a candidate's name")
+    if not batch.filter(F.col("candidate_id") == name).limit(1).count():
+        raise ValueError(f"{name} isn't in the batch")
+    return name
+
+
 def check_members(crop: DataFrame, members: DataFrame, columns: list[str]) -> None:
     """Members are some, each once, in the crop, with the crop's values; ValueError otherwise."""
     counts = members.agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("d")).first()
@@ -100,14 +138,27 @@ def check_batch(batch: DataFrame, version: int, key: str = "candidate_id") -> Da
     return batch
 
 
+def resolved(batch: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """name, candidate_id and matches of the names that are an id or a former id of exactly one candidate."""
+    known = batch.select("candidate_id", F.explode(F.concat(F.array("candidate_id"), F.coalesce("legacy_ids", F.array().cast("array<string>")))).alias(name)).distinct()
+    met = known.join(names.select(name).distinct(), name).groupBy(name).agg(F.count("*").alias("matches"), F.min("candidate_id").alias("candidate_id"))
+    return met.filter("matches = 1").select(name, "candidate_id", "matches")
+
+
 def candidate_record(batch: DataFrame, name: str) -> DataFrame:
     """The one row whose id or former id is a name; ValueError unless it is one."""
-    found = batch.filter((F.col("candidate_id") == name) | F.array_contains(F.coalesce("legacy_ids", F.array().cast("array<string>")), name))
+    found = batch.join(resolved(batch, batch.sparkSession.createDataFrame([(name,)], "name string")).select("candidate_id"), "candidate_id", "left_semi")
     if found.limit(2).count() != 1:
         raise ValueError(f"{name} isn't one candidate")
     return found
 
 
+def batch_counts(candidates: DataFrame, parent: str = "is_parent", region: str = "region", group: str = "group") -> DataFrame:
+    """One row: candidates, parents among them, additions, and distinct regions and evaluation groups."""
+    p = F.col(parent)
+    return candidates.agg(F.count("*").alias("candidates"), F.count_if(p).alias("parents"), F.count_if(~p).alias("additions"), F.countDistinct(region).alias("regions"), F.countDistinct(group).alias("groups"))
+
+
 def pair_evidence(membership: DataFrame, boxes: DataFrame, group: str = "candidate_id", row: str = "row_id", source: str = "source") -> DataFrame:
     """Pairs of candidates of a source that share rows or whose boxes overlap: shared rows, their share of the smaller, and whether boxes overlap."""
     shared = shared_members(membership, group, row, source)
@@ -116,28 +167,113 @@ def pair_evidence(membership: DataFrame, boxes: DataFrame, group: str = "candida
     return out.select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("smaller_share", F.lit(0.0)).alias("smaller_share"), F.coalesce("boxes_overlap", F.lit(False)).alias("boxes_overlap"))
 
 
-def prepare_batch(components: DataFrame, membership: DataFrame, target: int = 20, minimum: int = 100, near_boundary: float = 0.0) -> tuple[list[dict], list[dict], DataFrame]:
-    """A review batch: the chosen components and aliases, and evaluation groups of overlapping crops.
+#: The version of saved review batches, and the share of the smaller membership from which two are alike.
+BATCH_VERSION, ALIKE = 1, 0.8
+
+
+@dataclass
+class ReviewBatch:
+    """candidates (place, candidate_id, source, crop, label, is_parent, point_count, bounds, clearance, hint, region, group, aliases), their memberships (candidate_id, row_id), evidence of pairs, and groups of crops."""
+
+    candidates: DataFrame
+    memberships: DataFrame
+    evidence: DataFrame
+    groups: DataFrame
+    policy: dict
 
-    components: crop, label, source, is_parent, point_count, clearance and bounds;
-    membership: crop, label, source, row_id. What is chosen in turn is metadata of
-    the components of a review, which is small; rows stay in the cluster.
-    """
-    names = membership_id(membership, ["source", "crop", "label"], F.col("source")).select("source", "crop", "label", F.col("candidate_id").alias("id"))
-    rows = components.join(names, ["source", "crop", "label"]).withColumn("hint", shape_hint(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES]))
-    pool = rows.filter(~F.col("is_parent") & (F.col("point_count") >= minimum) & (F.col("clearance") > near_boundary))
-    pool = interleaved(pool, "crop", "hint", [F.desc("point_count"), F.desc("clearance"), "label"])
-    plain = lambda r: {"id": r["id"], "points": r["point_count"], "crop": r["crop"], "label": r["label"]}
-    anchors = [plain(r) for r in rows.filter("is_parent").orderBy("crop", "label").collect()]
-    pools: dict[str, list[dict]] = {}
-    for r in pool.orderBy("crop", "turn").collect():
-        pools.setdefault(r["crop"], []).append(plain(r))
-    shared = shared_members(membership.join(names, ["source", "crop", "label"]), "id", "row_id", "source")
-    common = {(r["a"], r["b"]): r["shared"] for r in shared.collect()}
-    chosen, aliases = choose_components(anchors, [*pools.values()], common, target)
-    boxes = components.groupBy("source", "crop").agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
-    return chosen, aliases, groups_of_edges(boxes, "crop", overlapping_boxes(boxes, "crop", "source"))
 
+def prepare_batch(components: DataFrame, membership: DataFrame, target: int = 20, minimum: int = 100, near_boundary: float = 0.0) -> ReviewBatch:
+    """A review batch: parents, and components chosen from crops in turn until there are `target`.
+
+    components: source, crop, region, label, is_parent, point_count, clearance and bounds; membership: source, crop,
+    label, row_id. Only components of `minimum` points beyond `near_boundary` from the crop's
+    edge are added, in turns of shapes by size; one that shares 80 % of the smaller membership with
+    a chosen one is its alias. Crops of one source and region, or with boxes that overlap, are one group.
+    """
+    at = ["source", "crop", "label"]
+    keyed = components.withColumn("key", F.concat_ws("|", *at)).withColumn("hint", shape_hint(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES]))
+    keyed = cut(keyed, "components")
+    rows = cut(membership.select(F.concat_ws("|", *at).alias("key"), "source", "row_id").distinct(), "memberships")
+    names = membership_id(rows, ["key", "source"], F.col("source")).select("key", "candidate_id")
+    pool = keyed.filter(~F.col("is_parent") & (F.col("point_count") >= minimum) & (F.col("clearance") > near_boundary))
+    pool = interleaved(pool, "crop", "hint", [F.desc("point_count"), F.desc("clearance"), "source", "label"])
+    anchors = placed(keyed.filter("is_parent").select("key", *at), [*at])
+    shared = cut(shared_members(rows, "key", "row_id", "source"), "shared-members")
+    chosen, aliases = select_in_turn(anchors, pool.select("key", F.col("crop").alias("group"), "turn"), shared.filter(F.col("smaller_share") >= ALIKE), target)
+    aliases = aliases.join(names, "key").groupBy(F.col("of").alias("key")).agg(F.sort_array(F.collect_set("candidate_id")).alias("aliases"))  # of `target` candidates
+    crops = components.groupBy("source", "crop", "region").agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
+    crops = crops.withColumn("crop", F.concat_ws("|", "source", "crop"))
+    groups = cut(crop_groups(crops, "crop"), "crop-groups")
+    group_of = groups.select(F.col("crop").alias("__crop"), F.col("group_id").alias("group"))
+    candidates = chosen.join(keyed, "key").join(names, "key").join(aliases, "key", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    candidates = cut(candidates.join(group_of, F.concat_ws("|", "source", "crop") == F.col("__crop")).drop("__crop"), "candidates")
+    members = cut(rows.join(candidates.select("key", "candidate_id"), "key").select("candidate_id", "source", "row_id"), "candidate-members")
+    boxes = candidates.select("candidate_id", "source", *[f"{n}_{a}" for a in AXES for n in ("min", "max")])
+    evidence = pair_evidence(members, boxes)
+    policy = {"target": target, "minimum_points": minimum, "near_boundary": near_boundary, "alike": ALIKE}
+    return ReviewBatch(candidates.drop("key"), members, evidence, groups, policy)
+
+
+def save_batch(batch: ReviewBatch, root: str, now: dt.datetime | None = None) -> dict:
+    """The batch's tables and manifest in a new folder under root, and root/active_batch.json pointing there. Returns the manifest.
+
+    The manifest has the candidates (as many as were wanted), counts, the policy of the selection and
+    a fingerprint of each membership, which is checked when it is loaded.
+    """
+    spark = batch.candidates.sparkSession
+    now = now or dt.datetime.now(dt.timezone.utc)
+    folder = f"{root.rstrip('/')}/{now:%Y%m%dT%H%M%S_%fZ}_{uuid.uuid4().hex[:8]}"
+    prints = {r["candidate_id"]: r["fingerprint"] for r in region_fingerprint(batch.memberships, ["source"], ["candidate_id"]).collect()}  # a row for each candidate
+    if len(prints) != batch.candidates.count():
+        raise ValueError("two candidates have the same membership")
+    for name in ("candidates", "memberships", "evidence", "groups"):
+        getattr(batch, name).write.mode("errorifexists").parquet(f"{folder}/{name}")
+    rows = [json.loads(r["j"]) for r in batch.candidates.orderBy("place").select(F.to_json(F.struct("*")).alias("j")).collect()]
+    counts = batch_counts(batch.candidates).first().asDict()
+    manifest = {
+        "schema_version": BATCH_VERSION, "batch_id": folder.rsplit("/", 1)[-1], "batch_path": f"{folder}/batch.json", "created_utc": now.isoformat(), "counts": counts, "policy": batch.policy,
+        "candidates": [r | {"legacy_ids": r.get("legacy_ids") or [], "membership_fingerprint": prints[r["candidate_id"]]} for r in rows],
+    }
+    create_text(spark, manifest["batch_path"], json_text(manifest))
+    replace_text(spark, f"{root.rstrip('/')}/active_batch.json", json_text({"batch_path": manifest["batch_path"]}))
+    return manifest
+
+
+def load_batch(spark: SparkSession, path: str) -> dict:
+    """The manifest of a saved batch by its file, its folder or a pointer to it; ValueError for another version or a candidate that is there twice."""
+    manifest = read_json(spark, f"{path.rstrip('/')}/batch.json" if is_folder(spark, path) else path)
+    if "candidates" not in manifest and "batch_path" in manifest:
+        manifest = read_json(spark, manifest["batch_path"])
+    if manifest.get("schema_version") != BATCH_VERSION:
+        raise ValueError("another version of saved batches")
+    ids = [c["candidate_id"] for c in manifest["candidates"]]
+    if len(ids) != len(set(ids)):
+        raise ValueError("a candidate is there more than once")
+    return manifest
+
+
+def load_candidate(spark: SparkSession, path: str, name: str, crop: DataFrame, columns: list[str] | None = None, context: bool = True) -> tuple[dict, DataFrame]:
+    """A saved candidate's record and its points of a crop, with member; without context its members only.
+
+    ValueError unless the name is the id or a former id of one candidate, its membership is as it was saved, gives the id
+    again, and lies in the crop, with the values of `columns` if membership has them.
+    """
+    manifest = load_batch(spark, path)
+    found = [c for c in manifest["candidates"] if name == c["candidate_id"] or name in c["legacy_ids"]]
+    if len(found) != 1:
+        raise ValueError(f"{name} isn't one candidate")
+    record, folder = found[0], manifest["batch_path"].rsplit("/", 1)[0]
+    if not CANDIDATE_NAME.fullmatch(record["candidate_id"]):
+        raise ValueError("a candidate's id is malformed")
+    members = spark.read.parquet(f"{folder}/memberships").filter(F.col("candidate_id") == record["candidate_id"])
+    print_ = region_fingerprint(members, ["source"], ["candidate_id"]).first()
+    if print_ is None or print_["fingerprint"] != record["membership_fingerprint"]:
+        raise ValueError("the membership isn't as it was saved")
+    if membership_id(members.drop("candidate_id"), ["source"], F.col("source")).first()["candidate_id"] != record["candidate_id"]:
+        raise ValueError("the membership doesn't give the candidate's id")
+    check_members(crop, members.select("row_id", *(columns or [])), columns or [])
+    marked = crop.join(members.select("row_id").distinct().withColumn("__m", F.lit(True)), "row_id", "left").withColumn("member", F.col("__m").isNotNull()).drop("__m")
+    return record, marked if context else marked.filter("member")
 
 
 def original_candidate(membership: DataFrame, crop: DataFrame, name: str, columns: list[str], key: str = "candidate_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cloudstrata.functions.numbering import placed
+from cloudstrata.functions.numbering import placed, placed_in_groups
 from cloudstrata.session import cut
 
 
@@ -85,16 +85,16 @@ def shared_members(membership: DataFrame, group: str, row: str, source: str | No
 def overlapping_boxes(boxes: DataFrame, key: str, source: str, axes: tuple[str, ...] = ("x", "y", "z"), cell: float | None = None) -> DataFrame:
     """a < b of boxes of one source that overlap, closed, in the axes.
 
-    Without cell, all boxes of a source meet, which fits the few a review has.
-    With cell, boxes meet in grid cells of the first two axes.
+    Boxes meet in grid cells of the first two axes, of a width of twice their mean span unless it is
+    given. A box is in many cells if it is much wider than most.
     """
     cols = [key, source, *[f"{n}_{a}" for a in axes for n in ("min", "max")]]
     df = boxes.select(*cols)
     on = [source]
-    if cell:
-        for k, a in enumerate(axes[:2]):
-            df = df.withColumn(f"__g{k}", F.explode(F.sequence(F.floor(F.col(f"min_{a}") / cell), F.floor(F.col(f"max_{a}") / cell))))
-            on.append(f"__g{k}")
+    cell = cell or typical_cell(boxes, axes[:2])
+    for k, a in enumerate(axes[:2]):
+        df = df.withColumn(f"__g{k}", F.explode(F.sequence(F.floor(F.col(f"min_{a}") / cell), F.floor(F.col(f"max_{a}") / cell))))
+        on.append(f"__g{k}")
     one = df.select(*on, F.struct(*cols).alias("p"))
     two = df.select(*on, F.struct(*cols).alias("q"))
     meet = F.col(f"p.{key}") < F.col(f"q.{key}")
@@ -133,11 +133,17 @@ def union_of_sources(sources: list[DataFrame], key: str = "row_id") -> DataFrame
 
 
 def interleaved(rows: DataFrame, group: str, hint: str, order: list) -> DataFrame:
-    """Adds turn: rows of a group in order, taking one of each hint in turn; hints come in the order of their first rows."""
-    w = W.partitionBy(group)
-    df = rows.withColumn("__k", F.row_number().over(w.orderBy(*order))).withColumn("__of_hint", F.row_number().over(W.partitionBy(group, hint).orderBy(*order)))
-    df = df.withColumn("__first", F.min("__k").over(W.partitionBy(group, hint)))
-    return df.withColumn("turn", F.row_number().over(w.orderBy("__of_hint", "__first"))).drop("__k", "__of_hint", "__first")
+    """Adds turn: rows of a group in order, taking one of each hint in turn; hints (a few for each group) come in the order of their first rows.
+
+    A row's turn follows from its place within its hint and the sizes of the group's hints, so only these are numbered, by ranges.
+    """
+    numbered = placed_in_groups(rows, [group, hint], order, "__at", "__size")
+    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))  # one row for each hint
+    hints = numbered.filter("__at = 0").withColumn("__rank", rank).select(F.col(group).alias("__group"), F.col(hint).alias("__hint"), "__rank", F.col("__size").alias("__of"))
+    sizes = hints.groupBy(F.col("__group").alias("__every")).agg(F.collect_list(F.struct("__rank", "__of")).alias("__sizes"))
+    joined = numbered.join(hints.drop("__of"), numbered[group].eqNullSafe(F.col("__group")) & numbered[hint].eqNullSafe(F.col("__hint"))).join(sizes, F.col(group).eqNullSafe(F.col("__every")))
+    before = F.aggregate("__sizes", F.lit(1).cast("long"), lambda n, h: n + F.least(h["__of"], F.col("__at")) + F.when((h["__rank"] < F.col("__rank")) & (h["__of"] > F.col("__at")), 1).otherwise(0))
+    return joined.select(*rows.columns, before.cast("int").alias("turn"))
 
 
 def shape_hint(x, y, z):
@@ -146,27 +152,10 @@ def shape_hint(x, y, z):
     return F.when(s[2] >= 2.5 * F.greatest(s[1], F.lit(1e-12)), "elongated").when(s[1] >= 2.5 * F.greatest(s[0], F.lit(1e-12)), "thin").otherwise("compact")
 
 
-def choose_components(anchors: list[dict], pools: list[list[dict]], shared: dict[tuple, int], target: int, duplicate: float = 0.8) -> tuple[list[dict], list[dict]]:
-    """Components chosen from pools in turn until there are `target`, on the driver: pools hold metadata of components of a review, a few hundred.
-
-    A component that shares the given part of the smaller membership with a chosen one
-    becomes its alias instead. shared: common rows by sorted pair of ids.
-    """
-    chosen, aliases = [dict(a) for a in anchors], []
-    queues = [list(p) for p in pools]
-    while len(chosen) < target and any(queues):
-        before = len(chosen)
-        for queue in queues:
-            while queue and len(chosen) < target:
-                c = queue.pop(0)
-                twin = next((o for o in chosen if shared.get(tuple(sorted((c["id"], o["id"]))), 0) / min(c["points"], o["points"]) >= duplicate), None)
-                if twin is None:
-                    chosen.append(c)
-                    break
-                aliases.append({"id": c["id"], "of": twin["id"]})
-        if len(chosen) == before:
-            break
-    return chosen, aliases
+def crop_clearance(edges: dict[str, tuple]) -> Column:
+    """The least distance of a box (min_a, max_a) from the edges (low, high) of its crop, over the axes given; negative outside."""
+    side = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.least(*[d for a, (low, high) in edges.items() for d in (F.col(f"min_{a}") - side(low), side(high) - F.col(f"max_{a}"))])
 
 
 def joined_ids(c: str) -> Column:
@@ -181,7 +170,7 @@ def crop_groups(crops: DataFrame, key: str = "crop", source: str = "source", reg
     the crops of a review, not its points.
     """
     same = tagged_edges(crops, key, [source, region])
-    edges = overlapping_boxes(crops, key, source, cell=typical_cell(crops)).select("a", "b").unionByName(same)
+    edges = overlapping_boxes(crops, key, source).select("a", "b").unionByName(same)
     found = groups_of_edges(crops, key, edges).join(crops.select(key, source), key)
     names = found.groupBy("group", source).agg(F.sha2(F.concat_ws("|", F.col(source), joined_ids(key)), 256).alias("group_id"))
     return found.join(names, ["group", source]).select(key, "group", "group_id")

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudstrata.sources.documents import atomic_json
+from cloudstrata.sources.documents import atomic_json, create_text, exists, json_text
 
 #: Fixed vocabularies. Version 1 has "complete object", version 2 "usable single object".
 QUALITIES = {
@@ -94,7 +94,11 @@ class RevisionConflict(ValueError):
 
 
 class ReviewStore:
-    """Reviews and exposures in one folder, appended by a single writer on the driver; earlier revisions are never touched."""
+    """Reviews and exposures in one folder, by any number of writers; earlier revisions are never touched.
+
+    A revision is a document of its own under its candidate and number, created exclusively: of two
+    writers that both saw revision n, one gets n + 1 and the other a RevisionConflict.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, candidates: DataFrame, vocabulary: int = 2):
         self.spark, self.folder, self.candidates, self.vocabulary = spark, folder, candidates, vocabulary
@@ -127,7 +131,9 @@ class ReviewStore:
 
     @property
     def reviews(self) -> DataFrame:
-        return self._read("reviews", REVIEW)
+        if not exists(self.spark, f"{self.folder}/reviews"):
+            return self.spark.createDataFrame([], REVIEW)
+        return self.spark.read.schema(REVIEW).json(f"{self.folder}/reviews/*/*.json")
 
     @property
     def exposures(self) -> DataFrame:
@@ -161,7 +167,11 @@ class ReviewStore:
         seen = self.exposures.filter(F.col("candidate_id") == candidate_id).agg(F.coalesce(F.bool_or("suggestions_available"), F.lit(False)).alias("a"), F.count("*").alias("n")).first()
         group = (shared_object_group or "").strip()[:LABEL_CHARS] or None
         row = (candidate_id, revision + 1, dt.datetime.now(dt.timezone.utc), label, crop_quality, notes[:NOTE_CHARS], reviewer[:LABEL_CHARS], group, self.vocabulary, seen["a"], seen["n"])
-        self.spark.createDataFrame([row], REVIEW).write.mode("append").parquet(f"{self.folder}/reviews")
+        names = [f.split()[0] for f in REVIEW.split(", ")]
+        try:
+            create_text(self.spark, f"{self.folder}/reviews/{hashlib.sha256(candidate_id.encode()).hexdigest()[:40]}/{revision + 1:09d}.json", json_text(dict(zip(names, row, strict=True))))
+        except FileExistsError:
+            raise RevisionConflict(f"revision {revision + 1} is there already") from None
         return revision + 1
 
     def decide(self, candidate_id: str, decision: str, label: str | None, crop_quality: str, notes: str = "") -> int:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cloudstrata.operators.batches import cached, file_hashes, region_fingerprint
 from cloudstrata.operators.records import label_by_partition
 from cloudstrata.operators.regions import region
+from cloudstrata.sources.documents import json_text, plain
 
 #: Fixed limits: points of a region, its area, and points that may be clustered at once.
 MOST_REGION_POINTS, MOST_REGION_AREA, MOST_ELIGIBLE = 250_000, 250_000.0, 50_000
@@ -84,7 +85,7 @@ def run_folder(root: str, kind: str) -> str:
 def create_json(path: str, value: object) -> None:
     """A new JSON document on the driver; an error if it is there already."""
     with open(path, "x", encoding="utf-8") as f:
-        json.dump(value, f, sort_keys=True, default=str, allow_nan=False)
+        f.write(json_text(value))
 
 
 def save_run(points: DataFrame, folder: str, facts: dict, columns: list[str], mask: str = "ground") -> dict:
@@ -110,7 +111,7 @@ def reload_run(spark: SparkSession, folder: str, points: DataFrame, facts: dict,
     """points with a saved mask, if everything it depends on is as it was: facts, fingerprint, coverage and counts; ValueError otherwise."""
     with open(f"{folder}/manifest.json", encoding="utf-8") as f:
         saved = json.load(f)
-    other = [k for k, v in json.loads(json.dumps(facts, default=str)).items() if saved.get(k) != v]
+    other = [k for k, v in plain(facts).items() if saved.get(k) != v]
     if other:
         raise ValueError(f"saved with another {', '.join(other)}")
     joined = points.join(spark.read.parquet(f"{folder}/mask"), "row_id", "left")

@@ -96,7 +96,7 @@ def eval_groups(spark, sf_dir):
 SELECT user_id, part, CASE WHEN s[3] >= 2.5 * greatest(s[2], 1e-12::DOUBLE) THEN 'elongated' WHEN s[2] >= 2.5 * greatest(s[1], 1e-12::DOUBLE) THEN 'thin' ELSE 'compact' END AS hint, round(clearance, 6) AS clearance, clearance <= 6.03 AS near_boundary FROM s""")
 def bbox_hint(spark, sf_dir):
     b = _user_boxes(spark, sf_dir)
-    clear = F.least(F.col("min_x") - 0, 720 - F.col("max_x"), F.col("min_y") - 0, 150 - F.col("max_y"))
+    clear = records.crop_clearance({"x": (0, 720), "y": (0, 150)})
     span = {f"s{a}": F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xyz"}
     return rounded(b.withColumns(span).select("user_id", "part", records.shape_hint("sx", "sy", "sz").alias("hint"), clear.alias("clearance"), (clear <= 6.03).alias("near_boundary")))
 
@@ -155,9 +155,9 @@ def latest_artifact(spark, sf_dir):
 
 @query("""SELECT * FROM (SELECT p_brand AS id, p_partkey AS legacy, count(*) OVER (PARTITION BY p_partkey) AS matches FROM part) WHERE matches = 1""")
 def alias_lookup(spark, sf_dir):
-    groups = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.collect_set("p_partkey").alias("legacy_ids"))
-    each = groups.select("id", F.explode("legacy_ids").alias("legacy"))
-    return each.join(each.groupBy("legacy").agg(F.count("*").alias("matches")), "legacy").filter("matches = 1").select("id", "legacy", "matches")
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("candidate_id"), F.col("p_partkey").cast("string").alias("name"))
+    batch = part.select("candidate_id", F.array("name").alias("legacy_ids"))
+    return batches.resolved(batch, part).select(F.col("candidate_id").alias("id"), F.col("name").cast("long").alias("legacy"), "matches")
 
 
 _MEMBERS = """m AS (SELECT l_suppkey % 12 AS c, l_shipmode_ AS source, l_orderkey AS r, l_quantity AS q FROM (SELECT *, CASE WHEN l_linenumber <= 3 THEN 'left' ELSE 'right' END AS l_shipmode_ FROM lineitem))"""
@@ -195,6 +195,6 @@ def ground_comparison(spark, sf_dir):
 def review_batch(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("crop", F.concat(F.lit("crop"), (F.col("user_id") % 5).cast("string"))).withColumnsRenamed({"side": "source"}).withColumn("label", (F.col("user_id") % 20).cast("int"))
     c = p.groupBy("crop", "label", "source").agg(F.count("*").alias("point_count"), *[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
-    c = c.withColumn("is_parent", (F.col("label") < 5) & (F.col("source") == "left")).withColumn("clearance", F.col("min_x") + 1)
-    chosen, _, _ = batches.prepare_batch(c, p.select("crop", "label", "source", "row_id"), 12, 3)
-    return spark.createDataFrame([(k, r["id"], r["crop"], r["label"], r["points"]) for k, r in enumerate(chosen)], "place int, candidate_id string, crop string, label int, points long")
+    c = c.withColumns({"is_parent": (F.col("label") < 5) & (F.col("source") == "left"), "clearance": F.col("min_x") + 1, "region": F.col("crop")})
+    batch = batches.prepare_batch(c, p.select("crop", "label", "source", "row_id"), 12, 3)
+    return batch.candidates.select("place", "candidate_id", "crop", "label", F.col("point_count").alias("points"))

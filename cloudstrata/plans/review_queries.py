@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cloudstrata.operators import ranking, reviews
+from cloudstrata.operators import batches, ranking, reviews
 from cloudstrata.plans.registry import query, table
 
 _COS = """v AS (SELECT vec_id // 4 AS candidate, vec_id % 4 AS view, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
@@ -89,8 +89,8 @@ def exposure_summary(spark, sf_dir):
 
 @query("""SELECT count(*) AS candidates, count(*) FILTER (doc_id % 5 = 0) AS parents, count(*) FILTER (doc_id % 5 <> 0) AS additions, count(DISTINCT source) AS regions, count(DISTINCT lang) AS groups FROM documents""")
 def batch_counts(spark, sf_dir):
-    p = F.col("doc_id") % 5 == 0
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("candidates"), F.count_if(p).alias("parents"), F.count_if(~p).alias("additions"), F.countDistinct("source").alias("regions"), F.countDistinct("lang").alias("groups"))
+    rows = table(spark, sf_dir, "documents").withColumn("is_parent", F.col("doc_id") % 5 == 0)
+    return batches.batch_counts(rows, region="source", group="lang")
 
 
 @query("""SELECT doc_id, CASE WHEN lower(trim(source)) IN ('src0', 'src1') THEN NULL ELSE trim(source) END AS label FROM documents""")

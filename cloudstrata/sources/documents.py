@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import math
 import os
+import uuid
 
+import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +58,97 @@ def write_comparison_csv(rows: DataFrame, folder: str) -> None:
     rows.select(*cells).write.mode("errorifexists").option("header", True).csv(folder)
 
 
+def plain(value: object) -> object:
+    """What JSON can say of a value: NaN and infinities are null, NumPy's numbers and arrays plain ones, dates ISO text."""
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return [plain(v) for v in (sorted(value) if isinstance(value, (set, frozenset)) else value)]
+    if isinstance(value, np.ndarray):
+        return plain(value.tolist())
+    if isinstance(value, np.generic):
+        return plain(value.item())
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, (dt.datetime, dt.date)):
+        return value.isoformat()
+    return value if value is None or isinstance(value, (bool, int, str)) else str(value)
+
+
+def json_text(value: object) -> str:
+    return json.dumps(plain(value), sort_keys=True, allow_nan=False)
+
+
 def atomic_json(path: str, value: object) -> None:
     """Replaces a driver-side document in one step."""
     temporary = f"{path}.tmp"
     with open(temporary, "w", encoding="utf-8") as f:
-        json.dump(value, f, sort_keys=True, default=str, allow_nan=False)
+        f.write(json_text(value))
         f.flush()
         os.fsync(f.fileno())
     os.replace(temporary, path)
+
+
+def _local(path: str) -> str | None:
+    """The local path, if it is one."""
+    return path.removeprefix("file://") if path.startswith("file://") else None if "://" in path else path
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new document in any store; FileExistsError if it is there, so of two writers one alone succeeds."""
+    local = _local(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        # written apart and linked under its name: readers see all of it or nothing, and a link never replaces a file
+        temporary = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+        with open(temporary, "x", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(temporary, local)
+        finally:
+            os.remove(temporary)
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in str(error.java_exception.getClass().getName()):
+            raise FileExistsError(path) from None
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A document in any store, new or instead of the one that is there."""
+    local = _local(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        temporary = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+        with open(temporary, "x", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(temporary, local)
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One document of any store, on the driver."""
+    found = spark.read.option("wholetext", True).text(path).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} isn't one document")
+    return json.loads(found[0]["value"])

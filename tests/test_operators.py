@@ -165,13 +165,6 @@ def test_partition_labels(spark):
             records.label_by_partition(all_rows, parts, ["a", "b"])
 
 
-def test_choose_components():
-    anchors = [{"id": "p", "points": 10}]
-    pools = [[{"id": "q", "points": 10}, {"id": "r", "points": 5}], [{"id": "s", "points": 8}]]
-    chosen, aliases = records.choose_components(anchors, pools, {("p", "q"): 9}, 3)
-    assert [c["id"] for c in chosen] == ["p", "r", "s"] and aliases == [{"id": "q", "of": "p"}]
-
-
 def test_cloth_finds_a_floor():
     r = np.random.default_rng(8)
     floor = np.column_stack([r.random((400, 2)) * 20, r.random(400) * 0.1])

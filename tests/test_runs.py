@@ -95,6 +95,38 @@ def test_store_restarts(spark, tmp_path):
     assert [r["candidate_id"] for r in csv.DictReader(raw.decode("utf-8-sig").splitlines())] == ["a_1", "b_2"]
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Two stores that saw the same revision: one saves the next, the other is told."""
+    who = spark.createDataFrame([("a_1",), ("x/../y",)], "candidate_id string")
+    one, two = (reviews.ReviewStore(spark, str(tmp_path / "s"), who) for _ in range(2))
+    assert one.save("a_1", "Vehicle", "unclear") == 1
+    seen = two.reviews.collect()
+    assert one.save("a_1", "Debris", "unclear", expected_revision=1) == 2
+    monkeypatch.setattr(reviews.ReviewStore, "reviews", property(lambda self: spark.createDataFrame(seen, reviews.REVIEW)))  # what the other writer read before
+    for expected in (1, None):
+        with pytest.raises(reviews.RevisionConflict):
+            two.save("a_1", "Vehicle", "unclear", expected_revision=expected)
+    monkeypatch.undo()
+    assert two.save("x/../y", None, "unclear", expected_revision=0) == 1
+    rows = sorted((r["candidate_id"], r["revision"], r["human_class"]) for r in two.reviews.collect())
+    assert rows == [("a_1", 1, "Vehicle"), ("a_1", 2, "Debris"), ("x/../y", 1, None)] and two.reviews.filter("saved_utc is null").count() == 0
+    with pytest.raises(FileExistsError):
+        documents.create_text(spark, f"file://{tmp_path}/t.json", "1") or documents.create_text(spark, f"file://{tmp_path}/t.json", "2")
+    assert documents.read_json(spark, f"file://{tmp_path}/t.json") == 1
+
+
+def test_json(tmp_path):
+    import datetime as dt
+
+    import numpy as np
+
+    value = {"nan": float("nan"), "inf": [float("inf"), 1.5], "n": np.int64(3), "a": np.array([1.0, np.nan]), "t": dt.date(2024, 5, 1), 4: {"x": {2, 1}}, "b": np.bool_(True)}
+    documents.atomic_json(str(tmp_path / "a.json"), value)
+    runs.create_json(str(tmp_path / "b.json"), value)
+    want = {"nan": None, "inf": [None, 1.5], "n": 3, "a": [1.0, None], "t": "2024-05-01", "4": {"x": [1, 2]}, "b": True}
+    assert json.load(open(tmp_path / "a.json")) == json.load(open(tmp_path / "b.json")) == want
+
+
 def test_figure(pts):
     members = pts.filter("x between 3 and 5 and y < 3")
     context, own, edges = figures.candidate_frames(pts, members, 1.0)
