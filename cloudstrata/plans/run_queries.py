@@ -9,7 +9,7 @@ from cloudstrata.plans.point_queries import AXES, points, rounded
 from cloudstrata.plans.record_queries import _UB, _user_boxes
 from cloudstrata.plans.registry import query, table
 from cloudstrata.session import new_folder
-from cloudstrata.sources.las import LasHeaderSource, LasSource, write_las
+from cloudstrata.sources import las
 from cloudstrata.types import POINT
 from cloudstrata.views import EVENT_POINTS_SQL as PTS
 
@@ -24,9 +24,7 @@ def _las_file(spark, sf_dir) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in POINT.fields}
     rows = p.select(*[given[n].alias(n) if n in given else F.col(n) if n in ("row_id", *AXES) else plain[k].alias(n) for n, k in kinds.items()])
     path = new_folder(spark, "las").removeprefix("file://") + ".las"
-    spark.dataSource.register(LasSource)
-    spark.dataSource.register(LasHeaderSource)
-    write_las(rows, path, _SCALES, _OFFSETS)
+    las.write_las(rows, path, _SCALES, _OFFSETS)
     return path
 
 
@@ -45,6 +43,21 @@ def las_header(spark, sf_dir):
     return rounded(h.select("las_version", "point_format", "point_record_length", "point_count", *box, "file_size_bytes"))
 
 
+@query(f"""WITH {PTS}, n AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, raw_x, raw_y, raw_z, x, y FROM pts) SELECT row_id, raw_x::INTEGER AS raw_x, raw_y::INTEGER AS raw_y, raw_z::INTEGER AS raw_z FROM n
+WHERE x BETWEEN 200 AND 260 AND y BETWEEN 30 AND 90""")
+def las_region(spark, sf_dir):
+    """Only the blocks of the file that meet the rectangle are read."""
+    path, index = _las_file(spark, sf_dir), new_folder(spark, "las-index")
+    las.index_las(spark, [path], index)
+    return spark.read.format("las").option("index", index).load(path).filter("x between 200 and 260 and y between 30 and 90").select("row_id", "raw_x", "raw_y", "raw_z")
+
+
+@query(f"""WITH {PTS}, n AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, raw_x, count(*) OVER () AS n FROM pts), k AS (SELECT DISTINCT CASE WHEN k = 299 THEN n - 1 ELSE CAST(floor(k * ((n - 1)::DOUBLE / 299)) AS BIGINT) END AS row_id FROM n, generate_series(0, 299) g(k))
+SELECT n.row_id, raw_x::INTEGER AS raw_x FROM n JOIN k USING (row_id)""")
+def las_overview(spark, sf_dir):
+    return las.overview(spark, _las_file(spark, sf_dir), 300).select("row_id", "raw_x")
+
+
 @query(f"WITH {PTS} SELECT row_id, CASE WHEN x > 600 THEN 'uncovered' WHEN z <= 20 THEN 'ground' ELSE 'non_ground' END AS part FROM pts")
 def mask_parts(spark, sf_dir):
     return points(spark, sf_dir).select("row_id", runs.mask_part(F.col("z") <= 20, F.col("x") <= 600).alias("part"))
