@@ -17,6 +17,8 @@ from cloudstrata.functions.numbering import quantiles
 from cloudstrata.operators.profile import AXES
 from cloudstrata.session import cut
 
+#: Pairs for each point that a later round of nearest neighbours may make without going by shells.
+PAIRS = 128
 NEAR = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
@@ -48,48 +50,114 @@ def nodes(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     return points.groupBy(*(by or []), *AXES).agg(F.count("*").alias("weight"), F.min("row_id").alias("row_id"))
 
 
+def _nearest_of(pairs: DataFrame, k: int) -> DataFrame:
+    """query, rank, neighbour and distance of the k nearest pairs (query, neighbour, d2) of each query; ties to the smaller neighbour. For one, tasks find the least before the shuffle."""
+    if k == 1:
+        best = pairs.groupBy("query").agg(F.min(F.struct("d2", "neighbour")).alias("n")).select("query", F.lit(1).alias("rank"), "n.neighbour", "n.d2")
+    else:
+        best = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("d2", "neighbour"))).filter(F.col("rank") <= k)
+    return best.select("query", "rank", "neighbour", F.sqrt("d2").alias("distance"))
+
+
+def _first_width(places: DataFrame, by: list[str], spans: list[float], n: int, k: int) -> float:
+    """A width of cells that hold about k points each: from the volume of the axes that aren't flat, halved while occupied cells are fuller; all halvings are counted in one pass."""
+    wide = [v for v in spans if v > 0]
+    if not wide:
+        return 1.0
+    volume = 1.0
+    for v in wide:
+        volume *= v
+    widest = max((volume * (k + 1) / n) ** (1 / len(wide)), max(wide) / 2**20)
+    sizes = [widest / 2**j for j in range(14)]
+    cells = [F.approx_count_distinct(F.xxhash64(*by, *[F.floor(F.col(a) / F.lit(v)) for a in AXES])).alias(f"m{j}") for j, v in enumerate(sizes)]
+    occupied = places.agg(*cells).first()
+    return next((v for j, v in enumerate(sizes) if n <= 2 * (k + 1) * max(occupied[f"m{j}"], 1)), sizes[-1])
+
+
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, by: list[str] | None = None, other: bool = False) -> DataFrame:
     """query row_id, rank, neighbour row_id and distance of the k nearest points. other: a point isn't its own neighbour. Ties go to the smaller row_id.
 
-    The grid begins with cells that hold about k points; queries whose k-th
-    neighbour is farther than a cell go on with cells twice as wide. Queries are
-    repeated for the cells around them, so later rounds with few of them are cheap, and the points of
-    a wide cell that is in demand are dealt over many tasks.
+    A round joins queries with the points of the 27 cells around them, first in cells of about
+    k points; it answers those whose k-th neighbour is no farther than a cell is wide. What is left goes on in cells four
+    times as wide, or twice, if wider ones would make more than PAIRS pairs for each point there is, as counts of cells tell; PAIRS
+    queries or fewer simply meet all points. If both widths would make more, it goes by counts of cells an eighth as wide: the cells that hold k points at least bound the
+    distance of the k-th, and only points of cells within that bound are measured, so a far
+    query meets a shell of points, not all that its wide cells hold. Queries
+    are repeated, not points, and the points of a cell that is in demand are dealt over many tasks.
     """
     by = by or []
-    box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    bounds = [f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    box, around = points.agg(F.count("*").alias("n"), *bounds).first(), queries.agg(*bounds).first()
     schema = "query long, rank int, neighbour long, distance double"
-    if not box["n"]:
+    if not box["n"] or around["lox"] is None:
         return queries.sparkSession.createDataFrame([], schema)
-    spans = [max(box[f"hi{a}"] - box[f"lo{a}"], 1e-9) for a in AXES]
-    widest = max(spans)
-    size = max((spans[0] * spans[1] * spans[2] * (k + 1) / box["n"]) ** (1 / 3), widest / 2**20)
     # of coincident points the k + 1 least are enough; they are limited before the shuffle
     place = W.partitionBy(*by, *AXES).orderBy("pid")
     everything = points.select(*by, F.col("row_id").alias("pid"), *AXES).withColumn("__k", F.row_number().over(place)).filter(F.col("__k") <= k + 1).drop("__k")
     everything = cut(everything, "places")
-    open_queries = queries.select(*by, F.col("row_id").alias("qid"), *AXES)
-    done = None
+    n = everything.count()
+    width = _first_width(everything, by, [box[f"hi{a}"] - box[f"lo{a}"] for a in AXES], n, k)
+    whole = max(max(box[f"hi{a}"], around[f"hi{a}"]) - min(box[f"lo{a}"], around[f"lo{a}"]) for a in AXES)
+    rest = queries.select(*by, F.col("row_id").alias("qid"), *AXES)
+    cell = [*by, *[f"c{a}" for a in AXES]]
+    done, shells = None, False
+    around_of = lambda v: _around(_cells(rest.select(*by, *AXES, F.struct("qid", *AXES).alias("q")), v)).drop(*AXES)
     while True:
-        last = size >= widest
-        cell = size if not last else 4 * widest
-        q = _around(_cells(open_queries.select(*by, *AXES, F.struct("qid", *AXES).alias("q")), cell)).drop(*AXES)
-        p = _cells(everything.select(*by, *AXES, F.struct("pid", *AXES).alias("p")), cell).drop(*AXES)
-        pairs = join_hot(p, q, [*by, *[f"c{a}" for a in AXES]]).select("q", "p", _squared("q", "p").alias("d2")).filter(F.col("d2") <= cell * cell)
+        last, q = width >= whole, around_of(width)
+        if not shells:
+            p = _cells(everything.select(*by, *AXES, F.struct("pid", *AXES).alias("p")), width).drop(*AXES)
+            if done is not None:  # few cells are in demand
+                p = p.join(q.select(*cell).distinct(), cell, "left_semi")
+            pairs = join_hot(p, q, cell, total=n).select("q", "p", _squared("q", "p").alias("d2"))
+        else:
+            pairs = _shell_pairs(q, everything, by, width, k + int(other))
+        pairs = pairs if last else pairs.filter(F.col("d2") <= width * width)
         if other:
             pairs = pairs.filter("q.qid <> p.pid")
-        rank = F.row_number().over(W.partitionBy("query").orderBy("d2", "neighbour"))
-        found = pairs.select(F.col("q.qid").alias("query"), F.col("p.pid").alias("neighbour"), "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
-        found = cut(found.select("query", "rank", "neighbour", F.sqrt("d2").alias("distance")), "nearest")
+        found = cut(_nearest_of(pairs.select(F.col("q.qid").alias("query"), F.col("p.pid").alias("neighbour"), "d2"), k), "nearest")
         full = found.filter(F.col("rank") == k).select(F.col("query").alias("qid"))
         part = found if last else found.join(full.withColumnRenamed("qid", "query"), "query", "left_semi")
         done = part if done is None else done.unionByName(part)
         if last:
             return done
-        open_queries = cut(open_queries.join(full, "qid", "left_anti"), "open-queries")
-        if not open_queries.limit(1).count():
+        rest = cut(rest.join(full, "qid", "left_anti"), "open-queries")
+        left = rest.count()
+        if not left:
             return done
-        size *= 2
+        if left <= PAIRS:  # all points for each of them are no more pairs than that
+            width, shells = whole, False
+            continue
+        wider = next((v for v in (4 * width, 2 * width) if _demand(around_of(v), everything, by, v) <= PAIRS * n), None)
+        width, shells = (wider, False) if wider else (4 * width, True)
+
+
+def _demand(around: DataFrame, everything: DataFrame, by: list[str], width: float) -> int:
+    """How many pairs a round in cells of a width would make."""
+    cell = [*by, *[f"c{a}" for a in AXES]]
+    counts = _cells(everything, width).groupBy(*cell).agg(F.count("*").alias("__n"))
+    return around.groupBy(*cell).agg(F.count("*").alias("__q")).join(counts, cell).agg(F.sum(F.col("__n") * F.col("__q"))).first()[0] or 0
+
+
+def _shell_pairs(around: DataFrame, everything: DataFrame, by: list[str], width: float, need: int) -> DataFrame:
+    """q, p and d2 of the queries in `around` (repeated for the cells around them) and the points that may be among their `need` nearest, as the counts of finer cells tell."""
+    fine = width / 8
+    names = [f"f{a}" for a in AXES]
+    celled = everything.withColumns({f: F.floor(F.col(a) / F.lit(fine)) for f, a in zip(names, AXES, strict=True)})
+    # a point's coarse cell is that of its fine one, so that none is lost between them
+    coarse = {f"c{a}": F.floor(F.col(f) / 8) for f, a in zip(names, AXES, strict=True)}
+    counts = celled.groupBy(*by, *names).agg(F.count("*").alias("__n")).withColumns(coarse)
+    met = around.join(counts, [*by, *coarse])
+    near, far = F.lit(0.0), F.lit(0.0)
+    for f, a in zip(names, AXES, strict=True):
+        low, high, v = (F.col(f) - 1e-9) * fine, (F.col(f) + 1 + 1e-9) * fine, F.col(f"q.{a}")
+        gap, reach = F.greatest(low - v, v - high, F.lit(0.0)), F.greatest(F.abs(v - low), F.abs(high - v))
+        near, far = near + gap * gap, far + reach * reach
+    met = met.select(*by, "q", *names, "__n", near.alias("__near"), far.alias("__far"))
+    upto = W.partitionBy("q.qid").orderBy("__far").rowsBetween(W.unboundedPreceding, 0)  # at most 24^3 cells of a query
+    enough = met.withColumn("__sum", F.sum("__n").over(upto)).withColumn("__bound", F.min(F.when(F.col("__sum") >= need, F.col("__far"))).over(W.partitionBy("q.qid")))
+    wanted = cut(enough.filter(F.col("__bound").isNull() | (F.col("__near") <= F.col("__bound"))).select(*by, "q", *names), "wanted-cells")
+    there = celled.join(wanted.select(*by, *names).distinct(), [*by, *names], "left_semi").select(*by, *names, F.struct("pid", *AXES).alias("p"))
+    return join_hot(wanted, there, [*by, *names]).select("q", "p", _squared("q", "p").alias("d2"))
 
 
 QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95]

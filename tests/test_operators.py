@@ -274,3 +274,42 @@ def test_regrouping_of_all_points(spark, sf_dir):
             want[k] = want.get(k, 0) + 1
     assert {r["label"]: r["support"] for r in rows if r["support"]} == want
     assert sum(r["points"] for r in rows) == sum(k >= 0 for k in label.values())
+
+
+def brute_nearest(queries, points, k, other):
+    out = {}
+    for i, q in queries:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(q, p, strict=True)), j) for j, p in points if not (other and i == j))
+        for rank, (d, j) in enumerate(near[:k], 1):
+            out[i, rank] = (j, d**0.5)
+    return out
+
+
+@pytest.mark.parametrize("pairs", [0, 128])
+@pytest.mark.parametrize("kind", ["plane", "line", "clusters", "one place", "far"])
+def test_k_nearest_kinds(spark, kind, pairs, monkeypatch):
+    """Flat, clustered and coincident points, far queries; with rounds by shells of counted cells, and without."""
+    monkeypatch.setattr(neighbours, "PAIRS", pairs)
+    r = np.random.default_rng(5)
+    xyz = {
+        "plane": np.column_stack([r.random((150, 2)) * 50, np.zeros(150)]), "line": np.column_stack([r.random(60) * 9, np.full(60, 2.0), np.full(60, -1.0)]), "one place": np.ones((30, 3)),
+        "clusters": np.concatenate([c + r.normal(size=(40, 3)) * 0.01 for c in (0.0, 5.0, 300.0)]), "far": np.concatenate([r.random((100, 3)), [[500.0, 3.0, 2.0], [-900.0, 0.0, 1.0]]]),
+    }[kind]
+    asked = xyz if kind != "far" else np.concatenate([xyz[:10], xyz[-2:], [[2000.0, -70.0, 0.5]]])
+    rows = lambda v: [(k, tuple(map(float, p))) for k, p in enumerate(v)]
+    for k, other in ((1, kind != "far"), (3, False)):
+        got = {(x["query"], x["rank"]): (x["neighbour"], x["distance"]) for x in neighbours.k_nearest(cloud(spark, asked), cloud(spark, xyz), k, other=other).collect()}
+        want = brute_nearest(rows(asked), rows(xyz), k, other)
+        assert got.keys() == want.keys()
+        for key in want:
+            assert got[key][1] == pytest.approx(want[key][1], abs=1e-9) and (got[key][0] == want[key][0] or kind != "one place")
+
+
+def test_plane_in_few_rounds(spark, monkeypatch):
+    """2,000 points on a plane: a flat axis doesn't make the first cells small."""
+    rounds = []
+    plain = neighbours._nearest_of
+    monkeypatch.setattr(neighbours, "_nearest_of", lambda pairs, k: rounds.append(1) or plain(pairs, k))
+    r = np.random.default_rng(6)
+    p = cloud(spark, np.column_stack([r.random((2000, 2)) * 100, np.full(2000, 7.0)]))
+    assert neighbours.k_nearest(p, p, 1, other=True).count() == 2000 and len(rounds) <= 2
