@@ -47,17 +47,16 @@ def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] |
     """by and quantiles: exact ones with linear interpolation of the values that aren't null, of each group, at any size: values are counted, numbered by ranges, and only those beside a wanted place are brought together."""
     by = by or []
     distinct = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    numbered = placed(distinct, [*by, value], "__at")
     # how many values of the whole order come before each distinct one: running sums by range
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = cut(numbered.repartitionByRange(n, "__at").withColumn("__part", F.spark_partition_id()), "quantiles")
+    parted = cut(distinct.repartitionByRange(n, *by, value).withColumn("__part", F.spark_partition_id()), "quantiles")
     sums = sorted((r["__part"], r["n"]) for r in parted.groupBy("__part").agg(F.sum("__n").alias("n")).collect())
     before, total = {}, 0
     for part, count in sums:
         before[part] = total
         total += count
     first = F.element_at(F.create_map(*[F.lit(v).cast("long") for kv in before.items() for v in kv]), F.col("__part").cast("long")) if before else F.lit(0).cast("long")
-    within = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("__part").orderBy(*by, value).rowsBetween(W.unboundedPreceding, 0)
     ends = parted.withColumn("__end", first + F.sum("__n").over(within)).withColumn("__begin", F.col("__end") - F.col("__n"))
     groups = ends.groupBy(*by).agg(F.min("__begin").alias("__first"), F.sum("__n").alias("__all"))
     if by:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cloudstrata.functions.hashing import content_key, membership_id
 from cloudstrata.functions.numbering import placed
 from cloudstrata.operators.ground import ground_by_cell, ground_by_cloth
+from cloudstrata.operators.parameters import checked_experiment
 from cloudstrata.operators.profile import AXES
 from cloudstrata.operators.records import crop_groups, interleaved, overlapping_boxes, shape_hint, shared_members
 from cloudstrata.operators.selection import select_in_turn
@@ -51,11 +52,13 @@ def region_fingerprint(points: DataFrame, columns: list[str], by: list[str]) ->
 
 def run_experiment(region: DataFrame, by: list[str], cell: float = 1.0, tolerance: float = 0.35, cloth: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Both ground splits of one region: points with `baseline` and `cloth`, and a comparison row for each method and group."""
+    cloth = {"resolution": 1.0, "threshold": 0.8, "rigidness": 3, "iterations": 500, "smooth": True, "time_step": 0.65} | (cloth or {})
+    checked_experiment({"cell": cell, "tolerance": tolerance}, cloth)
     began = time.perf_counter()
     base = ground_by_cell(region, cell, tolerance, by).select(*by, "row_id", F.col("ground").alias("baseline"))
-    other = ground_by_cloth(region.select(*by, "row_id", *AXES), by, **(cloth or {})).select(*by, "row_id", F.col("ground").alias("cloth"))
+    other = ground_by_cloth(region.select(*by, "row_id", *AXES), by, **cloth).select(*by, "row_id", F.col("ground").alias("cloth"))
     both = region.join(base, [*by, "row_id"]).join(other, [*by, "row_id"])
-    return both, comparison_rows(both, {"baseline": {"cell": cell, "tolerance": tolerance}, "cloth": cloth or {}}, by, time.perf_counter() - began)
+    return both, comparison_rows(both, {"baseline": {"cell": cell, "tolerance": tolerance}, "cloth": cloth}, by, time.perf_counter() - began)
 
 
 def comparison_rows(points: DataFrame, methods: dict[str, dict], by: list[str], seconds: float = 0.0) -> DataFrame:

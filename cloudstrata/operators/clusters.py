@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cloudstrata.functions.graph import connected_components
 from cloudstrata.functions.numbering import placed
 from cloudstrata.operators.neighbours import k_nearest, nodes, radius_join
+from cloudstrata.operators.parameters import checked_parameters
 from cloudstrata.operators.profile import AXES
 from cloudstrata.operators.regions import first_of_voxels
 from cloudstrata.session import cut
@@ -21,6 +22,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     are components of core points; a border point takes the least label among the
     core points within eps, as a search that finishes clusters in order would give it.
     """
+    checked_parameters(eps=eps, min_samples=min_samples)
     places = cut(nodes(points).select(F.col("row_id").alias("node"), *AXES, "weight"), "places")
     pairs = cut(radius_join(places, places, eps).select(F.col("q.node").alias("a"), F.col("p.node").alias("b"), F.col("p.weight").alias("w")), "radius-pairs")
     core = cut(pairs.groupBy("a").agg(F.sum("w").alias("near")).filter(F.col("near") >= min_samples).select(F.col("a").alias("node")), "core")
@@ -44,6 +46,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
 
 def cluster_table(labelled: DataFrame, min_points: int, most: int, roi: tuple[float, float, float, float] | None = None, eps: float = 0.0, key: str = "0" * 16) -> DataFrame:
     """A row for each cluster, largest first: identity, bounds, extent, whether it touches the region, status, and the index in the review batch of the first `most` that aren't too small."""
+    checked_parameters(min_cluster_points=min_points, max_candidates=most)
     box = labelled.filter("label >= 0").groupBy("label").agg(F.count("*").alias("point_count"), *[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
     box = box.withColumn("tiny", F.col("point_count") < min_points)
     box = cut(box, "cluster-boxes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.numbering import quantiles
 from cloudstrata.operators.batches import candidate_context
 from cloudstrata.operators.profile import AXES, finite
 from cloudstrata.operators.regions import even_sample
@@ -14,8 +15,10 @@ MOST_CONTEXT = 20_000
 
 
 def suggested_centre(points: DataFrame) -> DataFrame:
-    """One row: the medians of x and y of finite points."""
-    return points.filter(finite(F.col("x")) & finite(F.col("y"))).agg(F.median("x").alias("x"), F.median("y").alias("y"))
+    """One row: the medians of x and y of finite points, exact and found by ranges of values."""
+    both = points.filter(finite(F.col("x")) & finite(F.col("y"))).select(F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in "xy"])))
+    found = quantiles(both, "v", [0.5], ["axis"])
+    return found.agg(*[F.max(F.when(F.col("axis") == a, F.col("quantiles")[0])).alias(a) for a in "xy"])
 
 
 def box_edges(boxes: DataFrame, key: str) -> DataFrame:

@@ -88,13 +88,13 @@ def cloth_mask(xyz: np.ndarray, resolution: float, threshold: float, rigidness:
     return np.abs(height[gx, gy] - upside) < threshold
 
 
-def ground_by_cloth(points: DataFrame, by: list[str], resolution: float = 1.0, threshold: float = 0.8, rigidness: int = 3, iterations: int = 500, smooth: bool = True) -> DataFrame:
+def ground_by_cloth(points: DataFrame, by: list[str], resolution: float = 1.0, threshold: float = 0.8, rigidness: int = 3, iterations: int = 500, smooth: bool = True, time_step: float = 0.65) -> DataFrame:
     """Adds ground by a cloth over each group. The cloth is global, so a group is one task's work: groups are regions of bounded size, as region() makes them."""
     columns = points.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
-        return pdf.assign(ground=cloth_mask(pdf[[*AXES]].to_numpy(float), resolution, threshold, rigidness, iterations, smooth))
+        return pdf.assign(ground=cloth_mask(pdf[[*AXES]].to_numpy(float), resolution, threshold, rigidness, iterations, smooth, time_step))
 
     kinds = dict(points.dtypes)
     return points.groupBy(*by).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "ground boolean"]))

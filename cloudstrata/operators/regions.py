@@ -59,8 +59,9 @@ def first_of_voxels(points: DataFrame, size: float, anchor: str = "absolute", by
 
 
 def even_sample(rows: DataFrame, most: int, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """At most `most` rows of each group, evenly spaced in order: all if there are no more, else rows trunc(k (n - 1) / (most - 1)), the last being n - 1, or the first alone for most = 1."""
-    numbered = placed_in_groups(rows, by or [], order, "__rn", "__n")
+    """At most `most` rows of each group, evenly spaced in order, which tells all rows of a group apart: all if there are no more, else rows trunc(k (n - 1) / (most - 1)), the last being n - 1, or the first alone for most = 1."""
+    keys = [*(by or []), *order]
+    numbered = placed_in_groups(rows.select(*keys), by or [], order, "__rn", "__n")  # other columns of other rows aren't moved
     if most == 1:
         wanted = F.col("__rn") == 0
     else:
@@ -69,7 +70,11 @@ def even_sample(rows: DataFrame, most: int, order: list[str], by: list[str] | No
         guess = F.floor(F.col("__rn") / step)
         near = F.array(*[guess + d for d in (-1, 0, 1, 2)])
         wanted = (F.col("__rn") == F.col("__n") - 1) | F.exists(near, lambda j: (j >= 0) & (j < most - 1) & (F.floor(j * step) == F.col("__rn")))
-    return numbered.filter((F.col("__n") <= most) | wanted).drop("__rn", "__n")
+    chosen = numbered.filter((F.col("__n") <= most) | wanted).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(F.col(f"__{k}"))
+    return rows.join(chosen, same, "left_semi")
 
 
 def representatives(rows: DataFrame, label: str, most: int, key: str) -> DataFrame:

@@ -64,12 +64,18 @@ def exposure_summary(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.bool_or("suggestions_available").alias("suggestions_revealed"), F.count("*").alias("reveal_event_count"), F.max("at_utc").alias("last_reveal_utc"))
 
 
-def reference_rows(candidates: DataFrame, reviews: DataFrame, groups: DataFrame, exposures: DataFrame | None = None, key: str = "candidate_id") -> DataFrame:
-    """Every candidate with its latest review, evaluation group and eligibility; unreviewed labels stay null."""
+def reference_rows(candidates: DataFrame, reviews: DataFrame, groups: DataFrame, exposures: DataFrame | None = None, key: str = "candidate_id", predictions: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
+    """Every candidate with its latest review, evaluation group and eligibility; unreviewed labels stay null.
+
+    predictions (key, prediction_path, context_prediction_path) and features (key, feature_reference) are references only, null where there are none.
+    """
     last = latest(reviews, key, "revision")
     out = candidates.join(last, key, "left").join(groups.select(key, F.col("group").alias("evaluation_group")), key, "left")
     if exposures is not None:
         out = out.join(exposure_summary(exposures, key).withColumnsRenamed({"suggestions_revealed": "exposed", "reveal_event_count": "exposures"}), key, "left")
+    for given in (predictions, features):
+        if given is not None:
+            out = out.join(given, key, "left")
     return out.withColumns({"reviewed": F.col("revision").isNotNull(), "eligible_for_later_classification": eligible(F.col("human_class"), F.col("crop_quality"))})
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import math
 import os
 import uuid
 from collections.abc import Callable
@@ -12,36 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.hashing import content_key
 from cloudstrata.operators.batches import cached, file_hashes, region_fingerprint
+from cloudstrata.operators.clusters import cluster_summary, cluster_table, dbscan
+from cloudstrata.operators.parameters import MOST_ELIGIBLE, MOST_REGION_AREA, MOST_REGION_POINTS, checked_parameters
 from cloudstrata.operators.records import label_by_partition
 from cloudstrata.operators.regions import region
 from cloudstrata.sources.documents import json_text, plain
 
-#: Fixed limits: points of a region, its area, and points that may be clustered at once.
-MOST_REGION_POINTS, MOST_REGION_AREA, MOST_ELIGIBLE = 250_000, 250_000.0, 50_000
-#: Allowed values of parameters: least, greatest, and whether they are whole numbers.
-LIMITS = {
-    "eps": (0.0, math.inf, False), "min_samples": (1, math.inf, True), "min_cluster_points": (1, math.inf, True), "max_candidates": (1, math.inf, True), "cell": (0.0, math.inf, False), "tolerance": (0.0, math.inf, False),
-    "resolution": (0.0, math.inf, False), "threshold": (0.0, math.inf, False), "rigidness": (1, 3, True), "iterations": (1, math.inf, True), "time_step": (0.0, math.inf, False), "padding": (0.0, math.inf, False),
-    "chunk_points": (1, math.inf, True), "target_points": (1, math.inf, True),
-}
-#: Parameters that may be zero.
-MAY_BE_ZERO = frozenset(["tolerance", "padding"])
-
-
-def checked_parameters(**values: float) -> dict[str, float]:
-    """The values, if each is finite, within its limits and whole where it has to be (a truth value is no number); ValueError otherwise."""
-    for name, v in values.items():
-        if name not in LIMITS:
-            raise ValueError(f"unknown parameter {name}")
-        least, most, whole = LIMITS[name]
-        if isinstance(v, bool) or not isinstance(v, int if whole else (int, float)) or not math.isfinite(v):
-            raise ValueError(f"{name} has to be a {'whole' if whole else 'finite'} number")
-        if v < least or v > most or v == 0 and name not in MAY_BE_ZERO:
-            raise ValueError(f"{name} is out of its range")
-    return values
-
-
 def guarded_region(points: DataFrame, x: tuple[float, float], y: tuple[float, float], padding: float = 10.0, most_points: int = MOST_REGION_POINTS, most_area: float = MOST_REGION_AREA) -> DataFrame:
     """A padded region with core; an error instead of a cut beyond the greatest area or number of points."""
     checked_parameters(padding=padding)
@@ -150,6 +127,33 @@ def load_source(spark: SparkSession, root: str, identity: dict, load: Callable[[
     return out, there
 
 
+def extract_candidates(
+    source: DataFrame, root: str, identity: dict, eps: float, min_cluster_points: int, min_samples: int = 5, max_candidates: int = 8, roi: tuple[float, float, float, float] | None = None, most: int = MOST_ELIGIBLE
+) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Density clusters of a source's eligible points as one call: membership (row_id, raw_label, label), a row for each cluster, the counts, and whether they were in the cache under root.
+
+    source: points with eligible; identity: what the source is. label is -1 for noise and for clusters under
+    `min_cluster_points`, whose raw_label stays. `max_candidates` bounds the review batch alone. ValueError for a parameter
+    out of its range or more eligible points than `most`; nothing is cut.
+    """
+    parameters = checked_parameters(eps=eps, min_cluster_points=min_cluster_points, min_samples=min_samples, max_candidates=max_candidates)
+    eligible = source.filter("eligible")
+    if eligible.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} points are eligible")
+    inputs = {"source": identity, "roi": roi, **parameters}
+    key, spark = content_key(inputs), source.sparkSession
+
+    def cluster() -> DataFrame:
+        return dbscan(eligible.select("row_id", "x", "y", "z"), eps, min_samples)
+
+    labelled, there = cached(spark, f"{root}/clusters", inputs, cluster)
+    table, _ = cached(spark, f"{root}/tables", inputs, lambda: cluster_table(labelled, min_cluster_points, max_candidates, roi, eps, key))
+    kept = table.filter("status <> 'below_min_cluster_points'").select("label", F.lit(True).alias("__kept"))
+    members = labelled.withColumnRenamed("label", "raw_label").join(kept.withColumnRenamed("label", "raw_label"), "raw_label", "left")
+    members = members.select("row_id", "raw_label", F.when(F.col("__kept"), F.col("raw_label")).otherwise(-1).alias("label"))
+    return members, table, cluster_summary(labelled, table), there
+
+
 def review_snapshot(folder: str, rows: DataFrame, observations: dict) -> str:
     """Comparison rows (a few for each method) and what people said of them, as one new document; nothing is computed again."""
     path = os.path.join(folder, f"review_{uuid.uuid4().hex[:8]}.json")

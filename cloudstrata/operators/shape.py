@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloudstrata.functions.linalg import COVARIANCE, eigenvalues, vertical_part
-from cloudstrata.functions.numbering import placed_in_groups
+from cloudstrata.functions.numbering import placed_in_groups, quantiles
 from cloudstrata.operators.neighbours import radius_join
 from cloudstrata.operators.profile import AXES
 
@@ -51,13 +51,19 @@ def local_features(queries: DataFrame, points: DataFrame, radius: float, by: lis
 def summarise_local(features: DataFrame, by: list[str]) -> DataFrame:
     """Counts by status, quantiles of neighbours and of defined features, and shares of valid queries in the descriptive bins."""
     valid = F.col("status") == "valid"
-    q = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    out = [F.count("*").alias("queries"), *[F.count_if(F.col("status") == s).alias(s) for s in ("valid", "insufficient_neighbors", "zero_variance")], F.percentile("count", q).alias("neighbour_quantiles")]
-    for n in NAMES:
-        v = F.when(valid, F.col(n))
-        out += [F.count(v).alias(f"{n}_defined"), F.percentile(v, q).alias(f"{n}_quantiles")]
+    out = [F.count("*").alias("queries"), *[F.count_if(F.col("status") == s).alias(s) for s in ("valid", "insufficient_neighbors", "zero_variance")]]
+    out += [F.count(F.when(valid, F.col(n))).alias(f"{n}_defined") for n in NAMES]
     out += [(F.count_if(valid & F.coalesce(F.expr(e), F.lit(False))) / F.nullif(F.count_if(valid), F.lit(0))).alias(f"{n}_share") for n, e in BINS.items()]
-    return features.groupBy(*by).agg(*out)
+    # exact quantiles of all columns by ranges of their values, so no task holds a group
+    columns = [F.struct(F.lit("neighbour").alias("__name"), F.col("count").cast("double").alias("__v")), *[F.struct(F.lit(n).alias("__name"), F.when(valid, F.col(n)).alias("__v")) for n in NAMES]]
+    found = quantiles(features.select(*by, F.inline(F.array(*columns))), "__v", [0.1, 0.5, 0.9], [*by, "__name"])
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == n, F.col("quantiles"))).alias(f"{n}_quantiles") for n in ("neighbour", *NAMES)])
+    wide = wide.withColumnsRenamed({b: f"__{b}" for b in by})
+    counts = features.groupBy(*by).agg(*out)
+    same = F.lit(True)
+    for b in by:
+        same = same & counts[b].eqNullSafe(wide[f"__{b}"])
+    return counts.join(wide, same, "left").drop(*[f"__{b}" for b in by])
 
 
 def ecdf(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

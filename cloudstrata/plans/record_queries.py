@@ -137,7 +137,20 @@ _WKT = 'PROJCS["NAD83(2011) / Ohio South",GEOGCS["NAD83",UNIT["degree",0.0174]],
 def crs_sidecar(spark, sf_dir):
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("path"), "r_regionkey")
     text = F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("Export unit: Meter\n  WKT (GDAL): "), F.lit(_WKT))).otherwise(F.lit("Export unit: Meter"))
-    return docs.coordinate_systems(r.select("path", F.explode(F.split(text, "\n")).alias("value")))
+    return docs.coordinate_systems(r.select("path", F.explode(F.split(text, "\n")).alias("value"))).select("path", "wkt", "name", "unit", "epsg")
+
+
+_PLANE, _ANGLE = 'PROJCS["P-%s",GEOGCS["G",UNIT["degree",0.0174]],PROJECTION["T"],PARAMETER["k",1],UNIT["metre",1],AUTHORITY["EPSG","26917"]]', 'GEOGCS["G-%s",DATUM["D",SPHEROID["S",6378137,298.25]],UNIT["degree",0.0174],AUTHORITY["EPSG",4326]]'
+_BOTH = 'COMPD_CS["C-%s",PROJCS["P",GEOGCS["G",UNIT["degree",0.0174]],UNIT["US survey foot",0.3048],AUTHORITY["EPSG","6553"]],VERT_CS["V",VERT_DATUM["N",2005],UNIT["metre",1]],AUTHORITY["EPSG","8912"]]'
+
+
+@query("""SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'projected' WHEN 1 THEN 'geographic' WHEN 2 THEN 'compound' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 'P-' WHEN 1 THEN 'G-' WHEN 2 THEN 'C-' END || n_name AS name,
+CASE n_nationkey % 4 WHEN 0 THEN 'metre' WHEN 1 THEN 'degree' WHEN 2 THEN 'US survey foot' END AS unit, CASE WHEN n_nationkey % 4 = 2 THEN 'metre' END AS vertical_unit,
+CASE n_nationkey % 4 WHEN 0 THEN '26917' WHEN 1 THEN '4326' WHEN 2 THEN '8912' END AS epsg, n_nationkey % 4 = 3 AS broken FROM nation""")
+def crs_tree(spark, sf_dir):
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 4
+    text = F.when(k == 0, F.format_string(_PLANE, "n_name")).when(k == 1, F.format_string(_ANGLE, "n_name")).when(k == 2, F.format_string(_BOTH, "n_name")).otherwise(F.format_string('PROJCS["%s",UNIT["metre",1]', "n_name"))
+    return docs.crs_facts(n.select(F.col("n_nationkey").alias("id"), text.alias("wkt"))).select("id", "kind", "name", "unit", "vertical_unit", "epsg", F.col("error").isNotNull().alias("broken"))
 
 
 @query("""SELECT r_regionkey AS side, r_name AS name, r_regionkey % 2 = 0 AS same_scale, TRUE AS same_format, r_regionkey % 2 = 0 AS lineage_ok FROM region""")

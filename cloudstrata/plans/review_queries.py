@@ -81,6 +81,17 @@ def reference_rows(spark, sf_dir):
     return rows.select("doc_id", "source", "human_class", "crop_quality", "reviewed", F.col("eligible_for_later_classification").alias("eligible"), "evaluation_group")
 
 
+@query("""WITH l AS (SELECT doc_id, quality FROM labels) SELECT d.doc_id, l.doc_id IS NOT NULL AS reviewed, e.label AS prediction, p.url AS feature_reference FROM documents d LEFT JOIN l USING (doc_id)
+LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id""")
+def reference_evidence(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    made = table(spark, sf_dir, "labels").select("doc_id", F.lit("unclear").alias("crop_quality"), F.lit(None).cast("string").alias("human_class"), F.lit(1).alias("revision"))
+    predictions = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("prediction"))
+    features = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("feature_reference"))
+    rows = reviews.reference_rows(d, made, d.withColumn("group", F.col("doc_id")), key="doc_id", predictions=predictions, features=features)
+    return rows.select("doc_id", "reviewed", "prediction", "feature_reference")
+
+
 @query("""SELECT conv_id, bool_or(role = 'system') AS suggestions_revealed, count(*) AS reveal_event_count, max(turn) AS last_reveal_utc FROM conversations GROUP BY conv_id""")
 def exposure_summary(spark, sf_dir):
     events = table(spark, sf_dir, "conversations").select("conv_id", (F.col("role") == "system").alias("suggestions_available"), F.col("turn").alias("at_utc"))

@@ -3,28 +3,53 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import math
 import os
+import struct
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudstrata.sources.las import open_file, read_header
+from cloudstrata.sources.wkt import facts, parse
+
 #: Fixed by the sidecars' format: what begins the line with the coordinate system.
 WKT_LINE = r"^  WKT \(GDAL\): (.*)$"
 
 
+_FACTS = "kind string, name string, unit string, unit_factor double, vertical_unit string, vertical_factor double, epsg string, error string"
+
+
+def crs_facts(texts: DataFrame, text: str = "wkt") -> DataFrame:
+    """texts with kind, name, horizontal and vertical unit and their factors, EPSG code, and the error of those that can't be read."""
+    names = [f.split()[0] for f in _FACTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column(at).to_pylist():
+                try:
+                    rows.append(facts(parse(t or "")) | {"error": None})
+                except ValueError as error:
+                    rows.append(dict.fromkeys(names) | {"error": str(error)})
+            kinds = [pa.float64() if n.endswith("factor") else pa.string() for n in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True))], names=[*batch.schema.names, *names])
+
+    at = texts.columns.index(text)
+    return texts.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema), _FACTS]))
+
+
 def coordinate_systems(lines: DataFrame, path: str = "path", line: str = "value") -> DataFrame:
-    """path, wkt, name, unit and EPSG code, of the sidecar lines that have the coordinate system. Units of axes are the last unit named."""
-    wkt = F.regexp_extract(line, WKT_LINE, 1)
-    rows = lines.select(path, wkt.alias("wkt")).filter("wkt <> ''")
-    return rows.select(
-        path, "wkt", F.regexp_extract("wkt", r'^[A-Z]+\["([^"]*)"', 1).alias("name"), F.regexp_extract("wkt", r'.*UNIT\["([^"]*)"', 1).alias("unit"),
-        F.regexp_extract("wkt", r'.*AUTHORITY\["EPSG","?([0-9]+)', 1).alias("epsg"),
-    )
+    """path, wkt and the facts of crs_facts, of the sidecar lines that have the coordinate system."""
+    rows = lines.select(path, F.regexp_extract(line, WKT_LINE, 1).alias("wkt")).filter("wkt <> ''")
+    return crs_facts(rows)
 
 
 def read_sidecars(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -47,6 +72,102 @@ def catalogue(runs: DataFrame, inputs: DataFrame, fields: list[str], key: str =
     return left.select(F.col(key), *[F.col(f"r.{c}").alias(c) for c in runs.columns if c != key], *same, lineage.alias("lineage_ok"))
 
 
+def file_facts(paths: DataFrame, path: str = "path", text: bool = False) -> DataFrame:
+    """The rows of paths with length, sha256 and error of each file, read by the tasks a piece at a time; text: also what documents say.
+
+    A file that is missing or can't be read is a row with an error, not a failure.
+    """
+    out = "length long, sha256 string, text string, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(at).to_pylist():
+                digest, length, said = hashlib.sha256(), 0, []
+                try:
+                    with open_file(name) as f:
+                        while piece := f.read(1 << 22):
+                            digest.update(piece)
+                            length += len(piece)
+                            if text:
+                                said.append(piece)
+                    found.append((length, digest.hexdigest(), b"".join(said).decode() if text else None, None))
+                except (OSError, ValueError, TypeError, pa.ArrowException) as error:
+                    found.append((None, None, None, f"{type(error).__name__}: {error}".split("\n")[0]))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in found], t) for k, t in enumerate(kinds))], names=[*batch.schema.names, "length", "sha256", "text", "error"])
+
+    at = paths.columns.index(path)
+    rows = paths.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema), out]))
+    return rows if text else rows.drop("text")
+
+
+def header_facts(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The rows of paths with point_count, point_format and error of each LAS file; one that is missing or broken is a row with an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(at).to_pylist():
+                try:
+                    h = read_header(name)
+                    found.append((h["point_count"], h["point_format"], None))
+                except (OSError, ValueError, TypeError, struct.error, pa.ArrowException) as error:
+                    found.append((None, None, f"{type(error).__name__}: {error}".split("\n")[0]))
+            kinds = (pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in found], t) for k, t in enumerate(kinds))], names=[*batch.schema.names, "point_count", "point_format", "error"])
+
+    at = paths.columns.index(path)
+    return paths.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema), "point_count long, point_format int, error string"]))
+
+
+#: What of a saved run's source has to be as in the input manifest.
+LINEAGE = ("source_path", "source_point_count", "sample_point_count", "selection_probability", "seed")
+
+
+def saved_runs(spark: SparkSession, input_manifest: str, runs: list[tuple[str, str]]) -> DataFrame:
+    """A row for each saved run (name, path of its manifest) and side: counts of its output files by their headers, whether its lineage is that of the input manifest, parameters, and status.
+
+    A run whose manifest is missing or broken is one row without a side, and a missing or broken output is told in status; neither is a failure.
+    Output paths are relative to their manifest.
+    """
+    inputs = read_json(spark, input_manifest)
+    documents = file_facts(spark.createDataFrame(runs, "run string, path string"), text=True).collect()  # a row for each run
+    rows, files = [], []
+    for d in documents:
+        try:
+            manifest = json.loads(d["text"] or "") if d["error"] is None else None
+            sides = sorted(manifest["sources"].items()) if manifest is not None else []
+        except (ValueError, KeyError, TypeError, AttributeError) as error:
+            manifest, sides = None, []
+            d = d.asDict() | {"error": f"{type(error).__name__}: {error}"}
+        if manifest is None:
+            rows.append((d["run"], None, None, None, None, d["error"]))
+        for side, source in sides:
+            known = inputs.get("sources", {}).get(side, {})
+            same = all(source.get(f) == known.get(f) for f in LINEAGE) and manifest.get("shared_roi") == inputs.get("shared_roi")
+            rows.append((d["run"], side, same, json_text(manifest.get("parameters", {})), source.get("sample_point_count"), None))
+            for label in ("ground", "non_ground"):
+                relative = source.get("output_files", {}).get(label)
+                files.append((d["run"], side, label, f"{d['path'].rsplit('/', 1)[0]}/{relative}" if relative else None))
+    table = spark.createDataFrame(rows, "run string, side string, same_lineage boolean, parameters string, sample_points long, error string")
+    heads = header_facts(spark.createDataFrame(files, "run string, side string, label string, path string"))
+    of = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
+    counts = heads.groupBy("run", "side").agg(of("ground", "point_count").alias("ground_points"), of("non_ground", "point_count").alias("non_ground_points"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.concat("label", F.lit(": "), "error")))), "; ").alias("missing"))
+    status = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("missing", F.lit("")) != "", F.col("missing")).otherwise("saved partitions available")
+    return table.join(counts, ["run", "side"], "left").select("run", "side", "same_lineage", "parameters", "sample_points", "ground_points", "non_ground_points", status.alias("status"))
+
+
+def catalogue(runs: DataFrame, inputs: DataFrame, fields: list[str], key: str = "side") -> DataFrame:
+    """Saved runs beside the input manifest: a run without header is an error row, others say for each lineage field whether it is equal."""
+    left = runs.alias("r").join(inputs.alias("i"), key, "left")
+    same = [F.col(f"r.{f}").eqNullSafe(F.col(f"i.{f}")).alias(f"same_{f}") for f in fields]
+    lineage = F.lit(True)
+    for f in fields:
+        lineage = lineage & F.col(f"r.{f}").eqNullSafe(F.col(f"i.{f}"))
+    return left.select(F.col(key), *[F.col(f"r.{c}").alias(c) for c in runs.columns if c != key], *same, lineage.alias("lineage_ok"))
+
+
 def latest_path(paths: DataFrame, kind: str, path: str = "path") -> DataFrame:
     """The last path of each kind in the order of text."""
     return paths.groupBy(kind).agg(F.max(path).alias(path))

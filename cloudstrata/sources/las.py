@@ -69,7 +69,7 @@ def read_header(path: str) -> dict:
     with open_file(path) as f:
         size = f.size()
         head = f.read(min(375, size))
-        if head[:4] != b"LASF":
+        if head[:4] != b"LASF" or len(head) < 227:
             raise ValueError(f"{path} isn't a LAS file")
         major, minor = head[24], head[25]
         day, year, header_size, offset, n_vlr, fmt, length, old_count = struct.unpack_from("<HHHIIBHI", head, 90)
