@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudstrata.functions.numbering import placed
+from cloudstrata.session import cut
+
 #: Fixed values of the spatial hash: multipliers of the three coordinates and of the two mixing steps.
 COORDINATES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -119,6 +122,29 @@ def membership_id(rows: DataFrame, group: list[str], identity: Column, row_col:
     return together.repartition(*group).sortWithinPartitions(*group, "__row").mapInArrow(run, ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "candidate_id string, point_count int"]))
 
 
+#: Rows of a leaf, and digests of a node, of the trees below.
+LEAF, FAN = 50_000, 1024
+
+
+def merkle_root(leaves: DataFrame) -> str | None:
+    """The root over digests (hexadecimal) in the order of leaf: each node is the SHA-256 of the digests of FAN below it, level by level, so no task has them all. None without leaves."""
+    level = cut(leaves.select(F.col("leaf").cast("long").alias("leaf"), "digest"), "merkle")
+    while True:
+        n = level.count()
+        if n <= 1:
+            return level.first()["digest"] if n else None
+        nodes = level.groupBy(F.floor(F.col("leaf") / FAN).alias("leaf")).agg(F.sort_array(F.collect_list(F.struct("leaf", "digest"))).alias("d"))
+        level = cut(nodes.select("leaf", F.sha2(F.unhex(F.array_join(F.transform("d", lambda v: v["digest"]), "")), 256).alias("digest")), "merkle")
+
+
+def table_digest(rows: DataFrame, order: list[str], columns: list[str]) -> str | None:
+    """A digest of rows in an order that tells them apart: it changes with a value, a null, a row or the order, and not with partitions."""
+    numbered = placed(rows.select(*dict.fromkeys([*order, *columns])), order, "__place")
+    own = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    by_leaf = numbered.groupBy(F.floor(F.col("__place") / LEAF).alias("leaf")).agg(F.sort_array(F.collect_list(F.struct("__place", own.alias("h")))).alias("d"))  # LEAF digests
+    return merkle_root(by_leaf.select("leaf", F.sha2(F.unhex(F.array_join(F.transform("d", lambda v: v["h"]), "")), 256).alias("digest")))
+
+
 def content_key(value: object) -> str:
     """The name of a cached result: SHA-256 over canonical JSON of everything it depends on."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()

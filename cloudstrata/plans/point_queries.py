@@ -142,7 +142,7 @@ def partition_counts(spark, sf_dir):
 @query()
 def ground_cloth(spark, sf_dir):
     p = points(spark, sf_dir).select("row_id", "side", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"))
-    return ground.ground_by_cloth_regions(p, ["side"], iterations=200).select("row_id", "side", "ground")
+    return ground.ground_by_cloth_tiles(p, ["side"], iterations=200).select("row_id", "side", "ground")
 
 
 @query(f"""WITH {PTS}, v AS (SELECT *, row_number() OVER (PARTITION BY side, floor(x / 20.0::DOUBLE), floor(y / 20.0::DOUBLE), floor(z / 20.0::DOUBLE) ORDER BY row_id) AS k FROM pts)

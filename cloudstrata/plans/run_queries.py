@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cloudstrata.operators import figures, records, runs
+from cloudstrata.operators import crops, figures, records, runs
 from cloudstrata.plans.point_queries import AXES, points, rounded
 from cloudstrata.plans.record_queries import _UB, _user_boxes
 from cloudstrata.plans.registry import query, table
@@ -58,6 +58,16 @@ def las_overview(spark, sf_dir):
     return las.overview(spark, _las_file(spark, sf_dir), 300).select("row_id", "raw_x")
 
 
+_BOXES = {"a": {"x": (100, 140), "y": (20, 45), "z": (0, 30)}, "b": {"x": (130, 200), "y": (40, 80), "z": (10, 60)}, "c": {"x": (650, 700), "y": (1, 30), "z": (0, 500)}}
+
+
+@query(f"""WITH {PTS}, n AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, raw_x, raw_z, x, y, z FROM pts) {" UNION ALL ".join(f"SELECT '{n}' AS box, row_id, raw_x::INTEGER AS raw_x, raw_z::INTEGER AS raw_z FROM n WHERE x BETWEEN {b['x'][0] - 5} AND {b['x'][1] + 5} AND y BETWEEN {b['y'][0] - 5} AND {b['y'][1] + 5} AND z BETWEEN {b['z'][0]} AND {b['z'][1]}" for n, b in _BOXES.items())}""")
+def crop_scan(spark, sf_dir):
+    manifest = crops.scan_crops(spark, _las_file(spark, sf_dir), _BOXES, new_folder(spark, "crops"), allow_scan=True)
+    each = [spark.read.parquet(c["path"]).select(F.lit(n).alias("box"), "row_id", "raw_x", "raw_z") for n, c in manifest["crops"].items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query(f"WITH {PTS} SELECT row_id, CASE WHEN x > 600 THEN 'uncovered' WHEN z <= 20 THEN 'ground' ELSE 'non_ground' END AS part FROM pts")
 def mask_parts(spark, sf_dir):
     return points(spark, sf_dir).select("row_id", runs.mask_part(F.col("z") <= 20, F.col("x") <= 600).alias("part"))

@@ -103,7 +103,8 @@ def read_header(path: str) -> dict:
         }
 
 
-def _dtype(header: dict) -> np.dtype:
+def record_type(header: dict) -> np.dtype:
+    """The layout of a file's records."""
     fields = FORMATS.get(header["point_format"])
     if fields is None:
         raise ValueError(f"point format {header['point_format']} isn't known")
@@ -212,7 +213,7 @@ class LasReader(DataSourceReader):
             return
         path, start, count = partition.value
         header = read_header(path)
-        kind = _dtype(header)
+        kind = record_type(header)
         with open_file(path) as f:
             if self.overview is not None:
                 wanted = wanted_records(header["point_count"], self.overview, start, count)

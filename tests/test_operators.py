@@ -313,3 +313,24 @@ def test_plane_in_few_rounds(spark, monkeypatch):
     r = np.random.default_rng(6)
     p = cloud(spark, np.column_stack([r.random((2000, 2)) * 100, np.full(2000, 7.0)]))
     assert neighbours.k_nearest(p, p, 1, other=True).count() == 2000 and len(rounds) <= 2
+
+
+@pytest.mark.parametrize(("tile", "steps"), [(12, 3), (512, 20)])
+def test_cloth_tiles(spark, tile, steps):
+    """A cloth over many tiles labels points as one cloth of the whole does, for two groups of unlike extent, with voids, hills and poles."""
+    r = np.random.default_rng(12)
+    rows, want = [], {}
+    for side, n, wide in (("left", 700, (60, 37)), ("right", 150, (20, 9))):
+        xy = r.random((n, 2)) * wide - 11.0
+        xy = xy[~((xy[:, 0] > 15) & (xy[:, 0] < 30) & (xy[:, 1] > 0))]  # wider than what tiles exchange at once
+        z = np.sin(xy[:, 0] / 6) * 2 + 0.05 * r.random(len(xy)) + np.where(r.random(len(xy)) < 0.1, 4.0, 0.0)
+        mask = ground.cloth_mask(np.column_stack([xy, z]), 1.0, 0.5, 2, 60, True)
+        for (x, y), h, g in zip(xy.tolist(), z.tolist(), mask.tolist(), strict=True):
+            want[len(rows)] = g
+            rows.append((len(rows), side, x, y, h))
+    p = spark.createDataFrame(rows, "row_id long, side string, x double, y double, z double").repartition(3)
+    got = {x["row_id"]: x["ground"] for x in ground.ground_by_cloth_tiles(p, ["side"], 1.0, 0.5, 2, 60, True, tile=tile, steps=steps if tile == 12 else 20).collect()}
+    assert got == want and 0.5 < np.mean([*want.values()]) < 0.98
+    assert ground.ground_by_cloth_tiles(p.limit(0), ["side"]).count() == 0
+    with pytest.raises(ValueError):
+        ground.ground_by_cloth_tiles(p, ["side"], tile=12, steps=20)
