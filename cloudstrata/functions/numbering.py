@@ -60,8 +60,8 @@ def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] |
     ends = parted.withColumn("__end", first + F.sum("__n").over(within)).withColumn("__begin", F.col("__end") - F.col("__n"))
     groups = ends.groupBy(*by).agg(F.min("__begin").alias("__first"), F.sum("__n").alias("__all"))
     if by:
-        other = groups.withColumnsRenamed({b: f"__{b}" for b in by})
-        ends = ends.join(other, [ends[b].eqNullSafe(other[f"__{b}"]) for b in by]).drop(*[f"__{b}" for b in by])
+        other = groups.withColumnsRenamed({b: f"__by_{b}" for b in by})
+        ends = ends.join(other, [ends[b].eqNullSafe(other[f"__by_{b}"]) for b in by]).drop(*[f"__by_{b}" for b in by])
     else:
         ends = ends.crossJoin(groups)  # one row
     place = [F.lit(float(s)) * (F.col("__all") - 1).cast("double") for s in shares]

@@ -58,12 +58,12 @@ def summarise_local(features: DataFrame, by: list[str]) -> DataFrame:
     columns = [F.struct(F.lit("neighbour").alias("__name"), F.col("count").cast("double").alias("__v")), *[F.struct(F.lit(n).alias("__name"), F.when(valid, F.col(n)).alias("__v")) for n in NAMES]]
     found = quantiles(features.select(*by, F.inline(F.array(*columns))), "__v", [0.1, 0.5, 0.9], [*by, "__name"])
     wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == n, F.col("quantiles"))).alias(f"{n}_quantiles") for n in ("neighbour", *NAMES)])
-    wide = wide.withColumnsRenamed({b: f"__{b}" for b in by})
+    wide = wide.withColumnsRenamed({b: f"__by_{b}" for b in by})
     counts = features.groupBy(*by).agg(*out)
     same = F.lit(True)
     for b in by:
-        same = same & counts[b].eqNullSafe(wide[f"__{b}"])
-    return counts.join(wide, same, "left").drop(*[f"__{b}" for b in by])
+        same = same & counts[b].eqNullSafe(wide[f"__by_{b}"])
+    return counts.join(wide, same, "left").drop(*[f"__by_{b}" for b in by])
 
 
 def ecdf(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
