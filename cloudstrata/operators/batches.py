@@ -21,7 +21,7 @@ from cloudstrata.operators.profile import AXES
 from cloudstrata.operators.records import crop_groups, interleaved, overlapping_boxes, shape_hint, shared_members
 from cloudstrata.operators.selection import select_in_turn
 from cloudstrata.session import cut
-from cloudstrata.sources.documents import create_text, is_folder, json_text, read_json, replace_text
+from cloudstrata.sources.documents import create_text, file_facts, is_folder, json_text, read_json, replace_text
 
 #: Fixed by the formats of candidate names: sixteen hexadecimal digits and a label, or a name by membership.
 CANDIDATE_ID = r"[0-9a-f]{16}_[0-9]{5,}"
@@ -293,3 +293,31 @@ def observations(reports: DataFrame, expected: int | None = None) -> DataFrame:
     if expected is not None and out.count() != expected:
         raise ValueError(f"not {expected} crops")
     return out
+
+
+def collect_observations(spark: SparkSession, reports: DataFrame, features: str | None = None, expected: int | None = None) -> DataFrame:
+    """A row for each item of the latest report of each kind: candidate, report, region and its id, crop, membership, and where its features are.
+
+    reports: kind, path of JSON documents with source_identity and items (candidate_id, region, region_roi, crop and membership, each path and sha256). Crops and
+    memberships are hashed by tasks, a piece at a time; ValueError for one that is missing or isn't as its report says, and for
+    another number of items than expected. features: a document with entries (id); candidates without one have no reference.
+    """
+    latest = reports.groupBy("kind").agg(F.max("path").alias("path"))
+    rows = []
+    for r in file_facts(latest, text=True).orderBy("kind").collect():  # a row for each kind
+        if r["error"]:
+            raise ValueError(f"{r['path']}: {r['error']}")
+        report = json.loads(r["text"])
+        for item in report["items"]:
+            region_id = f"region_{content_key({'source_identity': report['source_identity'], 'roi': item['region_roi']})[:16]}"
+            rows.append((r["kind"], item["candidate_id"], r["path"], report["source_identity"], item["region"], region_id, *(item[k][v] for k in ("crop", "membership") for v in ("path", "sha256"))))
+    known = {e["id"] for e in read_json(spark, features)["entries"]} if features else set()
+    columns = "kind string, candidate_id string, report_path string, source_identity string, region string, region_id string, crop_path string, crop_sha256 string, membership_path string, membership_sha256 string, feature_reference string"
+    found = spark.createDataFrame([(*row, features if row[1] in known else None) for row in rows], columns)
+    if expected is not None and len(rows) != expected:
+        raise ValueError(f"{len(rows)} items, not {expected}")
+    files = found.select(F.inline(F.array(*[F.struct(F.col(f"{k}_path").alias("path"), F.col(f"{k}_sha256").alias("said")) for k in ("crop", "membership")]))).distinct()
+    wrong = file_facts(files).filter("error is not null or sha256 <> said").orderBy("path").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['path']}: {wrong['error'] or 'not as its report says'}")
+    return found

@@ -69,6 +69,19 @@ def compare_sides(points: DataFrame, side: str = "side") -> DataFrame:
     )
 
 
+def density_multiplier(dense: DataFrame, sparse: DataFrame, box: Column) -> DataFrame:
+    """One row: points of both in the same box, and how many dense ones there are for each sparse one; null without any."""
+    counts = dense.filter(box).agg(F.count("*").alias("dense_points")).crossJoin(sparse.filter(box).agg(F.count("*").alias("sparse_points")))  # single rows
+    return counts.withColumn("multiplier", F.when(F.col("sparse_points") > 0, F.col("dense_points") / F.col("sparse_points")))
+
+
+def sides_of_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """side and path of the first file, in the order of paths, whose name without ending contains left or right in any case; a side without one isn't there."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", ""))
+    each = paths.select(F.col(path).alias("path"), F.explode(F.array_compact(F.array(*[F.when(stem.contains(s), F.lit(s)) for s in ("left", "right")]))).alias("side"))
+    return each.groupBy("side").agg(F.min("path").alias("path"))
+
+
 def shared_region(points: DataFrame, side: str = "side") -> DataFrame:
     """axis, low, high of the intersection of the sides' boxes, and whether it is empty."""
     b = boxes(points, [side])

@@ -94,6 +94,16 @@ def box_points(points: DataFrame, boxes: Iterable[tuple[str, dict[str, tuple[flo
     return points.withColumn("box", F.explode(names))
 
 
+def local_coordinates(points: DataFrame, by: list[str] | None = None, origin: tuple[float, float, float] | None = None) -> DataFrame:
+    """points with local_x, local_y and local_z: coordinates less one shared origin, which is given or each group's least."""
+    if origin is not None:
+        return points.withColumns({f"local_{a}": F.col(a) - F.lit(float(o)) for a, o in zip(AXES, origin, strict=True)})
+    by = by or []
+    low = points.groupBy(*by).agg(*[F.min(a).alias(f"__o{a}") for a in AXES])
+    joined = points.join(low, by) if by else points.crossJoin(low)  # one row
+    return joined.withColumns({f"local_{a}": F.col(a) - F.col(f"__o{a}") for a in AXES}).select(*points.columns, *[f"local_{a}" for a in AXES])
+
+
 def axis_limits(points: DataFrame, by: list[str], share: float, least: float) -> DataFrame:
     """low and high of each axis with padding of a share of its span, or at least so much."""
     box = points.groupBy(*by).agg(*[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])

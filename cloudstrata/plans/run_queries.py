@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cloudstrata.operators import crops, figures, records, runs
+from cloudstrata.operators import batches, crops, figures, profile, records, regions, runs
 from cloudstrata.plans.point_queries import AXES, points, rounded
 from cloudstrata.plans.record_queries import _UB, _user_boxes
 from cloudstrata.plans.registry import query, table
@@ -58,6 +58,35 @@ def las_overview(spark, sf_dir):
     return las.overview(spark, _las_file(spark, sf_dir), 300).select("row_id", "raw_x")
 
 
+@query("""WITH p AS (SELECT 'runs/' || s_suppkey || '/Run ' || CASE s_suppkey % 3 WHEN 0 THEN 'Left' WHEN 1 THEN 'RIGHT' ELSE 'left and right' END || '.las.txt' AS path, s_suppkey % 3 AS k FROM supplier)
+SELECT 'left' AS side, min(path) AS path FROM p WHERE k <> 1 UNION ALL SELECT 'right', min(path) FROM p WHERE k <> 0""")
+def side_pairing(spark, sf_dir):
+    k = F.col("s_suppkey") % 3
+    name = F.when(k == 0, "Left").when(k == 1, "RIGHT").otherwise("left and right")
+    return profile.sides_of_files(table(spark, sf_dir, "supplier").select(F.concat(F.lit("runs/"), F.col("s_suppkey").cast("string"), F.lit("/Run "), name, F.lit(".las.txt")).alias("path")))
+
+
+@query(f"""WITH {PTS}, r AS (SELECT * FROM pts WHERE x BETWEEN 100 AND 400 AND y BETWEEN 10 AND 60), c AS (SELECT count(*) AS dense_points, count(*) FILTER (row_id % 7 = 0) AS sparse_points FROM r)
+SELECT dense_points, sparse_points, round(dense_points / sparse_points, 6) AS multiplier FROM c""")
+def density_ratio(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return rounded(profile.density_multiplier(p, p.filter("row_id % 7 = 0"), regions.inside({"x": (100, 400), "y": (10, 60)})))
+
+
+@query(f"""WITH {PTS} SELECT row_id, {", ".join(f"round({a} - min({a}) OVER (PARTITION BY side), 6) AS local_{a}" for a in AXES)} FROM pts""")
+def local_coordinates(spark, sf_dir):
+    return rounded(regions.local_coordinates(points(spark, sf_dir), ["side"]).select("row_id", *[f"local_{a}" for a in AXES]))
+
+
+@query(f"""WITH {PTS}, c AS (SELECT min(x) - 8 AS low_x, max(x) + 8 AS high_x, min(y) - 8 AS low_y, max(y) + 8 AS high_y, count(*) AS members FROM pts WHERE user_id = 7 AND classification = 'click')
+SELECT round(low_x, 6) AS low_x, round(high_x, 6) AS high_x, round(low_y, 6) AS low_y, round(high_y, 6) AS high_y, (SELECT count(*) FROM pts WHERE x BETWEEN low_x AND high_x AND y BETWEEN low_y AND high_y) AS points, members,
+low_x < 0 OR high_x > 720 OR low_y < 0 OR high_y > 60 AS truncated FROM c""")
+def context_truncation(spark, sf_dir):
+    p = points(spark, sf_dir).select("row_id", "x", "y", "z", "user_id", "classification")
+    found = batches.context_summary(p, p.filter("user_id = 7 and classification = 'click'"), 8.0, (0.0, 720.0, 0.0, 60.0))
+    return rounded(found.select("low_x", "high_x", "low_y", "high_y", "points", "members", "truncated"))
+
+
 _BOXES = {"a": {"x": (100, 140), "y": (20, 45), "z": (0, 30)}, "b": {"x": (130, 200), "y": (40, 80), "z": (10, 60)}, "c": {"x": (650, 700), "y": (1, 30), "z": (0, 500)}}
 
 

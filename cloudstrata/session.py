@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,29 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders made within each open `scratch`, the innermost last.
+_scratch: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A path that nothing has written to yet, in the shared folder."""
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    for made in _scratch[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Owns the intermediate folders made within, and removes them at its end: results are lazy, so write them or collect them before."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            drop_folder(spark, path)
 
 
 def cut(df: DataFrame, kind: str, **options) -> DataFrame:

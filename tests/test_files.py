@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudstrata.operators import clusters, parameters, runs, shape
+from cloudstrata.operators import batches, clusters, parameters, runs, shape
 from cloudstrata.sources import documents, las, wkt
 from tests.test_operators import brute_dbscan, cloud, las_points
 
@@ -105,3 +105,28 @@ def test_query_points(spark):
     a, b = (sorted(map(tuple, d.collect())) for d in (one, two))
     assert a == b and sorted(g for _, g in a) == ["a"] * 512 + ["b"] * 500
     assert {r["row_id"] for r in shape.query_points(points, ["g"], 512, seed=1).collect()} != {k for k, _ in a}
+
+
+def test_collect_observations(spark, tmp_path):
+    """The latest report of each kind, with hashes of what it names; a file that was changed or is gone is refused."""
+    digest = {}
+    for name in ("c1", "c2", "m1", "m2"):
+        (tmp_path / name).write_text(name * 3)
+        digest[name] = hashlib.sha256((name * 3).encode()).hexdigest()
+    item = lambda k, roi: {"candidate_id": f"p{k}", "region": f"r{k}", "region_roi": roi, **{n: {"path": f"{tmp_path}/{n[0]}{k}", "sha256": digest[f"{n[0]}{k}"]} for n in ("crop", "membership")}}
+    documents.atomic_json(str(tmp_path / "a_1.json"), {"source_identity": "s", "items": []})
+    documents.atomic_json(str(tmp_path / "a_2.json"), {"source_identity": "s", "items": [item(1, [0, 1]), item(2, [0, 1])]})
+    documents.atomic_json(str(tmp_path / "b_1.json"), {"source_identity": "t", "items": [item(1, [0, 1])]})
+    documents.atomic_json(str(tmp_path / "f.json"), {"entries": [{"id": "p1"}]})
+    reports = spark.createDataFrame([(n[0], str(tmp_path / f"{n}.json")) for n in ("a_1", "a_2", "b_1")], "kind string, path string")
+    rows = sorted(map(tuple, batches.collect_observations(spark, reports, str(tmp_path / "f.json"), 3).select("kind", "candidate_id", "region_id", "feature_reference").collect()))
+    assert [r[:2] for r in rows] == [("a", "p1"), ("a", "p2"), ("b", "p1")] and rows[0][2] == rows[1][2] != rows[2][2] and rows[0][2].startswith("region_") and len(rows[0][2]) == 23
+    assert [r[3] is not None for r in rows] == [True, False, True]
+    with pytest.raises(ValueError, match="3 items"):
+        batches.collect_observations(spark, reports, expected=5)
+    (tmp_path / "m2").write_text("other")
+    with pytest.raises(ValueError, match="m2: not as"):
+        batches.collect_observations(spark, reports)
+    (tmp_path / "m2").unlink()
+    with pytest.raises(ValueError, match="m2: FileNotFound"):
+        batches.collect_observations(spark, reports)

@@ -20,3 +20,20 @@ def test_shared_folder():
     assert session.shared_folder(fake("yarn", "hdfs://x/y/")) == "hdfs://x/y"
     with pytest.raises(ValueError, match="checkpoint.dir"):
         session.shared_folder(fake("yarn"))
+
+
+def test_scratch(spark):
+    """Folders made within are gone afterwards, also after an error; what was made before stays."""
+    from cloudstrata.session import cut, new_folder
+    from cloudstrata.sources.documents import exists
+
+    before = new_folder(spark, "test")
+    spark.range(2).write.parquet(before)
+    with session.scratch(spark) as made:
+        assert cut(spark.range(5), "test").count() == 5 and len(made) == 1 and exists(spark, made[0])
+        with pytest.raises(ZeroDivisionError), session.scratch(spark) as inner:
+            cut(spark.range(1), "test")
+            1 / 0  # noqa: B018
+        assert not exists(spark, inner[0]) and exists(spark, made[0])
+    assert not exists(spark, made[0]) and exists(spark, before)
+    session.drop_folder(spark, before)
