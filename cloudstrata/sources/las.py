@@ -205,6 +205,8 @@ class LasReader(DataSourceReader):
         return [RecordRange(path, at, min(self.chunk, end - at)) for begin, end in spans for at in range(begin, end, self.chunk)]
 
     def partitions(self):
+        if len(self.paths) <= 1:
+            return [r for p in self.paths for r in self._ranges(p)]
         with ThreadPoolExecutor(16) as pool:  # headers of many files
             return [r for found in pool.map(self._ranges, self.paths) for r in found]
 
