@@ -10,7 +10,8 @@ add_special_tokens=False and without truncation and padding: its special
 tokens are found in texts first, the rest is split by the byte-level pattern.
 
 Null and empty texts have no ids and decode to the empty text; rows keep their
-order, number and repetition; a null doc_id stays null.
+order, number and repetition; a null doc_id stays null. An empty table has no rows;
+columns of other names aren't read.
 """
 
 from __future__ import annotations

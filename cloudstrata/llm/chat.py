@@ -11,7 +11,8 @@ control strings to escaping every line, until what is recovered is identical.
 Rows with a null conv_id form a conversation of their own. Turns come in order
 of turn, nulls first; equal turns in order of role and text. A null text is
 empty, a null role is the empty role. Roles may hold any characters. Repeated rows
-are repeated turns, other columns aren't read, an empty table has no conversations.
+are repeated turns, other columns aren't read, an empty table has no conversations. conv_id is
+taken as a 64-bit number; a text id raises an error.
 
 Turns are sorted by conversation and streamed: a conversation is written in parts
 of about PART characters, nearly always one, so a task holds a part and never a

@@ -12,7 +12,8 @@ seed and the number are parameters, and the same call gives the same field.
 
 Scripts, styles, comments of the markup and hidden elements have no text, nor
 have drawings, embedded objects, form fields and what is there for browsers without scripts
-(RAW below): a browser doesn't show these. Formulas have text. Character references
+(RAW below): a browser doesn't show these. It does show what is hidden from readers-aloud only (aria-hidden), and takes
+no slash for the end of a script. Formulas have text. Character references
 are decoded, white space within a block is one space. A null or empty page, and a
 page without main blocks, has the empty text. Text outside any element counts as a
 block, too.

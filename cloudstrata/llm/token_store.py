@@ -8,13 +8,16 @@ recipe, and one over the roots of each recipe part in the manifest.
 
 The store is three Parquet tables in one folder:
 
-    chunks/    digest, n_ids, payload (little-endian unsigned 16- or 32-bit ids)
-    recipes/   part, doc_id, start, n_tokens, chunks, lengths, root; ascending doc_id
-    manifest/  part, documents, tokens, first start, Merkle root
+    staged/kind=chunk/   digest, n_ids, payload (little-endian unsigned 16- or 32-bit ids)
+    recipes/             part, doc_id, start, n_tokens, chunks, lengths, root; ascending doc_id
+    manifest/            part, documents, tokens, first start, Merkle root
 
-Null doc_ids come first, equal doc_ids by their token counts and roots. A null
+staged/kind=recipe/ has the recipes as tasks wrote them, before they were put in order; nothing reads it afterwards.
+
+Ids are taken as 64-bit numbers; a text id raises an error. Null doc_ids come first, equal doc_ids by their token counts and roots. A null
 or empty text is the end id alone. An empty table gives an empty store. Two
-rows with one doc_id are two documents.
+rows with one doc_id are two documents, repeated rows too. A text of any length is cut into chunks like
+others; its recipe is one row. Columns of other names aren't read.
 """
 
 from __future__ import annotations
