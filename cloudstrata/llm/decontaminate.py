@@ -29,7 +29,8 @@ Each row is judged by its own text: rows with one doc_id, or with a null one,
 that say different things are different documents, and repeated rows get the
 same judgement. Very long texts are taken whole. Of equally covered places of an
 item in a document the one of the higher consistency, then the first is told.
-Columns of other names aren't read, and an empty table has no matches.
+Columns of other names aren't read, and an empty table has no matches. Ids are taken
+as 64-bit numbers; a text id raises an error.
 """
 
 from __future__ import annotations
@@ -84,13 +85,20 @@ class Canonical:
     """Templates of texts. What a word may be is kept by word; what it is depends on the words before it."""
 
     def __init__(self) -> None:
-        self.number = TwoGenerations(self.look, 100_000)
+        self.number = TwoGenerations(self.look, 200_000)
 
     def look(self, word: str) -> int:
         """59 bits of a word's hash, whether a sentence ends after it and closing marks, three bits of its kind as it stands alone, and whether a sentence ends after it."""
+        last = word[-1]
+        core = word if word.isalpha() else word[:-1] if last in ".,;:!?" and word[:-1].isalpha() else None
+        if core is not None:  # letters alone, with one mark at most: no number, and nothing else at the edges
+            low = core.lower()
+            kind = NUM if low in NUMBER_WORDS else UNIT if low in UNITS else NAME if core[0].isupper() and not (len(core) > 1 and core.isupper()) else WORD
+            ends = last in ".!?:;"
+            return xxhash.xxh3_64_intdigest(low) >> 5 << 5 | ends << 4 | kind << 1 | ends
         core = EDGES.sub("", word)
         low = core.lower()
-        ends = word[-1] in ".!?:;…" or word == LINE
+        ends = last in ".!?:;…" or word == LINE
         if word == LINE or not core and "%" not in word:
             kind = NONE
         elif NUMBER.fullmatch(core) or low in NUMBER_WORDS:
