@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 
 from cloudstrata.functions.linalg import COVARIANCE, eigenvalues, vertical_part
 from cloudstrata.functions.numbering import placed_in_groups, quantiles
-from cloudstrata.operators.neighbours import radius_join
+from cloudstrata.operators.neighbours import nodes, radius_join
 from cloudstrata.operators.profile import AXES
 
 #: Fixed before any analysis: neighbours, gaps and floors of defined features, and descriptive bins.
 LEAST_NEIGHBOURS, GAP, FLOOR = 6, 1e-6, 1e-20
 BINS = {"linear": "linearity >= 0.6", "planar": "planarity >= 0.6", "scattered": "scattering >= 0.25", "vertical_linear": "linearity >= 0.6 and axis_alignment >= 0.9"}
+PAIRED = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 NAMES = ("linearity", "planarity", "scattering", "axis_alignment", "normal_alignment", "surface_verticality")
 
 
 def shape_features(points: DataFrame, by: list[str], prefix: str = "") -> DataFrame:
     """count, status, population covariance, eigenvalues, extents and features of each group. Features that aren't defined are null."""
     c = {n: f"{prefix}{n}" for n in AXES}
-    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     df = points.groupBy(*by).agg(
-        F.count("*").alias("count"), *[F.covar_pop(c[a], c[b]).alias(n) for n, (a, b) in zip(COVARIANCE, pairs, strict=True)], *[(F.max(c[a]) - F.min(c[a])).alias(f"extent_{a}") for a in AXES]
+        F.count("*").alias("count"), *[F.covar_pop(c[a], c[b]).alias(n) for n, (a, b) in zip(COVARIANCE, PAIRED, strict=True)], *[(F.max(c[a]) - F.min(c[a])).alias(f"extent_{a}") for a in AXES]
     )
+    return _features(df, by)
+
+
+def _features(df: DataFrame, by: list[str]) -> DataFrame:
+    """What follows from count, covariance and extents."""
     df = eigenvalues(df)
     df = vertical_part(vertical_part(df, "l1", "v1z"), "l3", "v3z")
     status = F.when(F.col("count") < LEAST_NEIGHBOURS, "insufficient_neighbors").when(F.col("l1") <= FLOOR, "zero_variance").otherwise("valid")
@@ -43,9 +48,18 @@ def query_points(points: DataFrame, by: list[str], most: int = 512, seed: int =
 
 
 def local_features(queries: DataFrame, points: DataFrame, radius: float, by: list[str]) -> DataFrame:
-    """Features of the neighbourhood of each query among all points of its group, itself included."""
-    pairs = radius_join(queries.select(*by, "row_id", *AXES), points.select(*by, "row_id", *AXES), radius, by)
-    return shape_features(pairs.select(*by, F.col("q.row_id").alias("row_id"), *[F.col(f"p.{a}").alias(a) for a in AXES]), [*by, "row_id"])
+    """Features of the neighbourhood of each query among all points of its group, itself included.
+
+    Coincident points are met once, with their number; moments are taken about the query, so no offset of the coordinates harms them.
+    """
+    pairs = radius_join(queries.select(*by, "row_id", *AXES), nodes(points, by).select(*by, *AXES, "weight"), radius, by)
+    w = F.col("weight")
+    pairs = pairs.select(*by, F.col("q.row_id").alias("row_id"), F.col("p.weight").alias("weight"), *[(F.col(f"p.{a}") - F.col(f"q.{a}")).alias(a) for a in AXES])
+    sums = [*[F.sum(w * F.col(a)).alias(f"__{a}") for a in AXES], *[F.sum(w * F.col(a) * F.col(b)).alias(n) for n, (a, b) in zip(COVARIANCE, PAIRED, strict=True)]]
+    df = pairs.groupBy(*by, "row_id").agg(F.sum("weight").alias("count"), *sums, *[(F.max(a) - F.min(a)).alias(f"extent_{a}") for a in AXES])
+    flat = lambda a, b: (F.col(f"extent_{a}") == 0) | (F.col(f"extent_{b}") == 0)
+    about = {n: F.when(flat(a, b), 0.0).otherwise(F.col(n) / F.col("count") - F.col(f"__{a}") / F.col("count") * (F.col(f"__{b}") / F.col("count"))) for n, (a, b) in zip(COVARIANCE, PAIRED, strict=True)}
+    return _features(df.withColumns(about), [*by, "row_id"])
 
 
 def summarise_local(features: DataFrame, by: list[str]) -> DataFrame:
