@@ -55,6 +55,8 @@ from cloudstrata.session import cut
 WORDS, SIMILAR = 5, 80
 #: Shingles of a block; bytes of text for a hash range (a text's name goes to each range that it has shingles in, so small ranges cost disk); texts of a block from which a shingle counts as frequent there.
 BLOCK, RANGE_BYTES, FREQUENT = 1_000_000, 24 << 20, 256
+#: A large table's hash ranges are counted in so many rounds, each over all texts: the shuffle files of a round are gone before the next, so they take a third of the disk at a time.
+ROUNDS = 3
 #: Counts of shingles are told up to this number; beyond, they are equally frequent, and in the order of their hashes.
 MOST_COUNT = 65_535
 #: Texts of a block of a cluster, and of its candidate pairs how many are verified one by one rather than by a matrix product.
@@ -129,15 +131,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), _ROWS_ARROW.types, strict=True)], schema=_ROWS_ARROW)
 
 
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield _batch(rows)
+
+
 def _width(bits: int) -> int:
     """Bytes of a hash beside those bits that its range tells."""
     return -(-(64 - bits) // 8)
 
 
-def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int, least: int) -> list[tuple]:
-    """The rows of a block of sets: what the range doesn't tell of each hash, by range, or counts and texts of what `least` texts of the block or more have."""
+def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int, least: int, turn: int = 0, rounds: int = 1) -> list[tuple]:
+    """The rows of a block of sets: what the range doesn't tell of each hash, by range, or counts and texts of what `least` texts of the block or more have. Only hashes of this turn's ranges."""
     sizes = np.array([len(s) for s in sets], np.int64)
     hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    if rounds > 1:
+        own = (hashes >> _U(64 - bits)) % _U(rounds) == turn
+        hashes, owner = hashes[own], owner[own]
     names = np.array(keys, np.int64).view(np.uint64)
     rows: list[tuple] = []
     slots = (hashes & _U((1 << 21) - 1)).astype(np.int64)
@@ -168,7 +178,7 @@ def _shred_block(sets: list[np.ndarray], keys: list[int], bits: int, salt: int,
     return rows
 
 
-def _shred(words: int, bits: int):
+def _shred(words: int, bits: int, turn: int = 0, rounds: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -191,13 +201,13 @@ def _shred(words: int, bits: int):
                         held += len(found)
                         if held >= BLOCK:
                             salt += 1
-                            yield _batch(_shred_block(sets, [*keys], bits, salt, FREQUENT))
+                            yield from _batches(_shred_block(sets, [*keys], bits, salt, FREQUENT, turn, rounds))
                             sets, held = [], 0
                             keys.clear()
-                if docs:
+                if docs and not turn:
                     yield _batch(docs)
             if sets:
-                yield _batch(_shred_block(sets, [*keys], bits, salt + 1, FREQUENT))
+                yield from _batches(_shred_block(sets, [*keys], bits, salt + 1, FREQUENT, turn, rounds))
 
     return run
 
@@ -540,8 +550,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similar
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (max(1, size // RANGE_BYTES) - 1).bit_length())
     parts = max(n, 1 << bits)
-    shredded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_name(text_col)).mapInArrow(_shred(words, bits), _ROWS)
-    counted = cut(shredded.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(bits), _ROWS), "jaccard-counted")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_name(text_col))
+    counted, rounds = None, ROUNDS if size > 2 * RANGE_BYTES else 1
+    for turn in range(rounds):
+        shredded = named.mapInArrow(_shred(words, bits, turn, rounds), _ROWS)
+        part = cut(shredded.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(bits), _ROWS), "jaccard-counted")
+        counted = part if counted is None else counted.unionByName(part)
     frequent = counted.filter("kind = 'count'").groupBy("key").agg(F.sum("n").alias("total"))
     texts = join_hot(counted.filter("kind = 'texts'").select("key", "payload"), frequent, ["key"]).select("payload", "total").mapInArrow(_join_frequent(bits), _ROWS)
     shared = counted.filter("kind = 'shared'").unionByName(texts)
