@@ -24,9 +24,9 @@ def test_shuffle_files_go(spark):
     """A cut leaves no shuffle files behind, and the session's setting as it was."""
     folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
     held = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
-    before = held()
+    before, setting = held(), spark.conf.get(session.CLEANED, None)
     session.cut(spark.range(5000).repartition(4, "id"), "test")
     until = time.monotonic() + 20
     while not held() <= before and time.monotonic() < until:
         time.sleep(0.1)
-    assert held() <= before and spark.conf.get(session.CLEANED, None) == "false"
+    assert held() <= before and spark.conf.get(session.CLEANED, None) == setting
