@@ -141,12 +141,14 @@ class LibraryEncoder:
 
     A space between two characters that aren't white space always begins a
     pre-token of the byte-level pattern, and pre-tokens are encoded one by one.
-    So pieces between such spaces are looked up whole. Words of letters, alone or
-    before one mark, go to the library's model once and are kept as flat arrays;
-    all other pieces go through the whole library.
+    So pieces between such spaces are looked up whole. A piece of letters, marks,
+    letters and marks is put together from these: words go to the library's model
+    once and are kept, with and without a space before them; so do runs of marks, by the whole
+    library, of which there are few. All other pieces go through the whole library.
     """
 
-    ENDS = tuple(".,;:!?")
+    #: Letters (to be looked at again, if not ASCII), marks and digits, one line feed, letters, marks and digits.
+    PARTS = r"^(?P<a>[^\x00-@\[-`{-\x7f]*)(?:(?P<m>[!-@\[-`{-~]+\n?|\n)(?:(?P<b>[^\x00-@\[-`{-\x7f]+)(?P<n>[!-@\[-`{-~]*))?)?$"
 
     def __init__(self, path: str, entries: int = 1_100_000):
         from tokenizers import Tokenizer
@@ -156,77 +158,86 @@ class LibraryEncoder:
         self.library.no_padding()
         self.model = self.library.model
         self.kind = "<u4" if self.library.get_vocab_size(with_added_tokens=True) > 1 << 16 else "<u2"
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # byte-level vocabularies write each byte as a character
         self.letters = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
         self.space = byte_alphabet()[32]
-        self.marks = pa.array(self.ENDS)
-        self.mark_ids = np.array([self.library.encode(m, add_special_tokens=False).ids[0] for m in self.ENDS], self.kind)
         self.entries = entries
+        #: Words and their ids as bytes; a word without a space before it has a line feed there.
         self.words = pa.array([], pa.string())
-        self.ids = np.zeros(0, self.kind)
-        self.begin = np.zeros(1, np.int64)
+        self.ids = pa.array([], pa.large_binary())
         self.others: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: pa.Array) -> None:
-        """Keeps the ids of new words; beyond `entries` the older half of the words goes."""
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """The ids of new words by the library's model."""
         tokenize, space, letters = self.model.tokenize, self.space, self.letters
-        found = [[t.id for t in tokenize(space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))] for w in words.to_pylist()]
-        if len(self.words) + len(words) > self.entries:
-            half = len(self.words) // 2
-            self.words, self.ids, self.begin = self.words.slice(half), self.ids[self.begin[half] :], self.begin[half:] - self.begin[half]
+        found = []
+        for w in words.to_pylist():
+            before, w = ("", w[1:]) if w[0] == "\n" else (space, w)
+            found.append([t.id for t in tokenize(before + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.words = pa.concat_arrays([self.words, words])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))])
-
-    def _other(self, pieces: list[str]) -> list[bytes | None]:
-        """The ids of a space and each piece; None for pieces that can't be taken alone."""
+        ids = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+        ends = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of different words; new ones are kept, and beyond `entries` the older ones go."""
+        # the table is looked up in the words, as that hashes the fewer of the two
+        at = pc.index_in(self.words, words)
+        place = np.full(len(words), -1, np.int64)
+        place[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            place[unknown] = len(self.words) + np.arange(len(unknown))
+            new = words.take(pa.array(unknown))
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self._learn(new)])
+        found = self.ids.take(pa.array(place))
+        if len(self.words) > self.entries:
+            older = len(self.words) - self.entries // 2
+            self.words, self.ids = self.words.slice(older), self.ids.slice(older)
+        return found
+
+    def _others(self, parts: pa.Array) -> pa.Array:
+        """The ids of different parts, each taken alone by the whole library."""
         if len(self.others) > 100_000:
             self.others = {}
-        known, new = self.others, []
-        for p in pieces:
-            if p not in known and p and not p[0].isspace() and not p[-1].isspace():
-                new.append(p)
-        fresh = dict(zip(new, self.whole([" " + p for p in new]), strict=True))
+        known, parts = self.others, parts.to_pylist()
+        new = [p for p in parts if p not in known]
+        fresh = dict(zip(new, self.whole(new), strict=True))
         known.update((p, d) for p, d in fresh.items() if len(p) <= 64)
-        return [known[p] if p in known else fresh.get(p) for p in pieces]
-
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids of a space and each piece, where each piece's begin and the last ends, and which can't be taken alone."""
-        alone = pc.utf8_is_alpha(pieces)
-        stem = pc.utf8_slice_codeunits(pieces, 0, -1)
-        mark = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), self.marks)
-        mark = pc.if_else(pc.and_(pc.invert(alone), pc.utf8_is_alpha(stem)), mark, pa.scalar(None, pa.int32()))
-        word = pc.if_else(alone, pieces, pc.if_else(pc.is_valid(mark), stem, pa.scalar(None, pa.string()))).dictionary_encode()
-        self.entries = max(self.entries, 3 * len(word.dictionary))  # what a block needs at once is kept
-        while (at := pc.index_in(word.dictionary, self.words)).null_count:
-            self._learn(word.dictionary.filter(pc.is_null(at)))
-        of_piece = word.indices.fill_null(-1).to_numpy()
-        marks = mark.fill_null(-1).to_numpy()
-        where = np.append(at.to_numpy().astype(np.int64), 0)[of_piece] if len(at) else np.zeros(len(pieces), np.int64)
-        simple = of_piece >= 0
-        size = np.where(simple, self.begin[where + 1] - self.begin[where], 0) if len(self.words) else np.zeros(len(pieces), np.int64)
-        size = size + (marks >= 0)
-        rest = np.flatnonzero(~simple)
-        data = self._other(pieces.take(pa.array(rest)).to_pylist())
+        return pa.array([fresh[p] if p in fresh else known[p] for p in parts], pa.large_binary())
+
+    def _pieces(self, pieces: pa.Array, space: str) -> tuple[pa.Array, np.ndarray]:
+        """The ids of a space (or nothing) and each piece, as bytes, and which pieces can't be taken alone after a space."""
+        none = pa.scalar(None, pa.string())
+        found = pc.extract_regex(pieces, self.PARTS)
+        a, m, b, n = (pc.if_else(pc.equal(part, ""), none, part) for part in found.flatten())
+        letters = pc.and_(pc.fill_null(pc.utf8_is_alpha(a), True), pc.fill_null(pc.utf8_is_alpha(b), True))
+        # an apostrophe may belong to the letters behind it, a line feed at an end to the space there
+        apart = pc.invert(pc.and_(pc.fill_null(pc.ends_with(m, "'"), False), b.is_valid()))
+        inner = pc.invert(pc.or_(pc.or_(pc.starts_with(pieces, "\n"), pc.ends_with(pieces, "\n")), pc.equal(pieces, "")))
+        fits = pc.and_(pc.and_(found.is_valid(), letters), pc.and_(apart, inner))
+        for t in self.special:
+            fits = pc.and_(fits, pc.invert(pc.match_substring(pieces, t)))
+        rest = np.flatnonzero(~fits.to_numpy(zero_copy_only=False))
         odd = np.zeros(len(pieces), bool)
-        odd[rest[[d is None for d in data]]] = True
-        width = np.dtype(self.kind).itemsize
-        other_size = np.array([len(d or b"") // width for d in data], np.int64)
-        size[rest] = other_size
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = np.zeros(ends[-1], self.kind)
-        words_only = np.where(simple, size - (marks >= 0), 0)
-        into = np.repeat(ends[:-1] - (np.cumsum(words_only) - words_only), words_only) + np.arange(words_only.sum())
-        source = np.repeat(self.begin[where] - (np.cumsum(words_only) - words_only), words_only) + np.arange(words_only.sum())
-        out[into] = self.ids[source]
-        out[ends[1:][marks >= 0] - 1] = self.mark_ids[marks[marks >= 0]]
-        into = np.repeat(ends[rest] - (np.cumsum(other_size) - other_size), other_size) + np.arange(other_size.sum())
-        out[into] = np.frombuffer(b"".join(d for d in data if d), self.kind)
-        return out, ends, odd
+        if space:
+            odd[rest] = [not p or p[0].isspace() or p[-1].isspace() for p in pieces.take(pa.array(rest)).to_pylist()]
+        a, b, n = (pc.if_else(fits, part, none) for part in (a, b, n))
+        m = pc.if_else(pa.array(odd), none, pc.if_else(fits, m, pieces))
+
+        def after(before: str, part: pa.Array) -> pa.Array:
+            return pc.binary_join_element_wise(before, part, "") if before else part
+
+        words = pa.concat_arrays([a if space else after("\n", a), after("\n", b)]).dictionary_encode()
+        others = pa.concat_arrays([pc.if_else(a.is_valid(), m, after(space, m)), n]).dictionary_encode()
+        word_ids = self._words(words.dictionary).take(words.indices).fill_null(b"")
+        other_ids = self._others(others.dictionary).take(others.indices).fill_null(b"")
+        k = len(pieces)
+        return pc.binary_join_element_wise(word_ids[:k], other_ids[:k], word_ids[k:], other_ids[k:], pa.scalar(b"", pa.large_binary())), odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin and the last ends."""
@@ -234,29 +245,28 @@ class LibraryEncoder:
         split = pc.split_pattern(texts, " ")
         coded = split.values.dictionary_encode()
         codes, ends = coded.indices.to_numpy().copy(), split.offsets.to_numpy()
-        flat, begin, odd = self._pieces(coded.dictionary)
+        data, odd = self._pieces(coded.dictionary, " ")
         whole = np.zeros(len(texts), bool)
         if odd.any():
             bad = odd[codes]
             bad[ends[:-1]] = False
             whole = np.add.reduceat(bad, ends[:-1]) > 0
         # the first piece of a text has no space before it, and its end may be white space
-        first = split.values.take(pa.array(ends[:-1])).to_pylist()
-        whole |= np.array([not h or h[-1].isspace() for h in first], bool)
-        heads = self.whole([t if w else h for t, h, w in zip(texts.to_pylist() if whole.any() else first, first, whole.tolist(), strict=True)])
-        codes[ends[:-1]] = len(begin) - 1 + np.arange(len(texts))
-        head_size = np.array([len(h) for h in heads], np.int64) // np.dtype(self.kind).itemsize
-        begin = np.concatenate([begin, begin[-1] + np.cumsum(head_size)])
-        flat = np.concatenate([flat, np.frombuffer(b"".join(heads), self.kind)])
-        size = (begin[1:] - begin[:-1]).astype(np.int32)[codes]
-        if whole.any():
-            rest = np.repeat(whole, np.diff(ends))
-            rest[ends[:-1]] = False
-            size[rest] = 0
-        total = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)  # a block has fewer than 2^31 ids
-        where = np.repeat(begin[:-1].astype(np.int32)[codes] - total[:-1], size)
-        where += np.arange(total[-1], dtype=np.int32)
-        return flat[where], total[ends]
+        first = split.values.take(pa.array(ends[:-1]))
+        whole |= np.array([not h or h[-1].isspace() for h in first.to_pylist()], bool)
+        heads = first.filter(pa.array(~whole)).dictionary_encode()
+        head_data, _ = self._pieces(heads.dictionary, "")
+        at_head = np.zeros(len(texts), np.int32)
+        at_head[~whole] = len(data) + heads.indices.to_numpy()
+        at_head[whole] = len(data) + len(head_data) + np.arange(whole.sum())
+        codes[np.repeat(whole, np.diff(ends))] = len(data) + len(head_data) + whole.sum()  # nothing
+        codes[ends[:-1]] = at_head
+        whole_data = pa.array([*self.whole(texts.filter(pa.array(whole)).to_pylist()), b""], pa.large_binary())
+        taken = pa.concat_arrays([data, head_data, whole_data]).take(pa.array(codes))
+        _, offsets, ids = taken.buffers()
+        width = np.dtype(self.kind).itemsize
+        total = np.frombuffer(offsets, np.int64, len(codes) + 1)[ends] // width
+        return np.frombuffer(ids or b"", self.kind, int(total[-1])), total
 
 
 def library_encoder(path: str) -> LibraryEncoder:

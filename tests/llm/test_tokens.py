@@ -61,6 +61,25 @@ def test_library_encoder_forgets(vocabulary, library):
     assert len(encoder.words) <= 60
 
 
+def test_library_encoder_puts_pieces_together(vocabulary, library):
+    words, marks = ["", "word", "Ab", "it", "s", "ll", "é", "x\u0301"], ["", "'", "''", ".'", "\n", "\n\n", ".\n", "'\n", "1.", "<|", "..\n", "***"]
+    some = [f"q {a}{m}{b}{n}{c} end" for a in words for m in marks for b in words for n in marks for c in ["", "s"]] + ["a b<|endoftext|>c d", "b<|endoftext|>c\x00", "\nA b", "'s a"]
+    some += [t[2:] for t in some]
+    ids, ends = token_store.LibraryEncoder(vocabulary).encode(pa.array(some))
+    for t, e, b, c in zip(some, library.encode_batch(some, add_special_tokens=False), ends, ends[1:], strict=False):
+        assert ids[b:c].tolist() == e.ids, t
+
+
+def test_words_with_marks_go_to_the_library_by_parts(vocabulary, monkeypatch):
+    encoder, sent = token_store.LibraryEncoder(vocabulary), []
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda some: sent.extend(some) or whole(some))
+    r = random.Random(8)
+    for _ in range(3):
+        encoder.encode(pa.array([" ".join("".join(r.choice("abcdeé") for _ in range(8)) + r.choice(["***", ".\nThen", "?!", "-", ""]) for _ in range(900))]))
+    assert len(sent) < 20  # before: a piece of its own for each word with marks, about 2,000
+
+
 def test_encode_documents(docs_of, vocabulary, library):
     some = [None, "", "Hello there.\nYou", "x " * 5000, "Hello there.\nYou"]
     rows = bpe.encode_documents(docs_of(some, [4, 3, None, 2, 4]), vocabulary, tuple(bpe.OUTPUTS)).collect()
